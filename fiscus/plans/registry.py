@@ -30,6 +30,7 @@ def register(key: str, oracle: str | None = None):
 
 MODULES = (
     "fiscus.plans.econ",
+    "fiscus.operators.ingest_queries",
 )
 
 
