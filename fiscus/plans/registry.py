@@ -31,6 +31,9 @@ def register(key: str, oracle: str | None = None):
 MODULES = (
     "fiscus.plans.econ",
     "fiscus.operators.ingest_queries",
+    "fiscus.operators.quality",
+    "fiscus.operators.evaluate",
+    "fiscus.operators.scalar_queries",
 )
 
 
