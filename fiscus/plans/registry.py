@@ -34,6 +34,7 @@ MODULES = (
     "fiscus.operators.quality",
     "fiscus.operators.evaluate",
     "fiscus.operators.scalar_queries",
+    "fiscus.operators.corpus_queries",
 )
 
 

@@ -194,3 +194,36 @@ def with_star(body: str, extra_ctes: str = "") -> str:
     if extra_ctes:
         ctes = ctes + ",\n" + extra_ctes.strip()
     return f"WITH {ctes}\n{body.strip()}"
+
+
+# Catalog of the star schema: (table, column, type, ordinal), as exposed by
+# ``Star``'s frames.  tests/test_star.py checks it against their schemas.
+STAR_CATALOG = [
+    ("countries", "country_id", "bigint", 1), ("countries", "country_name", "string", 2),
+    ("countries", "region", "string", 3),
+    ("time_periods", "year", "int", 1),
+    ("sectors", "sector_id", "bigint", 1), ("sectors", "sector_name", "string", 2),
+    ("sectors", "sector_description", "string", 3),
+    ("indicators", "indicator_id", "bigint", 1), ("indicators", "indicator_code", "string", 2),
+    ("indicators", "indicator_name", "string", 3), ("indicators", "source", "string", 4),
+    ("indicators", "unit", "string", 5), ("indicators", "description", "string", 6),
+    ("gfs_observations", "country_id", "bigint", 1), ("gfs_observations", "year", "int", 2),
+    ("gfs_observations", "sector_id", "bigint", 3), ("gfs_observations", "indicator_id", "bigint", 4),
+    ("gfs_observations", "value", "double", 5), ("gfs_observations", "transformation", "string", 6),
+    ("gfs_observations", "scale", "string", 7),
+    ("gem_observations", "country_id", "bigint", 1), ("gem_observations", "year", "int", 2),
+    ("gem_observations", "indicator_id", "bigint", 3), ("gem_observations", "value", "double", 4),
+    ("gem_observations", "seasonal_adjustment", "boolean", 5),
+]
+CATALOG_TABLES = sorted({t for t, _, _, _ in STAR_CATALOG})
+
+
+def catalog_frame(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(STAR_CATALOG, "table_name string, column_name string, "
+                                               "data_type string, ordinal int")
+
+
+def catalog_sql() -> str:
+    """The catalog as a VALUES list for oracle statements."""
+    rows = ", ".join(f"('{t}', '{c}', '{d}', {o})" for t, c, d, o in STAR_CATALOG)
+    return f"catalog(table_name, column_name, data_type, ordinal) AS (VALUES {rows})"
