@@ -35,6 +35,7 @@ MODULES = (
     "fiscus.operators.evaluate",
     "fiscus.operators.scalar_queries",
     "fiscus.operators.corpus_queries",
+    "fiscus.operators.retrieval",
 )
 
 
