@@ -36,6 +36,7 @@ MODULES = (
     "fiscus.operators.scalar_queries",
     "fiscus.operators.corpus_queries",
     "fiscus.operators.retrieval",
+    "fiscus.operators.voting",
 )
 
 
