@@ -48,14 +48,20 @@ CLAUSE_RE = {
 COMPARED_CLAUSES = ("select", "from", "where", "group_by", "order_by")
 
 
+# the regex class \s: space, tab, newline, vertical tab, form feed, return
+WS_CHARS = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(c: Column) -> Column:
-    """Python ``str.strip()``: leading / trailing whitespace incl. newlines."""
-    return F.regexp_replace(c, r"^\s+|\s+\z", "")
+    """``str.strip()`` over the \s characters (a plain trim, no regex)."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def extract_sql(text: Column) -> Column:
     """D-1: ```sql fenced block, else any fenced block, else the text."""
-    return (F.when(text.rlike(FENCE_SQL_RE), strip_ws(F.regexp_extract(text, FENCE_SQL_RE, 1)))
+    fenced = text.contains("```")  # cheap test first: most answers have no fence
+    return (F.when(~fenced, strip_ws(text))
+             .when(text.rlike(FENCE_SQL_RE), strip_ws(F.regexp_extract(text, FENCE_SQL_RE, 1)))
              .when(text.rlike(FENCE_ANY_RE), strip_ws(F.regexp_extract(text, FENCE_ANY_RE, 1)))
              .otherwise(strip_ws(text)))
 
@@ -84,8 +90,8 @@ def normalize_sql(sql: Column) -> Column:
     """D-4: ``==``->``=``, ``!=``->``<>``, space after comma, collapse whitespace.
 
     Parity mode: like the reference, text inside quotes is rewritten too."""
-    s = F.regexp_replace(sql, "==", "=")
-    s = F.regexp_replace(s, "!=", "<>")
+    s = F.replace(sql, F.lit("=="), F.lit("="))
+    s = F.replace(s, F.lit("!="), F.lit("<>"))
     s = F.regexp_replace(s, r",([^\s])", ", $1")
     return strip_ws(F.regexp_replace(s, r"\s+", " "))
 

@@ -47,29 +47,34 @@ ARRIVAL = ["seq", "l_partkey", "l_suppkey"]
 def majority_vote(cands: DataFrame) -> DataFrame:
     """Most frequent extracted SQL per question if it has more than one
     vote (ties: earliest arrival), else the fallback source's first answer,
-    else the first answer.  All steps are aggregates keyed by question, so
-    no candidate list is gathered in one place."""
-    c = cands.withColumn("sql", T.extract_sql(col("raw_text"))).withColumn("_arr", F.struct(*ARRIVAL))
-    per_text = c.groupBy("question_id", "sql").agg(F.count(F.lit(1)).alias("votes"),
-                                                  F.min("_arr").alias("_first"))
-    w = Window.partitionBy("question_id").orderBy(col("votes").desc(), col("_first"))
-    top = (per_text.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-           .select("question_id", col("sql").alias("top_sql"), col("votes").alias("top_votes")))
-    stats = c.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.countDistinct("sql").alias("unique_candidates"),
-        F.min_by(F.when(col("source") == FALLBACK_SOURCE, col("sql")),
-                 F.when(col("source") == FALLBACK_SOURCE, col("_arr"))).alias("_fb"),
-        F.min_by("sql", "_arr").alias("_first_sql"))
-    out = top.join(stats, "question_id").select(
+    else the first answer.
+
+    One aggregate to (question, text) counts -- each carrying its first
+    arrival overall and from the fallback source -- then one aggregate per
+    question; no candidate list is gathered in one place."""
+    fb = col("source") == FALLBACK_SOURCE
+    per_text = (cands.withColumn("sql", T.extract_sql(col("raw_text")))
+                .withColumn("_arr", F.struct(*ARRIVAL))
+                .groupBy("question_id", "sql")
+                .agg(F.count(F.lit(1)).alias("votes"), F.min("_arr").alias("_first"),
+                     F.min(F.when(fb, col("_arr"))).alias("_fb_first")))
+    q = per_text.groupBy("question_id").agg(
+        F.min_by("sql", F.struct((-col("votes")).alias("v"), col("_first").alias("f"))).alias("top_sql"),
+        F.max("votes").alias("top_votes"),
+        F.sum("votes").alias("n_candidates"),
+        F.count("sql").alias("unique_candidates"),
+        F.min_by("sql", "_first").alias("_first_sql"),
+        F.min_by("sql", "_fb_first").alias("_fb"))
+    out = q.select(
         "question_id",
         F.when(col("top_votes") > 1, col("top_sql")).otherwise(F.coalesce("_fb", "_first_sql")).alias("best_sql"),
         F.when(col("top_votes") > 1, "consensus")
          .when(col("_fb").isNotNull(), FALLBACK_SOURCE).otherwise("first_candidate").alias("selection_method"),
         "n_candidates", "unique_candidates")
-    votes = (c.join(out.select("question_id", "best_sql"), "question_id")
+    votes = (per_text.join(out.select("question_id", "best_sql"), "question_id")
              .groupBy("question_id")
-             .agg(F.count_if(F.lower(col("sql")) == F.lower(col("best_sql"))).alias("votes")))
+             .agg(F.sum(F.when(F.lower(col("sql")) == F.lower(col("best_sql")), col("votes"))
+                        .otherwise(0)).alias("votes")))
     return out.join(votes, "question_id")
 
 
@@ -120,12 +125,16 @@ def _ratio_ok(ref, names):
         F.lit(1.0) - F.levenshtein(ref, t) / F.greatest(F.length(ref), F.length(t))) >= FUZZY_MIN)
 
 
-def candidate_components(cands: DataFrame) -> DataFrame:
-    """D-4 + D-19 + D-20 as columns: normalized text, clause item arrays and
-    the validity flag (every FROM/JOIN table is a catalog table, exactly or
-    with edit ratio >= 0.8; CTE names allowed)."""
-    fixed = T.normalize_sql(T.extract_sql(col("raw_text")))
-    c = cands.withColumn("fixed", fixed)
+def per_distinct_text(df: DataFrame, text_col: str, build) -> DataFrame:
+    """Evaluate expensive pure text functions once per distinct text and join
+    the results back (candidates repeat: agreement is what voting counts).
+    ``build(frame_of_distinct_texts) -> frame with text_col + new columns``."""
+    texts = build(df.select(text_col).distinct())
+    return df.join(texts, df[text_col].eqNullSafe(texts[text_col]), "left").drop(texts[text_col])
+
+
+def _components(texts: DataFrame) -> DataFrame:
+    c = texts.withColumn("fixed", T.normalize_sql(T.extract_sql(col("raw_text"))))
     for name in T.COMPARED_CLAUSES:
         c = c.withColumn(f"k_{name}", T.clause_items(T.clause(col("fixed"), name), name))
     refs = F.array_except(T.table_refs(col("fixed")), T.cte_names(col("fixed")))
@@ -134,6 +143,13 @@ def candidate_components(cands: DataFrame) -> DataFrame:
     return c.withColumn("valid", valid)
 
 
+def candidate_components(cands: DataFrame) -> DataFrame:
+    """D-4 + D-19 + D-20 as columns: normalized text, clause item arrays and
+    the validity flag (every FROM/JOIN table is a catalog table, exactly or
+    with edit ratio >= 0.8; CTE names allowed)."""
+    return per_distinct_text(cands, "raw_text", _components)
+
+
 def _compatible(a: dict, b: dict) -> bool:
     for name in T.COMPARED_CLAUSES:
         s1, s2 = a[name], b[name]
@@ -153,7 +169,7 @@ def _leaders(qid, rows) -> dict:
                 "n_valid": 0, "n_clusters": 0, "selection_method": "first_candidate"}
     leaders: list[list] = []  # [components, leader text, size]
     for r in valid:
-        comp = {n: set(r[f"k_{n}"]) for n in T.COMPARED_CLAUSES}
+        comp = {n: set(r[f"k_{n}"]) if r[f"k_{n}"] is not None else set() for n in T.COMPARED_CLAUSES}
         for lead in leaders:
             if _compatible(comp, lead[0]):
                 lead[2] += int(r["weight"])
@@ -167,31 +183,36 @@ def _leaders(qid, rows) -> dict:
 
 
 _OUT_COLS = ["question_id", "best_sql", "cluster_size", "n_valid", "n_clusters", "selection_method"]
+_IN_COLS = ["fixed", "weight", "valid", *[f"k_{n}" for n in T.COMPARED_CLAUSES]]
 
 
-def _cluster_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = [_leaders(int(qid), g.to_dict("records"))
-           for qid, g in pdf.groupby("question_id", sort=False)]
-    return pd.DataFrame(out, columns=_OUT_COLS)
+def _rows(pdf: pd.DataFrame):
+    """Row dicts from column lists (one conversion per batch, not per row)."""
+    cols = {c: pdf[c].tolist() for c in _IN_COLS}
+    return [{c: cols[c][i] for c in _IN_COLS} for i in range(len(pdf))]
 
 
 def cluster_partitions(batches):
-    """mapInPandas body: the partition arrives sorted by (question, arrival);
-    a question cut by a batch boundary is carried into the next batch."""
-    carry = None
+    """mapInPandas body: the partition arrives sorted by (question, arrival),
+    so each question is a contiguous run of rows; a run cut by a batch
+    boundary is carried into the next batch."""
+    carry_q, carry_rows = None, []
     for pdf in batches:
-        if carry is not None and len(carry):
-            pdf = pd.concat([carry, pdf], ignore_index=True)
         if pdf.empty:
             continue
-        last = pdf["question_id"].iloc[-1]
-        tail = pdf["question_id"] == last
-        carry = pdf[tail]
-        done = pdf[~tail]
-        if len(done):
-            yield _cluster_frame(done)
-    if carry is not None and len(carry):
-        yield _cluster_frame(carry)
+        qids = pdf["question_id"].tolist()
+        rows = _rows(pdf)
+        out = []
+        for qid, row in zip(qids, rows):
+            if qid != carry_q:
+                if carry_rows:
+                    out.append(_leaders(carry_q, carry_rows))
+                carry_q, carry_rows = qid, []
+            carry_rows.append(row)
+        if out:
+            yield pd.DataFrame(out, columns=_OUT_COLS)
+    if carry_rows:
+        yield pd.DataFrame([_leaders(carry_q, carry_rows)], columns=_OUT_COLS)
 
 
 def candidate_clusters(cands: DataFrame) -> DataFrame:
