@@ -53,7 +53,7 @@ WS_CHARS = " \t\n\x0b\x0c\r"
 
 
 def strip_ws(c: Column) -> Column:
-    """``str.strip()`` over the \s characters (a plain trim, no regex)."""
+    """``str.strip()`` over the regex-whitespace characters (a plain trim)."""
     return F.btrim(c, F.lit(WS_CHARS))
 
 

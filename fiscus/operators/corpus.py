@@ -384,3 +384,66 @@ def weighted_score(sql: Column) -> Column:
     conf = (F.when(score >= CALIBRATION["high_confidence"], "high")
              .when(score >= CALIBRATION["min_confidence"], "accept").otherwise("reject"))
     return F.struct(score.alias("score"), conf.alias("confidence"))
+
+
+# ---------------------------------------------------------------- D-34
+def prompt_rows(sqls: DataFrame, catalog: DataFrame, max_patterns: int = 5) -> DataFrame:
+    """D-34: prompt = linked schema + selected guideline sections + question."""
+    tt = (catalog.groupBy("table_name")
+          .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("_c"))  # schema width
+          .select("table_name", F.concat(col("table_name"), F.lit("("), F.array_join(
+              F.transform("_c", lambda x: x["column_name"]), ", "), F.lit(")")).alias("tt")))
+    schema_part = (table_ref_rows(sqls).distinct().join(F.broadcast(tt), "table_name")
+                   .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("table_name", "tt"))).alias("_t"))
+                   .select("id", F.array_join(F.transform("_t", lambda x: x["tt"]), "\n").alias("schema_part")))
+    sections = guideline_sections(sqls)
+    sel = select_sections(sqls, sections, max_patterns)
+    guide = (sel.join(sections.select("section_no", "body"), "section_no")
+             .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "body"))).alias("_g"))
+             .select("id", F.array_join(F.transform("_g", lambda x: x["body"]), "\n\n").alias("guide")))
+    nl = F.lit("\n")
+    prompt = F.concat(F.lit("### Database schema"), nl, F.coalesce("schema_part", F.lit("")), nl, nl,
+                      F.lit("### Guidelines"), nl, F.lit("Common SQL Mistakes to Avoid:"), nl, nl,
+                      F.coalesce("guide", F.lit("")), nl, nl, F.lit("### Question"), nl, col("question"),
+                      nl, nl, F.lit("### SQL"))
+    return (sqls.select("id", "question").join(schema_part, "id", "left").join(guide, "id", "left")
+            .select("id", prompt.alias("prompt")))
+
+
+# ---------------------------------------------------------------- D-25
+# Words that can follow a table name but are not aliases.
+SQL_KEYWORDS = ("ON", "WHERE", "JOIN", "INNER", "LEFT", "RIGHT", "FULL", "CROSS", "GROUP", "ORDER",
+                "LIMIT", "HAVING", "UNION", "SELECT", "AS", "USING", "NATURAL", "OUTER")
+
+
+def ref_report(sqls: DataFrame, alias_re: str) -> DataFrame:
+    """D-25: qualified references resolved through the statement's own
+    FROM/JOIN aliases and checked against the schema catalog.
+
+    Everything a row needs is in the row (its aliases and references) or in
+    the fixed schema (inlined as literal arrays / a map), so the report is a
+    single map-side projection: no shuffle, no join."""
+    from fiscus.plans.star import STAR_CATALOG
+    pairs = F.array(*[F.lit(f"{t}.{c}") for t, c, _, _ in STAR_CATALOG])
+    first_table: dict[str, str] = {}
+    for t, c, _, _ in sorted(STAR_CATALOG):
+        first_table.setdefault(c, t)
+    suggest = F.create_map(*[x for c, t in sorted(first_table.items()) for x in (F.lit(c), F.lit(t))])
+    known = F.array(*[F.lit(x) for x in CATALOG_TABLES])
+    refs = F.array_distinct(F.zip_with(
+        F.regexp_extract_all("sql", F.lit(T.QUALIFIED_RE), 1),
+        F.regexp_extract_all("sql", F.lit(T.QUALIFIED_RE), 2),
+        lambda x, y: F.struct(x.alias("q"), y.alias("c"))))
+    aliases = F.filter(F.zip_with(
+        F.regexp_extract_all("sql", F.lit(alias_re), 1),
+        F.regexp_extract_all("sql", F.lit(alias_re), 2),
+        lambda x, y: F.struct(F.lower(x).alias("t"), F.lower(y).alias("a"))),
+        lambda x: (x["a"] != "") & ~F.array_contains(F.array(*[F.lit(k) for k in SQL_KEYWORDS]), F.upper(x["a"])))
+    rows = sqls.select("id", F.explode(refs).alias("r"), aliases.alias("_al"))
+    qual = F.lower(col("r.q"))
+    via_alias = F.array_min(F.transform(F.filter("_al", lambda x: x["a"] == qual), lambda x: x["t"]))
+    resolved = F.coalesce(via_alias, F.when(F.array_contains(known, qual), qual))
+    valid = F.coalesce(F.array_contains(pairs, F.concat(resolved, F.lit("."), F.lower(col("r.c")))), F.lit(False))
+    return rows.select("id", col("r.q").alias("qualifier"), col("r.c").alias("column_name"),
+                       resolved.alias("resolved_table"), valid.alias("valid"),
+                       F.when(~valid, F.element_at(suggest, F.lower(col("r.c")))).alias("suggested_table"))

@@ -406,12 +406,13 @@ def keyword_tags(spark, sf):
 _VOCAB = "[" + ", ".join(q(k) for k in C.KEYWORD_VOCAB) + "]"
 
 
-@register("keyword_topn_fallback", with_ql(f"""
+_SEL_BODY = """
 SELECT id, CAST(section_no AS INTEGER) AS section_no, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= 5
 UNION ALL
 SELECT q.id, s.section_no, 0, s.section_no FROM ql q CROSS JOIN sec s
-WHERE s.section_no <= 5 AND q.id NOT IN (SELECT id FROM ranked)""",
+WHERE s.section_no <= 5 AND q.id NOT IN (SELECT id FROM ranked)"""
+_SEL_CTES = [
     f"""sec AS (SELECT CAST(row_number() OVER (ORDER BY pattern_type) AS INTEGER) AS section_no, body FROM (
           SELECT {_d_pattern('sql')} AS pattern_type, arg_min(sql, id) AS body FROM ex GROUP BY 1) p)""",
     f"skw AS (SELECT section_no, unnest({_d_tags('body')}) AS keyword FROM sec)",
@@ -419,7 +420,11 @@ WHERE s.section_no <= 5 AND q.id NOT IN (SELECT id FROM ranked)""",
     """sc AS (SELECT qkw.id, skw.section_no, COUNT(*) AS score FROM qkw JOIN skw ON qkw.keyword = skw.keyword
             GROUP BY qkw.id, skw.section_no)""",
     """ranked AS (SELECT id, section_no, score,
-                  row_number() OVER (PARTITION BY id ORDER BY score DESC, section_no) AS rank FROM sc)"""))
+                  row_number() OVER (PARTITION BY id ORDER BY score DESC, section_no) AS rank FROM sc)""",
+]
+
+
+@register("keyword_topn_fallback", with_ql(_SEL_BODY, *_SEL_CTES))
 def keyword_topn_fallback(spark, sf):
     s = C.with_sql(_log(spark, sf))
     return C.select_sections(s, C.guideline_sections(s), 5)
@@ -456,3 +461,61 @@ FROM (SELECT id, {_d_weighted('sql')} AS score FROM ex) s"""))
 def weighted_score(spark, sf):
     w = C.weighted_score(col("sql"))
     return C.with_sql(_log(spark, sf)).select("id", w["score"].alias("score"), w["confidence"].alias("confidence"))
+
+
+# ---------------------------------------------------------------- D-34
+@register("prompt_rows", with_ql("""
+SELECT ql.id, '### Database schema' || chr(10) || COALESCE(sc.schema_part, '') || chr(10) || chr(10) ||
+       '### Guidelines' || chr(10) || 'Common SQL Mistakes to Avoid:' || chr(10) || chr(10) ||
+       COALESCE(g.guide, '') || chr(10) || chr(10) || '### Question' || chr(10) || ql.question ||
+       chr(10) || chr(10) || '### SQL' AS prompt
+FROM ql
+LEFT JOIN (SELECT id, string_agg(tt, chr(10) ORDER BY table_name) AS schema_part
+           FROM (SELECT DISTINCT ut.id, ut.table_name, tt.tt FROM ut JOIN tt ON ut.table_name = tt.table_name) x
+           GROUP BY id) sc ON ql.id = sc.id
+LEFT JOIN (SELECT sel.id, string_agg(sec.body, chr(10) || chr(10) ORDER BY sel.rank) AS guide
+           FROM sel JOIN sec ON sel.section_no = sec.section_no GROUP BY sel.id) g ON ql.id = g.id""",
+    catalog_sql(),
+    f"""ut AS (SELECT DISTINCT id, t AS table_name FROM (SELECT id, unnest({d_table_refs('sql')}) AS t FROM ex) x
+             WHERE list_contains({KNOWN}, t))""",
+    """tt AS (SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY ordinal) || ')' AS tt
+            FROM catalog GROUP BY table_name)""",
+    *_SEL_CTES,
+    "sel AS (" + _SEL_BODY + ")"))
+def prompt_rows(spark, sf):
+    """D-34: prompt text per question = linked schema (referenced catalog
+    tables with their columns) + selected guideline sections (D-28) +
+    question.  Every per-question list is bounded (catalog tables, 5
+    sections)."""
+    s = C.with_sql(_log(spark, sf))
+    return C.prompt_rows(s, catalog_frame(spark))
+
+
+# ---------------------------------------------------------------- D-25
+ALIAS_RE = r"(?i)(?:FROM|JOIN)\s+([a-zA-Z_][a-zA-Z0-9_]*)(?:\s+(?:AS\s+)?([a-zA-Z_][a-zA-Z0-9_]*))?"
+_NOT_ALIAS = "[" + ", ".join(q(k) for k in C.SQL_KEYWORDS) + "]"
+
+
+@register("ref_report", with_ql("""
+SELECT r.id, r.qualifier, r.column_name, res.resolved_table,
+       (c.column_name IS NOT NULL) AS valid, CASE WHEN c.column_name IS NULL THEN sg.suggested_table END AS suggested_table
+FROM refs r
+LEFT JOIN (SELECT r.id, r.qualifier, COALESCE(MIN(a.table_name),
+                  CASE WHEN list_contains(""" + KNOWN + """, lower(r.qualifier)) THEN lower(r.qualifier) END) AS resolved_table
+           FROM refs r LEFT JOIN al a ON r.id = a.id AND lower(r.qualifier) = a.alias
+           GROUP BY r.id, r.qualifier) res ON r.id = res.id AND r.qualifier = res.qualifier
+LEFT JOIN catalog c ON c.table_name = res.resolved_table AND c.column_name = lower(r.column_name)
+LEFT JOIN (SELECT column_name, MIN(table_name) AS suggested_table FROM catalog GROUP BY column_name) sg
+  ON sg.column_name = lower(r.column_name)""",
+    catalog_sql(),
+    f"""refs AS (SELECT DISTINCT id, unnest(regexp_extract_all(sql, {q(T.QUALIFIED_RE)}, 1)) AS qualifier,
+                    unnest(regexp_extract_all(sql, {q(T.QUALIFIED_RE)}, 2)) AS column_name FROM ex)""",
+    f"""al AS (SELECT DISTINCT id, lower(t) AS table_name, lower(a) AS alias FROM (
+              SELECT id, unnest(regexp_extract_all(sql, {q(ALIAS_RE)}, 1)) AS t,
+                     unnest(regexp_extract_all(sql, {q(ALIAS_RE)}, 2)) AS a FROM ex) x
+            WHERE a <> '' AND NOT list_contains({_NOT_ALIAS}, upper(a)))"""))
+def ref_report(spark, sf):
+    """D-25: every ``qualifier.column`` reference with the table its alias
+    resolves to, whether the column exists there, and a table that has the
+    column.  A report only -- the SQL text is never rewritten."""
+    return C.ref_report(C.with_sql(_log(spark, sf)), ALIAS_RE)

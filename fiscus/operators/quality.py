@@ -252,7 +252,37 @@ def dq_summary(spark, sf):
     return summary(Star(spark, sf))
 
 
-@register("dq_report")
+def _report_sql() -> str:
+    orph = "\nUNION ALL\n".join([
+        _orph_sql("gfs.country_id", "gfs_observations", "country_id", "countries", "country_id"),
+        _orph_sql("gfs.sector_id", "gfs_observations", "sector_id", "sectors", "sector_id"),
+        _orph_sql("gfs.indicator_id", "gfs_observations", "indicator_id", "indicators", "indicator_id"),
+        _orph_sql("gfs.year", "gfs_observations", "year", _TP, "year"),
+        _orph_sql("gem.country_id", "gem_observations", "country_id", "countries", "country_id"),
+        _orph_sql("gem.indicator_id", "gem_observations", "indicator_id", "indicators", "indicator_id"),
+        _orph_sql("gem.year", "gem_observations", "year", _TP, "year")])
+    return with_star(f"""
+SELECT 'table_present' AS "check", table_name AS subject, CAST(1 AS BIGINT) AS value,
+       'error' AS severity, TRUE AS passed FROM ({_COUNTS_SQL}) c
+UNION ALL
+SELECT 'row_count', table_name, row_count, 'error', row_count > 0 FROM ({_COUNTS_SQL}) c
+UNION ALL
+SELECT 'orphans', foreign_key, orphans, 'error', orphans = 0 FROM ({orph}) o
+UNION ALL
+SELECT 'nulls', 'gfs_observations.value', n, 'warning', n = 0
+FROM (SELECT CAST(COUNT(*) FILTER (WHERE value IS NULL) AS BIGINT) AS n FROM gfs_observations) a
+UNION ALL
+SELECT 'nulls', 'gem_observations.value', n, 'warning', n = 0
+FROM (SELECT CAST(COUNT(*) FILTER (WHERE value IS NULL) AS BIGINT) AS n FROM gem_observations) a
+UNION ALL
+SELECT 'duplicate_groups', 'gfs_observations', CAST(COUNT(*) AS BIGINT), 'warning', COUNT(*) = 0
+FROM (SELECT 1 FROM gfs_observations GROUP BY country_id, year, sector_id, indicator_id HAVING COUNT(*) > 1) d
+UNION ALL
+SELECT 'duplicate_groups', 'gem_observations', CAST(COUNT(*) AS BIGINT), 'warning', COUNT(*) = 0
+FROM (SELECT 1 FROM gem_observations GROUP BY country_id, year, indicator_id HAVING COUNT(*) > 1) d""")
+
+
+@register("dq_report", _report_sql())
 def dq_report(spark, sf):
-    """Rows-only check: the union of all checks with severity and pass flag."""
+    """The union of all checks with severity and pass flag."""
     return report(Star(spark, sf))
