@@ -75,12 +75,22 @@ UNIT = {
 YEAR_MIN, YEAR_MAX = 1972, 2024
 
 
+STAR_DIR_CONF = "fiscus.star.dir"
+
+
 class Star:
-    """Lazy star-schema views over one scale-factor directory."""
+    """Lazy star-schema views over one scale-factor directory.
+
+    When the session conf ``fiscus.star.dir`` names a folder written by
+    ``materialize`` for the same inputs, the two facts are read from there
+    (year-partitioned parquet: year predicates prune whole directories)
+    instead of being re-joined from lineitem / orders / customer / supplier.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
+        self.stored = spark.conf.get(STAR_DIR_CONF, None) or None
 
     # -- dimensions -------------------------------------------------------
     def countries(self) -> DataFrame:
@@ -117,6 +127,8 @@ class Star:
 
     # -- facts ------------------------------------------------------------
     def gfs(self) -> DataFrame:
+        if self.stored:
+            return self._stored("gfs_observations")
         li = self.t.lineitem.select("l_orderkey", "l_partkey", "l_extendedprice",
                                     "l_returnflag", "l_linestatus")
         o = self.t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
@@ -134,6 +146,8 @@ class Star:
                           F.col("l_linestatus").alias("scale")))
 
     def gem(self) -> DataFrame:
+        if self.stored:
+            return self._stored("gem_observations")
         li = self.t.lineitem.select("l_suppkey", "l_partkey", "l_quantity",
                                     "l_linestatus", "l_shipdate")
         s = self.t.supplier.select("s_suppkey", "s_nationkey")
@@ -144,10 +158,23 @@ class Star:
                           F.col("l_quantity").alias("value"),
                           (F.col("l_linestatus") == "F").alias("seasonal_adjustment")))
 
+    GFS_COLS = ["country_id", "year", "sector_id", "indicator_id", "value", "transformation", "scale"]
+    GEM_COLS = ["country_id", "year", "indicator_id", "value", "seasonal_adjustment"]
+
+    def _stored(self, name: str) -> DataFrame:
+        cols = self.GFS_COLS if name == "gfs_observations" else self.GEM_COLS
+        df = self.spark.read.parquet(f"{self.stored}/{name}")
+        return df.select(*[F.col(c).cast("int") if c == "year" else F.col(c) for c in cols])
+
     def materialize(self, out_dir: str) -> None:
-        """Write both facts partitioned by year (overwrite)."""
-        self.gfs().write.mode("overwrite").partitionBy("year").parquet(f"{out_dir}/gfs_observations")
-        self.gem().write.mode("overwrite").partitionBy("year").parquet(f"{out_dir}/gem_observations")
+        """Write both facts once, partitioned by year (overwrite).
+
+        No repartition by year (that would funnel a whole year into one
+        task): every task sorts its own rows by year and writes one file per
+        year it holds, with a single open writer at a time."""
+        for name, df in (("gfs_observations", self.gfs()), ("gem_observations", self.gem())):
+            (df.sortWithinPartitions("year").write.mode("overwrite").partitionBy("year")
+               .parquet(f"{out_dir}/{name}"))
 
     def register_views(self) -> None:
         """Temp views under the reference's table names, for ``spark.sql``."""
