@@ -271,19 +271,21 @@ def topk_token_overlap(spark, sf):
 
 # ---------------------------------------------------------------- D-38
 def tokens_lower(text: Column) -> Column:
-    """ASCII word tokens, lower-cased after extraction."""
+    """ASCII word tokens, lower-cased after extraction (lower() on short ASCII
+    tokens stays on the fast path; on whole multilingual texts it does not)."""
     return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0), F.lower)
 
 
 def tfidf_top_terms(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
     """D-38: exact TF-IDF per (doc, term) as DataFrame aggregates; top k terms
     per document.  tf = count / doc tokens, idf = ln(N / df)."""
-    toks = docs.select(id_col, F.explode(tokens_lower(col(text_col))).alias("term"))
-    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"))
-    dl = tf.groupBy(id_col).agg(F.sum("cnt").alias("dlen"))
+    # the document length travels with its tokens (no separate aggregate + join)
+    toks = (docs.select(id_col, tokens_lower(col(text_col)).alias("_t"))
+            .select(id_col, F.size("_t").alias("dlen"), F.explode("_t").alias("term")))
+    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"), F.first("dlen").alias("dlen"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.select(id_col).distinct().agg(F.count(F.lit(1)).alias("N"))
-    scored = (attach_scalar(tf.join(dl, id_col).join(df_, "term"), n_docs)
+    scored = (attach_scalar(tf.join(df_, "term"), n_docs)
               .withColumn("tfidf", col("cnt") / col("dlen") * F.log(col("N") / col("df"))))
     w = Window.partitionBy(id_col).orderBy(col("tfidf").desc(), col("term"))
     return (scored.withColumn("rank", F.row_number().over(w)).where(col("rank") <= k)

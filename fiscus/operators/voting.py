@@ -216,9 +216,14 @@ def cluster_partitions(batches):
 
 
 def candidate_clusters(cands: DataFrame) -> DataFrame:
+    """Leader clustering per question.  Candidates are hash-partitioned by
+    question once; the dedupe to distinct texts and the arrival sort reuse
+    that partitioning (grouping on (question, text) is satisfied by a
+    partitioning on question), then one Python pass per partition."""
     comp = candidate_components(cands)
+    n = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["question_id", "fixed"]
-    dedup = (comp.groupBy(*keys)
+    dedup = (comp.repartition(n, "question_id").groupBy(*keys)
              .agg(F.count(F.lit(1)).alias("weight"),
                   F.min(F.struct(*ARRIVAL)).alias("_a"),
                   F.first("valid").alias("valid"),
@@ -226,9 +231,7 @@ def candidate_clusters(cands: DataFrame) -> DataFrame:
              .select(*keys, "weight", "valid", *[f"k_{n}" for n in T.COMPARED_CLAUSES],
                      col("_a.seq").alias("first_seq"), col("_a.l_partkey").alias("first_part"),
                      col("_a.l_suppkey").alias("first_supp")))
-    n = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (dedup.repartition(n, "question_id")
-               .sortWithinPartitions("question_id", "first_seq", "first_part", "first_supp"))
+    ordered = dedup.sortWithinPartitions("question_id", "first_seq", "first_part", "first_supp")
     return ordered.mapInPandas(cluster_partitions, CLUSTER_SCHEMA)
 
 
