@@ -98,10 +98,11 @@ def result_equality(results: DataFrame, key: str = "query_id", side: str = "side
 def events_results(t: Tables) -> DataFrame:
     """Analog result log: per event_type, gold rows = (user_id, value) in
     (ts, event_id) order; pred rows perturb values above 95."""
-    e = t.events
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    base = e.select(col("event_type").alias("query_id"), F.row_number().over(w).alias("pos"),
-                    "user_id", "value")
+    from fiscus.operators.ingest import row_number_in_group
+    e = t.events.select(col("event_type").alias("query_id"), "ts", "event_id", "user_id", "value")
+    # a result list can be a large share of the log: skew-safe positions
+    base = row_number_in_group(e, ["query_id"], ["ts", "event_id"], "pos").select(
+        "query_id", "pos", "user_id", "value")
     gold = base.select("query_id", "pos", F.lit("gold").alias("side"),
                        F.struct("user_id", "value").alias("row"))
     pred = base.select("query_id", "pos", F.lit("pred").alias("side"),
@@ -237,12 +238,13 @@ def paired_compare_q(spark, sf):
 
 # ---------------------------------------------------------------- A25 / W9 / V-6
 def attempts_log(t: Tables) -> DataFrame:
-    e = t.events
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(col("user_id").alias("query_id"),
-                    F.row_number().over(w).alias("attempt_num"),
-                    (col("event_type") != "error").alias("execution_success"),
-                    (col("value") > 50).alias("is_correct"))
+    """One row per attempt with its 1-based number in (ts, event_id) order;
+    numbering is skew-safe (a query with a huge retry log is split)."""
+    from fiscus.operators.ingest import row_number_in_group
+    e = t.events.select(col("user_id").alias("query_id"), "ts", "event_id",
+                        (col("event_type") != "error").alias("execution_success"),
+                        (col("value") > 50).alias("is_correct"))
+    return row_number_in_group(e, ["query_id"], ["ts", "event_id"], "attempt_num").drop("ts", "event_id")
 
 
 def retry_metrics(attempts: DataFrame) -> DataFrame:

@@ -53,30 +53,72 @@ def distinct_values(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     return df.select(col(c).alias(out or c)).where(col(out or c).isNotNull()).distinct()
 
 
-def sorted_surrogate_key(df: DataFrame, order_col: str, id_col: str, start: int = 1) -> DataFrame:
-    """L4: consecutive ids ``start..`` in ``order_col`` order, fully distributed.
+SLICE_SAMPLES_PER_SLICE = 20
 
-    A global ``row_number()`` without PARTITION BY pulls every row into one
-    task.  Instead: range-partition and sort, number rows inside each
-    partition, and add the count of all rows in earlier partitions.  The
-    offsets table has one row per partition, so broadcasting it is bounded
-    by the partition count, not by the data.
+
+def with_key_slices(df: DataFrame, keys: Sequence[str], n: int | None = None,
+                    seed: int = 17, out: str = "_slice") -> DataFrame:
+    """Add a data-defined slice number 0..n-1 that is monotone in ``keys``.
+
+    Boundaries come from a seeded sample of the keys (a deterministic
+    function of the input), gathered into one small sorted array (about
+    ``SLICE_SAMPLES_PER_SLICE * n`` keys) and attached to every row; the
+    slice of a row is the number of boundaries below its key.  Unlike a
+    physical partition id, the value is the same in every branch of a plan
+    and on every task retry.
     """
+    from fiscus.plans.analytics import attach_scalar
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, col(order_col))
-                .withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy("_pid").orderBy(order_col)))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = df.count()  # sizes the sample
+    frac = min(1.0, SLICE_SAMPLES_PER_SLICE * n / max(total, 1))
+    k = F.struct(*[col(c) for c in keys])
+    ks = F.array_sort(F.collect_list("k"))
+    picks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
+                        lambda i: F.try_element_at(col("_ks"), F.greatest(
+                            F.lit(1), (i * F.size("_ks") / n).cast("int"))))
+    bounds = (df.select(k.alias("k")).sample(withReplacement=False, fraction=frac, seed=seed)
+              .agg(ks.alias("_ks"))
+              .select(F.filter(F.array_distinct(picks), lambda b: b.isNotNull()).alias("_bounds")))
+    return (attach_scalar(df, bounds)
+            .withColumn(out, F.size(F.filter(col("_bounds"), lambda b: b < k)).cast("int"))
+            .drop("_bounds"))
+
+
+def row_number_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
+                        out: str = "row_number") -> DataFrame:
+    """``row_number() OVER (PARTITION BY group ORDER BY order)`` without
+    sending a whole group to one task.
+
+    Rows get a data-defined slice monotone in (group, order)
+    (``with_key_slices``), so a hot group is cut into several slices; each
+    (group, slice) is numbered by its own window and shifted by the row count
+    of the same group in earlier slices (a table with one row per
+    (group, slice)).  ``order`` must make the order total (add a unique
+    tie-breaker) for a deterministic result.
+    """
+    group, order = list(group), list(order)
+    sl = with_key_slices(df, [*group, *order])
+    local = sl.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order)))
+    counts = sl.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    return (local.join(F.broadcast(offsets), "_pid")
-                 .withColumn(id_col, (F.coalesce(col("_off"), F.lit(0)) + col("_rn") + (start - 1))
-                             .cast("bigint"))
-                 .drop("_pid", "_rn", "_off"))
+        *group, "_slice",
+        F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice")
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(offsets, [*group, "_slice"])
+                 .withColumn(out, (col("_off") + col("_rn")).cast("bigint"))
+                 .drop("_slice", "_rn", "_off"))
+
+
+def sorted_surrogate_key(df: DataFrame, order_col: str, id_col: str, start: int = 1) -> DataFrame:
+    """L4: consecutive ids ``start..`` in ``order_col`` order, fully distributed.
+
+    A global ``row_number()`` without PARTITION BY pulls every row into one
+    task; here it is the single-group case of ``row_number_in_group``
+    (slices of the key range numbered in parallel, shifted by the sizes of
+    earlier slices -- an offsets table with one row per slice)."""
+    out = row_number_in_group(df.withColumn("_g", F.lit(0)), ["_g"], [order_col], id_col).drop("_g")
+    return out if start == 1 else out.withColumn(id_col, col(id_col) + (start - 1))
 
 
 # ---------------------------------------------------------------- L5
