@@ -139,8 +139,11 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str,
     cols = existing.columns
     new = incoming.join(existing.select(key), key, "left_anti")
     if ord_col:
-        new = (new.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(ord_col)))
-                  .where("_rn = 1").drop("_rn"))
+        # first row per key as a partial aggregate (a hot key is combined
+        # map-side instead of being sorted in one window partition)
+        rest = [c for c in cols if c != key]
+        new = (new.groupBy(key).agg(F.min_by(F.struct(*[col(c) for c in rest]), col(ord_col)).alias("_r"))
+               .select(key, *[col(f"_r.{c}").alias(c) for c in rest]))
     else:
         new = new.dropDuplicates([key])
     return existing.unionByName(new.select(*cols))
