@@ -27,7 +27,9 @@ SELECT p_partkey,
        contains(p_name, 'red') AS has_red,
        (contains(p_name, 'red') OR contains(p_name, 'blue') OR contains(p_name, 'gear')) AS any_of,
        CAST(length(p_name) - length(replace(p_name, 'o', '')) AS BIGINT) AS count_o,
-       CAST(length(p_name) AS INTEGER) AS name_len
+       CAST(length(p_name) AS INTEGER) AS name_len,
+       printf('%.3f', p_retailprice / 7) AS price_3f,
+       format('{:,}', CAST(p_retailprice * 1000 AS BIGINT)) AS price_thousands
 FROM part""")
 def scalar_functions(spark, sf):
     p = Tables(spark, sf).part
@@ -51,21 +53,25 @@ def scalar_functions(spark, sf):
         F.exists(F.array(F.lit("red"), F.lit("blue"), F.lit("gear")), lambda w: name.contains(w))
          .alias("any_of"),
         (F.length(name) - F.length(F.replace(name, F.lit("o"), F.lit("")))).cast("bigint").alias("count_o"),
-        F.length(name).alias("name_len"))
+        F.length(name).alias("name_len"),
+        # Number formatting ('.3f', thousands separator)
+        F.format_string("%.3f", col("p_retailprice") / 7).alias("price_3f"),
+        F.format_number((col("p_retailprice") * 1000).cast("bigint"), 0).alias("price_thousands"))
 
 
 # ---------------------------------------------------------------- C1, M1, K1
 @register("json_array_map", """
-WITH e AS (SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+WITH e AS (SELECT event_id, event_type, ts, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
 SELECT event_id, k,
        [k, k + 1, k + 2][3] AS last_item,
        CAST(len(list_slice([k, k + 1, k + 2], 2, 3)) AS INTEGER) AS slice_len,
        COALESCE(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.5 END, 0.0) AS weight,
-       k AS k_roundtrip
+       k AS k_roundtrip,
+       strftime(ts, '%Y%m%d_%H%M%S') AS ts_compact, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_iso
 FROM e""")
 def json_array_map(spark, sf):
     e = Tables(spark, sf).events
-    parsed = e.select("event_id", "event_type",
+    parsed = e.select("event_id", "event_type", "ts",
                       F.from_json("props", "k bigint").alias("j"))
     arr = F.array(col("j.k"), col("j.k") + 1, col("j.k") + 2)
     weights = F.create_map(F.lit("click"), F.lit(1.0), F.lit("view"), F.lit(0.5))
@@ -75,7 +81,10 @@ def json_array_map(spark, sf):
         F.element_at(arr, -1).alias("last_item"),
         F.size(F.slice(arr, 2, 2)).alias("slice_len"),
         F.coalesce(F.element_at(weights, col("event_type")), F.lit(0.0)).alias("weight"),
-        F.from_json(encoded, "k bigint")["k"].alias("k_roundtrip"))
+        F.from_json(encoded, "k bigint")["k"].alias("k_roundtrip"),
+        # Report-name and ISO timestamp formats
+        F.date_format("ts", "yyyyMMdd_HHmmss").alias("ts_compact"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_iso"))
 
 
 # ---------------------------------------------------------------- A32 / G10

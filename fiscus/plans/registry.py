@@ -37,6 +37,7 @@ MODULES = (
     "fiscus.operators.corpus_queries",
     "fiscus.operators.retrieval",
     "fiscus.operators.voting",
+    "fiscus.operators.execution",
 )
 
 
