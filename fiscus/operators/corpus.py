@@ -207,6 +207,7 @@ def column_refs(sqls: DataFrame, catalog: DataFrame, id_col: str = "id") -> Data
     """D-14: (id, table, column) for every word of the statement that names
     a column of any catalog table (qualified refs are a subset)."""
     w = sqls.select(id_col, F.explode(T.words(col("sql"))).alias("column_name"))
+    # the catalog lists the schema's columns: bounded by schema width
     return w.join(F.broadcast(catalog.select("table_name", "column_name")), "column_name") \
             .select(id_col, "table_name", "column_name")
 
@@ -348,6 +349,7 @@ def select_sections(questions: DataFrame, sections: DataFrame, max_patterns: int
     q_kw = questions.select("id", F.explode(F.filter(vocab, lambda k: F.lower(col("question")).contains(k)))
                             .alias("keyword"))
     s_kw = sections.select("section_no", F.explode(keyword_tags(col("body"))).alias("keyword"))
+    # s_kw: <= pattern classes x vocabulary rows (fixed bound)
     scored = (q_kw.join(F.broadcast(s_kw), "keyword")
               .groupBy("id", "section_no").agg(F.count(F.lit(1)).alias("score")))
     ranked = (scored.withColumn("rank", F.row_number().over(

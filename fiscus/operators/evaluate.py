@@ -300,10 +300,10 @@ def usage_log(t: Tables) -> DataFrame:
 
 def cost_rollup(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """Token totals per model priced by lookup with a default (left join on
-    the price list -- a fixed, tiny table -- plus coalesce)."""
+    the price list plus coalesce)."""
     tot = usage.groupBy("model").agg(F.sum("input_tokens").cast("bigint").alias("input_tokens"),
                                      F.sum("output_tokens").cast("bigint").alias("output_tokens"))
-    p = tot.join(F.broadcast(prices), "model", "left")
+    p = tot.join(prices, "model", "left")  # AQE broadcasts the price list when it is small
     cost = (col("input_tokens") / 1e6 * F.coalesce(col("input_price"), F.lit(DEFAULT_PRICE[0]))
             + col("output_tokens") / 1e6 * F.coalesce(col("output_price"), F.lit(DEFAULT_PRICE[1])))
     return p.select("model", "input_tokens", "output_tokens", F.round(cost, 8).alias("cost_usd"))
