@@ -54,10 +54,14 @@ def distinct_values(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
 
 
 SLICE_SAMPLES_PER_SLICE = 20
+# Inputs up to this many rows (counted first) are numbered with a plain
+# window: whatever the key distribution, one task then holds at most this
+# many rows.
+SINGLE_TASK_ROWS = 1_000_000
 
 
 def with_key_slices(df: DataFrame, keys: Sequence[str], n: int | None = None,
-                    seed: int = 17, out: str = "_slice") -> DataFrame:
+                    seed: int = 17, out: str = "_slice", total: int | None = None) -> DataFrame:
     """Add a data-defined slice number 0..n-1 that is monotone in ``keys``.
 
     Boundaries come from a seeded sample of the keys (a deterministic
@@ -70,7 +74,7 @@ def with_key_slices(df: DataFrame, keys: Sequence[str], n: int | None = None,
     from fiscus.plans.analytics import attach_scalar
     spark = df.sparkSession
     n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.count()  # sizes the sample
+    total = df.count() if total is None else total  # sizes the sample
     frac = min(1.0, SLICE_SAMPLES_PER_SLICE * n / max(total, 1))
     k = F.struct(*[col(c) for c in keys])
     ks = F.array_sort(F.collect_list("k"))
@@ -98,7 +102,11 @@ def row_number_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str
     tie-breaker) for a deterministic result.
     """
     group, order = list(group), list(order)
-    sl = with_key_slices(df, [*group, *order])
+    total = df.count()  # size check: small inputs take the plain window
+    if total <= SINGLE_TASK_ROWS:
+        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
+    sl = with_key_slices(df, [*group, *order], total=total)
     local = sl.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order)))
     counts = sl.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

@@ -1,5 +1,6 @@
 """Ingest decisions of SURVEY 1.4 on hand-made rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from fiscus.operators import ingest as I
@@ -21,7 +22,8 @@ def test_unpivot_pivot_round_trip(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, long.collect()))
 
 
-def test_sorted_surrogate_key_is_consecutive_across_partitions(spark):
+def test_sorted_surrogate_key_is_consecutive_across_partitions(spark, monkeypatch):
+    monkeypatch.setattr(I, "SINGLE_TASK_ROWS", 0)  # force the sliced path
     names = spark.range(0, 5000).select(F.format_string("n%05d", (F.col("id") * 7919) % 5000).alias("name"))
     keyed = I.sorted_surrogate_key(names, "name", "id").orderBy("id").collect()
     assert [r.id for r in keyed] == list(range(1, 5001))
@@ -94,7 +96,9 @@ def test_year_sequence_fills_gaps(spark):
     assert [r.year for r in I.year_sequence(years).collect()] == [1999, 2000, 2001, 2002, 2003]
 
 
-def test_row_number_in_group_matches_window_with_hot_group(spark):
+@pytest.mark.parametrize("single_task_rows", [0, 10**9])
+def test_row_number_in_group_matches_window_with_hot_group(spark, monkeypatch, single_task_rows):
+    monkeypatch.setattr(I, "SINGLE_TASK_ROWS", single_task_rows)
     from pyspark.sql import Window
     # one group holds ~a third of the rows
     df = spark.range(0, 3000).select(
