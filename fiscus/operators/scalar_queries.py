@@ -65,7 +65,7 @@ WITH e AS (SELECT event_id, event_type, ts, CAST(json_extract_string(props, '$.k
 SELECT event_id, k,
        [k, k + 1, k + 2][3] AS last_item,
        CAST(len(list_slice([k, k + 1, k + 2], 2, 3)) AS INTEGER) AS slice_len,
-       COALESCE(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.5 END, 0.0) AS weight,
+       CAST(COALESCE(CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 0.5 END, 0.0) AS DOUBLE) AS weight,
        k AS k_roundtrip,
        strftime(ts, '%Y%m%d_%H%M%S') AS ts_compact, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS ts_iso
 FROM e""")

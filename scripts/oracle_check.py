@@ -45,8 +45,18 @@ def norm(v):
     return v
 
 
+STRICT = os.environ.get("ORACLE_STRICT_TYPES") == "1"
+_EXACT = {"int": "integer", "bigint": "bigint", "smallint": "smallint", "tinyint": "tinyint",
+          "double": "double", "float": "float", "string": "varchar", "boolean": "boolean",
+          "date": "date", "timestamp": "timestamp", "timestamp_ntz": "timestamp"}
+
+
 def spark_kind(t: str) -> str:
     t = t.lower()
+    if STRICT:
+        if t.startswith("array<"):
+            return spark_kind(t[6:-1]) + "[]"
+        return _EXACT.get(t, t)
     if t in ("int", "bigint", "smallint", "tinyint"):
         return "int"
     if t in ("double", "float") or t.startswith("decimal"):
@@ -57,6 +67,8 @@ def spark_kind(t: str) -> str:
 
 
 def duck_kind(t: str) -> str:
+    if STRICT:
+        return str(t).lower()
     t = str(t).upper()
     if t in ("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "HUGEINT", "UBIGINT", "UINTEGER"):
         return "int"
