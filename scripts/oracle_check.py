@@ -25,13 +25,16 @@ from fiscus.session import build_session  # noqa: E402
 from fiscus.sources.tables import TABLE_NAMES  # noqa: E402
 
 
+EXACT_FLOATS = os.environ.get("ORACLE_EXACT_FLOATS") == "1"
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return v if EXACT_FLOATS else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return round(float(v), 6)
     if isinstance(v, (list, tuple)):
