@@ -57,15 +57,32 @@ def orphan_counts(fks: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) ->
     NULL child keys are not orphans (nullable FK).  ``left_anti`` is the
     null-safe form of the reference's NOT IN (which returns nothing when
     the subquery holds a NULL).
+
+    All checks run as one plan: every child frame is scanned once and
+    unpivoted to (foreign_key, key), collapsed to (foreign_key, key, rows)
+    with map-side partial aggregation, and anti-joined once against the
+    union of the parents' distinct keys tagged with the same foreign-key
+    name -- the join works on distinct key values, not on fact rows.
     """
-    parts = []
-    for name, child, ccol, parent, pcol in fks:
-        keys = parent.select(col(pcol).alias("_k")).where(col("_k").isNotNull()).distinct()
-        orph = (child.select(col(ccol).alias("_k")).where(col("_k").isNotNull())
-                .join(keys, "_k", "left_anti"))
-        parts.append(orph.agg(F.count(F.lit(1)).alias("orphans"))
-                     .select(F.lit(name).alias("foreign_key"), "orphans"))
-    return _union(parts)
+    by_child: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
+    for name, child, ccol, _, _ in fks:
+        by_child.setdefault(id(child), (child, []))[1].append((name, ccol))
+    keyed = _union([
+        child.select(F.explode(F.array(*[F.struct(F.lit(n).alias("foreign_key"),
+                                                  col(c).cast("bigint").alias("_k"))
+                                         for n, c in cols])).alias("_x")).select("_x.*")
+        for child, cols in by_child.values()])
+    per_key = (keyed.where(col("_k").isNotNull())
+               .groupBy("foreign_key", "_k").agg(F.count(F.lit(1)).alias("_n")))
+    parents = _union([parent.select(F.lit(name).alias("foreign_key"), col(pcol).cast("bigint").alias("_k"))
+                      .where(col("_k").isNotNull()).distinct()
+                      for name, _, _, parent, pcol in fks])
+    orph = (per_key.join(parents, ["foreign_key", "_k"], "left_anti")
+            .groupBy("foreign_key").agg(F.sum("_n").cast("bigint").alias("orphans")))
+    spark = fks[0][1].sparkSession
+    names = spark.createDataFrame([(n,) for n, *_ in fks], "foreign_key string")  # one row per check
+    return (names.join(orph, "foreign_key", "left")
+            .select("foreign_key", F.coalesce("orphans", F.lit(0)).cast("bigint").alias("orphans")))
 
 
 def star_foreign_keys(S: Star):
