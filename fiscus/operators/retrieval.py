@@ -402,3 +402,68 @@ def _fix_fuzzy_oracle():
 
 
 _fix_fuzzy_oracle()
+
+
+# ---------------------------------------------------------------- D-38 linking
+def _map_dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.map_keys(b), F.lit(0.0).cast("double"),
+                       lambda acc, k: acc + F.coalesce(F.element_at(a, k), F.lit(0.0)) * F.element_at(b, k))
+
+
+def _map_norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(F.map_values(a), F.lit(0.0).cast("double"), lambda acc, v: acc + v * v))
+
+
+def tfidf_cosine(a: Column, b: Column) -> Column:
+    """Cosine of two sparse vectors held as map<token, weight>."""
+    return F.try_divide(_map_dot(a, b), F.nullif(_map_norm(a) * _map_norm(b), F.lit(0.0)))
+
+
+def tfidf_link(questions: DataFrame, items: DataFrame, k: int = 3, threshold: float = 0.1) -> DataFrame:
+    """D-38: TF-IDF schema linking.  Items (catalog ``table.column`` names,
+    tokens split on '.' and '_') are the documents: idf = ln(N_items / df).
+    Each question gets tf x idf weights over the item vocabulary; items with
+    cosine >= ``threshold`` are ranked, top ``k`` kept."""
+    it = items.select("item_id", "item", F.explode(F.split(F.regexp_replace("item", r"\.", "_"), "_")).alias("t"))
+    n_items = items.agg(F.count(F.lit(1)).alias("N"))
+    df_ = it.select("item_id", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    idf = attach_scalar(df_, n_items).select("t", F.log(col("N") / col("df")).alias("idf"))
+    tf_i = it.groupBy("item_id", "t").agg(F.count(F.lit(1)).alias("c")).join(
+        it.groupBy("item_id").agg(F.count(F.lit(1)).alias("len")), "item_id")
+    ivec = (tf_i.join(idf, "t").groupBy("item_id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("t", (col("c") / col("len") * col("idf"))
+                                                           .alias("w")))).alias("vec")))
+    qt = questions.select("id", F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0).alias("_t"))
+    qtok = qt.select("id", F.size("_t").alias("len"), F.explode("_t").alias("t"))
+    qvec = (qtok.groupBy("id", "t").agg(F.count(F.lit(1)).alias("c"), F.first("len").alias("len"))
+            .join(idf, "t")  # vocabulary of the items only
+            .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(
+                "t", (col("c") / col("len") * col("idf")).alias("w")))).alias("qvec")))
+    top = topk_items(qvec, "id", "qvec", ivec, "item_id", "vec", k, tfidf_cosine, min_score=threshold)
+    return (top.join(items.select("item_id", "item"), "item_id")
+            .select("id", col("rank").cast("int"), "item", F.round("score", 6).alias("score")))
+
+
+@register("tfidf_link", f"""
+WITH {_CAT_ITEMS_SQL},
+it AS (SELECT item_id, unnest(string_split(replace(item, '.', '_'), '_')) AS t FROM items),
+idf AS (SELECT t, ln((SELECT COUNT(*) FROM items) / COUNT(DISTINCT item_id)) AS idf FROM it GROUP BY t),
+iw AS (SELECT it.item_id, it.t, COUNT(*) / MAX(l.len) * MAX(idf.idf) AS w
+       FROM it JOIN (SELECT item_id, COUNT(*) AS len FROM it GROUP BY item_id) l ON it.item_id = l.item_id
+       JOIN idf ON it.t = idf.t GROUP BY it.item_id, it.t),
+qs AS (SELECT p_partkey AS id, regexp_extract_all(lower({QUESTION_SQL}), '[a-z0-9]+') AS toks FROM part),
+qt AS (SELECT id, len(toks) AS len, unnest(toks) AS t FROM qs),
+qw AS (SELECT qt.id, qt.t, COUNT(*) / MAX(qt.len) * MAX(idf.idf) AS w
+       FROM qt JOIN idf ON qt.t = idf.t GROUP BY qt.id, qt.t),
+qn AS (SELECT id, sqrt(SUM(w * w)) AS n FROM qw GROUP BY id),
+inn AS (SELECT item_id, sqrt(SUM(w * w)) AS n FROM iw GROUP BY item_id),
+dot AS (SELECT qw.id, iw.item_id, SUM(qw.w * iw.w) AS d FROM qw JOIN iw ON qw.t = iw.t GROUP BY qw.id, iw.item_id),
+s AS (SELECT dot.id, dot.item_id, d / NULLIF(qn.n * inn.n, 0) AS score
+      FROM dot JOIN qn ON dot.id = qn.id JOIN inn ON dot.item_id = inn.item_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, item_id) AS rank FROM s WHERE score >= 0.1)
+SELECT r.id, CAST(rank AS INTEGER) AS rank, items.item, ROUND(score, 6) AS score
+FROM r JOIN items ON r.item_id = items.item_id WHERE rank <= 3""")
+def tfidf_link_q(spark, sf):
+    from fiscus.operators.corpus import query_log
+    questions = query_log(Tables(spark, sf)).select("id", "question")
+    return tfidf_link(questions, catalog_items(spark).select("item_id", "item"))
