@@ -449,3 +449,21 @@ def ref_report(sqls: DataFrame, alias_re: str) -> DataFrame:
     return rows.select("id", col("r.q").alias("qualifier"), col("r.c").alias("column_name"),
                        resolved.alias("resolved_table"), valid.alias("valid"),
                        F.when(~valid, F.element_at(suggest, F.lower(col("r.c")))).alias("suggested_table"))
+
+
+# ---------------------------------------------------------------- D-26
+# Fixed value: the guideline section heading.
+SECTION_HEADING = r"# (\d+)\. Reminder of mistake"
+
+
+def split_sections(text: Column, heading: str = SECTION_HEADING) -> Column:
+    """D-26: text -> array<struct<section_no int, body string>>.  Each body
+    is the heading followed by its content, stripped; text before the first
+    heading is dropped (it is the guideline's introduction)."""
+    heads = F.regexp_extract_all(text, F.lit(heading), 0)
+    nums = F.regexp_extract_all(text, F.lit(heading), 1)
+    bodies = F.slice(F.split(text, heading), 2, F.size(nums))
+    return F.zip_with(
+        F.zip_with(heads, nums, lambda h, n: F.struct(h.alias("h"), n.alias("n"))), bodies,
+        lambda hn, b: F.struct(hn["n"].cast("int").alias("section_no"),
+                               T.strip_ws(F.concat(hn["h"], b)).alias("body")))

@@ -88,3 +88,16 @@ def test_clauses(spark):
     assert c.select == "a, b" and c["from"] == "t JOIN u ON t.x = u.x"
     assert c.where == "a > 1 AND b < 2" and c.group_by == "a" and c.having == "COUNT(*) > 1"
     assert c.order_by == "a DESC" and c.limit == "5"
+
+
+def test_split_guideline_sections(spark):
+    from fiscus.operators.corpus import keyword_tags, split_sections
+    text = ("Intro line\n# 1. Reminder of mistake\nUse JOIN on gfs_observations.\n\n"
+            "# 2. Reminder of mistake\nORDER BY the year; avoid DISTINCT.\n")
+    got = ev(spark, split_sections, [text])[0]
+    assert [(s.section_no, s.body) for s in got] == [
+        (1, "# 1. Reminder of mistake\nUse JOIN on gfs_observations."),
+        (2, "# 2. Reminder of mistake\nORDER BY the year; avoid DISTINCT.")]
+    tags = ev(spark, keyword_tags, [got[0].body, got[1].body])
+    assert tags[0] == ["gfs", "government", "revenue", "expenditure", "tax", "join", "country", "sector", "indicator"]
+    assert tags[1] == ["distinct", "order", "sort", "top", "rank"]
