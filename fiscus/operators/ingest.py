@@ -130,13 +130,31 @@ def sorted_surrogate_key(df: DataFrame, order_col: str, id_col: str, start: int
 
 
 # ---------------------------------------------------------------- L5
-def dedupe_last_wins(df: DataFrame, key: str, ord_col: str, value_cols: Sequence[str]) -> DataFrame:
+def dedupe_last_wins(df: DataFrame, key: str, ord_col: str, value_cols: Sequence[str],
+                     required: Sequence[str] = ()) -> DataFrame:
     """One row per key; ``first_ord`` = first-seen position, values from
-    the last-seen row (dict assignment semantics)."""
+    the last-seen row (dict assignment semantics).
+
+    ``required`` (1.4 c): keys whose *last-seen* value of any of these
+    columns is NULL are dropped, as the reference's NOT NULL insert fails for
+    them; their observations then fall out of the inner lookup join.  Use
+    ``dedupe_rejects`` to count them."""
     last = F.max_by(F.struct(*[col(c) for c in value_cols]), col(ord_col))
-    return (df.groupBy(key)
-              .agg(F.min(ord_col).alias("first_ord"), last.alias("_last"))
-              .select(key, "first_ord", *[col(f"_last.{c}").alias(c) for c in value_cols]))
+    out = (df.groupBy(key)
+             .agg(F.min(ord_col).alias("first_ord"), last.alias("_last"))
+             .select(key, "first_ord", *[col(f"_last.{c}").alias(c) for c in value_cols]))
+    for c in required:
+        out = out.where(col(c).isNotNull())
+    return out
+
+
+def dedupe_rejects(df: DataFrame, key: str, ord_col: str, required: Sequence[str]) -> DataFrame:
+    """Keys rejected by ``dedupe_last_wins(required=...)``: one row per key."""
+    last = F.max_by(F.struct(*[col(c) for c in required]), col(ord_col))
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | col(f"_last.{c}").isNull()
+    return df.groupBy(key).agg(last.alias("_last")).where(bad).select(key)
 
 
 # ---------------------------------------------------------------- L6 / L9

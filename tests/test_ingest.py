@@ -120,3 +120,17 @@ def test_hot_group_is_split_into_slices(spark):
     a = sorted(map(tuple, sl.select("id", "_slice").collect()))
     b = sorted(map(tuple, I.with_key_slices(df, ["g", "id"], n=8).select("id", "_slice").collect()))
     assert a == b
+
+
+def test_last_seen_null_name_drops_indicator_and_observations(spark):
+    rows = [("C1", "named", 1), ("C1", None, 2), ("C2", None, 3), ("C2", "later", 4), ("C3", "x", 5)]
+    df = spark.createDataFrame(rows, "indicator_code string, indicator_name string, ord int")
+    dim = I.dedupe_last_wins(df, "indicator_code", "ord", ["indicator_name"], required=["indicator_name"])
+    assert sorted((r.indicator_code, r.indicator_name) for r in dim.collect()) == [("C2", "later"), ("C3", "x")]
+    assert [r.indicator_code for r in I.dedupe_rejects(df, "indicator_code", "ord", ["indicator_name"]).collect()] == ["C1"]
+    keyed = I.sorted_surrogate_key(dim, "first_ord", "indicator_id")
+    long = spark.createDataFrame([("A", "C1", 2000, 1.0), ("A", "C2", 2000, 2.0)],
+                                 "country_name string, indicator_code string, year int, value double")
+    c = spark.createDataFrame([(1, "A")], "country_id long, country_name string")
+    facts = I.lookup_facts(long, c, keyed)
+    assert [r.value for r in facts.collect()] == [2.0]
