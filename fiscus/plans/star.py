@@ -94,6 +94,8 @@ class Star:
 
     # -- dimensions -------------------------------------------------------
     def countries(self) -> DataFrame:
+        if self.stored:
+            return self._stored_dim("countries")
         n, r = self.t.nation, self.t.region
         return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
                  .select(n.n_nationkey.cast("bigint").alias("country_id"),
@@ -101,6 +103,8 @@ class Star:
                          r.r_name.alias("region")))
 
     def sectors(self) -> DataFrame:
+        if self.stored:
+            return self._stored_dim("sectors")
         names = (self.t.customer.select(F.col("c_mktsegment").alias("sector_name"))
                  .where(F.col("sector_name").isNotNull()).distinct())
         # L4: surrogate ids in sorted-name order.  The input is the distinct
@@ -112,6 +116,8 @@ class Star:
             F.lit(None).cast("string").alias("sector_description"))
 
     def indicators(self) -> DataFrame:
+        if self.stored:
+            return self._stored_dim("indicators")
         p = self.t.part
         return p.select(
             F.col("p_partkey").alias("indicator_id"),
@@ -122,6 +128,8 @@ class Star:
             F.lit(None).cast("string").alias("description"))
 
     def time_periods(self) -> DataFrame:
+        if self.stored:
+            return self._stored_dim("time_periods")
         return (self.t.orders.select(F.year("o_orderdate").cast("int").alias("year"))
                 .distinct())
 
@@ -161,17 +169,31 @@ class Star:
     GFS_COLS = ["country_id", "year", "sector_id", "indicator_id", "value", "transformation", "scale"]
     GEM_COLS = ["country_id", "year", "indicator_id", "value", "seasonal_adjustment"]
 
+    DIM_COLS = {
+        "countries": ["country_id", "country_name", "region"],
+        "sectors": ["sector_id", "sector_name", "sector_description"],
+        "indicators": ["indicator_id", "indicator_code", "indicator_name", "source", "unit", "description"],
+        "time_periods": ["year"],
+    }
+
+    def _stored_dim(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.stored}/{name}").select(*self.DIM_COLS[name])
+
     def _stored(self, name: str) -> DataFrame:
         cols = self.GFS_COLS if name == "gfs_observations" else self.GEM_COLS
         df = self.spark.read.parquet(f"{self.stored}/{name}")
         return df.select(*[F.col(c).cast("int") if c == "year" else F.col(c) for c in cols])
 
     def materialize(self, out_dir: str) -> None:
-        """Write both facts once, partitioned by year (overwrite).
+        """Write the four dimensions and both facts once (overwrite);
+        facts partitioned by year.
 
         No repartition by year (that would funnel a whole year into one
         task): every task sorts its own rows by year and writes one file per
         year it holds, with a single open writer at a time."""
+        for name, dim in (("countries", self.countries()), ("sectors", self.sectors()),
+                          ("indicators", self.indicators()), ("time_periods", self.time_periods())):
+            dim.write.mode("overwrite").parquet(f"{out_dir}/{name}")
         for name, df in (("gfs_observations", self.gfs()), ("gem_observations", self.gem())):
             (df.sortWithinPartitions("year").write.mode("overwrite").partitionBy("year")
                .parquet(f"{out_dir}/{name}"))
