@@ -42,12 +42,18 @@ def run_statement(spark: SparkSession, sql: str) -> dict:
                 "error": f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"}
 
 
-def evaluate_pairs(spark: SparkSession, pairs: Sequence[tuple[int, str, str, str, str]]) -> DataFrame:
+def evaluate_pairs(spark: SparkSession, pairs: Sequence[tuple[int, str, str, str, str]],
+                   parallelism: int = 4) -> DataFrame:
     """``pairs``: (id, difficulty, category, gold_sql, predicted_sql) ->
-    one outcome row per id."""
+    one outcome row per id.  Statements are independent jobs, submitted
+    from a few driver threads so the cluster runs them concurrently."""
+    from concurrent.futures import ThreadPoolExecutor
+    stmts = [sql for _, _, _, gold, pred in pairs for sql in (gold, pred)]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        results = list(pool.map(lambda q: run_statement(spark, q), stmts))
     out = []
-    for qid, difficulty, category, gold, pred in pairs:
-        g, p = run_statement(spark, gold), run_statement(spark, pred)
+    for i, (qid, difficulty, category, gold, pred) in enumerate(pairs):
+        g, p = results[2 * i], results[2 * i + 1]
         correct = (g["execution_success"] and p["execution_success"]
                    and g["rows"] == p["rows"] and g["hash"] == p["hash"])
         out.append((qid, difficulty, category, p["execution_success"], bool(correct),
