@@ -190,14 +190,14 @@ def failed_examples(log: DataFrame, results: DataFrame) -> DataFrame:
 
 def hard_examples(log: DataFrame, results: DataFrame) -> DataFrame:
     """D-12: difficulty 'hard' (reason high_difficulty) plus model failures
-    (reason magic_failure, with the error as common_errors)."""
+    (reason model_failure, with the error as common_errors)."""
     by_diff = (log.where(col("difficulty") == "hard")
                .select("id", col("question").alias("original_question"),
                        F.lit("high_difficulty").alias("selection_reason"),
                        F.lit(None).cast("string").alias("common_error")))
     failed = (failed_examples(log, results)
               .select("id", col("question").alias("original_question"),
-                      F.lit("magic_failure").alias("selection_reason"),
+                      F.lit("model_failure").alias("selection_reason"),
                       col("error").alias("common_error")))
     return by_diff.unionByName(failed).withColumn("augmentation_type", F.lit("hard_example"))
 

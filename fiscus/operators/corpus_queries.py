@@ -231,7 +231,7 @@ SELECT id, question AS original_question, 'high_difficulty' AS selection_reason,
        CAST(NULL AS VARCHAR) AS common_error, 'hard_example' AS augmentation_type
 FROM ql WHERE difficulty = 'hard'
 UNION ALL
-SELECT ql.id, ql.question, 'magic_failure', ff.error, 'hard_example' FROM ql JOIN ff ON ql.id = ff.id""",
+SELECT ql.id, ql.question, 'model_failure', ff.error, 'hard_example' FROM ql JOIN ff ON ql.id = ff.id""",
                                    RESULTS_CTE, FIRST_FAIL))
 def hard_examples(spark, sf):
     t = Tables(spark, sf)
