@@ -283,9 +283,3 @@ def constraint_report(checks: Sequence[tuple[str, str, DataFrame, Column]]) -> D
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def unique_violations(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose ``key`` repeats (UNIQUE constraint), as a one-column frame
-    of booleans usable by ``constraint_report``."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
-from fiscus.functions.vectors import cosine, norm, sigmoid
+from fiscus.functions.vectors import cosine, sigmoid
 from fiscus.plans.analytics import attach_scalar
 from fiscus.plans.registry import register
 from fiscus.operators.corpus import query_log_exprs
