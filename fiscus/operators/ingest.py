@@ -102,8 +102,9 @@ def row_number_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str
     tie-breaker) for a deterministic result.
     """
     group, order = list(group), list(order)
+    limit = int(df.sparkSession.conf.get("fiscus.numbering.singleTaskRows", None) or SINGLE_TASK_ROWS)
     total = df.count()  # size check: small inputs take the plain window
-    if total <= SINGLE_TASK_ROWS:
+    if total <= limit:
         w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
         return df.withColumn(out, F.row_number().over(w).cast("bigint"))
     sl = with_key_slices(df, [*group, *order], total=total)

@@ -95,7 +95,11 @@ def main():
     a = ap.parse_args()
     registry.load_all()
     keys = a.keys or sorted(registry.QUERIES)
-    spark = build_session()
+    extra = {}
+    if os.environ.get("ORACLE_SINGLE_TASK_ROWS"):
+        extra["fiscus.numbering.singleTaskRows"] = os.environ["ORACLE_SINGLE_TASK_ROWS"]
+    spark = build_session(shuffle_partitions=int(os.environ.get("ORACLE_SHUFFLE_PARTITIONS", "8")),
+                          extra=extra)
     con = duckdb.connect()
     for t in TABLE_NAMES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{a.sf}/{t}.parquet')")
