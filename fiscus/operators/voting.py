@@ -47,35 +47,47 @@ ARRIVAL = ["seq", "l_partkey", "l_suppkey"]
 def majority_vote(cands: DataFrame) -> DataFrame:
     """Most frequent extracted SQL per question if it has more than one
     vote (ties: earliest arrival), else the fallback source's first answer,
-    else the first answer.
-
-    One aggregate to (question, text) counts -- each carrying its first
-    arrival overall and from the fallback source -- then one aggregate per
-    question; no candidate list is gathered in one place."""
+    else the first answer; ``votes`` counts candidates equal to the answer
+    ignoring case.
+
+    Three nested aggregates, each a partial (map-side) aggregate keyed by a
+    prefix of the previous key -- (question, text) -> (question, lower(text))
+    -> question -- with no join and no second pass over the candidates: the
+    case-insensitive level carries its exact-text champion, first arrival
+    and first fallback answer, so the final level can pick the answer and
+    read its vote count from the same row."""
     fb = col("source") == FALLBACK_SOURCE
     per_text = (cands.withColumn("sql", T.extract_sql(col("raw_text")))
                 .withColumn("_arr", F.struct(*ARRIVAL))
                 .groupBy("question_id", "sql")
                 .agg(F.count(F.lit(1)).alias("votes"), F.min("_arr").alias("_first"),
                      F.min(F.when(fb, col("_arr"))).alias("_fb_first")))
-    q = per_text.groupBy("question_id").agg(
-        F.min_by("sql", F.struct((-col("votes")).alias("v"), col("_first").alias("f"))).alias("top_sql"),
-        F.max("votes").alias("top_votes"),
-        F.sum("votes").alias("n_candidates"),
-        F.count("sql").alias("unique_candidates"),
-        F.min_by("sql", "_first").alias("_first_sql"),
-        F.min_by("sql", "_fb_first").alias("_fb"))
-    out = q.select(
+    per_ci = (per_text.groupBy("question_id", F.lower("sql").alias("_lsql"))
+              .agg(F.sum("votes").alias("ci_votes"), F.count(F.lit(1)).alias("n_exact"),
+                   F.min_by(F.struct("sql", "votes", "_first"),
+                            F.struct((-col("votes")).alias("v"), col("_first").alias("f"))).alias("_champ"),
+                   F.min("_first").alias("_gfirst"), F.min_by("sql", "_first").alias("_gfirst_sql"),
+                   F.min("_fb_first").alias("_gfb"), F.min_by("sql", "_fb_first").alias("_gfb_sql")))
+    q = per_ci.groupBy("question_id").agg(
+        F.min_by(F.struct(col("_champ.sql").alias("sql"), col("_champ.votes").alias("votes"),
+                          col("ci_votes").alias("ci")),
+                 F.struct((-col("_champ.votes")).alias("v"), col("_champ._first").alias("f"))).alias("_top"),
+        F.min_by(F.struct(col("_gfirst_sql").alias("sql"), col("ci_votes").alias("ci")), "_gfirst").alias("_first"),
+        F.min_by(F.struct(col("_gfb_sql").alias("sql"), col("ci_votes").alias("ci")), "_gfb").alias("_fb"),
+        F.sum("ci_votes").alias("n_candidates"),
+        F.sum("n_exact").alias("unique_candidates"))
+    consensus = col("_top.votes") > 1
+    has_fb = col("_fb").isNotNull()
+    return q.select(
         "question_id",
-        F.when(col("top_votes") > 1, col("top_sql")).otherwise(F.coalesce("_fb", "_first_sql")).alias("best_sql"),
-        F.when(col("top_votes") > 1, "consensus")
-         .when(col("_fb").isNotNull(), FALLBACK_SOURCE).otherwise("first_candidate").alias("selection_method"),
-        "n_candidates", "unique_candidates")
-    votes = (per_text.join(out.select("question_id", "best_sql"), "question_id")
-             .groupBy("question_id")
-             .agg(F.sum(F.when(F.lower(col("sql")) == F.lower(col("best_sql")), col("votes"))
-                        .otherwise(0)).alias("votes")))
-    return out.join(votes, "question_id")
+        F.when(consensus, col("_top.sql")).when(has_fb, col("_fb.sql")).otherwise(col("_first.sql"))
+         .alias("best_sql"),
+        F.when(consensus, "consensus").when(has_fb, FALLBACK_SOURCE).otherwise("first_candidate")
+         .alias("selection_method"),
+        col("n_candidates").cast("bigint").alias("n_candidates"),
+        col("unique_candidates").cast("bigint").alias("unique_candidates"),
+        F.when(consensus, col("_top.ci")).when(has_fb, col("_fb.ci")).otherwise(col("_first.ci"))
+         .cast("bigint").alias("votes"))
 
 
 _QL_SQL = "ql AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in query_log_exprs("VARCHAR").items()) + " FROM part)"
