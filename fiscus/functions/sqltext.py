@@ -86,14 +86,24 @@ def extract_from_assistant(content: Column) -> Column:
              .otherwise(strip_ws(content)))
 
 
-def normalize_sql(sql: Column) -> Column:
-    """D-4: ``==``->``=``, ``!=``->``<>``, space after comma, collapse whitespace.
-
-    Parity mode: like the reference, text inside quotes is rewritten too."""
-    s = F.replace(sql, F.lit("=="), F.lit("="))
+def _normalize_piece(s: Column) -> Column:
+    s = F.replace(s, F.lit("=="), F.lit("="))
     s = F.replace(s, F.lit("!="), F.lit("<>"))
     s = F.regexp_replace(s, r",([^\s])", ", $1")
-    return strip_ws(F.regexp_replace(s, r"\s+", " "))
+    return F.regexp_replace(s, r"\s+", " ")
+
+
+def normalize_sql(sql: Column, protect_literals: bool = False) -> Column:
+    """D-4: ``==``->``=``, ``!=``->``<>``, space after comma, collapse whitespace.
+
+    Default (parity): like the reference, text inside quotes is rewritten
+    too.  ``protect_literals=True`` splits on single quotes and rewrites
+    only the pieces outside string literals (even positions)."""
+    if not protect_literals:
+        return strip_ws(_normalize_piece(sql))
+    pieces = F.split(sql, "'")
+    kept = F.transform(pieces, lambda x, i: F.when(i % 2 == 0, _normalize_piece(x)).otherwise(x))
+    return strip_ws(F.array_join(kept, "'"))
 
 
 def has_placeholder(sql: Column) -> Column:

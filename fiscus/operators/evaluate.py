@@ -67,23 +67,40 @@ def pct(flag: Column) -> Column:
 
 
 # ---------------------------------------------------------------- V-1 / U6
+def _rows_close(g, p, fields, tol: float):
+    """Field-by-field row comparison: numeric fields within ``tol``, others
+    equal (NULL-safe)."""
+    cond = F.lit(True)
+    for name, numeric in fields:
+        a, b = g[name], p[name]
+        same = (a.isNull() & b.isNull()) | (F.abs(a - b) <= tol) if numeric else a.eqNullSafe(b)
+        cond = cond & F.coalesce(same, F.lit(False))
+    return cond
+
+
 def result_equality(results: DataFrame, key: str = "query_id", side: str = "side",
-                    pos: str = "pos", row: str = "row") -> DataFrame:
+                    pos: str = "pos", row: str = "row", tolerance: float | None = None) -> DataFrame:
     """Per ``key``: compare the 'gold' and 'pred' result lists.
 
     ``results`` is long: one row per result row with its position.  Ordered
     equality = same length and equal rows at every position (column names
     are ignored: ``row`` is a struct/array of values).  Multiset equality =
     same rows with the same multiplicities.  Both are joins + aggregates;
-    no result list is collected.
+    no result list is collected.  ``tolerance`` relaxes the ordered mode to
+    |gold - pred| <= tolerance on numeric fields (multiset mode stays exact).
     """
     g = results.where(col(side) == "gold").select(key, pos, col(row).alias("g"))
     p = results.where(col(side) == "pred").select(key, pos, col(row).alias("p"))
+    if tolerance is None:
+        same = F.coalesce(col("g").eqNullSafe(col("p")), F.lit(False))
+    else:  # ordered mode with a numeric tolerance (positional fields)
+        from pyspark.sql.types import NumericType
+        fields = [(f.name, isinstance(f.dataType, NumericType)) for f in results.schema[row].dataType.fields]
+        same = col("g").isNotNull() & col("p").isNotNull() & _rows_close(col("g"), col("p"), fields, tolerance)
     ordered = (g.join(p, [key, pos], "full_outer")
                 .groupBy(key)
                 .agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"),
-                     F.count_if(~F.coalesce(col("g").eqNullSafe(col("p")), F.lit(False)))
-                     .alias("mismatched_positions")))
+                     F.count_if(~same).alias("mismatched_positions")))
     gm = results.where(col(side) == "gold").groupBy(key, col(row).alias("r")).agg(F.count(F.lit(1)).alias("cg"))
     pm = results.where(col(side) == "pred").groupBy(key, col(row).alias("r")).agg(F.count(F.lit(1)).alias("cp"))
     multi = (gm.join(pm, [key, "r"], "full_outer")

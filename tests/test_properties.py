@@ -52,3 +52,12 @@ def test_conditional_pivot_matches_python(spark, data):
         a, b = want.get(k, (0, 0))
         want[k] = (a + (v if s == "A" else 0), b + (v if s == "B" else 0))
     assert got == {k: (a / 100, b / 100) for k, (a, b) in want.items()}
+
+
+def test_equality_with_tolerance(spark):
+    df = spark.createDataFrame(
+        [("q", 1, "gold", 1, 1.0), ("q", 1, "pred", 1, 1.0000001), ("q", 2, "gold", 2, 2.0), ("q", 2, "pred", 2, 2.0)],
+        "query_id string, pos int, side string, a int, b double").withColumn("row", F.struct("a", "b"))
+    exact = result_equality(df).collect()[0]
+    loose = result_equality(df, tolerance=1e-6).collect()[0]
+    assert not exact.ordered_equal and loose.ordered_equal

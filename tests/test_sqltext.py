@@ -101,3 +101,10 @@ def test_split_guideline_sections(spark):
     tags = ev(spark, keyword_tags, [got[0].body, got[1].body])
     assert tags[0] == ["gfs", "government", "revenue", "expenditure", "tax", "join", "country", "sector", "indicator"]
     assert tags[1] == ["distinct", "order", "sort", "top", "rank"]
+
+
+def test_normalize_protecting_literals(spark):
+    vals = ["SELECT a,b FROM t WHERE s = 'x==y,z' AND n != 2", "WHERE s = 'a  b'"]
+    assert ev(spark, lambda c: T.normalize_sql(c, protect_literals=True), vals) == [
+        "SELECT a, b FROM t WHERE s = 'x==y,z' AND n <> 2", "WHERE s = 'a  b'"]
+    assert ev(spark, T.normalize_sql, vals[:1]) == ["SELECT a, b FROM t WHERE s = 'x=y, z' AND n <> 2"]
