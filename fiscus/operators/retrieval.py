@@ -309,10 +309,13 @@ def tfidf_topk(spark, sf):
 
 # ---------------------------------------------------------------- D-37
 def shingles(tokens: Column, n: int = 3) -> Column:
-    """Distinct word n-grams of a token array.  Pass a materialized column:
-    the array is referenced once per n-gram position."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-                        lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    """Distinct word n-grams of a token array, built from n shifted slices of
+    the array zipped together (O(length), no per-position slice).  Pass a
+    materialized column: the array is referenced n times."""
+    m = F.size(tokens) - (n - 1)
+    grams = F.slice(tokens, 1, m)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(tokens, k, m), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
 
 
