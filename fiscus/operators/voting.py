@@ -25,6 +25,7 @@ col = F.col
 SOURCES = ["structure_specialist", "value_specialist", "aggregation_specialist", "join_specialist"]
 FALLBACK_SOURCE = "structure_specialist"
 OVERLAP_MIN = 0.6
+COMPARED = tuple(T.COMPARED_CLAUSES)  # plain tuple: used by worker-side code
 FUZZY_MIN = 0.8
 
 
@@ -163,7 +164,7 @@ def candidate_components(cands: DataFrame) -> DataFrame:
 
 
 def _compatible(a: dict, b: dict) -> bool:
-    for name in T.COMPARED_CLAUSES:
+    for name in COMPARED:
         s1, s2 = a[name], b[name]
         if s1 and s2 and len(s1 & s2) / max(len(s1), len(s2)) < OVERLAP_MIN:
             return False
@@ -181,7 +182,7 @@ def _leaders(qid, rows) -> dict:
                 "n_valid": 0, "n_clusters": 0, "selection_method": "first_candidate"}
     leaders: list[list] = []  # [components, leader text, size]
     for r in valid:
-        comp = {n: set(r[f"k_{n}"]) if r[f"k_{n}"] is not None else set() for n in T.COMPARED_CLAUSES}
+        comp = {n: set(r[f"k_{n}"]) if r[f"k_{n}"] is not None else set() for n in COMPARED}
         for lead in leaders:
             if _compatible(comp, lead[0]):
                 lead[2] += int(r["weight"])
@@ -195,7 +196,7 @@ def _leaders(qid, rows) -> dict:
 
 
 _OUT_COLS = ["question_id", "best_sql", "cluster_size", "n_valid", "n_clusters", "selection_method"]
-_IN_COLS = ["fixed", "weight", "valid", *[f"k_{n}" for n in T.COMPARED_CLAUSES]]
+_IN_COLS = ["fixed", "weight", "valid", *[f"k_{n}" for n in COMPARED]]
 
 
 def _rows(pdf: pd.DataFrame):
@@ -252,3 +253,14 @@ def candidate_clusters_q(spark, sf):
     """Rows-only check (order-dependent clustering; tested against a plain
     Python implementation in tests/test_voting.py)."""
     return candidate_clusters(candidates(Tables(spark, sf)))
+
+
+# The mapInPandas body and its helpers are pickled by value: executors then
+# need pandas but not this package on their Python path.
+def _ship_by_value() -> None:
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()
