@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import text_or_empty
+from fiscus.llm.common import text_or_empty, written
 
 
 def md5_128(text: Column) -> Column:
@@ -35,11 +35,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # ever share both, the job stops instead of merging them
     groups = (texts.groupBy("h", "s").agg(F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"),
                                           F.count(F.lit(1)).alias("texts"))
+              .where("group_size > 1 or texts > 1")
               .withColumn("group_size", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share both hashes")).cast("long"))
-                          .otherwise(F.col("group_size"))))
-    return (d.select("id", "h", "s").join(groups, ["h", "s"])
-            .select(F.col("id").alias(id_col), "keep_id", "group_size",
-                    F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256")))
+                          .otherwise(F.col("group_size"))).drop("texts"))
+    # only groups of several rows are kept, as a table of known size: the join
+    # is a broadcast if that is small, else one whose hot keys Spark can split
+    groups = written(groups, "copies")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return (d.select("id", "h", "s").join(groups, ["h", "s"], "left")
+            .select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+                    F.col("id").eqNullSafe(keep).alias("kept"), F.col("s").alias("text_sha256")))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash128=md5_128) -> DataFrame:
