@@ -10,6 +10,7 @@ sequence, and no state, spans tasks.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -33,7 +34,7 @@ class PieceEncoder:
     space: texts with such runs are split by the tokenizer's own pattern.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str, keep: int = 400_000):
+    def __init__(self, tokenizer_json: str, pattern: str, keep: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel  # noqa: F401 -- the file's own pre-tokenizer
@@ -46,28 +47,40 @@ class PieceEncoder:
         hidden = [b for b in range(256) if b not in set(shown)]
         self.to_model = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
+    def _ids(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.to_model)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _piece(self, piece: str) -> bytes:
         out = self.pieces.get(piece)
         if out is None:
-            shown = piece.encode().decode("latin-1").translate(self.to_model)
-            out = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) >= self.keep:
-                self.pieces.clear()
-            if len(piece) < 100:
-                self.pieces[piece] = out
+            out = self._ids(piece)
+            self._store(self.pieces, piece, out)
         return out
 
     def _split(self, text: str) -> bytes:
         return b"".join([self._piece(p) for p in self.find(text)])
 
     def _run(self, run: str) -> bytes:
-        out = self._split(" " + run)
-        if len(self.runs) >= self.keep:
-            self.runs.clear()
-        if len(run) < 100:
-            self.runs[run] = out
+        """Ids of a blank and the run behind it.  A run of Latin letters is one
+        match of the pattern, a mark behind it another."""
+        if run and run[-1] in ".,;:!?" and run[:-1].isalpha() and max(run) < "\u0250":
+            head = run[:-1]
+            out = (self.runs.get(head) or self._run(head)) + self._piece(run[-1])
+        elif run.isalpha() and max(run) < "\u0250":
+            out = self._ids(" " + run)
+        else:
+            out = self._split(" " + run)
+        self._store(self.runs, run, out)
         return out
 
+    def _store(self, table: dict, key: str, ids: bytes) -> None:
+        if len(table) >= self.keep:
+            table.clear()
+        if len(key) < 100:
+            table[key] = ids
+
     def encode(self, text: str) -> bytes:
         if self.two_blanks(text):
             return self._split(text)
