@@ -103,22 +103,39 @@ class Discriminant:
         return 1 / (1 + np.exp(np.clip(-(density[1] - density[0]) / self.soften, -700, 700)))
 
 
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the features of every row; null text is empty, null ids pass
+    through, extra columns are ignored.  Texts are read once, where they are."""
+    ship(docs.sparkSession)
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
+
+    def run(batches):
+        for batch in batches:
+            for at, data, offsets in text_blocks(batch.column(1)):
+                x = features(data, offsets)
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x)), rows], ["id", "x"])
+
+    return d.mapInArrow(run, "id long, x array<double>")
+
+
+def _matrix(rows: pa.Array) -> np.ndarray:
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(FEATURES))
+
+
 def _moments(rows: DataFrame) -> DataFrame:
-    """(label, n, s, ss) per task and class from (label, t)."""
+    """(label, n, s, ss) per task and class from (label, x)."""
 
     def run(batches):
         d = len(FEATURES)
         n, s, ss = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
         for batch in batches:
-            label = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, data, offsets in text_blocks(batch.column(1)):
-                x = features(data, offsets)
-                y = label[at:at + len(x)]
-                for k in (0, 1):
-                    part = x[y == k]
-                    n[k] += len(part)
-                    s[k] += part.sum(0)
-                    ss[k] += part.T @ part
+            y, x = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+            for k in (0, 1):
+                part = x[y == k]
+                n[k] += len(part)
+                s[k] += part.sum(0)
+                ss[k] += part.T @ part
         yield pa.RecordBatch.from_arrays(
             [pa.array([0, 1], pa.int32()), pa.array(n, pa.float64()), pa.array(list(s), pa.list_(pa.float64())),
              pa.array([m.ravel() for m in ss], pa.list_(pa.float64()))], ["label", "n", "s", "ss"])
@@ -126,18 +143,16 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "label int, n double, s array<double>, ss array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+def fit(described: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality",
         shrink: float = 0.1, soften: float = 4.0) -> Discriminant:
-    """Class moments over every labelled document (labels 0 and 1; others and
+    """Class moments over every labelled row of ``describe`` (labels 0 and 1; others and
     null labels or ids are left out).  The tasks' moments, one row each, are
     added by position in Spark; two rows reach the driver.  With fewer than two
     rows of a class its moments are those of the other (scores then say little,
     but are defined)."""
-    ship(docs.sparkSession)
     y = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     y = y.where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
-    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    parts = _moments(x.join(y, "id").select("label", "t"))
+    parts = _moments(described.join(y, "id").select("label", "x"))
     width = len(FEATURES)
     flat = parts.select("label", F.posexplode(F.concat(F.array("n"), "s", "ss")).alias("i", "v"))
     sums = flat.groupBy("label", "i").agg(F.sum("v").alias("v")).collect()
@@ -163,17 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Discriminant(prior, mean, factor, log_det, center, scale, soften)
 
 
-def score(docs: DataFrame, model: Discriminant, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row; null text is empty, null ids pass through,
-    repeated rows score alike, extra columns are ignored."""
-    ship(docs.sparkSession)
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias(id_col), text_or_empty(text_col).alias("t"))
+def score(described: DataFrame, model: Discriminant) -> DataFrame:
+    """(id, score) for every row of ``describe``; equal texts score alike."""
 
     def run(batches):
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for at, data, offsets in text_blocks(batch.column(1)):
-                out[at:at + len(offsets) - 1] = model.score(features(data, offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_col, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], ["id", "score"])
 
-    return d.mapInArrow(run, f"`{id_col}` long, score double")
+    return described.mapInArrow(run, "id long, score double")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscus.llm import bpe, classifier, exact_dedup, licenses, ngram_join, packing, pii, quality_rules, substring_dedup, warc
+from fiscus.llm.common import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,8 +84,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    model = classifier.fit(docs, labels.where(~held))
-    s = classifier.score(docs, model)
+    described = written(classifier.describe(docs), "features")
+    model = classifier.fit(described, labels.where(~held))
+    s = classifier.score(described, model).withColumnRenamed("id", "doc_id")
     return s.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score",
                     F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"))
 
