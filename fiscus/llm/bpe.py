@@ -4,15 +4,18 @@ Texts are cut into pre-tokens; every block of texts lists its distinct words
 once and keeps each text as the positions of its words in that list.  The
 lists are dealt by word hash into buckets, where each distinct word is encoded
 once; the ids go back to the blocks, which put them in place by position.
-What moves is each block's distinct words, their ids, and the positions:
-a hot word travels once per block, not once per occurrence.  Decoding joins
-the token-byte table, whose size is that of the vocabulary.
+What moves is each block's distinct words and their ids: a hot word travels
+once per block, not once per occurrence, and the positions stay where they
+are, in a table bucketed by block.  Decoding joins the token-byte table, whose
+size is that of the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 import zlib
+from array import array
 from itertools import accumulate
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fiscus.llm.common import ship, text_or_empty, written
+from fiscus.llm.common import scratch_path, ship, text_or_empty
 
 # kind 0: one bucket of a block's words, in payload; kind 1: a run of its texts
 PARTS = "block long, kind int, bucket int, slots binary, payload binary, doc_ids array<long>"
@@ -42,27 +45,36 @@ def token_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(r, bytearray(t)) for t, r in read_ranks(path)], "id int, bytes binary")
 
 
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", 9).compress(raw, asbytes=True)
+
+
+def _unpressed(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
 def _squeeze(numbers: np.ndarray) -> bytes:
-    """uint32 numbers as byte planes, compressed."""
+    """Unsigned 32-bit numbers as byte planes, compressed."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 3)
+    return _pressed(np.ascontiguousarray(planes).tobytes())
 
 
 def _unsqueeze(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unpressed(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def _pack_words(words: list[bytes]) -> bytes:
+def _pack(words: list[bytes]) -> bytes:
+    """Byte strings: their number, sizes and bytes, compressed."""
     sizes = np.array([len(w) for w in words], "<u4").tobytes()
-    return zlib.compress(len(words).to_bytes(4, "little") + sizes + b"".join(words), 3)
+    return _pressed(len(words).to_bytes(4, "little") + sizes + b"".join(words))
 
 
-def _unpack_words(data: bytes) -> list[bytes]:
-    raw = zlib.decompress(data)
+def _unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    """Sizes and joined bytes of a packed list."""
+    raw = _unpressed(data)
     n = int.from_bytes(raw[:4], "little")
-    ends = list(accumulate(np.frombuffer(raw, "<u4", n, 4).tolist(), initial=4 + 4 * n))
-    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+    return np.frombuffer(raw, "<u4", n, 4), raw[4 + 4 * n:]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -70,8 +82,49 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _FIELDS)], [n for n, _ in _FIELDS])
 
 
+class Block:
+    """Texts with their distinct words, numbered as they come."""
+
+    def __init__(self):
+        self.slot, self.at, self.ids, self.sizes, self.bytes = {}, array("I"), [], [], 0
+
+    def add(self, key, words: list[str], size: int) -> None:
+        slot = self.slot
+        for w in words:
+            if w not in slot:
+                slot[w] = len(slot)
+        self.at.extend([slot[w] for w in words])
+        self.ids.append(key)
+        self.sizes.append(len(words))
+        self.bytes += size
+
+    def parts(self, block: int, buckets: int, run_words: int):
+        """The rows of the block; words are numbered anew, most frequent first,
+        so that positions compress well."""
+        flat = np.frombuffer(self.at, np.uint32) if len(self.at) else np.zeros(0, np.uint32)
+        order = np.argsort(-np.bincount(flat, minlength=len(self.slot)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        names = [w.encode() for w in self.slot]
+        names = [names[i] for i in order]
+        deal = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int64, len(names))
+        place = np.argsort(deal, kind="stable")
+        for part in np.split(place, np.flatnonzero(np.diff(deal[place])) + 1):
+            if len(part):
+                yield _rows([(block, 0, int(deal[part[0]]), _squeeze(np.diff(part, prepend=0)), _pack([names[i] for i in part]), None)])
+        sizes = np.array(self.sizes, np.int64)
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            start = int(ends[first] - sizes[first])
+            last = max(first + 1, int(np.searchsorted(ends, start + run_words, side="right")))
+            yield _rows([(block, 1, None, sizes[first:last].astype("<u4").tobytes(),
+                          _squeeze(rank[flat[start:int(ends[last - 1])]]), self.ids[first:last])])
+            first = last
+
+
 def split_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str,
-                 block_bytes: int = 32 << 20, run_words: int = 1 << 20) -> DataFrame:
+                 block_bytes: int = 32 << 20, run_words: int = 1 << 19) -> DataFrame:
     """PARTS of every block: its distinct words by bucket, its texts as positions."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
 
@@ -79,48 +132,28 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_
         import regex
 
         find = regex.compile(pattern).findall
-        block, slot, ids, sizes, at, words, size = TaskContext.get().partitionId() << 24, {}, [], [], [], 0, 0
-
-        def texts():
-            flat = np.fromiter((x for part in at for x in part), np.uint32, sum(map(len, at)))
-            return (block, 1, None, np.array(sizes, "<u4").tobytes(), _squeeze(flat), ids)
-
-        def lists():
-            names = [w.encode() for w in slot]
-            deal = np.fromiter((zlib.crc32(w) % buckets for w in names), np.int64, len(names))
-            order = np.argsort(deal, kind="stable")
-            cuts = np.flatnonzero(np.diff(deal[order])) + 1
-            return [(block, 0, int(deal[part[0]]), _squeeze(part), _pack_words([names[i] for i in part]), None)
-                    for part in np.split(order, cuts) if len(part)]
-
+        number, block = TaskContext.get().partitionId() << 24, Block()
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for key, text in zip(keys, batch.column(1)):
-                found = find(text.as_py())
-                for w in found:
-                    if w not in slot:
-                        slot[w] = len(slot)
-                ids.append(key)
-                sizes.append(len(found))
-                at.append([slot[w] for w in found])
-                words += len(found)
-                size += len(text.as_buffer() or b"") if hasattr(text, "as_buffer") else len(text.as_py())
-                if words >= run_words:
-                    yield _rows([texts()])
-                    ids, sizes, at, words = [], [], [], 0
-                if size >= block_bytes:
-                    if ids:
-                        yield _rows([texts()])
-                    yield _rows(lists())
-                    block, slot, ids, sizes, at, words, size = block + 1, {}, [], [], [], 0, 0
-        if ids:
-            yield _rows([texts()])
-        if slot:
-            yield _rows(lists())
+            for key, text in zip(batch.column(0), batch.column(1)):
+                text = text.as_py()
+                block.add(key.as_py(), find(text), len(text))
+                if block.bytes >= block_bytes:
+                    yield from block.parts(number, buckets, run_words)
+                    number, block = number + 1, Block()
+        yield from block.parts(number, buckets, run_words)
 
     return d.mapInArrow(run, PARTS)
 
 
+def bucketed(parts: DataFrame, name: str) -> DataFrame:
+    """``parts`` written to scratch as a table bucketed by block."""
+    spark = parts.sparkSession
+    table, n = f"{name}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (parts.write.bucketBy(n, "block").option("path", scratch_path(spark, name)).option("compression", "uncompressed")
+     .format("parquet").saveAsTable(table))
+    return spark.table(table)
+
+
 def _encoder(ranks: list, pattern: str):
     import tiktoken
 
@@ -131,11 +164,12 @@ def _encoder(ranks: list, pattern: str):
 
 
 def encode_words(parts: DataFrame, ranks, pattern: str) -> DataFrame:
-    """The word lists with their ids: kind 0 rows whose payload is, per word in
-    order, the ids.  All rows of a bucket meet, sorted, in one task, and each
-    distinct word is encoded at its first row; a bucket holds its share of the
-    vocabulary, and of every block's list."""
-    lists = parts.where("kind = 0").repartition("bucket").sortWithinPartitions("bucket", "block")
+    """(block, lists): the encoded word lists of each block, slots and packed
+    ids.  All rows of a bucket meet, sorted, in one task, and each distinct
+    word is encoded at its first row; a bucket holds its share of the
+    vocabulary, and of every block's list.  A block has one row per bucket."""
+    lists = parts.where("kind = 0").select("block", "bucket", "slots", "payload")
+    lists = lists.repartition("bucket").sortWithinPartitions("bucket", "block")
 
     def run(batches):
         one = _encoder(ranks.value, pattern)._encode_single_piece
@@ -145,49 +179,65 @@ def encode_words(parts: DataFrame, ranks, pattern: str) -> DataFrame:
             for r in batch.to_pylist():
                 if r["bucket"] != bucket:
                     bucket, known = r["bucket"], {}
+                sizes, raw = _unpack(r["payload"])
+                ends = list(accumulate(sizes.tolist(), initial=0))
                 out = []
-                for w in _unpack_words(r["payload"]):
+                for a, b in zip(ends, ends[1:]):
+                    w = raw[a:b]
                     ids = known.get(w)
                     if ids is None:
                         ids = known[w] = np.array(one(w), "<u4").tobytes()
                     out.append(ids)
-                rows.append((r["block"], 0, bucket, r["slots"], _pack_words(out), None))
-            yield _rows(rows)
-
-    return lists.mapInArrow(run, PARTS)
+                rows.append((r["block"], r["slots"], _pack(out)))
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))],
+                                             ["block", "slots", "ids"])
+
+    encoded = lists.mapInArrow(run, "block long, slots binary, ids binary")
+    return encoded.groupBy("block").agg(F.collect_list(F.struct("slots", "ids")).alias("lists"))
+
+
+def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, number and values of the ids of each word of a block."""
+    number, parts = np.zeros(0, np.int64), []
+    for part in lists:
+        slots = np.cumsum(_unsqueeze(part["slots"].as_py()).astype(np.int64))
+        sizes, raw = _unpack(part["ids"].as_py())
+        parts.append((slots, sizes.astype(np.int64) // 4, np.frombuffer(raw, "<u4")))
+    n = sum(len(p[0]) for p in parts)
+    number, start, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+    for slots, sizes, ids in parts:
+        number[slots], start[slots] = sizes, at + np.cumsum(sizes) - sizes
+        at += len(ids)
+    return start, number, np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
 
 
 def put_in_place(parts: DataFrame, encoded: DataFrame) -> DataFrame:
-    """(id, ids): the ids of every text, packed little-endian 32-bit.  A block's
-    encoded lists come first, then its texts, run by run."""
-    d = encoded.unionByName(parts.where("kind = 1")).repartition("block").sortWithinPartitions("block", "kind")
+    """(id, ids): the ids of every text, packed little-endian 32-bit.  The texts'
+    positions are read bucket by bucket, without a shuffle; a block's lists are
+    opened once for all its runs."""
+    runs = parts.where("kind = 1").select("block", F.col("slots").alias("sizes"), "payload", "doc_ids")
+    d = runs.join(encoded, "block", "left").select("block", "sizes", "payload", "doc_ids", "lists")
 
     def run(batches):
-        block, table, start, joined, lists = None, None, None, None, []
+        block, table = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {n: batch.column(n)[i] for n in ("block", "kind", "slots", "payload", "doc_ids")}
-                if r["block"].as_py() != block:
-                    block, joined, lists = r["block"].as_py(), None, []
-                if r["kind"].as_py() == 0:
-                    lists.append((_unsqueeze(r["slots"].as_py()), _unpack_words(r["payload"].as_py())))
-                    continue
-                if joined is None:
-                    table = [b""] * sum(len(s) for s, _ in lists)
-                    for slots, ids in lists:
-                        for s, x in zip(slots.tolist(), ids):
-                            table[s] = x
-                    joined, lists = True, []
-                flat = _unsqueeze(r["payload"].as_py()).tolist()
-                sizes = np.frombuffer(r["slots"].as_py(), "<u4").tolist()
-                out, at = [], 0
-                for n in sizes:
-                    out.append(b"".join([table[s] for s in flat[at:at + n]]))
-                    at += n
-                keys = r["doc_ids"].as_py()
-                for a in range(0, len(out), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:a + 2000], pa.int64()), pa.array(out[a:a + 2000], pa.binary())],
-                                                     ["id", "ids"])
+                if batch.column(0)[i].as_py() != block:
+                    block, table = batch.column(0)[i].as_py(), _table(batch.column(4)[i] if batch.column(4)[i].is_valid else [])
+                start, number, values = table
+                flat = _unsqueeze(batch.column(2)[i].as_py())
+                n = number[flat]
+                ends = np.cumsum(n)
+                ids = values[np.repeat(start[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4")
+                words = np.cumsum(np.frombuffer(batch.column(1)[i].as_py(), "<u4").astype(np.int64))
+                cuts = 4 * np.concatenate([[0], np.concatenate([[0], ends])[words]])
+                keys = batch.column(3)[i].values
+                for a in range(0, len(words), 1000):
+                    c = cuts[a:a + 1001]
+                    out = pa.Array.from_buffers(pa.large_binary(), len(c) - 1, [None, pa.py_buffer((c - c[0]).astype(np.int64)),
+                                                pa.py_buffer(ids.view(np.uint8)[c[0]:c[-1]].tobytes())])
+                    yield pa.RecordBatch.from_arrays([keys.slice(a, len(c) - 1), out.cast(pa.binary())], ["id", "ids"])
 
     return d.mapInArrow(run, "id long, ids binary")
 
@@ -205,7 +255,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     spark = docs.sparkSession
     ship(spark)
     n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = written(split_blocks(docs, pattern, n, id_col, text_col), "bpe-parts")
+    parts = bucketed(split_blocks(docs, pattern, n, id_col, text_col), "bpe_parts")
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     return put_in_place(parts, encode_words(parts, ranks, pattern)).withColumnRenamed("id", id_col)
 
