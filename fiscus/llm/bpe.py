@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from fiscus.llm.common import scratch_path, ship, text_or_empty
 
-# kind 0: one bucket of a block's words, in payload; kind 1: a run of its texts
+# kind 0: one bucket of a block's words, in payload; kind 1: its texts
 PARTS = "block long, kind int, bucket int, slots binary, payload binary, doc_ids array<long>"
 _FIELDS = [("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("slots", pa.binary()),
            ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))]
@@ -98,7 +98,7 @@ class Block:
         self.sizes.append(len(words))
         self.bytes += size
 
-    def parts(self, block: int, buckets: int, run_words: int):
+    def parts(self, block: int, buckets: int):
         """The rows of the block; words are numbered anew, most frequent first,
         so that positions compress well."""
         flat = np.frombuffer(self.at, np.uint32) if len(self.at) else np.zeros(0, np.uint32)
@@ -112,19 +112,11 @@ class Block:
         for part in np.split(place, np.flatnonzero(np.diff(deal[place])) + 1):
             if len(part):
                 yield _rows([(block, 0, int(deal[part[0]]), _squeeze(np.diff(part, prepend=0)), _pack([names[i] for i in part]), None)])
-        sizes = np.array(self.sizes, np.int64)
-        ends = np.cumsum(sizes)
-        first = 0
-        while first < len(sizes):
-            start = int(ends[first] - sizes[first])
-            last = max(first + 1, int(np.searchsorted(ends, start + run_words, side="right")))
-            yield _rows([(block, 1, None, sizes[first:last].astype("<u4").tobytes(),
-                          _squeeze(rank[flat[start:int(ends[last - 1])]]), self.ids[first:last])])
-            first = last
+        yield _rows([(block, 1, None, np.array(self.sizes, "<u4").tobytes(), _squeeze(rank[flat]), self.ids)])
 
 
 def split_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str,
-                 block_bytes: int = 32 << 20, run_words: int = 1 << 19) -> DataFrame:
+                 block_bytes: int = 16 << 20) -> DataFrame:
     """PARTS of every block: its distinct words by bucket, its texts as positions."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
 
@@ -138,9 +130,9 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_
                 text = text.as_py()
                 block.add(key.as_py(), find(text), len(text))
                 if block.bytes >= block_bytes:
-                    yield from block.parts(number, buckets, run_words)
+                    yield from block.parts(number, buckets)
                     number, block = number + 1, Block()
-        yield from block.parts(number, buckets, run_words)
+        yield from block.parts(number, buckets)
 
     return d.mapInArrow(run, PARTS)
 
@@ -212,32 +204,35 @@ def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, number, np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
 
 
-def put_in_place(parts: DataFrame, encoded: DataFrame) -> DataFrame:
+def put_in_place(parts: DataFrame, encoded: DataFrame, words_at_once: int = 1 << 19) -> DataFrame:
     """(id, ids): the ids of every text, packed little-endian 32-bit.  The texts'
-    positions are read bucket by bucket, without a shuffle; a block's lists are
-    opened once for all its runs."""
-    runs = parts.where("kind = 1").select("block", F.col("slots").alias("sizes"), "payload", "doc_ids")
-    d = runs.join(encoded, "block", "left").select("block", "sizes", "payload", "doc_ids", "lists")
+    positions are read bucket by bucket, without a shuffle, and filled in
+    ``words_at_once`` a time (a longer text alone)."""
+    texts = parts.where("kind = 1").select("block", F.col("slots").alias("sizes"), "payload", "doc_ids")
+    d = texts.join(encoded, "block", "left").select("sizes", "payload", "doc_ids", "lists")
+
+    def filled(slots, sizes, table):
+        start, number, values = table
+        n = number[slots]
+        ends = np.cumsum(n)
+        ids = values[np.repeat(start[slots] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4")
+        cuts = 4 * np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(sizes)]])
+        out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
+        return out.cast(pa.binary())
 
     def run(batches):
-        block, table = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != block:
-                    block, table = batch.column(0)[i].as_py(), _table(batch.column(4)[i] if batch.column(4)[i].is_valid else [])
-                start, number, values = table
-                flat = _unsqueeze(batch.column(2)[i].as_py())
-                n = number[flat]
-                ends = np.cumsum(n)
-                ids = values[np.repeat(start[flat] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].astype("<u4")
-                words = np.cumsum(np.frombuffer(batch.column(1)[i].as_py(), "<u4").astype(np.int64))
-                cuts = 4 * np.concatenate([[0], np.concatenate([[0], ends])[words]])
-                keys = batch.column(3)[i].values
-                for a in range(0, len(words), 1000):
-                    c = cuts[a:a + 1001]
-                    out = pa.Array.from_buffers(pa.large_binary(), len(c) - 1, [None, pa.py_buffer((c - c[0]).astype(np.int64)),
-                                                pa.py_buffer(ids.view(np.uint8)[c[0]:c[-1]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([keys.slice(a, len(c) - 1), out.cast(pa.binary())], ["id", "ids"])
+                sizes, payload, keys, lists = (batch.column(c)[i] for c in range(4))
+                table = _table(lists if lists.is_valid else [])
+                slots, sizes, keys = _unsqueeze(payload.as_py()), np.frombuffer(sizes.as_py(), "<u4").astype(np.int64), keys.values
+                ends, first = np.cumsum(sizes), 0
+                while first < len(sizes):
+                    start = int(ends[first] - sizes[first])
+                    last = max(first + 1, int(np.searchsorted(ends, start + words_at_once, side="right")))
+                    out = filled(slots[start:int(ends[last - 1])], sizes[first:last], table)
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), out], ["id", "ids"])
+                    first = last
 
     return d.mapInArrow(run, "id long, ids binary")
 
@@ -277,7 +272,7 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFra
 
     def run(batches):
         look = side.value.__getitem__
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, max(b.num_rows, 1), 1000)):
             out = [None if x is None else b"".join(map(look, np.frombuffer(x, "<u4").tolist()))
                    for x in (v.as_py() for v in batch.column(names.index(ids_col)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
