@@ -152,7 +152,7 @@ class Words:
         return span_hash(table[self.data], self.start, self.end)
 
 
-def text_blocks(texts: pa.Array, block_bytes: int = 4 << 20):
+def text_blocks(texts: pa.Array, block_bytes: int = 1 << 20):
     """(first row, bytes, offsets) of consecutive rows of at most ``block_bytes``
     each, or one row if it is longer.  Null texts are empty."""
     texts = texts.fill_null("").cast(pa.large_string())

@@ -29,7 +29,7 @@ from fiscus.llm.components import components
 SETS = "id long, n long, s1 long, s2 long, bitmap binary, prefix array<long>"
 HOT_TABLE = 1 << 20
 BUCKET_ROWS = 200_000
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 2_000_000
 ID_BITS = 1 << 24
 
 
@@ -83,22 +83,32 @@ def parity_bitmap(token: np.ndarray, least: int = 64) -> bytes:
     return np.packbits(count.astype(np.uint8), bitorder="little").tobytes()
 
 
-def frequent_grams(texts: DataFrame, n: int, block: int = 32 << 20):
+def frequent_grams(texts: DataFrame, n: int, at_once: int = 4 << 20):
     """Broadcast (token, count) arrays, sorted by token, of the n-grams held by
-    at least max(16, all / HOT_TABLE) texts: at most HOT_TABLE of them.  Blocks
-    leave out n-grams with under 4 texts, so counts are lower bounds.  The
-    order only decides how fast the join is, not its result."""
+    at least max(16, all / HOT_TABLE) texts: at most HOT_TABLE of them.  Runs
+    of ``at_once`` n-grams leave out those with under 4 texts, so counts are
+    lower bounds.  The order only decides how fast the join is, not its result."""
+
+    def counted(held):
+        flat = np.concatenate(held)
+        token, count = np.unique(flat, return_counts=True)
+        often = count >= 4
+        token = np.concatenate([token[often].view(np.int64), [0]])
+        count = np.concatenate([count[often], [len(flat)]])
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int64)),
+                                           pa.array(np.arange(len(token)) == len(token) - 1)], ["token", "n", "all"])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0), block):
-                s = Sets(data, offsets, n)
-                token, count = np.unique(s.token, return_counts=True)
-                often = count >= 4
-                token = np.concatenate([token[often].view(np.int64), [0]])
-                count = np.concatenate([count[often], [len(s.token)]])
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(count.astype(np.int64)),
-                                                  pa.array(np.arange(len(token)) == len(token) - 1)], ["token", "n", "all"])
+            for _, data, offsets in text_blocks(batch.column(0)):
+                held.append(Sets(data, offsets, n).token)
+                size += len(held[-1])
+                if size >= at_once:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     spark = texts.sparkSession
     counts = written(texts.mapInArrow(run, "token long, n long, all boolean")
