@@ -31,6 +31,7 @@ HOT_TABLE = 1 << 20
 BUCKET_ROWS = 200_000
 BLOCK_TOKENS = 2_000_000
 ID_BITS = 1 << 24
+SHARED_BITS = 1 << 27
 
 
 @dataclass(frozen=True)
@@ -120,29 +121,58 @@ def frequent_grams(texts: DataFrame, n: int, at_once: int = 4 << 20):
     return spark.sparkContext.broadcast((token[order], hot.column(1).to_numpy()[order]))
 
 
-def all_sets(rows: DataFrame, n: int, limit: Threshold, hot) -> DataFrame:
+class Order:
+    """The global order of n-grams, rarest first: those no filter knows, then
+    those that ``shared`` (a bit filter) may hold, then the ``hot`` ones by
+    their counts; ties by hash.  Any order gives the same links."""
+
+    def __init__(self, hot, shared=None):
+        self.hot, self.shared = hot, shared
+
+    def prefixes(self, s: Sets, limit: Threshold):
+        """(n-grams of all prefixes, their number for each text)."""
+        token, times = self.hot.value
+        rank = np.zeros(len(s.token), np.int64)
+        if self.shared is not None:
+            rank = in_bits(self.shared.value, s.token).astype(np.int64)
+        if len(token):
+            i = np.minimum(np.searchsorted(token, s.token), len(token) - 1)
+            rank = np.where(token[i] == s.token, times[i], rank)
+        ordered = s.token[np.lexsort((s.token, rank, s.doc))]
+        p = limit.prefix(np.diff(s.offsets))
+        return ordered[np.repeat(s.offsets[:-1] - np.concatenate([[0], np.cumsum(p)[:-1]]), p) + np.arange(p.sum())], p
+
+
+def shared_grams(texts: DataFrame, n: int, limit: Threshold, order: Order):
+    """Broadcast bit filter of the n-grams in the prefixes of two texts or more.
+    Put behind the others they leave the prefixes, which then hold few n-grams
+    that unrelated texts share."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in text_blocks(batch.column(0)):
+                token, count = np.unique(order.prefixes(Sets(data, offsets, n), limit)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "n"])
+
+    counts = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return texts.sparkSession.sparkContext.broadcast(bit_filter(counts.where("n > 1").select("token"), SHARED_BITS))
+
+
+def all_sets(rows: DataFrame, n: int, limit: Threshold, order: Order) -> DataFrame:
     """SETS of every text: size, 128-bit hash of the set, bitmap and prefix."""
 
     def run(batches):
-        often, times = hot.value
         for batch in batches:
             for at, data, offsets in text_blocks(batch.column(1)):
                 s = Sets(data, offsets, n)
                 size = np.diff(s.offsets)
-                rank = np.zeros(len(s.token), np.int64)
-                if len(often):
-                    i = np.minimum(np.searchsorted(often, s.token), len(often) - 1)
-                    rank = np.where(often[i] == s.token, times[i], 0)
-                ordered = s.token[np.lexsort((s.token, rank, s.doc))]
+                grams, p = order.prefixes(s, limit)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(s.token ^ np.uint64(x)))]) for x in (0x5A17, 0xC0FFEE)]
                 s1, s2 = ((c[s.offsets[1:]] - c[s.offsets[:-1]]).view(np.int64) for c in sums)
-                p = limit.prefix(size)
-                ends = s.offsets[:-1] + p
-                pick = np.repeat(s.offsets[:-1] - np.concatenate([[0], np.cumsum(p)[:-1]]), p) + np.arange(p.sum())
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)),
-                                                  pa.array(ordered[pick].view(np.int64)))
-                bitmaps = [parity_bitmap(s.token[a:b]) if e > a else None
-                           for a, b, e in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), ends.tolist())]
+                                                  pa.array(grams.view(np.int64)))
+                bitmaps = [parity_bitmap(s.token[a:b]) if m else None
+                           for a, b, m in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), p.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(size)), pa.array(size.astype(np.int64)), pa.array(s1), pa.array(s2),
                      pa.array(bitmaps, pa.binary()), prefix], [x.split()[0] for x in SETS.split(", ")])
@@ -479,8 +509,9 @@ def near_components(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(),
     """
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    hot = frequent_grams(rows.select("t"), n)
-    sets = written(all_sets(rows, n, limit, hot), "sets")
+    order = Order(frequent_grams(rows.select("t"), n))
+    order = Order(order.hot, shared_grams(rows.select("t"), n, limit, order))
+    sets = written(all_sets(rows, n, limit, order), "sets")
     real = sets.where("n > 0 and id is not null")
     same = written(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "equal-sets")
     reps = sets.where("size(prefix) > 0").join(same.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("id = rep")
