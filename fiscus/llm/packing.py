@@ -34,7 +34,7 @@ class PieceEncoder:
     space: texts with such runs are split by the tokenizer's own pattern.
     """
 
-    def __init__(self, tokenizer_json: str, pattern: str, keep: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, pattern: str, keep: int = 500_000):
         import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel  # noqa: F401 -- the file's own pre-tokenizer
