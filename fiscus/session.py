@@ -47,13 +47,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the platform sets it to shared storage and we only read it.
-    Only when it is unset (local tests) do we create a scratch folder.
+    Only a local session that names none (tests) gets a scratch folder; on a
+    cluster a missing setting is an error, as executors do not share /tmp.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     configured = spark.conf.get("spark.checkpoint.dir", None)
     path = current or configured
     if not path:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="fiscus-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     if not current:
