@@ -1,9 +1,8 @@
 """Aggregate expressions shared by the analytic plans.
 
-Double sums depend on addition order, which differs between partitions and
-between engines.  Money-like values carry two decimals, so ``exact_sum`` adds
-them as DECIMAL (order independent, still a partial/final aggregate inside
-codegen) and returns DOUBLE.
+Sums are plain DOUBLE sums over all digits of the values; the last bits
+depend on addition order, so statements round their outputs, never their
+inputs.
 """
 
 from __future__ import annotations
@@ -16,13 +15,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def exact_sum(x, scale: int = 2) -> Column:
-    return F.sum(_c(x).cast(f"decimal(18,{scale})")).cast("double")
+def total(x) -> Column:
+    return F.sum(_c(x).cast("double"))
 
 
-def cond_sum(pred: Column, x, scale: int = 2) -> Column:
+def cond_sum(pred: Column, x) -> Column:
     """SUM(CASE WHEN pred THEN x ELSE 0 END), the reference's manual pivot."""
-    return exact_sum(F.when(pred, _c(x)).otherwise(F.lit(0)), scale)
+    return total(F.when(pred, _c(x)).otherwise(F.lit(0.0)))
 
 
 def cond_count(pred: Column) -> Column:
@@ -32,8 +31,3 @@ def cond_count(pred: Column) -> Column:
 
 def r4(x) -> Column:
     return F.round(_c(x), 4)
-
-
-def safe_ratio(num, den) -> Column:
-    """NULL when the denominator is NULL or zero (reference: CASE WHEN den > 0)."""
-    return F.try_divide(_c(num), F.nullif(_c(den), F.lit(0)))

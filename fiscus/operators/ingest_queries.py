@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.functions.agg import exact_sum
+from fiscus.functions.agg import r4, total
 from fiscus.operators import ingest as I
-from fiscus.plans.econ import XS, gem_star, gfs_star
+from fiscus.plans.econ import gem_star, gfs_star
 from fiscus.plans.registry import register
 from fiscus.plans.star import CONCEPT, Star, with_star
 
@@ -29,12 +29,12 @@ def wide_gfs_frame(S: Star) -> DataFrame:
     return (g.groupBy(col("country_name").alias("COUNTRY"), col("sector_name").alias("SECTOR"),
                       col("_code").alias("SERIES_CODE"),
                       col("transformation").alias("TYPE_OF_TRANSFORMATION"))
-             .pivot("year").agg(exact_sum("value")))
+             .pivot("year").agg(total("value")))
 
 
 WIDE_LONG_SQL = f"""
 SELECT c.country_name AS COUNTRY, s.sector_name AS SECTOR, i.indicator_code AS SERIES_CODE,
-       g.transformation AS TYPE_OF_TRANSFORMATION, g.year, {XS("g.value")} AS value
+       g.transformation AS TYPE_OF_TRANSFORMATION, g.year, ROUND(SUM(g.value), 4) AS value
 FROM gfs_observations g
 JOIN countries c ON g.country_id = c.country_id
 JOIN sectors s ON g.sector_id = s.sector_id
@@ -46,7 +46,7 @@ GROUP BY c.country_name, s.sector_name, i.indicator_code, g.transformation, g.ye
 @register("unpivot_years", with_star(WIDE_LONG_SQL))
 def unpivot_years(spark, sf):
     wide = wide_gfs_frame(Star(spark, sf))
-    return I.unpivot_years(wide, WIDE_IDS)
+    return I.unpivot_years(wide, WIDE_IDS).withColumn("value", r4("value"))
 
 
 # ---------------------------------------------------------------- L2
@@ -54,7 +54,7 @@ GDP = CONCEPT["GDP"]
 
 
 @register("unpivot_entities", with_star(f"""
-SELECT g.year, c.country_name, {XS("g.value")} AS value
+SELECT g.year, c.country_name, ROUND(SUM(g.value), 4) AS value
 FROM gem_observations g
 JOIN countries c ON g.country_id = c.country_id
 JOIN indicators i ON g.indicator_id = i.indicator_id
@@ -63,16 +63,16 @@ GROUP BY g.year, c.country_name"""))
 def unpivot_entities(spark, sf):
     g = gem_star(Star(spark, sf)).where(col("indicator_name").like(GDP))
     # one matrix per series: rows = years, one column per country
-    matrix = g.groupBy("year").pivot("country_name").agg(exact_sum("value"))
+    matrix = g.groupBy("year").pivot("country_name").agg(total("value"))
     countries = [c for c in matrix.columns if c != "year"]
-    return I.unpivot_wide(matrix, ["year"], countries, "country_name", "value")
+    return I.unpivot_wide(matrix, ["year"], countries, "country_name", "value").withColumn("value", r4("value"))
 
 
 # ---------------------------------------------------------------- L3
 @register("dim_distinct", with_star(f"""
 SELECT DISTINCT COUNTRY FROM ({WIDE_LONG_SQL}) w WHERE COUNTRY IS NOT NULL"""))
 def dim_distinct(spark, sf):
-    return I.distinct_values(wide_gfs_frame(Star(spark, sf)), "COUNTRY")
+    return I.distinct_values(gfs_star(Star(spark, sf)), "country_name", "COUNTRY")
 
 
 # ---------------------------------------------------------------- L4
@@ -124,7 +124,7 @@ def dim_insert_ignore(spark, sf):
     S = Star(spark, sf)
     existing = (S.countries().where(col("region").isin(*EXISTING_REGIONS))
                 .select("country_name", "region"))
-    incoming = (S.t.supplier.join(F.broadcast(S.t.nation), col("s_nationkey") == col("n_nationkey"))
+    incoming = (S.t.supplier.join(S.t.nation, col("s_nationkey") == col("n_nationkey"))
                 .select(col("n_name").alias("country_name"), F.lit("UNASSIGNED").alias("region"),
                         col("s_suppkey").alias("ord")))
     return I.insert_ignore(existing, incoming, "country_name", "ord")
@@ -152,7 +152,7 @@ def fact_lookup_join(spark, sf):
     long = I.unpivot_years(wide_gfs_frame(S), WIDE_IDS)
     facts = I.lookup_facts(long, S.countries(), indicator_dim_last_wins(S), S.sectors(),
                            country_name="COUNTRY", indicator_code="SERIES_CODE", sector_name="SECTOR")
-    return facts.select("country_id", "year", "sector_id", "indicator_id", "value",
+    return facts.select("country_id", "year", "sector_id", "indicator_id", r4("value").alias("value"),
                         col("TYPE_OF_TRANSFORMATION").alias("transformation"))
 
 
@@ -174,7 +174,7 @@ FROM missing""")
 def dim_upsert_offset(spark, sf):
     S = Star(spark, sf)
     dim = S.countries().where(col("region").isin("AFRICA", "AMERICA", "ASIA"))
-    names = (S.t.customer.join(F.broadcast(S.t.nation), col("c_nationkey") == col("n_nationkey"))
+    names = (S.t.customer.join(S.t.nation, col("c_nationkey") == col("n_nationkey"))
              .select(col("n_name").alias("country_name")))
     return I.upsert_with_offset(dim, names, "country_name", "country_id")
 
@@ -236,7 +236,7 @@ SELECT COALESCE(CASE WHEN y IS NULL THEN 'bad_year'
                      WHEN raw_value IS NULL THEN 'empty_value'
                      WHEN v IS NULL THEN 'bad_value' END, 'accepted') AS status,
        CAST(COUNT(*) AS BIGINT) AS cells,
-       CAST(SUM(CAST(v AS DECIMAL(18,2))) AS DOUBLE) AS accepted_value
+       ROUND(SUM(v), 4) AS accepted_value
 FROM typed GROUP BY 1""")
 def safe_cast_reject(spark, sf):
     o = Star(spark, sf).t.orders
@@ -247,7 +247,7 @@ def safe_cast_reject(spark, sf):
          .alias("raw_value"))
     typed = I.safe_cast_reject(cells, "raw_year", "raw_value")
     return (typed.groupBy(F.coalesce(col("reject_reason"), F.lit("accepted")).alias("status"))
-            .agg(F.count(F.lit(1)).alias("cells"), exact_sum("value").alias("accepted_value")))
+            .agg(F.count(F.lit(1)).alias("cells"), r4(total("value")).alias("accepted_value")))
 
 
 # ---------------------------------------------------------------- L14

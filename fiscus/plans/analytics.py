@@ -13,13 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fiscus.functions.agg import cond_count, cond_sum, exact_sum
+from fiscus.functions.agg import cond_count, cond_sum, total
 
 
 def one_per_period(df: DataFrame, keys: Sequence[str], value: str = "value",
                    out: str = "value", how: str = "sum") -> DataFrame:
     """Collapse a fact to one row per (entity, period) before series windows."""
-    agg = exact_sum(value) if how == "sum" else F.avg(value)
+    agg = total(value) if how == "sum" else F.avg(value)
     return df.groupBy(*keys).agg(agg.alias(out))
 
 
@@ -41,7 +41,7 @@ def running_total(df: DataFrame, part: Sequence[str], order: str, value: str,
     """SUM(x) OVER (ORDER BY k) with the default RANGE frame (peers included)."""
     w = (Window.partitionBy(*part).orderBy(order)
          .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(out, F.sum(F.col(value).cast("decimal(18,2)")).over(w).cast("double"))
+    return df.withColumn(out, F.sum(F.col(value).cast("double")).over(w))
 
 
 def conditional_pivot(df: DataFrame, keys: Sequence[str], label: Column,
@@ -95,16 +95,7 @@ def cagr_pct(first: str, last: str, periods: int) -> Column:
 
 def coverage_counts(df: DataFrame, key: str, distinct_cols: Sequence[str],
                     count_name: str = "total_observations") -> DataFrame:
-    """Several COUNT(DISTINCT ..) plus COUNT(*) per key, without Expand.
-
-    Each distinct count is computed as its own two-level aggregate
-    (distinct pairs, then count) and joined back on ``key``.  This avoids
-    the row multiplication of Catalyst's Expand for multi-distinct
-    aggregates; every stage combines map-side before the shuffle.
-    """
-    out = df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name))
-    for c in distinct_cols:
-        part = (df.select(key, c).where(F.col(c).isNotNull()).distinct()
-                  .groupBy(key).agg(F.count(F.lit(1)).alias(f"n_{c}")))
-        out = out.join(part, key, "left")
-    return out
+    """Several COUNT(DISTINCT ..) plus COUNT(*) per key in one pass over
+    ``df``; each task combines its rows per (key, value) before the shuffle."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(count_name),
+                               *[F.countDistinct(c).alias(f"n_{c}") for c in distinct_cols])

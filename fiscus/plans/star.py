@@ -9,11 +9,9 @@ Reference schema (4 dimensions + 2 facts) and its analog:
   gfs_observations lineitem JOIN orders JOIN customer (LEFT JOIN sectors)
   gem_observations lineitem JOIN supplier
 
-Join strategy: ``nation``/``region`` have a fixed row count by the TPC-H
-specification (25 / 5 rows at every scale factor), so they are broadcast
-explicitly.  Every other dimension grows with the data; those joins carry no
-hint and AQE converts them to broadcast at runtime only when the (filtered)
-side measures under ``spark.sql.autoBroadcastJoinThreshold``.
+Join strategy: no join carries a hint; AQE converts a join to broadcast at
+runtime when the (filtered) side measures under
+``spark.sql.autoBroadcastJoinThreshold``.
 
 ``materialize`` writes both facts once, partitioned by ``year``, so that at
 scale every analytic query reads a pruned parquet fact instead of re-joining
@@ -22,6 +20,8 @@ lineitem with orders.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +78,12 @@ YEAR_MIN, YEAR_MAX = 1972, 2024
 STAR_DIR_CONF = "fiscus.star.dir"
 
 
+def source_folder(sf_dir: str) -> str:
+    """Folder of a stored star under ``fiscus.star.dir``: named after the
+    tables it was built from, so a star of other tables is never read."""
+    return "source-" + hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+
+
 class Star:
     """Lazy star-schema views over one scale-factor directory.
 
@@ -90,14 +96,15 @@ class Star:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.t = Tables(spark, sf_dir)
-        self.stored = spark.conf.get(STAR_DIR_CONF, None) or None
+        root = spark.conf.get(STAR_DIR_CONF, None)
+        self.stored = f"{root}/{source_folder(sf_dir)}" if root else None
 
     # -- dimensions -------------------------------------------------------
     def countries(self) -> DataFrame:
         if self.stored:
             return self._stored_dim("countries")
         n, r = self.t.nation, self.t.region
-        return (n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+        return (n.join(r, n.n_regionkey == r.r_regionkey)
                  .select(n.n_nationkey.cast("bigint").alias("country_id"),
                          n.n_name.alias("country_name"),
                          r.r_name.alias("region")))
@@ -191,6 +198,7 @@ class Star:
         No repartition by year (that would funnel a whole year into one
         task): every task sorts its own rows by year and writes one file per
         year it holds, with a single open writer at a time."""
+        out_dir = f"{out_dir}/{source_folder(self.t.root)}"
         for name, dim in (("countries", self.countries()), ("sectors", self.sectors()),
                           ("indicators", self.indicators()), ("time_periods", self.time_periods())):
             dim.write.mode("overwrite").parquet(f"{out_dir}/{name}")
