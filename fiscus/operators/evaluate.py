@@ -85,27 +85,23 @@ def result_equality(results: DataFrame, key: str = "query_id", side: str = "side
     ``results`` is long: one row per result row with its position.  Ordered
     equality = same length and equal rows at every position (column names
     are ignored: ``row`` is a struct/array of values).  Multiset equality =
-    same rows with the same multiplicities.  Both are joins + aggregates;
+    same rows with the same multiplicities.  Both are aggregates without a join;
     no result list is collected.  ``tolerance`` relaxes the ordered mode to
     |gold - pred| <= tolerance on numeric fields (multiset mode stays exact).
     """
-    g = results.where(col(side) == "gold").select(key, pos, col(row).alias("g"))
-    p = results.where(col(side) == "pred").select(key, pos, col(row).alias("p"))
+    gold, pred = (F.when(col(side) == s, col(row)) for s in ("gold", "pred"))
+    at = results.groupBy(key, pos).agg(F.first(gold, True).alias("g"), F.first(pred, True).alias("p"))
     if tolerance is None:
         same = F.coalesce(col("g").eqNullSafe(col("p")), F.lit(False))
     else:  # ordered mode with a numeric tolerance (positional fields)
         from pyspark.sql.types import NumericType
         fields = [(f.name, isinstance(f.dataType, NumericType)) for f in results.schema[row].dataType.fields]
         same = col("g").isNotNull() & col("p").isNotNull() & _rows_close(col("g"), col("p"), fields, tolerance)
-    ordered = (g.join(p, [key, pos], "full_outer")
-                .groupBy(key)
-                .agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"),
-                     F.count_if(~same).alias("mismatched_positions")))
-    gm = results.where(col(side) == "gold").groupBy(key, col(row).alias("r")).agg(F.count(F.lit(1)).alias("cg"))
-    pm = results.where(col(side) == "pred").groupBy(key, col(row).alias("r")).agg(F.count(F.lit(1)).alias("cp"))
-    multi = (gm.join(pm, [key, "r"], "full_outer")
-               .groupBy(key)
-               .agg(F.count_if(~F.coalesce(col("cg") == col("cp"), F.lit(False))).alias("_bad")))
+    ordered = at.groupBy(key).agg(F.count("g").alias("n_gold"), F.count("p").alias("n_pred"),
+                                  F.count_if(~same).alias("mismatched_positions"))
+    multi = (results.groupBy(key, col(row).alias("r"))
+             .agg(F.sum(F.when(col(side) == "gold", 1).otherwise(-1)).alias("_surplus"))
+             .groupBy(key).agg(F.count_if(col("_surplus") != 0).alias("_bad")))
     return (ordered.join(multi, key, "left")
             .select(key, "n_gold", "n_pred", "mismatched_positions",
                     (col("mismatched_positions") == 0).alias("ordered_equal"),
@@ -120,12 +116,11 @@ def events_results(t: Tables) -> DataFrame:
     # a result list can be a large share of the log: skew-safe positions
     base = row_number_in_group(e, ["query_id"], ["ts", "event_id"], "pos").select(
         "query_id", "pos", "user_id", "value")
-    gold = base.select("query_id", "pos", F.lit("gold").alias("side"),
-                       F.struct("user_id", "value").alias("row"))
-    pred = base.select("query_id", "pos", F.lit("pred").alias("side"),
-                       F.struct("user_id", F.when(col("value") > 95, col("value") + 1)
-                                .otherwise(col("value")).alias("value")).alias("row"))
-    return gold.unionByName(pred)
+    def side(name, value):
+        return F.struct(F.lit(name).alias("side"), F.struct("user_id", value.alias("value")).alias("row"))
+    pred = F.when(col("value") > 95, col("value") + 1).otherwise(col("value"))
+    return (base.select("query_id", "pos", F.explode(F.array(side("gold", col("value")), side("pred", pred))).alias("s"))
+            .select("query_id", "pos", "s.side", "s.row"))
 
 
 @register("result_equality", """
@@ -255,13 +250,10 @@ def paired_compare_q(spark, sf):
 
 # ---------------------------------------------------------------- A25 / W9 / V-6
 def attempts_log(t: Tables) -> DataFrame:
-    """One row per attempt with its 1-based number in (ts, event_id) order;
-    numbering is skew-safe (a query with a huge retry log is split)."""
-    from fiscus.operators.ingest import row_number_in_group
-    e = t.events.select(col("user_id").alias("query_id"), "ts", "event_id",
-                        (col("event_type") != "error").alias("execution_success"),
-                        (col("value") > 50).alias("is_correct"))
-    return row_number_in_group(e, ["query_id"], ["ts", "event_id"], "attempt_num").drop("ts", "event_id")
+    """One row per attempt; ``at`` orders the attempts of a query."""
+    return t.events.select(col("user_id").alias("query_id"), F.struct("ts", "event_id").alias("at"),
+                           (col("event_type") != "error").alias("execution_success"),
+                           (col("value") > 50).alias("is_correct"))
 
 
 def retry_metrics(attempts: DataFrame) -> DataFrame:
@@ -269,8 +261,8 @@ def retry_metrics(attempts: DataFrame) -> DataFrame:
     no attempt list is materialized), then the global roll-up."""
     per = attempts.groupBy("query_id").agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.min_by("is_correct", "attempt_num").alias("first_ok"),
-        F.max_by("is_correct", "attempt_num").alias("last_ok"))
+        F.min_by("is_correct", "at").alias("first_ok"),
+        F.max_by("is_correct", "at").alias("last_ok"))
     return per.agg(F.count(F.lit(1)).alias("queries"),
                    F.count_if(col("first_ok")).alias("first_attempt_correct"),
                    F.count_if(col("last_ok")).alias("final_correct"),

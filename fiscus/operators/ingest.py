@@ -54,39 +54,33 @@ def distinct_values(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
 
 
 SLICE_SAMPLES_PER_SLICE = 20
-# Inputs up to this many rows (counted first) are numbered with a plain
-# window: whatever the key distribution, one task then holds at most this
-# many rows.
-SINGLE_TASK_ROWS = 1_000_000
+
+
+def _count_below(bounds: Column, key: Column, n: int) -> Column:
+    """Number of the (at most ``n - 1``) sorted ``bounds`` below ``key``, by bisection."""
+    steps = [2 ** p for p in reversed(range(max(n - 1, 1).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(
+        F.get(bounds, at + s - 1) < key, at + s).otherwise(at))
 
 
 def with_key_slices(df: DataFrame, keys: Sequence[str], n: int | None = None,
-                    seed: int = 17, out: str = "_slice", total: int | None = None) -> DataFrame:
+                    out: str = "_slice") -> DataFrame:
     """Add a data-defined slice number 0..n-1 that is monotone in ``keys``.
 
-    Boundaries come from a seeded sample of the keys (a deterministic
-    function of the input), gathered into one small sorted array (about
-    ``SLICE_SAMPLES_PER_SLICE * n`` keys) and attached to every row; the
-    slice of a row is the number of boundaries below its key.  Unlike a
-    physical partition id, the value is the same in every branch of a plan
-    and on every task retry.
+    Boundaries come from the keys with the smallest hashes: a uniform sample
+    of ``SLICE_SAMPLES_PER_SLICE * n`` keys (each task keeps that many) that
+    depends on nothing but the keys themselves, so every branch of a plan and
+    every task retry cuts alike.  The ``n - 1`` boundaries are one row; the
+    slice of a row is the number of boundaries below its key.
     """
-    from fiscus.plans.analytics import attach_scalar
-    spark = df.sparkSession
-    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = df.count() if total is None else total  # sizes the sample
-    frac = min(1.0, SLICE_SAMPLES_PER_SLICE * n / max(total, 1))
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     k = F.struct(*[col(c) for c in keys])
-    ks = F.array_sort(F.collect_list("k"))
+    sample = (df.select(k.alias("k"), F.xxhash64(*keys).alias("h")).orderBy("h", "k")
+              .limit(SLICE_SAMPLES_PER_SLICE * n).agg(F.array_sort(F.collect_list("k")).alias("_ks")))
     picks = F.transform(F.sequence(F.lit(1), F.lit(max(n - 1, 1))),
-                        lambda i: F.try_element_at(col("_ks"), F.greatest(
-                            F.lit(1), (i * F.size("_ks") / n).cast("int"))))
-    bounds = (df.select(k.alias("k")).sample(withReplacement=False, fraction=frac, seed=seed)
-              .agg(ks.alias("_ks"))
-              .select(F.filter(F.array_distinct(picks), lambda b: b.isNotNull()).alias("_bounds")))
-    return (attach_scalar(df, bounds)
-            .withColumn(out, F.size(F.filter(col("_bounds"), lambda b: b < k)).cast("int"))
-            .drop("_bounds"))
+                        lambda i: F.get(col("_ks"), (i * F.size("_ks") / n).cast("int")))
+    bounds = sample.select(F.filter(F.array_distinct(picks), lambda b: b.isNotNull()).alias("_bounds"))
+    return attach_scalar(df, bounds).withColumn(out, _count_below(col("_bounds"), k, n)).drop("_bounds")
 
 
 def row_number_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
@@ -102,21 +96,19 @@ def row_number_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str
     tie-breaker) for a deterministic result.
     """
     group, order = list(group), list(order)
-    limit = int(df.sparkSession.conf.get("fiscus.numbering.singleTaskRows", None) or SINGLE_TASK_ROWS)
-    total = df.count()  # size check: small inputs take the plain window
-    if total <= limit:
-        w = Window.partitionBy(*group).orderBy(*order) if group else Window.orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    sl = with_key_slices(df, [*group, *order], total=total)
+    sl = with_key_slices(df, [*group, *order])
     local = sl.withColumn("_rn", F.row_number().over(Window.partitionBy(*group, "_slice").orderBy(*order)))
     counts = sl.groupBy(*group, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        *group, "_slice",
-        F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice")
-                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*group, "_slice"])
+    before = (Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))) \
+        .orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*[col(g).alias(f"_g_{g}") for g in group], col("_slice").alias("_s"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    same = col("_slice") == col("_s")
+    for g in group:  # a NULL group is a group
+        same = same & col(g).eqNullSafe(col(f"_g_{g}"))
+    return (local.join(offsets, same)
                  .withColumn(out, (col("_off") + col("_rn")).cast("bigint"))
-                 .drop("_slice", "_rn", "_off"))
+                 .drop("_slice", "_rn", "_off", "_s", *[f"_g_{g}" for g in group]))
 
 
 def sorted_surrogate_key(df: DataFrame, order_col: str, id_col: str, start: int = 1) -> DataFrame:
@@ -126,7 +118,7 @@ def sorted_surrogate_key(df: DataFrame, order_col: str, id_col: str, start: int
     task; here it is the single-group case of ``row_number_in_group``
     (slices of the key range numbered in parallel, shifted by the sizes of
     earlier slices -- an offsets table with one row per slice)."""
-    out = row_number_in_group(df.withColumn("_g", F.lit(0)), ["_g"], [order_col], id_col).drop("_g")
+    out = row_number_in_group(df, [], [order_col], id_col)
     return out if start == 1 else out.withColumn(id_col, col(id_col) + (start - 1))
 
 

@@ -96,8 +96,6 @@ def main():
     registry.load_all()
     keys = a.keys or sorted(registry.QUERIES)
     extra = {}
-    if os.environ.get("ORACLE_SINGLE_TASK_ROWS"):
-        extra["fiscus.numbering.singleTaskRows"] = os.environ["ORACLE_SINGLE_TASK_ROWS"]
     spark = build_session(shuffle_partitions=int(os.environ.get("ORACLE_SHUFFLE_PARTITIONS", "8")),
                           extra=extra)
     con = duckdb.connect()

@@ -22,8 +22,7 @@ def test_unpivot_pivot_round_trip(spark):
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, long.collect()))
 
 
-def test_sorted_surrogate_key_is_consecutive_across_partitions(spark, monkeypatch):
-    monkeypatch.setattr(I, "SINGLE_TASK_ROWS", 0)  # force the sliced path
+def test_sorted_surrogate_key_is_consecutive_across_partitions(spark):
     names = spark.range(0, 5000).select(F.format_string("n%05d", (F.col("id") * 7919) % 5000).alias("name"))
     keyed = I.sorted_surrogate_key(names, "name", "id").orderBy("id").collect()
     assert [r.id for r in keyed] == list(range(1, 5001))
@@ -96,18 +95,16 @@ def test_year_sequence_fills_gaps(spark):
     assert [r.year for r in I.year_sequence(years).collect()] == [1999, 2000, 2001, 2002, 2003]
 
 
-@pytest.mark.parametrize("single_task_rows", [0, 10**9])
-def test_row_number_in_group_matches_window_with_hot_group(spark, monkeypatch, single_task_rows):
-    monkeypatch.setattr(I, "SINGLE_TASK_ROWS", single_task_rows)
+def test_row_number_in_group_matches_window_with_hot_group(spark):
     from pyspark.sql import Window
-    # one group holds ~a third of the rows
+    # one group holds ~a third of the rows, one is NULL
     df = spark.range(0, 3000).select(
-        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string")))
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.concat(F.lit("g"), (F.col("id") % 97).cast("string")))
         .alias("g"), ((F.col("id") * 7919) % 3001).alias("o"), "id")
     got = I.row_number_in_group(df, ["g"], ["o", "id"], "rn")
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("o", "id")))
-    assert sorted(map(tuple, got.select("g", "id", "rn").collect())) == \
-        sorted(map(tuple, want.select("g", "id", "rn").collect()))
+    assert sorted(map(tuple, got.select("id", "g", "rn").collect())) == \
+        sorted(map(tuple, want.select("id", "g", "rn").collect()))
 
 
 def test_hot_group_is_split_into_slices(spark):
@@ -134,3 +131,11 @@ def test_last_seen_null_name_drops_indicator_and_observations(spark):
     c = spark.createDataFrame([(1, "A")], "country_id long, country_name string")
     facts = I.lookup_facts(long, c, keyed)
     assert [r.value for r in facts.collect()] == [2.0]
+
+
+def test_row_number_builds_without_running_a_job_and_takes_empty_input(spark):
+    df = spark.createDataFrame([], "g string, o long")
+    assert I.row_number_in_group(df, ["g"], ["o"], "rn").collect() == []
+    same_key = spark.range(0, 100).select(F.lit("g").alias("g"), F.lit(1).alias("o"), "id")
+    got = I.row_number_in_group(same_key, ["g"], ["o"], "rn").collect()
+    assert sorted(r.rn for r in got) == list(range(1, 101))
