@@ -3,13 +3,9 @@ scorer, TF-IDF terms, shingle containment, fuzzy name matching, and the
 schema / prompt text built from retrieved items.
 
 Question x item scoring (reference: every question against every schema
-item) is done without a row-level cross join.  The item side is counted
-first; when it is within ``max_broadcast_items`` it is collected into one
-array row, broadcast, and each query scores the whole array with
-higher-order functions inside codegen, keeping only its top k.  Beyond
-that bound the items are spread over buckets, every query is replicated
-once per bucket, and a shuffle equi-join on the bucket scores the pairs;
-per-bucket top k then a final top k keep the result exact.
+item) packs the items in blocks of bounded size.  The number of blocks follows
+from the item count inside the plan; a question meets each block once, scores
+it inside codegen and keeps its top k, and the block winners are ranked.
 """
 
 from __future__ import annotations
@@ -20,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
-from fiscus.functions.vectors import cosine, sigmoid
+from fiscus.functions.vectors import cosine, norm, sigmoid
 from fiscus.plans.analytics import attach_scalar
 from fiscus.plans.registry import register
 from fiscus.operators.corpus import query_log_exprs
@@ -29,8 +25,7 @@ from fiscus.sources.tables import Tables
 
 col = F.col
 
-MAX_BROADCAST_ITEMS = 20_000
-FALLBACK_BUCKETS = 64
+ITEMS_PER_BLOCK = 1_024
 
 
 # ---------------------------------------------------------------- centroids
@@ -43,39 +38,45 @@ def centroids(df: DataFrame, keys: list[str], vec: str = "embedding") -> DataFra
 
 # ---------------------------------------------------------------- top-k core
 def topk_items(queries: DataFrame, qid: str, qval: str, items: DataFrame, iid: str, ival: str,
-               k: int, score_fn, max_broadcast_items: int = MAX_BROADCAST_ITEMS,
+               k: int, score_fn, block_items: int = ITEMS_PER_BLOCK,
                min_score: float | None = None) -> DataFrame:
     """Top ``k`` items per query under ``score_fn(query_value, item_value)``.
 
-    Returns (qid, rank, iid, score); ties broken by item id.  Exact in both
-    execution paths (see module doc)."""
-    n_items = items.count()  # size check guarding the broadcast
-    if n_items <= max_broadcast_items:
-        arr = items.agg(F.collect_list(F.struct(col(iid).alias("id"), col(ival).alias("v"))).alias("_items"))
-        scored = F.transform(col("_items"), lambda it: F.struct(
-            (-score_fn(col(qval), it["v"])).alias("neg"), it["id"].alias("id")))
-        keep = F.filter(scored, lambda s: s["neg"].isNotNull() & (
-            (-s["neg"] >= min_score) if min_score is not None else F.lit(True)))
-        top = F.slice(F.array_sort(keep), 1, k)
-        return (attach_scalar(queries.select(qid, qval), arr)
-                .select(qid, F.posexplode(top).alias("_p", "_s"))
-                .select(qid, (col("_p") + 1).alias("rank"), col("_s.id").alias(iid),
-                        (-col("_s.neg")).alias("score")))
-    b = FALLBACK_BUCKETS
-    it = items.select(col(iid), col(ival).alias("_iv"),
-                      F.pmod(F.xxhash64(col(iid)), F.lit(b)).alias("_b"))
-    qs = queries.select(qid, col(qval).alias("_qv"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("_b"))
-    pairs = qs.join(it, "_b").select(qid, iid, score_fn(col("_qv"), col("_iv")).alias("score"))
-    if min_score is not None:
-        pairs = pairs.where(col("score") >= min_score)
-    pairs = pairs.where(col("score").isNotNull())
-    w = Window.partitionBy(qid).orderBy(col("score").desc(), col(iid))
-    return (pairs.withColumn("rank", F.row_number().over(w)).where(col("rank") <= k)
-            .select(qid, "rank", iid, "score"))
-
-
-def _cos(a: Column, b: Column) -> Column:
-    return cosine(a, b)
+    Returns (qid, rank, iid, score); ties broken by item id.  Blocks hold
+    about ``block_items`` items.  With fewer blocks than shuffle partitions
+    each block is copied under several salts and the queries are dealt over
+    them, so that no join key holds all queries; AQE broadcasts the blocks
+    when it measures them small."""
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = (items.agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_items), F.lit(1)).alias("_blocks"))
+             .select("_blocks", F.ceil(F.lit(tasks) / col("_blocks")).alias("_salts")))
+    blocks = (attach_scalar(items.select(F.struct(col(iid).alias("id"), col(ival).alias("v")).alias("_it")), shape)
+              .groupBy(F.pmod(F.xxhash64("_it.id"), col("_blocks")).alias("_b"), "_salts")
+              .agg(F.collect_list("_it").alias("_items"))
+              .select("_b", "_items", F.explode(F.sequence(F.lit(0).cast("bigint"), col("_salts") - 1)).alias("_s")))
+    asked = (attach_scalar(queries.select(col(qid), col(qval).alias("_q")), shape)
+             .select(qid, "_q", F.pmod(F.xxhash64(qid), col("_salts")).alias("_s"),
+                     F.explode(F.sequence(F.lit(0).cast("bigint"), col("_blocks") - 1)).alias("_b")))
+    scored = F.transform("_items", lambda it: F.struct((-score_fn(col("_q"), it["v"])).alias("neg"), it["id"].alias("id")))
+    kept = F.filter(scored, lambda s: s["neg"].isNotNull() if min_score is None else s["neg"] <= -min_score)
+    best = (asked.join(blocks, ["_b", "_s"])
+            .select(qid, F.explode(F.slice(F.array_sort(kept), 1, k)).alias("_w")))
+    w = Window.partitionBy(qid).orderBy("_w")
+    return (best.withColumn("rank", F.row_number().over(w)).where(col("rank") <= k)
+            .select(qid, "rank", col("_w.id").alias(iid), (-col("_w.neg")).alias("score")))
+
+
+def with_norm(df: DataFrame, vec: str) -> DataFrame:
+    """Replace a vector by (v, n): the norm is computed once per row, not per pair."""
+    return df.withColumn(vec, F.struct(col(vec).alias("v"), norm(col(vec)).alias("n")))
+
+
+def dense_topk(queries: DataFrame, qid: str, qvec: str, items: DataFrame, iid: str, ivec: str, k: int,
+               block_items: int = ITEMS_PER_BLOCK) -> DataFrame:
+    """Top ``k`` items per query by cosine."""
+    return topk_items(with_norm(queries.select(qid, qvec), qvec), qid, qvec,
+                      with_norm(items.select(iid, ivec), ivec), iid, ivec, k,
+                      lambda a, b: cosine(a["v"], b["v"], a["n"], b["n"]), block_items)
 
 
 # ---------------------------------------------------------------- D-29 / O11
@@ -99,7 +100,7 @@ def topk_cosine(spark, sf):
     """Every embedding is a question; items are the label ('table')
     centroids; top 3 by cosine."""
     emb = Tables(spark, sf).embeddings
-    top = topk_items(emb, "vec_id", "embedding", label_items(emb), "label", "vec", 3, _cos)
+    top = dense_topk(emb, "vec_id", "embedding", label_items(emb), "label", "vec", 3)
     return top.select("vec_id", col("rank").cast("int"), "label", F.round("score", 6).alias("score"))
 
 
@@ -137,7 +138,7 @@ def column_items(emb: DataFrame) -> DataFrame:
 def two_stage(emb: DataFrame, k_tables: int = 2, k_columns: int = 3) -> DataFrame:
     """D-30: top tables per question, then top columns inside each of them,
     re-ranked globally by score."""
-    tables = topk_items(emb, "vec_id", "embedding", label_items(emb), "label", "vec", k_tables, _cos)
+    tables = dense_topk(emb, "vec_id", "embedding", label_items(emb), "label", "vec", k_tables)
     # stage 2: an equi-join of (question, picked table) with that table's
     # columns -- fan-out bounded by k_tables x columns per table
     cols = column_items(emb).select("label", "column_no", col("vec").alias("cvec"))
@@ -213,7 +214,7 @@ def rank_detail_summary(spark, sf):
     one-line summary."""
     emb = Tables(spark, sf).embeddings
     labels = label_items(emb)
-    top5 = topk_items(emb, "vec_id", "embedding", labels, "label", "vec", 5, _cos)
+    top5 = dense_topk(emb, "vec_id", "embedding", labels, "label", "vec", 5)
     cl = (column_items(emb).groupBy("label")
           .agg(F.array_join(F.transform(F.array_sort(F.collect_list("column_no")),
                                         lambda c: F.concat(F.lit("c"), c.cast("string"))), ", ").alias("cl")))
@@ -264,16 +265,18 @@ def topk_token_overlap(spark, sf):
         "id", F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9_]+"), 0)).alias("qt"))
     items = catalog_items(spark)
     top = topk_items(log, "id", "qt", items, "item_id", "tokens", 3, token_overlap, min_score=1e-12)
-    return (top.join(F.broadcast(items.select("item_id", "item")), "item_id")
+    return (top.join(items.select("item_id", "item"), "item_id")
             .select("id", col("rank").cast("int"), "item", F.round("score", 6).alias("score"),
                     F.round(sigmoid(4 * col("score") - 2), 6).alias("probability")))
 
 
 # ---------------------------------------------------------------- D-38
+WORD_LETTERS = r"[\p{L}\p{M}]+"
+
+
 def tokens_lower(text: Column) -> Column:
-    """ASCII word tokens, lower-cased after extraction (lower() on short ASCII
-    tokens stays on the fast path; on whole multilingual texts it does not)."""
-    return F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+"), 0), F.lower)
+    """Words of letters of any script, lower-cased after extraction."""
+    return F.transform(F.regexp_extract_all(text, F.lit(WORD_LETTERS), 0), F.lower)
 
 
 def tfidf_top_terms(docs: DataFrame, id_col: str, text_col: str, k: int = 5) -> DataFrame:
@@ -292,8 +295,8 @@ def tfidf_top_terms(docs: DataFrame, id_col: str, text_col: str, k: int = 5) ->
             .select(id_col, "rank", "term", F.round("tfidf", 6).alias("tfidf")))
 
 
-@register("tfidf_topk", """
-WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x))) AS term
+@register("tfidf_topk", f"""
+WITH t AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(text, '{WORD_LETTERS}'), lambda x: lower(x))) AS term
            FROM documents),
 tf AS (SELECT doc_id, term, COUNT(*) AS cnt FROM t GROUP BY doc_id, term),
 dl AS (SELECT doc_id, SUM(cnt) AS dlen FROM tf GROUP BY doc_id),
@@ -339,21 +342,23 @@ def containment_matches(docs: DataFrame, passages: DataFrame, threshold: float =
             .select("doc_id", "item_id", "shared", "containment"))
 
 
-def _d_shingles(x: str) -> str:
-    t = f"list_transform(regexp_extract_all({x}, '[A-Za-z]+'), lambda w: lower(w))"
-    return (f"list_distinct(list_transform(range(1, greatest(len({t}) - 1, 1)), "
-            f"lambda i: array_to_string({t}[i:i + 2], ' ')))")
+def _d_grams(table: str, key: str) -> str:
+    """Distinct 3-grams (key, sh): tokens by position, two successors each."""
+    return f"""SELECT DISTINCT {key}, sh FROM (SELECT
+  {key}, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o AS sh
+  FROM (SELECT {key}, generate_subscripts(ws, 1) AS pos, unnest(ws) AS x
+        FROM (SELECT {key}, list_transform(regexp_extract_all(text, '{WORD_LETTERS}'), lambda y: lower(y)) AS ws
+              FROM {table}) a) b
+  WINDOW o AS (PARTITION BY {key} ORDER BY pos)) grams WHERE sh IS NOT NULL"""
 
 
 @register("value_match_jaccard", f"""
-WITH d AS (SELECT DISTINCT doc_id, unnest({_d_shingles('text')}) AS sh FROM documents),
-p AS (SELECT item_id, {_d_shingles('text')} AS s FROM benchmark),
-pe AS (SELECT DISTINCT item_id, unnest(s) AS sh FROM p),
-ps AS (SELECT item_id, len(s) AS p_shingles FROM p),
-sh AS (SELECT d.doc_id, pe.item_id, COUNT(*) AS shared FROM d JOIN pe ON d.sh = pe.sh
-       WHERE d.sh <> '' GROUP BY d.doc_id, pe.item_id)
-SELECT sh.doc_id, sh.item_id, CAST(shared AS BIGINT) AS shared, ROUND(shared / p_shingles, 4) AS containment
-FROM sh JOIN ps ON sh.item_id = ps.item_id WHERE shared / p_shingles >= 0.5""")
+WITH d AS ({_d_grams('documents', 'doc_id')}),
+p AS ({_d_grams('benchmark', 'item_id')}),
+n AS (SELECT item_id, COUNT(*) AS size FROM p GROUP BY item_id)
+SELECT doc_id, item_id, COUNT(*) AS shared, ROUND(COUNT(*) / ANY_VALUE(size), 4) AS containment
+FROM d JOIN p USING (sh) JOIN n USING (item_id)
+GROUP BY doc_id, item_id HAVING COUNT(*) / ANY_VALUE(size) >= 0.5""")
 def value_match_jaccard(spark, sf):
     t = Tables(spark, sf)
     return containment_matches(t.documents, t.benchmark)

@@ -1,4 +1,4 @@
-"""Retrieval core: both execution paths of the top-k scorer agree."""
+"""Retrieval core: any block size gives the same top k; words of all scripts count."""
 
 from pyspark.sql import functions as F
 
@@ -7,21 +7,35 @@ from fiscus.operators import retrieval as R
 from fiscus.sources.tables import Tables
 
 
-def test_topk_bucketed_fallback_equals_broadcast_path(spark):
+def test_topk_does_not_depend_on_the_block_size(spark):
     emb = Tables(spark, SF_SMALL).embeddings
     items = R.centroids(emb.withColumn("column_no", R.quadrant(F.col("embedding"))), ["label", "column_no"]) \
         .select((F.col("label") * 10 + F.col("column_no")).alias("item_id"), "vec")
-    a = R.topk_items(emb, "vec_id", "embedding", items, "item_id", "vec", 4, R._cos)
-    b = R.topk_items(emb, "vec_id", "embedding", items, "item_id", "vec", 4, R._cos, max_broadcast_items=0)
-    norm = lambda df: sorted((r.vec_id, r.rank, r.item_id, round(r.score, 9)) for r in df.collect())
-    assert norm(a) == norm(b)
+    def rows(df):
+        return sorted((r.vec_id, r.rank, r.item_id, round(r.score, 9)) for r in df.collect())
+    one = rows(R.dense_topk(emb, "vec_id", "embedding", items, "item_id", "vec", 4))
+    assert rows(R.dense_topk(emb, "vec_id", "embedding", items, "item_id", "vec", 4, block_items=3)) == one
+    assert len(one) == 4 * emb.count()
 
 
-def test_token_overlap_min_score_in_both_paths(spark):
+def test_token_overlap_min_score(spark):
     q = spark.createDataFrame([(1, ["year", "value"]), (2, ["nothing"])], "id long, qt array<string>")
     items = R.catalog_items(spark)
-    a = R.topk_items(q, "id", "qt", items, "item_id", "tokens", 3, R.token_overlap, min_score=1e-12)
-    b = R.topk_items(q, "id", "qt", items, "item_id", "tokens", 3, R.token_overlap, min_score=1e-12,
-                     max_broadcast_items=0)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert {r.id for r in a.collect()} == {1}
+    got = [sorted(map(tuple, R.topk_items(q, "id", "qt", items, "item_id", "tokens", 3, R.token_overlap,
+                                          block_items=b, min_score=1e-12).collect())) for b in (2, 1000)]
+    assert got[0] == got[1]
+    assert {r[0] for r in got[0]} == {1}
+
+
+def test_no_items_and_no_queries(spark):
+    q = spark.createDataFrame([(1, ["a"])], "id long, qt array<string>")
+    none = spark.createDataFrame([], "item_id long, tokens array<string>")
+    assert R.topk_items(q, "id", "qt", none, "item_id", "tokens", 3, R.token_overlap).collect() == []
+    items = R.catalog_items(spark)
+    assert R.topk_items(q.where("id < 0"), "id", "qt", items, "item_id", "tokens", 3, R.token_overlap).collect() == []
+
+
+def test_words_keep_accented_letters(spark):
+    df = spark.createDataFrame([("\u00c9conomie fran\u00e7aise, a\u00f1o se\u00f1al 42",)], "t string")
+    assert df.select(R.tokens_lower(F.col("t")).alias("w")).first().w == [
+        "\u00e9conomie", "fran\u00e7aise", "a\u00f1o", "se\u00f1al"]
