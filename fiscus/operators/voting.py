@@ -9,8 +9,7 @@ source is the plugin that produced it (by line number).
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
@@ -25,20 +24,22 @@ col = F.col
 SOURCES = ["structure_specialist", "value_specialist", "aggregation_specialist", "join_specialist"]
 FALLBACK_SOURCE = "structure_specialist"
 OVERLAP_MIN = 0.6
-COMPARED = tuple(T.COMPARED_CLAUSES)  # plain tuple: used by worker-side code
 FUZZY_MIN = 0.8
 
 
-def candidates(t: Tables) -> DataFrame:
+def candidates(t: Tables, derive=None) -> DataFrame:
+    """Candidates with their extracted SQL (and what ``derive`` adds to the
+    log): text rules run once per log answer, before the join repeats it."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    log = query_log(t).select(col("id").alias("l_partkey"), col("text").alias("raw_text"))
+    log = query_log(t).select(col("id").alias("l_partkey"), T.extract_sql(col("text")).alias("sql"))
+    log = derive(log) if derive else log
     src = F.array(*[F.lit(s) for s in SOURCES])
     return (li.join(log, "l_partkey")
             .select(col("l_orderkey").alias("question_id"),
                     col("l_linenumber").alias("seq"),
                     F.element_at(src, (F.pmod(col("l_linenumber") - 1, F.lit(len(SOURCES))) + 1).cast("int"))
                     .alias("source"),
-                    "raw_text", "l_partkey", "l_suppkey"))
+                    "l_suppkey", *log.columns))
 
 
 ARRIVAL = ["seq", "l_partkey", "l_suppkey"]
@@ -58,8 +59,7 @@ def majority_vote(cands: DataFrame) -> DataFrame:
     and first fallback answer, so the final level can pick the answer and
     read its vote count from the same row."""
     fb = col("source") == FALLBACK_SOURCE
-    per_text = (cands.withColumn("sql", T.extract_sql(col("raw_text")))
-                .withColumn("_arr", F.struct(*ARRIVAL))
+    per_text = (cands.withColumn("_arr", F.struct(*ARRIVAL))
                 .groupBy("question_id", "sql")
                 .agg(F.count(F.lit(1)).alias("votes"), F.min("_arr").alias("_first"),
                      F.min(F.when(fb, col("_arr"))).alias("_fb_first")))
@@ -129,138 +129,74 @@ def majority_vote_q(spark, sf):
 
 
 # ---------------------------------------------------------------- D-20 .. D-22
-CLUSTER_SCHEMA = ("question_id long, best_sql string, cluster_size long, n_valid long, "
-                  "n_clusters long, selection_method string")
-
-
 def _ratio_ok(ref, names):
     return F.exists(F.array(*[F.lit(n) for n in names]), lambda t: (
         F.lit(1.0) - F.levenshtein(ref, t) / F.greatest(F.length(ref), F.length(t))) >= FUZZY_MIN)
 
 
-def per_distinct_text(df: DataFrame, text_col: str, build) -> DataFrame:
-    """Evaluate expensive pure text functions once per distinct text and join
-    the results back (candidates repeat: agreement is what voting counts).
-    ``build(frame_of_distinct_texts) -> frame with text_col + new columns``."""
-    texts = build(df.select(text_col).distinct())
-    return df.join(texts, df[text_col].eqNullSafe(texts[text_col]), "left").drop(texts[text_col])
-
-
-def _components(texts: DataFrame) -> DataFrame:
-    c = texts.withColumn("fixed", T.normalize_sql(T.extract_sql(col("raw_text"))))
-    for name in T.COMPARED_CLAUSES:
-        c = c.withColumn(f"k_{name}", T.clause_items(T.clause(col("fixed"), name), name))
-    refs = F.array_except(T.table_refs(col("fixed")), T.cte_names(col("fixed")))
-    has_parts = F.exists(F.array(*[F.size(col(f"k_{n}")) for n in T.COMPARED_CLAUSES]), lambda s: s > 0)
-    valid = has_parts & F.forall(refs, lambda r: _ratio_ok(r, CATALOG_TABLES))
-    return c.withColumn("valid", valid)
-
-
-def candidate_components(cands: DataFrame) -> DataFrame:
-    """D-4 + D-19 + D-20 as columns: normalized text, clause item arrays and
-    the validity flag (every FROM/JOIN table is a catalog table, exactly or
-    with edit ratio >= 0.8; CTE names allowed)."""
-    return per_distinct_text(cands, "raw_text", _components)
-
-
-def _compatible(a: dict, b: dict) -> bool:
-    for name in COMPARED:
-        s1, s2 = a[name], b[name]
-        if s1 and s2 and len(s1 & s2) / max(len(s1), len(s2)) < OVERLAP_MIN:
-            return False
-    return True
-
-
-def _leaders(qid, rows) -> dict:
-    """Leader clustering in arrival order over one question's distinct texts
-    (identical texts always land in the same cluster, so they arrive
-    pre-counted as ``weight``); the largest cluster (first created on ties)
-    gives its leader.  ``rows`` are sorted by arrival."""
-    valid = [r for r in rows if r["valid"]]
-    if not valid:
-        return {"question_id": qid, "best_sql": rows[0]["fixed"], "cluster_size": 0,
-                "n_valid": 0, "n_clusters": 0, "selection_method": "first_candidate"}
-    leaders: list[list] = []  # [components, leader text, size]
-    for r in valid:
-        comp = {n: set(r[f"k_{n}"]) if r[f"k_{n}"] is not None else set() for n in COMPARED}
-        for lead in leaders:
-            if _compatible(comp, lead[0]):
-                lead[2] += int(r["weight"])
-                break
-        else:
-            leaders.append([comp, r["fixed"], int(r["weight"])])
-    best = max(range(len(leaders)), key=lambda i: (leaders[i][2], -i))
-    return {"question_id": qid, "best_sql": leaders[best][1], "cluster_size": leaders[best][2],
-            "n_valid": sum(int(r["weight"]) for r in valid), "n_clusters": len(leaders),
-            "selection_method": "largest_cluster"}
-
-
-_OUT_COLS = ["question_id", "best_sql", "cluster_size", "n_valid", "n_clusters", "selection_method"]
-_IN_COLS = ["fixed", "weight", "valid", *[f"k_{n}" for n in COMPARED]]
-
-
-def _rows(pdf: pd.DataFrame):
-    """Row dicts from column lists (one conversion per batch, not per row)."""
-    cols = {c: pdf[c].tolist() for c in _IN_COLS}
-    return [{c: cols[c][i] for c in _IN_COLS} for i in range(len(pdf))]
-
-
-def cluster_partitions(batches):
-    """mapInPandas body: the partition arrives sorted by (question, arrival),
-    so each question is a contiguous run of rows; a run cut by a batch
-    boundary is carried into the next batch."""
-    carry_q, carry_rows = None, []
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        qids = pdf["question_id"].tolist()
-        rows = _rows(pdf)
-        out = []
-        for qid, row in zip(qids, rows):
-            if qid != carry_q:
-                if carry_rows:
-                    out.append(_leaders(carry_q, carry_rows))
-                carry_q, carry_rows = qid, []
-            carry_rows.append(row)
-        if out:
-            yield pd.DataFrame(out, columns=_OUT_COLS)
-    if carry_rows:
-        yield pd.DataFrame([_leaders(carry_q, carry_rows)], columns=_OUT_COLS)
+def with_clauses(log: DataFrame) -> DataFrame:
+    """D-4 + D-19 + D-20: normalized statement, one item set per compared
+    clause, and validity (some clause present; every FROM/JOIN table is a
+    CTE or a catalog table, exactly or with edit ratio >= 0.8)."""
+    fixed = log.withColumn("fixed", T.normalize_sql(col("sql")))
+    sets = F.array(*[T.clause_items(T.clause(col("fixed"), c), c) for c in T.COMPARED_CLAUSES])
+    tables = F.array_except(T.table_refs(col("fixed")), T.cte_names(col("fixed")))
+    return (fixed.withColumn("clauses", sets)
+            .withColumn("valid", F.exists("clauses", lambda s: F.size(s) > 0)
+                        & F.forall(tables, lambda r: _ratio_ok(r, CATALOG_TABLES))))
 
 
-def candidate_clusters(cands: DataFrame) -> DataFrame:
-    """Leader clustering per question.  Candidates are hash-partitioned by
-    question once; the dedupe to distinct texts and the arrival sort reuse
-    that partitioning (grouping on (question, text) is satisfied by a
-    partitioning on question), then one Python pass per partition."""
-    comp = candidate_components(cands)
-    n = int(cands.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["question_id", "fixed"]
-    dedup = (comp.repartition(n, "question_id").groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("weight"),
-                  F.min(F.struct(*ARRIVAL)).alias("_a"),
-                  F.first("valid").alias("valid"),
-                  *[F.first(f"k_{n}").alias(f"k_{n}") for n in T.COMPARED_CLAUSES])
-             .select(*keys, "weight", "valid", *[f"k_{n}" for n in T.COMPARED_CLAUSES],
-                     col("_a.seq").alias("first_seq"), col("_a.l_partkey").alias("first_part"),
-                     col("_a.l_suppkey").alias("first_supp")))
-    ordered = dedup.sortWithinPartitions("question_id", "first_seq", "first_part", "first_supp")
-    return ordered.mapInPandas(cluster_partitions, CLUSTER_SCHEMA)
+def clause_overlap(a: Column, b: Column) -> Column:
+    """D-21: share of the larger item set that both hold; 1 unless both hold items."""
+    larger = F.greatest(F.size(a), F.size(b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / larger)
 
 
-@register("candidate_clusters")
-def candidate_clusters_q(spark, sf):
-    """Rows-only check (order-dependent clustering; tested against a plain
-    Python implementation in tests/test_voting.py)."""
-    return candidate_clusters(candidates(Tables(spark, sf)))
+def _join_leader(leaders: Column, cand: Column) -> Column:
+    """D-22 step: the first leader that agrees on every clause gains the
+    candidate's weight; without one the candidate leads a new cluster."""
+    agrees = F.transform(leaders, lambda c: F.forall(
+        F.zip_with(c["clauses"], cand["clauses"], clause_overlap), lambda s: s >= OVERLAP_MIN))
+    new = F.struct(cand["clauses"].alias("clauses"), cand["fixed"].alias("fixed"), cand["weight"].alias("size"))
+    grown = F.transform(F.array(F.array_position(agrees, True)), lambda at: F.when(
+        at == 0, F.concat(leaders, F.array(new))).otherwise(F.transform(leaders, lambda c, i: F.struct(
+            c["clauses"].alias("clauses"), c["fixed"].alias("fixed"),
+            (c["size"] + F.when(i + 1 == at, cand["weight"]).otherwise(0)).alias("size")))))
+    return F.element_at(grown, 1)
 
 
-# The mapInPandas body and its helpers are pickled by value: executors then
-# need pandas but not this package on their Python path.
-def _ship_by_value() -> None:
-    import sys
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+LEADERS = "array<struct<clauses:array<array<string>>,fixed:string,size:bigint>>"
 
 
-_ship_by_value()
+def candidate_clusters(cands: DataFrame) -> DataFrame:
+    """Leader clustering per question, in arrival order, of candidates that
+    carry ``with_clauses`` columns.  Equal statements share a cluster, so a
+    question's candidates are first combined to distinct statements; the
+    order-dependent step folds over those.  The largest cluster (the first
+    made on ties) gives its leader; without a valid candidate the first
+    arrival is taken."""
+    texts = (cands.groupBy("question_id", "fixed")
+             .agg(F.min(F.struct(*ARRIVAL)).alias("arrival"), F.count(F.lit(1)).alias("weight"),
+                  F.first("valid").alias("valid"), F.first("clauses").alias("clauses")))
+    per_q = texts.groupBy("question_id").agg(
+        F.min_by("fixed", "arrival").alias("first_sql"),
+        F.coalesce(F.sum(F.when(col("valid"), col("weight"))), F.lit(0)).cast("bigint").alias("n_valid"),
+        F.array_sort(F.collect_list(F.when(col("valid"), F.struct("arrival", "fixed", "weight", "clauses"))))
+        .alias("in_order"))
+    folded = per_q.withColumn("leaders", F.aggregate("in_order", F.array().cast(LEADERS), _join_leader))
+    best = F.array_max(F.transform("leaders", lambda c, i: F.struct(
+        c["size"].alias("size"), (-i).alias("earlier"), c["fixed"].alias("fixed"))))
+    some = col("n_valid") > 0
+    return (folded.withColumn("best", best)
+            .select("question_id",
+                    F.when(some, col("best.fixed")).otherwise(col("first_sql")).alias("best_sql"),
+                    F.when(some, col("best.size")).otherwise(F.lit(0)).cast("bigint").alias("cluster_size"),
+                    "n_valid", F.size("leaders").cast("bigint").alias("n_clusters"),
+                    F.when(some, "largest_cluster").otherwise("first_candidate").alias("selection_method")))
+
+
+@register("candidate_clusters")
+def candidate_clusters_q(spark, sf):
+    """Rows-only check (order-dependent; tests/test_voting.py holds it
+    against a checker that shares no code with it)."""
+    return candidate_clusters(candidates(Tables(spark, sf), with_clauses))

@@ -1,46 +1,61 @@
-"""Voting: clustering vs a plain-Python implementation of the same rules;
+"""Voting: clustering against a checker written from its definition;
 majority vote invariant to row order."""
 
+import itertools
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
-from fiscus.functions import sqltext as T
 from fiscus.operators import voting as V
 from fiscus.sources.tables import Tables
 
 
-def _brute(rows):
-    """rows: (qid, arrival, fixed, valid, comps) -> {qid: best}"""
-    by_q = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1])):
-        by_q.setdefault(r[0], []).append(r)
-    out = {}
-    for qid, rs in by_q.items():
-        valid = [r for r in rs if r[3]]
-        if not valid:
-            out[qid] = rs[0][2]
-            continue
-        clusters = []
-        for r in valid:  # every candidate, duplicates included, like the reference
-            for c in clusters:
-                if V._compatible(r[4], c[0][4]):
-                    c.append(r)
-                    break
-            else:
-                clusters.append([r])
-        best = max(clusters, key=len)
-        out[qid] = best[0][2]
-    return out
-
-
-def test_clusters_match_plain_python(spark):
-    cands = V.candidates(Tables(spark, SF_SMALL))
-    comp = V.candidate_components(cands).collect()
-    rows = [(r.question_id, (r.seq, r.l_partkey, r.l_suppkey), r.fixed, r.valid,
-             {n: set(r[f"k_{n}"]) for n in T.COMPARED_CLAUSES}) for r in comp]
-    want = _brute(rows)
-    got = {r.question_id: r.best_sql for r in V.candidate_clusters(cands).collect()}
-    assert got == want
+def _agree(x, y):
+    """Two statements agree when no clause that both have shares under 60 %."""
+    shares = [len(set(p) & set(q)) / max(len(p), len(q)) for p, q in zip(x, y) if p and q]
+    return min(shares, default=1.0) >= 0.6
+
+
+def _cluster(rows):
+    """rows of one question, every candidate in arrival order -> expected result row."""
+    good = [r for r in rows if r["valid"]]
+    heads, members = [], []
+    for r in good:
+        mine = next((n for n, h in enumerate(heads) if _agree(h["clauses"], r["clauses"])), None)
+        if mine is None:
+            heads.append(r)
+            members.append(1)
+        else:
+            members[mine] += 1
+    if not good:
+        return (rows[0]["question_id"], rows[0]["fixed"], 0, 0, 0, "first_candidate")
+    top = members.index(max(members))
+    return (rows[0]["question_id"], heads[top]["fixed"], members[top], len(good), len(heads), "largest_cluster")
+
+
+def _expected(cands):
+    rows = sorted(cands.collect(), key=lambda r: (r.question_id, r.seq, r.l_partkey, r.l_suppkey))
+    return sorted(_cluster(list(g)) for _, g in itertools.groupby(rows, key=lambda r: r.question_id))
+
+
+def test_clusters_match_the_checker(spark):
+    cands = V.candidates(Tables(spark, SF_SMALL), V.with_clauses)
+    assert sorted(map(tuple, V.candidate_clusters(cands).collect())) == _expected(cands)
+
+
+def test_clusters_of_hand_made_candidates(spark):
+    def cand(q, seq, items, valid=True):
+        return (q, seq, seq, 1, "s" + "+".join(items) + str(valid), valid, [items, ["t"], [], [], []])
+    rows = [cand(1, 1, ["a", "b", "c"]), cand(1, 2, ["x"]), cand(1, 3, ["a", "b"]), cand(1, 4, ["x"]),
+            cand(1, 5, ["a", "b", "c", "d", "e", "f"]),       # 3 of 6: leads its own cluster
+            cand(2, 1, ["a"], False), cand(2, 2, ["b"], False),
+            cand(3, 1, ["a"], False), cand(3, 2, ["b"]), cand(3, 3, [])]
+    df = spark.createDataFrame(rows, "question_id long, seq long, l_partkey long, l_suppkey long, "
+                                     "fixed string, valid boolean, clauses array<array<string>>")
+    got = sorted(map(tuple, V.candidate_clusters(df.repartition(3)).collect()))
+    assert got == _expected(df)
+    assert [r[2:] for r in got] == [(2, 5, 3, "largest_cluster"), (0, 0, 0, "first_candidate"),
+                                    (2, 2, 1, "largest_cluster")]
 
 
 def test_majority_vote_order_invariant(spark):
