@@ -1,6 +1,6 @@
 """Streaming = batch for the incremental ingest (R1) and running totals (R2)."""
 
-from pyspark.sql import functions as F
+import pytest
 
 from fiscus.operators import evaluate as E
 from fiscus.operators import ingest as I
@@ -8,24 +8,64 @@ from fiscus.sources import files as S
 from fiscus.streaming import ingest_stream as R
 
 
-def test_file_ingest_stream_equals_batch(spark, tmp_path):
+IDS = ["COUNTRY", "SECTOR", "SERIES_CODE"]
+SCHEMA = S.wide_csv_schema(IDS, range(2000, 2002))
+
+
+def _files(tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    (src / "a.csv").write_text("COUNTRY,SERIES_CODE,2000,2001\nChile,R,1.0,2.0\nPeru,R,,3.0\n")
-    (src / "b.csv").write_text("COUNTRY,SERIES_CODE,2000,2001\nPeru,E,4.0,\nAruba,E,5.0,6.0\n")
-    q = R.start_file_ingest(spark, str(src), str(tmp_path / "dim"), str(tmp_path / "facts"),
-                            ["COUNTRY", "SERIES_CODE"], ["2000", "2001"], name="t_ingest")
-    q.awaitTermination(120)
-    dim = spark.read.parquet(str(tmp_path / "dim")).select("country_id", "country_name")
-    facts = spark.read.parquet(str(tmp_path / "facts"))
-    got = sorted((r.country_name, r.SERIES_CODE, r.year, r.value)
-                 for r in facts.join(dim, "country_id").collect())
-    schema = S.wide_csv_schema(["COUNTRY", "SERIES_CODE"], range(2000, 2002))
-    batch = I.unpivot_years(S.read_wide_csv(spark, str(src), schema), ["COUNTRY", "SERIES_CODE"])
-    want = sorted(tuple(r) for r in batch.collect())
-    assert got == want
-    ids = sorted(r.country_id for r in dim.collect())
-    assert ids == list(range(1, len(ids) + 1))  # each name once, ids dense
+    head = "COUNTRY,SECTOR,SERIES_CODE,2000,2001\n"
+    (src / "a.csv").write_text(head + "Chile,Local,R,1.0,2.0\nPeru,,R,,3.0\n")
+    (src / "b.csv").write_text(head + "Peru,State,E,4.0,\nAruba,Local,E,5.0,6.0\n")
+    return src
+
+
+def _ids(spark, root):
+    return {n: sorted(tuple(r) for r in R.dimension(spark, f"{root}/dim", n, i, c).select(i, c).collect())
+            for n, i, c in R.DIMENSIONS.values()}
+
+
+def _named(spark, root):
+    facts = spark.read.parquet(f"{root}/facts")
+    for n, i, c in R.DIMENSIONS.values():
+        facts = facts.join(R.dimension(spark, f"{root}/dim", n, i, c).drop("batch"), i, "left")
+    rows = facts.select("country_name", "sector_name", "indicator_code", "year", "value").collect()
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_file_ingest_stream_equals_batch(spark, tmp_path):
+    src = _files(tmp_path)
+    want = sorted(map(tuple, I.unpivot_years(S.read_wide_csv(spark, str(src), SCHEMA), IDS).collect()), key=repr)
+    for n in (1, 2):
+        root = str(tmp_path / f"out{n}")
+        R.start_file_ingest(spark, str(src), f"{root}/dim", f"{root}/facts", IDS, ["2000", "2001"],
+                            name=f"t_ingest{n}", files_per_batch=n).awaitTermination(120)
+        assert _named(spark, root) == want
+        for rows in _ids(spark, root).values():  # each name once, ids dense
+            assert [r[0] for r in rows] == list(range(1, len(rows) + 1))
+            assert len({r[1] for r in rows}) == len(rows)
+
+
+def test_repeated_and_half_done_batches_change_nothing(spark, tmp_path):
+    src, root = _files(tmp_path), str(tmp_path / "out")
+    a, b = (S.read_wide_csv(spark, str(src / f), SCHEMA) for f in ("a.csv", "b.csv"))
+    R.create_dimensions(spark, f"{root}/dim", IDS)
+    run = R.ingest_batch(f"{root}/dim", f"{root}/facts", IDS, ["2000", "2001"])
+    run(a, 0)
+    run(a, 0)
+    assert len(_ids(spark, root)["countries"]) == 2
+    # batch 1 fails after its dimensions: its facts cannot be written
+    blocked = tmp_path / "blocked"
+    blocked.write_text("a file, not a folder")
+    with pytest.raises(Exception):
+        R.ingest_batch(f"{root}/dim", f"{blocked}/facts", IDS, ["2000", "2001"])(b, 1)
+    ids = _ids(spark, root)
+    run(b, 1)
+    run(b, 1)
+    assert _ids(spark, root) == ids
+    want = sorted(map(tuple, I.unpivot_years(a.union(b), IDS).collect()), key=repr)
+    assert _named(spark, root) == want
 
 
 def test_running_usage_equals_batch(spark, tmp_path):
