@@ -207,8 +207,7 @@ def column_refs(sqls: DataFrame, catalog: DataFrame, id_col: str = "id") -> Data
     """D-14: (id, table, column) for every word of the statement that names
     a column of any catalog table (qualified refs are a subset)."""
     w = sqls.select(id_col, F.explode(T.words(col("sql"))).alias("column_name"))
-    # the catalog lists the schema's columns: bounded by schema width
-    return w.join(F.broadcast(catalog.select("table_name", "column_name")), "column_name") \
+    return w.join(catalog.select("table_name", "column_name"), "column_name") \
             .select(id_col, "table_name", "column_name")
 
 
@@ -221,8 +220,10 @@ def table_ref_rows(sqls: DataFrame, id_col: str = "id") -> DataFrame:
 
 def pair_builder(sqls: DataFrame, catalog: DataFrame, ratio: int = 2) -> DataFrame:
     """D-15: label-1 pairs for used tables / columns, label-0 pairs for up to
-    ``ratio`` x as many unused ones (tables over the catalog, columns within
-    the used tables), chosen in name order."""
+    ``ratio`` x as many unused ones, chosen in name order: tables per
+    question, columns per used table and by its own used columns.  A used
+    column of a table that the statement does not name is still a label-1
+    pair."""
     used_t = table_ref_rows(sqls)
     n_pos = used_t.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos"))
     all_t = sqls.select("id", F.explode(F.array(*[F.lit(x) for x in CATALOG_TABLES])).alias("table_name"))
@@ -233,13 +234,12 @@ def pair_builder(sqls: DataFrame, catalog: DataFrame, ratio: int = 2) -> DataFra
                             F.lit(1).alias("label"))
               .unionByName(neg_t.select("id", F.lit("table").alias("item_type"),
                                         col("table_name").alias("item"), F.lit(0).alias("label"))))
-    used_c = column_refs(sqls, catalog).join(used_t, ["id", "table_name"], "left_semi")
-    n_pc = used_c.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos"))
-    cand_c = used_t.join(F.broadcast(catalog.select("table_name", "column_name")), "table_name")
-    neg_c = (cand_c.join(used_c, ["id", "table_name", "column_name"], "left_anti").join(n_pc, "id")
-             .withColumn("_rn", F.row_number().over(
-                 Window.partitionBy("id").orderBy("table_name", "column_name")))
-             .where(col("_rn") <= ratio * col("n_pos")))
+    used_c = column_refs(sqls, catalog)
+    per_table = catalog.groupBy("table_name").agg(F.array_sort(F.collect_list("column_name")).alias("_all"))
+    used_in = used_c.groupBy("id", "table_name").agg(F.collect_set("column_name").alias("_used"))
+    neg_c = (used_t.join(used_in, ["id", "table_name"]).join(per_table, "table_name")
+             .select("id", "table_name", F.explode(F.slice(F.array_except("_all", "_used"), F.lit(1),
+                                                           ratio * F.size("_used"))).alias("column_name")))
     item = F.concat_ws(".", "table_name", "column_name")
     cols = (used_c.select("id", F.lit("column").alias("item_type"), item.alias("item"), F.lit(1).alias("label"))
             .unionByName(neg_c.select("id", F.lit("column").alias("item_type"), item.alias("item"),

@@ -270,36 +270,45 @@ _PAIR_CTES = [
     f"""uc AS (SELECT DISTINCT w.id, c.table_name, c.column_name
          FROM (SELECT id, unnest(list_transform(regexp_extract_all(sql, {q(T.WORD_RE)}, 1), lambda r: lower(r))) AS word
                FROM ex) w
-         JOIN catalog c ON c.column_name = w.word
-         WHERE EXISTS (SELECT 1 FROM ut WHERE ut.id = w.id AND ut.table_name = c.table_name))""",
-    "npc AS (SELECT id, COUNT(*) AS n_pos FROM uc GROUP BY id)",
+         JOIN catalog c ON c.column_name = w.word)""",
     """nc AS (SELECT id, table_name, column_name FROM (
-           SELECT ut.id, c.table_name, c.column_name, npc.n_pos,
-                  row_number() OVER (PARTITION BY ut.id ORDER BY c.table_name, c.column_name) AS rn
-           FROM ut JOIN catalog c ON ut.table_name = c.table_name JOIN npc ON ut.id = npc.id
-           WHERE NOT EXISTS (SELECT 1 FROM uc WHERE uc.id = ut.id AND uc.table_name = c.table_name
-                             AND uc.column_name = c.column_name)) z
-         WHERE rn <= 2 * n_pos)""",
+           SELECT ut.id, c.table_name, c.column_name, u.column_name IS NOT NULL AS used,
+                  COUNT(u.column_name) OVER (PARTITION BY ut.id, c.table_name) AS n_used,
+                  row_number() OVER (PARTITION BY ut.id, c.table_name, u.column_name IS NOT NULL
+                                     ORDER BY c.column_name) AS place
+           FROM ut JOIN catalog c USING (table_name)
+           LEFT JOIN uc u ON u.id = ut.id AND u.table_name = c.table_name AND u.column_name = c.column_name) z
+         WHERE NOT used AND place <= 2 * n_used)""",
 ]
 
 
-@register("pair_builder", with_ql("""
+_PAIRS_SQL = """
 SELECT id, 'table' AS item_type, table_name AS item, 1 AS label FROM ut
 UNION ALL SELECT id, 'table', table_name, 0 FROM nt
 UNION ALL SELECT id, 'column', table_name || '.' || column_name, 1 FROM uc
-UNION ALL SELECT id, 'column', table_name || '.' || column_name, 0 FROM nc""", *_PAIR_CTES))
+UNION ALL SELECT id, 'column', table_name || '.' || column_name, 0 FROM nc"""
+
+
+@register("pair_builder", with_ql(_PAIRS_SQL, *_PAIR_CTES))
 def pair_builder(spark, sf):
     return C.pair_builder(C.with_sql(_log(spark, sf)), catalog_frame(spark))
 
 
 # ---------------------------------------------------------------- D-16
-@register("hash_split", with_ql("""
-SELECT id, CASE WHEN id % 10 = 0 THEN 'validation' ELSE 'train' END AS split FROM ql"""))
+#: first three hex digits of an MD5 under this value: 410 / 4096, a tenth
+SPLIT_BELOW = "19a"
+
+
+@register("hash_split", with_ql(f"""
+SELECT id, item_type, item, label,
+       IF(left(md5(concat_ws('|', id, item_type, item)), 3) < '{SPLIT_BELOW}', 'validation', 'train') AS split
+FROM ({_PAIRS_SQL}) p""", *_PAIR_CTES))
 def hash_split(spark, sf):
-    """90/10 split as a pure function of the id: repeatable across reruns,
-    partitionings and retried tasks (no random seed state)."""
-    return _log(spark, sf).select(
-        "id", F.when(F.pmod(col("id"), F.lit(10)) == 0, "validation").otherwise("train").alias("split"))
+    """90/10 split of the training pairs by a hash of the pair: the same for
+    every rerun, partitioning and retried task."""
+    key = F.md5(F.concat_ws("|", col("id").cast("string"), "item_type", "item"))
+    return pair_builder(spark, sf).withColumn(
+        "split", F.when(F.substring(key, 1, 3) < SPLIT_BELOW, "validation").otherwise("train"))
 
 
 # ---------------------------------------------------------------- D-17
