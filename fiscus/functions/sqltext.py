@@ -38,7 +38,8 @@ WORD_RE = r"\b([a-zA-Z_][a-zA-Z0-9_]*)\b"
 _END = r"(?:;|\z)"
 CLAUSE_RE = {
     "select": r"(?is)\bSELECT\s+(.*?)\s+FROM\b",
-    "from": r"(?is)\bFROM\s+(.*?)(?:\s+(?:WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b|" + _END + ")",
+    "from": r"(?is)\bFROM\s+(.*?)(?:\s+(?:(?:INNER\s+|LEFT\s+|RIGHT\s+)?JOIN|WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b|" + _END + ")",
+    "join": r"(?is)\bJOIN\s+(.*?)(?:\s+(?:WHERE|GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b|" + _END + ")",
     "where": r"(?is)\bWHERE\s+(.*?)(?:\s+(?:GROUP\s+BY|HAVING|ORDER\s+BY|LIMIT)\b|" + _END + ")",
     "group_by": r"(?is)\bGROUP\s+BY\s+(.*?)(?:\s+(?:HAVING|ORDER\s+BY|LIMIT)\b|" + _END + ")",
     "having": r"(?is)\bHAVING\s+(.*?)(?:\s+(?:ORDER\s+BY|LIMIT)\b|" + _END + ")",

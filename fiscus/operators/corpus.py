@@ -248,28 +248,47 @@ def pair_builder(sqls: DataFrame, catalog: DataFrame, ratio: int = 2) -> DataFra
 
 
 # ---------------------------------------------------------------- D-17 / D-18
-SYSTEM_PROMPT = ("You are an expert SQL assistant for an economic statistics database. "
-                 "Answer with one SQLite query.")
-
-
-def chat_format(rows: DataFrame) -> DataFrame:
-    """D-17: chat records ``messages: array<struct<role, content>>`` with one
-    of four templates (cot / synonym / skeleton / hard) and optional hint /
-    error lines."""
-    tmpl = (F.when(col("difficulty") == "hard", "hard")
-             .when(col("pattern_type") == "nested_query", "cot")
-             .when(col("difficulty") == "medium", "skeleton").otherwise("synonym"))
-    user = F.concat(
-        F.lit("Question: "), col("question"),
-        F.when(tmpl == "skeleton", F.concat(F.lit("\nSQL pattern: "), col("skeleton"))).otherwise(F.lit("")),
-        F.when(tmpl == "hard", F.lit("\nHint: this question is hard; check joins and filters."))
-         .otherwise(F.lit("")),
-        F.when(tmpl == "cot", F.lit("\nThink step by step before writing the query.")).otherwise(F.lit("")))
-    msgs = F.array(
-        F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT).alias("content")),
-        F.struct(F.lit("user").alias("role"), user.alias("content")),
-        F.struct(F.lit("assistant").alias("role"), col("sql").alias("content")))
-    return rows.select("id", tmpl.alias("template"), msgs.alias("messages"))
+# System prompts and prompt wording of the four templates.
+SYSTEM_PROMPTS = {
+    "cot": "You are an expert SQL generator. Always think step-by-step before generating queries, explaining your reasoning clearly.",
+    "synonym": "You are an expert SQL generator. Handle different phrasings and terminology variations of the same question effectively.",
+    "skeleton": "You are an expert SQL generator. Focus on recognizing query patterns and structures to generate accurate SQL.",
+    "hard": "You are an expert SQL generator specializing in complex queries. Pay careful attention to edge cases, multi-table relationships, and advanced SQL operations.",
+}
+COT_REQUEST = "First explain your reasoning step-by-step, then generate the SQL query."
+PATTERN_LINES = ("Pattern Type: {0}\nInstructions: This query follows a {0} pattern. "
+                 "Identify the required SQL components and generate accurate SQL.")
+
+
+def schema_block(catalog: Sequence[tuple]) -> str:
+    """The catalog as one line per table."""
+    tables: dict[str, list[str]] = {}
+    for table, column, *_ in catalog:
+        tables.setdefault(table, []).append(column)
+    return "\n".join(f"{t}({', '.join(cs)})" for t, cs in tables.items())
+
+
+def chat_format(rows: DataFrame, schema_text: str) -> DataFrame:
+    """D-17: chat records ``messages: array<struct<role, content>>``.
+
+    ``template`` picks cot / synonym / skeleton / hard; cot reads
+    ``reasoning``, skeleton ``pattern_type``, hard ``hint`` or else the list
+    ``common_errors`` (both may be NULL: no extra block)."""
+    kind = col("template")
+    before, after = PATTERN_LINES.split("{0}", 1)
+    pattern = F.concat(F.lit(before), col("pattern_type"), F.replace(F.lit(after), F.lit("{0}"), col("pattern_type")))
+    errors = F.array_join(F.transform("common_errors", lambda e: F.concat(F.lit("- "), e)), "\n")
+    more = (F.when(kind == "cot", COT_REQUEST).when(kind == "skeleton", pattern)
+             .when(kind == "hard", F.coalesce(F.concat(F.lit("Hint: "), col("hint")),
+                                              F.concat(F.lit("Common errors to avoid:\n"), errors))))
+    user = F.concat_ws("\n\n", F.lit(f"Database Schema:\n{schema_text}"),
+                       F.concat(F.lit("Question: "), col("question")), more)
+    answer = F.concat_ws("\n\n", F.when(kind == "cot", col("reasoning")),
+                         F.concat(F.lit("```sql\n"), col("sql"), F.lit("\n```")))
+    system = F.element_at(F.create_map(*[F.lit(x) for kv in SYSTEM_PROMPTS.items() for x in kv]), kind)
+    said = [F.struct(F.lit(role).alias("role"), text.alias("content"))
+            for role, text in (("system", system), ("user", user), ("assistant", answer))]
+    return rows.select("id", "template", F.array(*said).alias("messages"))
 
 
 def chat_validate(conversations: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fiscus.functions import sqltext as T
 from fiscus.operators import corpus as C
 from fiscus.plans.registry import register
-from fiscus.plans.star import CATALOG_TABLES, catalog_frame, catalog_sql
+from fiscus.plans.star import CATALOG_TABLES, STAR_CATALOG, catalog_frame, catalog_sql
 from fiscus.sources.tables import Tables
 
 col = F.col
@@ -312,22 +312,44 @@ def hash_split(spark, sf):
 
 
 # ---------------------------------------------------------------- D-17
-@register("chat_format", with_ql(f"""
-SELECT id, template, 3 AS n_messages, {q(C.SYSTEM_PROMPT)} AS system_content,
-       'Question: ' || question ||
-       CASE WHEN template = 'skeleton' THEN chr(10) || 'SQL pattern: ' || skeleton ELSE '' END ||
-       CASE WHEN template = 'hard' THEN chr(10) || 'Hint: this question is hard; check joins and filters.' ELSE '' END ||
-       CASE WHEN template = 'cot' THEN chr(10) || 'Think step by step before writing the query.' ELSE '' END
-         AS user_content,
-       sql AS assistant_content
+_SCHEMA = C.schema_block(STAR_CATALOG)
+_ERRORS = ("missing join condition", "wrong year filter")
+
+
+def _chat_sql() -> str:
+    nl = "chr(10)"
+    system = " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in C.SYSTEM_PROMPTS.items())
+    lines = C.PATTERN_LINES.replace("\n", "' || chr(10) || '").replace("{0}", "' || pattern_type || '")
+    errors = f" || {nl} || ".join(q(f"- {e}") for e in _ERRORS)
+    return with_ql(f"""
+SELECT id, template, 3 AS n_messages, CASE template {system} END AS system_content,
+       {q("Database Schema:")} || {nl} || {f" || {nl} || ".join(q(x) for x in _SCHEMA.splitlines())}
+         || {nl} || {nl} || 'Question: ' || question
+         || CASE template WHEN 'cot' THEN {nl} || {nl} || {q(C.COT_REQUEST)}
+                          WHEN 'skeleton' THEN {nl} || {nl} || '{lines}'
+                          WHEN 'hard' THEN {nl} || {nl} || CASE WHEN id % 2 = 0 THEN 'Hint: check joins and filters'
+                               ELSE 'Common errors to avoid:' || {nl} || {errors} END
+                          ELSE '' END AS user_content,
+       CASE WHEN template = 'cot' THEN 'Pattern: ' || pattern_type || {nl} || {nl} ELSE '' END
+         || '```sql' || {nl} || sql || {nl} || '```' AS assistant_content
 FROM (SELECT *, CASE WHEN difficulty = 'hard' THEN 'hard' WHEN pattern_type = 'nested_query' THEN 'cot'
                      WHEN difficulty = 'medium' THEN 'skeleton' ELSE 'synonym' END AS template
-      FROM (SELECT *, {_d_skeleton('sql')} AS skeleton, {_d_pattern('sql')} AS pattern_type FROM ex) a) b"""))
+      FROM (SELECT *, {_d_pattern('sql')} AS pattern_type FROM ex) a) b""")
+
+
+@register("chat_format", _chat_sql())
 def chat_format(spark, sf):
-    rows = (C.with_sql(_log(spark, sf))
-            .withColumn("skeleton", T.sql_skeleton(col("sql")))
-            .withColumn("pattern_type", T.pattern_class(col("sql"))))
-    m = C.chat_format(rows)
+    """Analog: reasoning names the pattern; even hard ids carry a hint, odd
+    ones a list of errors."""
+    ident, pattern = col("id"), T.pattern_class(col("sql"))
+    rows = C.with_sql(_log(spark, sf)).withColumn("pattern_type", pattern)
+    rows = rows.select(
+        "*", F.concat(F.lit("Pattern: "), col("pattern_type")).alias("reasoning"),
+        F.when(ident % 2 == 0, "check joins and filters").alias("hint"),
+        F.array(*[F.lit(e) for e in _ERRORS]).alias("common_errors"),
+        F.when(col("difficulty") == "hard", "hard").when(col("pattern_type") == "nested_query", "cot")
+         .when(col("difficulty") == "medium", "skeleton").otherwise("synonym").alias("template"))
+    m = C.chat_format(rows, _SCHEMA)
     return m.select("id", "template", F.size("messages").alias("n_messages"),
                     col("messages")[0]["content"].alias("system_content"),
                     col("messages")[1]["content"].alias("user_content"),
@@ -391,6 +413,40 @@ def section_split(spark, sf):
         "doc_id", (col("pos") + 1).alias("section_no"), "body")
 
 
+# Analog guidelines: one per conversation (a few turns), each turn a section.
+_GUIDE = "'Introduction' || chr(10) || string_agg('# ' || turn || '. Reminder of mistake' || chr(10) || text, chr(10) ORDER BY turn)"
+
+
+def guidelines(t: Tables):
+    turn = F.struct("turn", F.concat(F.lit("# "), col("turn").cast("string"), F.lit(". Reminder of mistake\n"),
+                                     col("text")).alias("s"))
+    parts = F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["s"])
+    return (t.conversations.where("text IS NOT NULL").groupBy("conv_id")
+            .agg(F.concat(F.lit("Introduction\n"), F.array_join(parts, "\n")).alias("guideline")))
+
+
+@register("guideline_sections", f"""
+SELECT conv_id, CAST(turn AS INTEGER) AS section_no,
+       {d_strip("'# ' || turn || '. Reminder of mistake' || chr(10) || text")} AS body
+FROM conversations WHERE text IS NOT NULL""")
+def guideline_sections(spark, sf):
+    g = guidelines(Tables(spark, sf))
+    return (g.select("conv_id", F.explode(C.split_sections(col("guideline"))).alias("s"))
+            .select("conv_id", "s.section_no", "s.body"))
+
+
+# ---------------------------------------------------------------- A32
+@register("guideline_stats", f"""
+SELECT conv_id, COUNT(*) AS total_patterns, CAST(length({_GUIDE}) AS BIGINT) AS total_chars,
+       CAST(length({_GUIDE}) // COUNT(*) AS BIGINT) AS avg_pattern_chars
+FROM conversations WHERE text IS NOT NULL GROUP BY conv_id""")
+def guideline_stats(spark, sf):
+    g = guidelines(Tables(spark, sf))
+    n, chars = F.size(C.split_sections(col("guideline"))), F.length("guideline")
+    return g.select("conv_id", n.cast("bigint").alias("total_patterns"), chars.cast("bigint").alias("total_chars"),
+                    F.floor(chars / F.greatest(n, F.lit(1))).cast("bigint").alias("avg_pattern_chars"))
+
+
 # ---------------------------------------------------------------- D-27
 def _d_tags(x: str) -> str:
     parts = []

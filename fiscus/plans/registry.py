@@ -38,6 +38,7 @@ MODULES = (
     "fiscus.operators.retrieval",
     "fiscus.operators.voting",
     "fiscus.operators.execution",
+    "fiscus.sources.round_trips",
 )
 
 

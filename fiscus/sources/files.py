@@ -48,15 +48,16 @@ def _unquote(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), r'^"|"$', "")
 
 
-def read_series_matrices(spark: SparkSession, path: str) -> DataFrame:
+def read_series_matrices(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
     """One CSV per series, rows = years, columns = entities, the series
-    described by the file name.  Each file's header differs, so a file is
+    described by the file name (or by ``name`` over the file metadata).  Each file's header differs, so a file is
     read whole (one series matrix, bounded by years x countries) and
     reshaped with column expressions into long rows
     (file_name, year_raw, country, value_raw); casts and rejects are left to
     ``ingest.safe_cast_reject``."""
     raw = (spark.read.text(path, wholetext=True)
-           .select(decoded_path(col("_metadata.file_name")).alias("file_name"), col("value")))
+           .select(decoded_path(col("_metadata.file_name") if name is None else name).alias("file_name"),
+                   col("value")))
     lines = raw.select("file_name", F.filter(F.split(F.regexp_replace("value", "\r", ""), "\n"),
                                              lambda s: F.trim(s) != "").alias("lines"))
     hdr = lines.select("file_name", F.transform(F.split(F.element_at("lines", 1), _CSV_SPLIT), _unquote)

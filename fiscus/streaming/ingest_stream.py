@@ -98,10 +98,19 @@ def running_usage(usage_stream: DataFrame, prices: DataFrame, default=(0.18, 0.1
                                                     F.round(cost, 8).alias("cost_usd"))
 
 
-def start_running_usage(spark: SparkSession, source_dir: str, prices: DataFrame, query_name: str,
+def start_running_usage(spark: SparkSession, source_dir: str, prices: DataFrame, out_dir: str,
                         schema: str = "model string, input_tokens long, output_tokens long") -> StreamingQuery:
+    """R2: each batch writes the totals so far to its own folder, so a
+    repeated batch replaces its own rows (``latest_usage`` reads the last)."""
+    def write(totals: DataFrame, batch_id: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
     stream = spark.readStream.schema(schema).parquet(source_dir)
-    return (running_usage(stream, prices).writeStream.outputMode("complete").format("memory")
-            .queryName(query_name)
-            .option("checkpointLocation", checkpoint_location(spark, query_name))
+    return (running_usage(stream, prices).writeStream.outputMode("complete").foreachBatch(write)
+            .option("checkpointLocation", checkpoint_location(spark, f"usage-{out_dir.strip('/').replace('/', '-')}"))
             .trigger(availableNow=True).start())
+
+
+def latest_usage(spark: SparkSession, out_dir: str) -> DataFrame:
+    totals = spark.read.parquet(out_dir)
+    last = totals.agg(F.max("batch").alias("batch"))
+    return totals.join(last, "batch").drop("batch")

@@ -74,8 +74,8 @@ def test_running_usage_equals_batch(spark, tmp_path):
     usage = E.usage_log(Tables(spark, SF_SMALL))
     usage.repartition(3).write.parquet(str(tmp_path / "usage"))
     prices = E.price_table(spark)
-    q = R.start_running_usage(spark, str(tmp_path / "usage"), prices, "usage_totals")
+    q = R.start_running_usage(spark, str(tmp_path / "usage"), prices, str(tmp_path / "totals"))
     q.awaitTermination(120)
-    got = sorted(tuple(r) for r in spark.sql("SELECT * FROM usage_totals").collect())
+    got = sorted(tuple(r) for r in R.latest_usage(spark, str(tmp_path / "totals")).collect())
     want = sorted(tuple(r) for r in E.cost_rollup(usage, prices).collect())
     assert got == want
