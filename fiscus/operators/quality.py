@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fiscus.plans.registry import register
@@ -40,14 +40,27 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
                    for name, df in tables.items()])
 
 
-def table_presence(tables: dict[str, DataFrame], expected: Sequence[str]) -> DataFrame:
-    """Q1: expected tables vs the tables present (left anti on the listing)."""
-    spark = next(iter(tables.values())).sparkSession
-    exp = spark.createDataFrame([(t,) for t in expected], "table_name string")
-    present = table_counts(tables).select("table_name")
-    missing = exp.join(present, "table_name", "left_anti").withColumn("present", F.lit(False))
-    found = exp.join(present, "table_name", "left_semi").withColumn("present", F.lit(True))
-    return missing.unionByName(found)
+# Star tables and the driver tables they are derived from.
+DERIVED_FROM = {
+    "countries": ["nation", "region"], "time_periods": ["orders"], "sectors": ["customer"], "indicators": ["part"],
+    "gfs_observations": ["lineitem", "orders", "customer"], "gem_observations": ["lineitem", "supplier"]}
+
+
+def stored_tables(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the tables under ``root``, from the file listing alone."""
+    name = F.regexp_extract("path", rf"/\Q{root.rstrip('/').rsplit('/', 1)[-1]}\E/([^/]+)", 1)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+            .select(F.regexp_replace(name, r"\.parquet$", "").alias("stored")).distinct())
+
+
+def table_presence(S: Star) -> DataFrame:
+    """Q1: expected tables against the listing of the store; a derived table
+    is present when all its source tables are."""
+    needs = {t: [t] for t in EXPECTED_TABLES} if S.stored else DERIVED_FROM
+    exp = S.spark.createDataFrame([(t, s) for t in EXPECTED_TABLES for s in needs[t]], "table_name string, source string")
+    found = stored_tables(S.spark, S.stored or S.t.root)
+    return (exp.join(found, col("source") == col("stored"), "left").groupBy("table_name")
+            .agg(F.every(col("stored").isNotNull()).alias("present")))
 
 
 # ---------------------------------------------------------------- Q3
@@ -144,7 +157,7 @@ def report(S: Star) -> DataFrame:
     """Q8: every check as (check, subject, value, severity, passed)."""
     tables = star_tables(S)
     counts = table_counts(tables)
-    pres = table_presence(tables, EXPECTED_TABLES)
+    pres = table_presence(S)
     orph = orphan_counts(star_foreign_keys(S))
     nulls = _union([null_counts(tables["gfs_observations"], "gfs_observations", ["value"]),
                     null_counts(tables["gem_observations"], "gem_observations", ["value"])])
@@ -197,7 +210,7 @@ def dq_counts(spark, sf):
 @register("dq_tables", with_star(f"""
 SELECT table_name, TRUE AS present FROM ({_COUNTS_SQL}) c"""))
 def dq_tables(spark, sf):
-    return table_presence(star_tables(Star(spark, sf)), EXPECTED_TABLES)
+    return table_presence(Star(spark, sf))
 
 
 _TP = "(SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders)"
