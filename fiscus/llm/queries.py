@@ -9,16 +9,14 @@ from pyspark.sql import functions as F
 
 from fiscus.llm import bpe, classifier, exact_dedup, licenses, ngram_join, packing, pii, quality_rules, substring_dedup, warc
 from fiscus.llm.common import written
+from fiscus.llm.oracles import ORACLE  # noqa: F401  the SQL of the queries below, by key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
-def register(key: str, oracle: str | None = None):
+def register(key: str):
     def deco(fn):
         QUERIES[key] = fn
-        if oracle:
-            ORACLE[key] = oracle
         return fn
     return deco
 
@@ -38,29 +36,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-OP2_SQL = """
-WITH p AS (SELECT page_id, COALESCE(html, '') AS h FROM pages),
-q AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
-r AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN MIN(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM q)
-SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
-FROM r"""
-
-
-@register("op2_warc", OP2_SQL)
+@register("op2_warc")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-OP3_SQL = """
-SELECT doc_id, MAX(doc_id) OVER g AS keep_id, COUNT(*) OVER g AS group_size, doc_id = MAX(doc_id) OVER g AS kept,
-       sha256(COALESCE(text, '')) AS text_sha256
-FROM documents WINDOW g AS (PARTITION BY COALESCE(text, ''))"""
-
-
-@register("op3_exact_dedup", OP3_SQL)
+@register("op3_exact_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import re
 import zlib
 
@@ -206,18 +207,37 @@ def test_license_rules(docs, none):
     assert licenses.scan(none).count() == 0
 
 
-@pytest.mark.parametrize("key", sorted(queries.ORACLE))
-def test_oracles(spark, key):
+def against_sql(spark, folder, key):
     from compare import canon
 
     con = duckdb.connect()
     for t in ("documents", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
-    df = queries.QUERIES[key](spark, "/root/testdata/sf0.001")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if (folder / (t + '.parquet')).is_dir() else ''}')")
+    df = queries.QUERIES[key](spark, str(folder))
     cur = con.execute(queries.ORACLE[key])
     assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon([d[0] for d in cur.description], cur.fetchall())
 
 
+@pytest.mark.parametrize("key", sorted(queries.ORACLE))
+def test_oracles(spark, key):
+    against_sql(spark, pathlib.Path("/root/testdata/sf0.001"), key)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark, docs, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("awkward")
+    footer = [(100 + i, "Shared footer line 7\n" + " ".join(f"u{i}_{j}" for j in range(60)), "s" if i % 2 else None) for i in range(60)]
+    more = spark.createDataFrame(footer, "doc_id long, text string, source string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{folder}/documents.parquet")
+    docs.selectExpr("doc_id page_id", "'u' url", "text html").where("page_id is not null").write.parquet(f"{folder}/pages.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("key", sorted(queries.ORACLE))
+def test_oracles_on_awkward_rows(spark, awkward, key):
+    against_sql(spark, awkward, key)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as cp
 
