@@ -8,7 +8,8 @@ extended both ways to all windows that it is the anchor of; occurrences meet
 by anchor, windows found twice or more are marked, and marked windows that
 touch make a maximal repeat.  Equal extensions inside a block are combined
 before the shuffle, so a passage in a third of all texts travels once per
-block.
+block.  Occurrences of an anchor with more than ``CROWDED`` of them do not
+meet in one task: their windows are counted one by one, with partial sums.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from fiscus.llm.common import Words, bit_filter, in_bits, keyed, mix64, ship, span_hash, text_blocks, written
 
 FILTER_BITS = 1 << 27
+#: Occurrences of one anchor that a task may compare at once.
+CROWDED = 1_000
 SEEDS = "h long, k1 long, k2 long, s0 int, n int, known long, fps binary"
 MARKS = "k1 long, k2 long, s0 int, mask long"
 
@@ -102,14 +105,13 @@ def extensions(docs: DataFrame, bits, size: int, seed: int) -> DataFrame:
 
 def match(seeds: DataFrame, at_once: int = 100_000) -> DataFrame:
     """MARKS from occurrences that meet by anchor: which of their windows occur
-    twice or more.  A task takes whole anchors, about ``at_once`` rows a time;
-    an anchor has at most one row per block and distinct extension."""
-    rows = seeds.where("fps is not null").select("h", "k1", "k2", "s0", "known", "fps").repartition("h").sortWithinPartitions("h")
+    twice or more.  A task takes whole anchors, about ``at_once`` rows a time."""
+    rows = seeds.select("h", "k1", "k2", "s0", "fps").repartition("h").sortWithinPartitions("h")
 
     def marked(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        h, k1, k2, s0, known = (t.column(i).to_numpy() for i in range(5))
-        fps = t.column(5).to_pylist()
+        h, k1, k2, s0 = (t.column(i).to_numpy() for i in range(4))
+        fps = t.column(4).to_pylist()
         n = np.array([len(x) // 8 for x in fps])
         f = np.frombuffer(b"".join(fps), "<u8")
         row = np.repeat(np.arange(len(n)), n)
@@ -121,7 +123,7 @@ def match(seeds: DataFrame, at_once: int = 100_000) -> DataFrame:
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
         bit = np.where(twice, np.uint64(1) << place.astype(np.uint64), np.uint64(0))
-        mask = np.bitwise_or.reduceat(bit, np.cumsum(n) - n) | known.view(np.uint64)
+        mask = np.bitwise_or.reduceat(bit, np.cumsum(n) - n)
         keep = np.flatnonzero(mask)
         return pa.RecordBatch.from_arrays([pa.array(k1[keep]), pa.array(k2[keep]), pa.array(s0[keep]),
                                            pa.array(mask[keep].view(np.int64))], [x.split()[0] for x in MARKS.split(", ")])
@@ -148,7 +150,20 @@ def match(seeds: DataFrame, at_once: int = 100_000) -> DataFrame:
     return rows.mapInArrow(run, MARKS)
 
 
-def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def match_crowded(seeds: DataFrame) -> DataFrame:
+    """MARKS as ``match`` gives them, for anchors with any number of
+    occurrences: windows are rows, counted with partial sums; the windows found
+    twice are a written table with unique keys, so Spark can split a hot one."""
+    place = F.sequence(F.lit(0), F.col("n") - 1)
+    prints = F.transform(place, lambda i: F.substring(F.col("fps"), i * 8 + 1, F.lit(8)))
+    windows = seeds.select("h", "k1", "k2", "s0", F.posexplode(prints).alias("place", "fp"))
+    twice = windows.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "fp")
+    found = windows.join(written(twice, "crowded-windows"), ["h", "fp"])
+    return found.groupBy("k1", "k2", "s0").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+
+
+def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_id", text_col: str = "text",
+            crowded: int = CROWDED) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_text (kept
     words joined by one space), repeats (maximal runs of words, start and end,
     that windows of ``size`` words which also start elsewhere cover).
@@ -157,7 +172,9 @@ def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_
     and empty texts have no words; texts under ``size`` words keep all; rows
     that repeat a text are each other's elsewhere; null ids are allowed; extra
     columns are ignored.  Windows are compared by two 64-bit hashes (anchor
-    and window).  The masks of a text are bounded by its length.
+    and window).  The masks of a text are bounded by its length.  Anchors with
+    more than ``crowded`` occurrences take the way of ``match_crowded``, with
+    the same results.
     """
     if not 0 <= size - seed < 62:
         raise ValueError("the seed must be shorter than the window by less than 62 words")
@@ -167,7 +184,10 @@ def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_
     shared = seed_counts(d, size, seed).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     bits = spark.sparkContext.broadcast(bit_filter(shared, FILTER_BITS))
     seeds = written(extensions(d, bits, size, seed), "seeds")
-    marks = match(seeds).unionByName(seeds.where("fps is null").select("k1", "k2", "s0", F.col("known").alias("mask")))
+    lead = seeds.where("fps is not null")
+    full = written(lead.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowded).select("h"), "crowded-anchors")
+    marks = match(lead.join(full, "h", "left_anti")).unionByName(match_crowded(lead.join(full, "h", "left_semi")))
+    marks = marks.unionByName(seeds.where("known <> 0").select("k1", "k2", "s0", F.col("known").alias("mask")))
     marks = marks.groupBy("k1", "k2", "s0").agg(F.bit_or("mask").alias("mask")).groupBy("k1", "k2").agg(
         F.collect_list("s0").alias("s0"), F.collect_list("mask").alias("mask"))
     both = d.join(marks, ["k1", "k2"], "left").select("id", "t", "s0", "mask")

@@ -138,7 +138,8 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in components.components(e).collect()} == {(i, 0) for i in range(21)} | {(40, 40), (41, 40)}
 
 
-def test_substring_repeats(docs, none):
+@pytest.mark.parametrize("crowded", [0, 2, 1000])  # all, some and no anchors counted window by window
+def test_substring_repeats(docs, none, crowded):
     count = collections.Counter()
     for _, t, _ in ROWS:
         w = words(t)
@@ -148,8 +149,8 @@ def test_substring_repeats(docs, none):
         w = words(t)
         gone = [any(count[tuple(w[s:s + 35])] > 1 for s in range(max(0, j - 34), min(j, len(w) - 35) + 1)) for j in range(len(w))]
         want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))] += 1
-    assert collections.Counter(tuple(r)[:4] for r in substring_dedup.repeats(docs).collect()) == want
-    assert substring_dedup.repeats(none).count() == 0
+    assert collections.Counter(tuple(r)[:4] for r in substring_dedup.repeats(docs, crowded=crowded).collect()) == want
+    assert substring_dedup.repeats(none, crowded=crowded).count() == 0
 
 
 def test_quality_rules(spark, docs, none):
