@@ -153,35 +153,68 @@ def summary(S: Star) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Q8
+REPORT_ROW = "check string, subject string, key bigint, rows bigint, parent boolean"
+
+
+def _report_rows(df: DataFrame, rows) -> DataFrame:
+    """REPORT_ROW frames: each row of ``df`` becomes one row per entry (check,
+    subject, key, rows, parent) of ``rows``, in one pass."""
+    return df.select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check"), F.lit(subject).alias("subject"), key.cast("bigint").alias("key"),
+                 n.cast("bigint").alias("rows"), F.lit(parent).alias("parent"))
+        for check, subject, key, n, parent in rows])))
+
+
+def fact_rows(fact: DataFrame, table: str, grain: Sequence[str], fks: dict[str, str]) -> DataFrame:
+    """The counts a report needs of a fact, from one aggregate over its grain;
+    ``fks`` names the foreign key of each column of the grain that has one."""
+    per = fact.groupBy(*grain).agg(F.count(F.lit(1)).alias("n"), F.count_if(col("value").isNull()).alias("nulls"))
+    none, n = F.lit(None), col("n")
+    return _report_rows(per, [("row_count", table, none, n, False), ("nulls", f"{table}.value", none, col("nulls"), False),
+                              ("duplicate_groups", table, none, (n > 1), False)]
+                        + [("orphans", fk, col(c), n, False) for c, fk in fks.items()])
+
+
+def dimension_rows(dim: DataFrame, table: str, key: str, fks: Sequence[str]) -> DataFrame:
+    """A dimension's row count, and its keys as parents of ``fks``."""
+    return _report_rows(dim, [("row_count", table, F.lit(None), F.lit(1), False)]
+                        + [("orphans", fk, col(key), F.lit(0), True) for fk in fks])
+
+
 def report(S: Star) -> DataFrame:
-    """Q8: every check as (check, subject, value, severity, passed)."""
-    tables = star_tables(S)
-    counts = table_counts(tables)
+    """Q8: every check as (check, subject, value, severity, passed).
+
+    Each table is read once.  Parents and children of a foreign key meet by
+    (foreign key, key) in one aggregate: a key with child rows and no parent
+    is an orphan.  Rows of zeros stand for checks of empty tables.
+    """
+    t = star_tables(S)
+    frames = [
+        fact_rows(t["gfs_observations"], "gfs_observations", GFS_DUP_KEY,
+                  {c: f"gfs.{c}" for c in ("country_id", "sector_id", "indicator_id", "year")}),
+        fact_rows(t["gem_observations"], "gem_observations", GEM_DUP_KEY,
+                  {c: f"gem.{c}" for c in ("country_id", "indicator_id", "year")}),
+        dimension_rows(t["countries"], "countries", "country_id", ["gfs.country_id", "gem.country_id"]),
+        dimension_rows(t["sectors"], "sectors", "sector_id", ["gfs.sector_id"]),
+        dimension_rows(t["indicators"], "indicators", "indicator_id", ["gfs.indicator_id", "gem.indicator_id"]),
+        dimension_rows(t["time_periods"], "time_periods", "year", ["gfs.year", "gem.year"])]
+    zeros = S.spark.createDataFrame(
+        [("row_count", name, None, 0, False) for name in EXPECTED_TABLES]
+        + [(check, subject, None, 0, False) for fact in ("gfs_observations", "gem_observations")
+           for check, subject in (("nulls", f"{fact}.value"), ("duplicate_groups", fact))]
+        + [("orphans", f"gfs.{c}", None, 0, False) for c in GFS_DUP_KEY]
+        + [("orphans", f"gem.{c}", None, 0, False) for c in GEM_DUP_KEY], REPORT_ROW)
+    per_key = (_union([*frames, zeros]).groupBy("check", "subject", "key")
+               .agg(F.sum("rows").alias("rows"), F.bool_or("parent").alias("parent")))
+    counted = F.when((col("check") == "orphans") & (col("parent") | col("key").isNull()), 0).otherwise(col("rows"))
+    checks = per_key.groupBy("check", "subject").agg(F.sum(counted).cast("bigint").alias("value"))
+    fails = col("check").isin("row_count", "orphans")
     pres = table_presence(S)
-    orph = orphan_counts(star_foreign_keys(S))
-    nulls = _union([null_counts(tables["gfs_observations"], "gfs_observations", ["value"]),
-                    null_counts(tables["gem_observations"], "gem_observations", ["value"])])
-    dups = _union([duplicate_groups(tables["gfs_observations"], "gfs_observations", GFS_DUP_KEY),
-                   duplicate_groups(tables["gem_observations"], "gem_observations", GEM_DUP_KEY)])
-    rows = _union([
-        pres.select(F.lit("table_present").alias("check"), col("table_name").alias("subject"),
-                    col("present").cast("bigint").alias("value"), F.lit("error").alias("severity"),
-                    col("present").alias("passed")),
-        counts.select(F.lit("row_count").alias("check"), col("table_name").alias("subject"),
-                      col("row_count").alias("value"), F.lit("error").alias("severity"),
-                      (col("row_count") > 0).alias("passed")),
-        orph.select(F.lit("orphans").alias("check"), col("foreign_key").alias("subject"),
-                    col("orphans").alias("value"), F.lit("error").alias("severity"),
-                    (col("orphans") == 0).alias("passed")),
-        nulls.select(F.lit("nulls").alias("check"),
-                     F.concat_ws(".", "table_name", "column_name").alias("subject"),
-                     col("nulls").alias("value"), F.lit("warning").alias("severity"),
-                     (col("nulls") == 0).alias("passed")),
-        dups.select(F.lit("duplicate_groups").alias("check"), col("table_name").alias("subject"),
-                    col("duplicate_groups").alias("value"), F.lit("warning").alias("severity"),
-                    (col("duplicate_groups") == 0).alias("passed")),
-    ])
-    return rows
+    return pres.select(F.lit("table_present").alias("check"), col("table_name").alias("subject"),
+                       col("present").cast("bigint").alias("value"), F.lit("error").alias("severity"),
+                       col("present").alias("passed")).unionByName(
+        checks.select("check", "subject", "value", F.when(fails, "error").otherwise("warning").alias("severity"),
+                      F.when(col("check") == "row_count", col("value") > 0).otherwise(col("value") == 0).alias("passed")))
 
 
 def overall(report_df: DataFrame) -> DataFrame:
