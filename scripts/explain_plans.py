@@ -23,7 +23,7 @@ from fiscus.plans.star import STAR_DIR_CONF, Star  # noqa: E402
 from fiscus.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 KEYS = ["proj_star_series", "conditional_pivot", "union_tagged", "coverage_multi_distinct",
-        "left_join_popularity", "rank_avg_growth", "dq_orphans", "topk_cosine", "topk_per_group",
+        "left_join_popularity", "rank_avg_growth", "dq_orphans", "dq_report", "topk_cosine", "topk_per_group",
         "keyword_topn_fallback", "majority_vote", "result_equality", "tfidf_topk"]
 KEEP = re.compile(r"(Scan|Join|Exchange|Window|HashAggregate|TakeOrdered|Expand|Generate|"
                   r"MapInPandas|PushedFilters|PartitionFilters|AQEShuffleRead|Union)")
