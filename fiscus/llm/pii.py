@@ -35,13 +35,12 @@ TERM = r"[\p{L}\p{N}]{3,}"
 
 @dataclass(frozen=True)
 class Disclosure:
-    """A word discloses an entity when PMI(word; entity) >= ``generalise`` of
-    the entity's information content, fully from ``remove`` on; it must stand
-    within ``near`` words of it in at least ``support`` different contexts."""
+    """A word within ``near`` words of an entity discloses it when
+    PMI(word; entity) >= ``generalise`` of the entity's information content,
+    fully from ``remove`` on."""
 
     generalise: float = 0.85
     remove: float = 0.95
-    support: int = 3
     near: int = 5
 
 
@@ -98,42 +97,50 @@ def base_spans(d: DataFrame, near: int) -> DataFrame:
     return _placed(x, "before", "after").where(valid(F.col("kind"), F.col("v")))
 
 
+def words(t: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower)
+
+
 def disclosing_terms(d: DataFrame, spans: DataFrame, limits: Disclosure) -> DataFrame:
     """(entity, term, share): words that disclose an entity, and the share of
     its information content that they give away.
 
     With N documents, df(c), df(t) and df(c, t) those that hold the entity,
-    the word, and the word near the entity: PMI = log N df(c,t) / df(c) df(t),
-    information content = log N / df(c).  All counts cover all documents.
+    the word, and the word near the entity: information content =
+    log N / df(c), and PMI = log p / (df(c) / N), where
+    p = (df(c, t) + df(c) / N) / (df(t) + 1) is the share of the word's
+    documents that have it near the entity, with one document more at the
+    entity's own rate.  So few documents weigh less than many, without a least
+    number.  All counts cover all documents.
     """
     c = spans.select("k1", "k2", F.concat_ws(":", "kind", F.lower("v")).alias("entity"),
                      F.concat("before", "after").alias("words"))
     entity = c.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("dc"))
-    pair = c.select("entity", "k1", "k2", F.xxhash64("words").alias("context"), F.explode(F.array_distinct("words")).alias("term"))
-    pair = pair.groupBy("entity", "term", "context", "k1", "k2").agg(F.lit(1)).groupBy("entity", "term").agg(
-        F.countDistinct("context").alias("contexts"), F.countDistinct("k1", "k2").alias("dct"))
-    pair = written(pair.where(F.col("contexts") >= limits.support).join(entity, "entity"), "near-entities")
-    seen = (d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(TERM), F.lit(0)))).alias("term"))
+    pair = c.select("entity", "k1", "k2", F.explode("words").alias("term")).distinct()
+    pair = pair.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("dct"))
+    pair = written(pair.join(entity, "entity"), "near-entities")
+    seen = (d.select(F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
             .groupBy("term").agg(F.count(F.lit(1)).alias("dt")))
     n = d.count()
-    content = F.log2(F.lit(float(n)) / F.col("dc"))
-    pmi = F.log2(F.col("dct") * float(n) / (F.col("dc") * F.col("dt")))
-    out = pair.join(seen, "term").where(F.col("dc") < n).select("entity", "term", (pmi / content).alias("share"))
+    rate = F.col("dc") / F.lit(float(n))
+    pmi = F.log2((F.col("dct") + rate) / (F.col("dt") + 1) / rate)
+    out = pair.join(seen, "term").where(F.col("dc") < n).select("entity", "term", (pmi / -F.log2(rate)).alias("share"))
     return out.where(F.col("share") >= limits.generalise)
 
 
 def term_spans(d: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of disclosing words in the documents that name their entity."""
+    """Spans of disclosing words in the documents that name their entity.
+    Documents meet terms by their own words, so an entity in many documents
+    does not multiply them by all its terms."""
     here = spans.select("k1", "k2", F.concat_ws(":", "kind", F.lower("v")).alias("entity")).distinct()
-    here = here.join(terms, "entity").groupBy("k1", "k2", "term").agg(F.max("share").alias("share")).groupBy("k1", "k2").agg(
-        F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
-    here = written(here, "documents-with-terms")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("terms", lambda x: x["term"]), "|"),
-                       F.lit(r")(?![\p{L}\p{N}])"))
-    x = d.select("k1", "k2", "t").join(here, ["k1", "k2"]).select("k1", "k2", "terms", _cut(F.col("t"), pattern, 0).alias("cuts"))
-    x = x.select("k1", "k2", F.map_from_entries("terms").alias("terms"), F.lit(4).alias("kind"), F.posexplode("cuts").alias("i", "c"))
-    x = x.select("k1", "k2", "kind", "i", "c.gap", "c.v", F.element_at("terms", F.lower("c.v")).alias("share")).distinct()
-    return _placed(x, "share")
+    held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
+    held = held.join(terms, "term").join(here, ["k1", "k2", "entity"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
+    held = written(held, "documents-with-terms")
+    x = d.select("k1", "k2", "t").join(held.select("k1", "k2").distinct(), ["k1", "k2"])
+    x = x.select("k1", "k2", F.lit(4).alias("kind"), F.posexplode(_cut(F.col("t"), TERM, 0)).alias("i", "c"))
+    x = _placed(x.select("k1", "k2", "kind", "i", "c.gap", "c.v").distinct())
+    return x.withColumn("term", F.lower("v")).join(held, ["k1", "k2", "term"])
 
 
 def spans_by_row(docs: DataFrame, limits: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
