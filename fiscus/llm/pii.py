@@ -60,46 +60,60 @@ def valid(kind: Column, v: Column) -> Column:
             .when(kind == 3, n.between(10, 15)).otherwise(True))
 
 
-def _cut(t: Column, pattern, wide: int) -> Column:
+def words(t: Column) -> Column:
+    """The words of a text in lower case, in order."""
+    return F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _cut(t: Column, pattern: str) -> Column:
     """Matches v of the pattern in order, each with the length of the text
-    between it and the match before, and ``wide`` code points of the text
-    before it and behind it, up to the next match."""
-    p = pattern if isinstance(pattern, Column) else F.lit(pattern)
-    n = F.lit(wide)
-    gaps, found = F.split(t, p, -1), F.regexp_extract_all(t, p, F.lit(0))
+    between it and the match before."""
+    gaps, found = F.split(t, F.lit(pattern), -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     # the array of one binds the gaps, so they are computed once
     return F.transform(F.array(gaps), lambda g: F.transform(found, lambda v, i: F.struct(
-        F.char_length(F.get(g, i)).alias("gap"), v.alias("v"),
-        F.right(F.get(g, i), n).alias("before"), F.left(F.get(g, i + 1), n).alias("after"))))[0]
+        F.char_length(F.get(g, i)).alias("gap"), v.alias("v"))))[0]
 
 
-def _placed(found: DataFrame, *more: str) -> DataFrame:
+def _placed(found: DataFrame) -> DataFrame:
     """Start and end (code points, end exclusive) of each match.  The rows of
     one text and kind are summed in order; only matches are moved."""
     w = W.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     size = F.char_length("v")
     end = F.sum(F.col("gap") + size).over(w)
-    return found.select("k1", "k2", "kind", "v", *more, (end - size).alias("s"), end.alias("e"))
+    return found.select("k1", "k2", "kind", "v", (end - size).alias("s"), end.alias("e"))
 
 
 def base_spans(d: DataFrame, near: int) -> DataFrame:
-    """(k1, k2, kind, v, before, after, s, e) of the base kinds that pass their
-    check, with the words around them inside the text between matches."""
+    """(k1, k2, kind, v, s, e, before, after) of the base kinds that pass their
+    check, with the ``near`` words of the text before and behind them.
+
+    Words are placed like matches, as kind 4, in texts with a span; a word
+    counts if it ends before the span or starts behind it, whatever stands
+    between (other matches, valid or not).
+    """
     t = F.col("t")
     some = {"email": F.instr(t, "@") > 0, "phone": F.instr(t, "+") > 0}
-    kinds = F.array(*[F.when(some.get(k, F.lit(True)) & t.rlike(p), F.struct(F.lit(i).alias("kind"), _cut(t, p, 40 * near).alias("cuts")))
+    kinds = F.array(*[F.when(some.get(k, F.lit(True)) & t.rlike(p), F.struct(F.lit(i).alias("kind"), _cut(t, p).alias("cuts")))
                       for i, (k, p) in enumerate(PATTERNS.items())])
-    # rows that repeat id and text would sum twice: one of them stands for all
-    x = (d.where(t.rlike("[0-9@]")).select("k1", "k2", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x"))
-         .select("k1", "k2", "x.kind", F.posexplode("x.cuts").alias("i", "c")).select("k1", "k2", "kind", "i", "c.*").distinct())
-    words = lambda s: F.regexp_extract_all(F.lower(s), F.lit(TERM), F.lit(0))
-    x = x.withColumn("before", F.slice(F.reverse(words("before")), 1, near)).withColumn("after", F.slice(words("after"), 1, near))
-    return _placed(x, "before", "after").where(valid(F.col("kind"), F.col("v")))
-
-
-def words(t: Column) -> Column:
-    """The words of a text in lower case, in order."""
-    return F.transform(F.regexp_extract_all(t, F.lit(TERM), F.lit(0)), F.lower)
+    x = d.where(t.rlike("[0-9@]")).select("k1", "k2", "t", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x"))
+    x = x.where(F.exists("x.cuts", lambda c: valid(F.col("x.kind"), c["v"])))
+    x = x.select("k1", "k2", F.explode(F.array("x", F.struct(F.lit(4).alias("kind"), _cut(t, TERM).alias("cuts")))).alias("x"))
+    # rows that repeat id and text would sum twice, and so would the words of a text with several kinds
+    x = x.select("k1", "k2", "x.kind", F.posexplode("x.cuts").alias("i", "c")).select("k1", "k2", "kind", "i", "c.*").distinct()
+    word = F.col("kind") == 4
+    x = _placed(x).where(word | valid(F.col("kind"), F.col("v")))
+    text, line = W.partitionBy("k1", "k2"), W.partitionBy("k1", "k2", "kind").orderBy("s")
+    low = F.lower("v")
+    x = x.withColumn("before", F.collect_list(low).over(line.rowsBetween(1 - near, 0))).withColumn(
+        "after", F.collect_list(low).over(line.rowsBetween(0, near - 1)))
+    # a word is met at its end on the way forward, at its start on the way back, and before a span there
+    first = F.when(word, 0).otherwise(1)
+    forward = text.orderBy(F.when(word, F.col("e")).otherwise(F.col("s")), first).rowsBetween(W.unboundedPreceding, 0)
+    back = text.orderBy(F.when(word, F.col("s")).otherwise(F.col("e")).desc(), first).rowsBetween(W.unboundedPreceding, 0)
+    none = F.array().cast("array<string>")
+    last = lambda c, w: F.coalesce(F.last(F.when(word, F.col(c)), ignorenulls=True).over(w), none).alias(c)
+    x = x.select("k1", "k2", "kind", "v", "s", "e", last("before", forward), last("after", back))
+    return x.where(F.col("kind") < 4)
 
 
 def disclosing_terms(d: DataFrame, spans: DataFrame, limits: Disclosure) -> DataFrame:
@@ -138,7 +152,7 @@ def term_spans(d: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
     held = held.join(terms, "term").join(here, ["k1", "k2", "entity"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
     held = written(held, "documents-with-terms")
     x = d.select("k1", "k2", "t").join(held.select("k1", "k2").distinct(), ["k1", "k2"])
-    x = x.select("k1", "k2", F.lit(4).alias("kind"), F.posexplode(_cut(F.col("t"), TERM, 0)).alias("i", "c"))
+    x = x.select("k1", "k2", F.lit(4).alias("kind"), F.posexplode(_cut(F.col("t"), TERM)).alias("i", "c"))
     x = _placed(x.select("k1", "k2", "kind", "i", "c.gap", "c.v").distinct())
     return x.withColumn("term", F.lower("v")).join(held, ["k1", "k2", "term"])
 

@@ -20,3 +20,20 @@ def test_pii_terms_need_no_number_of_contexts(spark):
     assert at(once, "zebulon") in got[0] and at(once, "written") not in got[0]
     assert all(at(signed, w) in got[i] for i in range(1, 40) for w in ("Jane", "Doe", "Berlin"))
     assert got[50] == [""]
+
+
+def test_pii_context_is_the_whole_text(spark):
+    from fiscus.llm.common import keyed
+
+    card = "card 4111 1111 1111 1111 exp 12/25 holder Mary Smith"
+    mails = "a@x.com, b@y.com Jane Doe"
+    long = f"first {'word' * 80} m@x.com {'-' * 300} second"
+    glued = "one two three +49 123 45678901xyz four"
+    rows = [(1, card), (2, mails), (3, long), (4, glued), (4, glued), (5, "no data 12 here"), (6, "é x@y.zz")]
+    d = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    got = {(r.k1, r.v): (r.before, r.after) for r in pii.base_spans(d, 5).collect()}
+    assert got == {
+        (1, "4111 1111 1111 1111"): (["card"], ["exp", "holder", "mary", "smith"]),
+        (2, "a@x.com"): ([], ["com", "jane", "doe"]), (2, "b@y.com"): (["com"], ["jane", "doe"]),
+        (3, "m@x.com"): (["first", "word" * 80], ["second"]), (4, "+49 123 45678901"): (["one", "two", "three"], ["four"]),
+        (6, "x@y.zz"): ([], [])}
