@@ -5,8 +5,8 @@ Spans of the base kinds are found by patterns and checks.  Their values are
 the protected entities.  Over the whole corpus, the words near an entity are
 counted against their document frequency: a word whose pointwise mutual
 information with an entity comes near the entity's own information content
-discloses it.  In documents that name the entity, such words are removed, or
-generalised if they disclose it less.
+discloses it.  Such words are removed wherever they stand, also in documents
+that do not name the entity, or generalised if they disclose it less.
 """
 
 from __future__ import annotations
@@ -143,14 +143,17 @@ def disclosing_terms(d: DataFrame, spans: DataFrame, limits: Disclosure) -> Data
     return out.where(F.col("share") >= limits.generalise)
 
 
-def term_spans(d: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
-    """Spans of disclosing words in the documents that name their entity.
-    Documents meet terms by their own words, so an entity in many documents
-    does not multiply them by all its terms."""
-    here = spans.select("k1", "k2", F.concat_ws(":", "kind", F.lower("v")).alias("entity")).distinct()
+def term_spans(d: DataFrame, terms: DataFrame) -> DataFrame:
+    """Spans of disclosing words in all documents that hold them; a word that
+    discloses several entities has the largest share.
+
+    Documents meet terms by their distinct words.  A term is in at most
+    (documents near its entity / the least p) documents, so the rows that
+    meet stay in proportion to the words near entities.
+    """
+    terms = written(terms.groupBy("term").agg(F.max("share").alias("share")), "disclosing-words")
     held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
-    held = held.join(terms, "term").join(here, ["k1", "k2", "entity"]).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
-    held = written(held, "documents-with-terms")
+    held = written(held.join(terms, "term").distinct(), "documents-with-terms")
     x = d.select("k1", "k2", "t").join(held.select("k1", "k2").distinct(), ["k1", "k2"])
     x = x.select("k1", "k2", F.lit(4).alias("kind"), F.posexplode(_cut(F.col("t"), TERM)).alias("i", "c"))
     x = _placed(x.select("k1", "k2", "kind", "i", "c.gap", "c.v").distinct())
@@ -167,7 +170,7 @@ def spans_by_row(docs: DataFrame, limits: Disclosure = Disclosure(), id_col: str
     terms = written(disclosing_terms(d, spans, limits), "terms")
     share = F.lit(None).cast("double").alias("share")
     both = spans.select("k1", "k2", "s", "kind", "e", share).unionByName(
-        term_spans(d, spans, terms).select("k1", "k2", "s", "kind", "e", "share"))
+        term_spans(d, terms).select("k1", "k2", "s", "kind", "e", "share"))
     both = both.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("s", "kind", "e", "share"))).alias("found"))
     base = F.filter("found", lambda x: x["kind"] < 4)
     clear = F.filter("found", lambda x: (x["kind"] < 4) | ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))

@@ -37,3 +37,11 @@ def test_pii_context_is_the_whole_text(spark):
         (2, "a@x.com"): ([], ["com", "jane", "doe"]), (2, "b@y.com"): (["com"], ["jane", "doe"]),
         (3, "m@x.com"): (["first", "word" * 80], ["second"]), (4, "+49 123 45678901"): (["one", "two", "three"], ["four"]),
         (6, "x@y.zz"): ([], [])}
+
+
+def test_pii_terms_go_from_all_documents(spark):
+    named, bare = "asked zebulon at z@corp.org about it", "Zebulon was asked about it"
+    rows = [(i, named) for i in range(20)] + [(i, bare) for i in (20, 21)] + [(i, f"was asked about it by hand {i}") for i in range(22, 400)]
+    got = spans_of(spark, rows)
+    assert at(named, "zebulon") in got[0] and got[20] == got[21] == [at(bare, "Zebulon")]
+    assert got[30] == [""]
