@@ -1,9 +1,10 @@
 """Licence scan by sentence rules.
 
-Texts are split into sentences, sentences are normalised and looked up in a
-fixed table of known licence sentences, and the identifiers found, in order,
-are matched against ordered rules.  A rule matches when its identifiers occur
-in that order; other sentences may stand between.
+Texts are normalised and held against a fixed table of known licence
+sentences, which may be wrapped over lines and stand in comments; the
+identifiers found, in order, are matched against ordered rules.  A rule
+matches when its identifiers occur in that order; other sentences may stand
+between.
 """
 
 from __future__ import annotations
@@ -36,9 +37,21 @@ SENTENCES = {
     "as-is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of "
               "merchantability fitness for a particular purpose and noninfringement",),
     "apache-comply": ("you may not use this file except in compliance with the license",),
-    "apache-copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",),
+    "apache-copy": ("you may obtain a copy of the license at http www apache org licenses license 2 0",
+                    "you may obtain a copy of the license at https www apache org licenses license 2 0"),
     "bsd-grant": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following "
                   "conditions are met",),
+    "bsd-endorse": tuple(f"neither the name of {who} may be used to endorse or promote products derived from this software without specific "
+                         "prior written permission" for who in (
+                             "the copyright holder nor the names of its contributors", "the copyright holders nor the names of its contributors",
+                             "the copyright holders nor the names of their contributors", "the copyright owner nor the names of its contributors",
+                             "the author nor the names of its contributors", "the author nor the names of contributors",
+                             "the authors nor the names of its contributors", "the organization nor the names of its contributors",
+                             "the university nor the names of its contributors")),
+    "bsd-as-is": tuple(f"this software is provided by the {who} as is and any express or implied warranties including but not limited to the "
+                       "implied warranties of merchantability and fitness for a particular purpose are disclaimed" for who in (
+                           "copyright holders and contributors", "copyright holder and contributors", "copyright owner and contributors",
+                           "author and contributors", "authors and contributors", "regents and contributors")),
     "spdx-mit": ("spdx license identifier mit",),
     "spdx-apache-2": ("spdx license identifier apache 2 0",),
     "spdx-gpl-3": ("spdx license identifier gpl 3 0 only", "spdx license identifier gpl 3 0 or later"),
@@ -58,35 +71,45 @@ RULES = (
     ("CC-BY-NC-4.0", "notice", ("cc-by-nc-4-notice",)),
     ("CC-BY-4.0", "notice", ("cc-by-4-notice",)),
     ("CC-BY-SA-4.0", "notice", ("cc-by-sa-4-notice",)),
-    ("BSD-3-Clause", "grant", ("bsd-grant", "as-is")),
+    ("BSD-3-Clause", "grant", ("bsd-grant", "bsd-endorse", "bsd-as-is")),
     ("BSD-3-Clause", "notice", ("bsd-3-notice",)),
     ("proprietary", "reservation", ("all-rights",)),
 )
 
 
-def normal_sentence(s: Column) -> Column:
-    """Lower case; runs of anything but a-z and 0-9 as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-
-
-def sentences(t: Column) -> Column:
-    """Sentences: cut at line ends and after .!?;: before a blank."""
-    return F.split(F.regexp_replace(t, r"([.!?;:])[ \t]+", "$1\n"), "\n")
+# Lower-case text to words, with "\n" where a line ends and "S" where a
+# sentence does (after .!?;: before a blank or a line end).  Each step is one
+# pass: no run is read again from its middle.
+STEPS = (
+    (r"(?<![^\n])[^a-z0-9\n]*+(?:(?:dnl|rem)[ \t]+)?", ""),  # blanks and comment signs that start a line
+    (r"[.!?;:][ \t]+", "S"),
+    (r"[^a-z0-9S\n.!?;:]++", " "),
+    (r"[.!?;:][ .!?;:]*+", "."),
+    (r"\.(?=\n|\z)", "S"),
+    (r"[ .]++", " "),
+    (r"[ \n]{2,}+", "\n"),
+    (r"[ \n]?S[ \nS]*+", "S"),
+    (r" \z", ""),
+)
 
 
-def sentence_table(spark, known: dict = SENTENCES) -> DataFrame:
-    return spark.createDataFrame([(s, k) for k, group in known.items() for s in group], "norm string, sentence_id string")
+def normal_text(t: Column) -> Column:
+    """Words of a-z and 0-9 with one blank, line end or "S" between them."""
+    t = F.lower(t)
+    for pattern, by in STEPS:
+        t = F.regexp_replace(t, pattern, by)
+    return t
 
 
-def recognised(docs: DataFrame, id_col: str, text_col: str, known: dict = SENTENCES) -> DataFrame:
-    """(id, k, place, sentence_id): licence sentences with their place among a
-    document's sentences.  The table of known sentences is a constant of this
-    module, so it is broadcast; the texts are not shuffled."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    s = d.select("id", F.xxhash64("t").alias("k"), F.posexplode(sentences(F.col("t"))).alias("place", "s"))
-    s = s.select("id", "k", "place", normal_sentence(F.col("s")).alias("norm"))
-    return s.join(F.broadcast(sentence_table(spark, known)), "norm").select("id", "k", "place", "sentence_id")
+def recognised(t: Column, known: dict = SENTENCES) -> Column:
+    """Identifiers of the known sentences of a text, in order.  A sentence
+    starts where a line or sentence starts, ends where one ends, and may run
+    over line ends and blank lines, not over the end of another sentence."""
+    ids = {s: k for k, group in known.items() for s in group}
+    order = sorted(ids, key=len, reverse=True)
+    pattern = r"(?<![^\nS])(?:" + "|".join(s.replace(" ", r"[ \n]") for s in order) + r")(?![^\nS])"
+    table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    return F.transform(F.regexp_extract_all(normal_text(t), F.lit(pattern), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict = SENTENCES, rules=RULES) -> DataFrame:
@@ -95,21 +118,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known:
     the order of the rules) and rules (name/kind of every rule that matches).
 
     Null and empty texts, and texts without licence sentences, give 0 and
-    empty strings.  Rows that repeat id and text get the same result; null ids
-    are allowed; extra columns are ignored.  Of a rule set, the lists are
-    bounded by a document's own sentences.
+    empty strings.  Rows are judged one by one: repeated rows and null ids are
+    allowed, extra columns are ignored, and nothing is shuffled.
     """
-    found = recognised(docs, id_col, text_col, known).distinct().groupBy("id", "k").agg(
-        F.sort_array(F.collect_list(F.struct("place", "sentence_id"))).alias("found"))
-    ids = F.transform("found", lambda x: x["sentence_id"])
-    found = found.select(F.col("id").alias("id2"), F.col("k").alias("k2"), F.size("found").cast("long").alias("n"),
-                         F.array_join(ids, ",").alias("sentence_ids"))
+    found = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.explode(F.array(recognised(text_or_empty(text_col), known))).alias("ids"))
+    found = found.select("id", F.size("ids").cast("long").alias("n"), F.array_join("ids", ",").alias("sentence_ids"))
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
     hits = [(name, f"{name}/{kind}", line.rlike("," + ",(?:.*,)?".join(order) + ",")) for name, kind, order in rules]
     names = F.array_distinct(F.filter(F.array(*[F.when(h, F.lit(n)) for n, _, h in hits]), lambda x: x.isNotNull()))
     kinds = F.filter(F.array(*[F.when(h, F.lit(k)) for _, k, h in hits]), lambda x: x.isNotNull())
-    found = found.select("*", F.array_join(names, ",").alias("licenses"), F.array_join(kinds, ",").alias("rules"))
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("k"))
-    return d.join(found, d["id"].eqNullSafe(found["id2"]) & (d["k"] == found["k2"]), "left").select(
-        F.col("id").alias(id_col), F.coalesce("n", F.lit(0).cast("long")).alias("n_sentences"),
-        *[F.coalesce(c, F.lit("")).alias(c) for c in ("sentence_ids", "licenses", "rules")])
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_sentences"), "sentence_ids",
+                        F.array_join(names, ",").alias("licenses"), F.array_join(kinds, ",").alias("rules"))

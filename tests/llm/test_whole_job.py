@@ -1,6 +1,6 @@
 """Cases that a cut would lose: rare and repeated contexts, text beyond a neighbouring match, wrapped licence texts."""
 
-from fiscus.llm import pii
+from fiscus.llm import licenses, pii
 
 
 def spans_of(spark, rows):
@@ -45,3 +45,62 @@ def test_pii_terms_go_from_all_documents(spark):
     got = spans_of(spark, rows)
     assert at(named, "zebulon") in got[0] and got[20] == got[21] == [at(bare, "Zebulon")]
     assert got[30] == [""]
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
+
+def test_licenses_of_wrapped_texts(spark):
+    want = {"MIT": ("MIT/text,MIT/grant", "mit-grant,mit-keep,as-is"),
+            "Apache-2.0": ("Apache-2.0/header,Apache-2.0/notice", "apache-2-notice,apache-comply,apache-copy"),
+            "BSD-3-Clause": ("BSD-3-Clause/grant", "bsd-grant,bsd-endorse,bsd-as-is")}
+    rows = []
+    for name, text in zip(want, (MIT, APACHE, BSD)):
+        for start in ("", "# ", "// ", " * ", ";; ", "dnl "):
+            rows.append((name, "\n".join(start + x for x in text.split("\n"))))
+        rows.append((name, text.replace("\n", "\r\n")))
+    d = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in licenses.scan(d).collect():
+        name = rows[r.doc_id][0]
+        assert (r.licenses, r.rules, r.sentence_ids) == (name, *want[name]), rows[r.doc_id]
+    # a sentence does not run over the end of another one, and is whole
+    d = spark.createDataFrame([(1, "Released under the. MIT License"), (2, "Not released under the MIT License."), (3, "Title\nReleased under\nthe MIT License")],
+                              "doc_id long, text string")
+    assert {r.doc_id: r.n_sentences for r in licenses.scan(d).collect()} == {1: 0, 2: 0, 3: 1}
