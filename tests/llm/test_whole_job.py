@@ -101,6 +101,22 @@ def test_licenses_of_wrapped_texts(spark):
         name = rows[r.doc_id][0]
         assert (r.licenses, r.rules, r.sentence_ids) == (name, *want[name]), rows[r.doc_id]
     # a sentence does not run over the end of another one, and is whole
-    d = spark.createDataFrame([(1, "Released under the. MIT License"), (2, "Not released under the MIT License."), (3, "Title\nReleased under\nthe MIT License")],
+    d = spark.createDataFrame([(1, "Released under the. MIT License"), (2, "Not released under the MIT License."), (3, "Title\nReleased under\nthe MIT License */")],
                               "doc_id long, text string")
     assert {r.doc_id: r.n_sentences for r in licenses.scan(d).collect()} == {1: 0, 2: 0, 3: 1}
+
+
+def test_licenses_of_the_common_kinds(spark):
+    want = {"Distributed under the MIT License.": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "/* SPDX-License-Identifier: MIT */": "MIT",
+            "SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "# SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
+            "This library is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1",
+            "SPDX-License-Identifier: AGPL-3.0-or-later": "AGPL-3.0", "Released under the ISC License": "ISC",
+            "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": "MPL-2.0",
+            "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+            "copyright notice and this permission notice appear in all copies.": "ISC",
+            "This project is licensed under the BSD 2-Clause License": "BSD-2-Clause", "This work is released under CC0 1.0 Universal.": "CC0-1.0",
+            "This is free and unencumbered software released into the public domain.": "Unlicense", "GPL-2.0 or MIT": ""}
+    d = spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan(d).collect()} == dict(enumerate(want.values()))
+    ids = [s for group in licenses.SENTENCES.values() for s in group]
+    assert len(ids) == len(set(ids))
