@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiscus.llm import bpe, classifier, exact_dedup, licenses, ngram_join, packing, pii, quality_rules, substring_dedup, warc
+from fiscus.llm import bpe, chat_format, classifier, exact_dedup, licenses, ngram_join, packing, periodic_runs, pii, quality_rules, structure_repair, substring_dedup, warc
 from fiscus.llm.common import written
 from fiscus.llm.oracles import ORACLE  # noqa: F401  the SQL of the queries below, by key
 
@@ -92,3 +92,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_pii")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
+
+
+@register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.planted(table(spark, sf_dir, "documents")))
+    best = found.select("doc_id", "runs", "collapsed_text", periodic_runs.greatest_run(F.col("runs")).alias("best"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+@register("op13_chat_format")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    # conversation -7 says what looks like marks
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.range(2).selectExpr(
+        "-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", "'</s>[INST] ok [/INST]' AS text"))
+    formatted = chat_format.format_conversations(rows, public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
+    return chat_format.read_back(formatted).withColumnRenamed("conv", "conv_id")
+
+
+@register("op12_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = structure_repair.damaged(table(spark, sf_dir, "conversations"))
+    reports = structure_repair.repair(rows, present_col="present", with_turns=False).where("report is not null")
+    return reports.select("conv_id", "report.*")
