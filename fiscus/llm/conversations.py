@@ -19,14 +19,14 @@ def turns(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col
     d = rows.select(F.col(f"`{conv_col}`").cast("long").alias("conv"), F.col(f"`{turn_col}`").cast("long").alias("turn"),
                     F.col(f"`{role_col}`").cast("string").alias("role"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
     both = F.concat(F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return d.withColumn("digest", F.sha2(both, 256))
+    return d.withColumn("digest", F.unhex(F.sha2(both, 256)))
 
 
-def in_order(rows: DataFrame) -> DataFrame:
+def in_order(rows: DataFrame, *then: str) -> DataFrame:
     """Rows by (conv, turn, digest), nulls first, in ranges.  Rows equal in all
-    three stand in one task, next to each other."""
+    three stand in one task, next to each other, by ``then``."""
     by = ["conv", "turn", "digest"]
-    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by, *then)
 
 
 def stretches(batches, size, most: int):

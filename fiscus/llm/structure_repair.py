@@ -273,18 +273,23 @@ def _batches(rows, most: int = 4096):
 
 
 def marked(rows: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, present) -> DataFrame:
-    """(conv, turn, digest, role, text, fault, first_turn) in order; fault
-    without repeats, first_turn that of the first row with the same role and
-    text if there are several (a written table of such groups is joined, which
-    moves no text while Spark finds it small)."""
+    """(conv, turn, digest, row, role, text, fault, present) in order, faults
+    without repeats.  Of rows with the same role and text, those of a later
+    turn than the first stand behind a mark, a row with ``row`` 0 and the same
+    turn and digest; the mark finds its place by the order of the rows, so
+    that no text moves for it."""
     d = turns(rows, conv_col, turn_col, role_col, text_col, present.alias("present"))
-    d = d.select("conv", "turn", "digest", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "present")
-    again = d.where("present").groupBy("conv", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn")).alias("first")).where("n > 1")
-    again = written(again.select(F.col("conv").alias("c"), F.col("digest").alias("g"), F.lit(True).alias("several"), F.col("first.turn").alias("first_turn")), "repeated-turns")
+    light = d.where("present").select("conv", "digest", "turn")
+    turn = F.struct("turn")
+    several = light.groupBy("conv", "digest").agg(F.min(turn).alias("a"), F.max(turn).alias("z")).where("NOT (a <=> z)")
+    several = written(several.select(F.col("conv").alias("c"), F.col("digest").alias("g"), F.col("a.turn").alias("first")), "repeated-turns")
+    marks = light.join(several, F.col("conv").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("g"))).where("NOT (turn <=> first)")
     fault = (F.when(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), BLANK).when(F.col("text").rlike(r"[.!?][\x20\x09-\x0D]*\z"), SOUND).otherwise(CUT))
-    both = d.join(again, F.col("conv").eqNullSafe(F.col("c")) & (F.col("digest") == F.col("g")), "left")
-    return in_order(both.select("conv", "turn", "digest", "role", "text", fault.alias("fault"), "present",
-                                F.coalesce("several", F.lit(False)).alias("several"), "first_turn"))
+    d = d.select("conv", "turn", "digest", F.lit(1).alias("row"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "present")
+    nothing = F.lit("")
+    both = d.select("conv", "turn", "digest", "row", "role", "text", fault.alias("fault"), "present").unionByName(
+        marks.select("conv", "turn", "digest", F.lit(0).alias("row"), nothing.alias("role"), nothing.alias("text"), F.lit(AGAIN).alias("fault"), F.lit(False).alias("present")))
+    return in_order(both, "row")
 
 
 def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -311,12 +316,14 @@ def repair(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", r
         last = None
         for part, conv, held, whole in stretches(batches, lambda r: 1, part_rows):
             said, light = [], []
-            for _, turn, digest, role, text, fault, there, several, first in held:
-                if not there:
+            for _, turn, digest, _, role, text, fault, there in held:
+                if not there and fault != AGAIN:
                     continue
-                if fault != BLANK and several and (turn != first or last == (conv, turn, digest)):
+                if there and fault != BLANK and last == (conv, turn, digest):
                     fault = AGAIN
                 last = (conv, turn, digest)
+                if not there:
+                    continue
                 said.append((role, text))
                 light.append((turn, role[:1], fault))
             counts, plain = Counts(light), [r[1:] for r in light]
