@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,6 +32,9 @@ READ = ("conv long, part long, whole boolean, n_turns long, turns_sha256 string,
         "formatted_chars long, turns binary, loss binary")
 
 
+_MARKS = tuple(".,;:!?")
+
+
 @dataclass(frozen=True)
 class Template:
     """Marks before and behind a turn by role, marks of the turns of any other
@@ -99,8 +102,9 @@ class Template:
 
 class OffsetEncoder:
     """Ids and character spans of texts.  Control strings are tokens numbered
-    behind the vocabulary; what stands between is cut by the pattern and
-    encoded piece by piece, kept in a bounded table."""
+    behind the vocabulary.  What stands between is cut by the pattern; runs
+    between single blanks, which the pattern always cuts there, and lines are
+    kept with their ids in a bounded table."""
 
     def __init__(self, ranks: list, pattern: str, controls: list[str], keep: int = 300_000):
         import regex
@@ -109,35 +113,65 @@ class OffsetEncoder:
         self.one = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})._encode_single_piece
         self.find, self.keep, self.known = regex.compile(pattern).findall, keep, {}
         base = max(r for _, r in ranks) + 1
-        self.control = {c: base + i for i, c in enumerate(controls)}
+        self.control = {c: np.array([base + i], "<u4").tobytes() for i, c in enumerate(controls)}
         self.split = re.compile("(" + "|".join(map(re.escape, controls)) + ")").split
         self.bytes = np.zeros(base + len(controls), np.int64)
         for token, rank in ranks:
             self.bytes[rank] = len(token)
-        for c, i in self.control.items():
-            self.bytes[i] = len(c.encode())
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.known.get(piece)
+        self.bytes[base:] = [len(c.encode()) for c in controls]
+        self.blanks = re.compile(r"\s\s").search
+
+    def _ids(self, text: str) -> bytes:
+        """Ids of a text without regard to blanks, as little-endian 32-bit numbers."""
+        ids = [i for p in self.find(text) for i in self.one(p.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _kept(self, text: str) -> bytes:
+        """Ids of a run.  Latin letters behind at most one blank are one match
+        of the pattern, a mark behind them another."""
+        ids = self.known.get(text)
         if ids is None:
-            ids = self.one(piece.encode())
+            plain = text[1:] if text[:1] == " " else text
+            if plain.isalpha() and max(plain) < "\u0250":
+                ids = self.one(text.encode())
+                ids = struct.pack(f"<{len(ids)}I", *ids)
+            elif plain[-1:] in _MARKS and plain[:-1].isalpha() and max(plain) < "\u0250":
+                ids = self._kept(text[:-1]) + self._kept(text[-1])
+            else:
+                ids = self._ids(text)
             if len(self.known) >= self.keep:
                 self.known.clear()
-            if len(piece) < 100:
-                self.known[piece] = ids
+            if len(text) < 100:
+                self.known[text] = ids
         return ids
 
+    def _lines(self, run: str) -> bytes:
+        """Ids of a run without blanks but its first; single line feeds are tokens of their own."""
+        if "\n" not in run:
+            return self._kept(run)
+        first, *rest = run.split("\n")
+        return self._kept(first) + b"".join([self._kept("\n") + self._kept(x) for x in rest])
+
+    def _between(self, text: str) -> list[bytes]:
+        if self.blanks(text):
+            return [self._ids(text)]
+        get, (first, *rest) = self.known.get, text.split(" ")
+        runs = [" " + r for r in rest]
+        found = [get(r) for r in runs]
+        return [self._lines(first), *(f if f is not None else self._lines(r) for r, f in zip(runs, found))]
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends): a token that holds part of a character has the span of the character."""
-        out = array("q")
+        out: list[bytes] = []
         for i, piece in enumerate(self.split(text)):
             if i % 2:
                 out.append(self.control[piece])
-            else:
-                for p in self.find(piece):
-                    out.extend(self._piece(p))
-        ids = np.frombuffer(out, np.int64) if len(out) else np.zeros(0, np.int64)
+            elif piece:
+                out += self._between(piece)
+        ids = np.frombuffer(b"".join(out), "<u4").astype(np.int64)
         edge = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        if text.isascii():
+            return ids, edge[:-1], edge[1:]
         chars = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80)
         return ids, chars[edge[:-1]] - 1, chars[edge[1:] - 1]
 
@@ -179,10 +213,9 @@ def format_conversations(rows: DataFrame, ranks_path: str, pattern: str, templat
             text, spans = template.render([r[1:] for r in held])
             ids, starts, ends = encoder.encode(text)
             mask = token_mask(starts, ends, spans)
-            row = (conv, part, whole, text, *(x.astype("<u4").tobytes() for x in (ids, starts, ends)), mask.tobytes())
-            yield _batch([row], FORMATTED)
+            yield conv, part, whole, text, *(x.astype("<u4").tobytes() for x in (ids, starts, ends)), mask.tobytes()
 
-    return d.mapInArrow(_several(run), FORMATTED)
+    return d.mapInArrow(_batched(run, FORMATTED), FORMATTED)
 
 
 def _kind(name: str) -> pa.DataType:
@@ -195,21 +228,21 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _kind(k)) for c, (_, k) in zip(cols, fields)], [n for n, _ in fields])
 
 
-def _several(run, most_bytes: int = 4 << 20):
-    """Small batches of ``run`` put together, up to ``most_bytes`` at a time."""
+def _batched(run, schema: str, most_bytes: int = 4 << 20):
+    """``run``, which yields rows, as a function that yields batches of about ``most_bytes``."""
 
-    def joined(batches):
+    def batches(source):
         held, size = [], 0
-        for b in run(batches):
-            held.append(b)
-            size += b.nbytes
-            if size >= most_bytes:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        for row in run(source):
+            held.append(row)
+            size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+            if size >= most_bytes or len(held) >= 10_000:
+                yield _batch(held, schema)
                 held, size = [], 0
         if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            yield _batch(held, schema)
 
-    return joined
+    return batches
 
 
 def masked_text(text: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
@@ -244,7 +277,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                 row = (conv, part, whole, len(said), None, len(learnt), None, len(text), everything, learnt.encode())
                 if whole:
                     row = (*row[:4], hashlib.sha256(row[8]).hexdigest(), row[5], hashlib.sha256(row[9]).hexdigest(), row[7], None, None)
-                yield _batch([row], READ)
+                yield row
 
     def fold(batches):
         conv, sums, one, two = None, None, None, None
@@ -252,14 +285,14 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             for c, _, _, n, _, m, _, chars, said, learnt in zip(*(x.to_pylist() for x in batch.columns)):
                 if sums is None or c != conv:
                     if sums:
-                        yield _batch([(conv, None, True, sums[0], one.hexdigest(), sums[1], two.hexdigest(), sums[2], None, None)], READ)
+                        yield conv, None, True, sums[0], one.hexdigest(), sums[1], two.hexdigest(), sums[2], None, None
                     conv, sums, one, two = c, [0, 0, 0], hashlib.sha256(), hashlib.sha256()
                 sums = [x + y for x, y in zip(sums, (n, m, chars))]
                 one.update(said)
                 two.update(learnt)
         if sums:
-            yield _batch([(conv, None, True, sums[0], one.hexdigest(), sums[1], two.hexdigest(), sums[2], None, None)], READ)
+            yield conv, None, True, sums[0], one.hexdigest(), sums[1], two.hexdigest(), sums[2], None, None
 
-    read = written(formatted.select(*[f.split()[0] for f in FORMATTED.split(", ")]).mapInArrow(_several(run), READ), "conversations-read")
-    parts = read.where(~F.col("whole")).repartition("conv").sortWithinPartitions("conv", "part").mapInArrow(_several(fold), READ)
+    read = written(formatted.select(*[f.split()[0] for f in FORMATTED.split(", ")]).mapInArrow(_batched(run, READ), READ), "conversations-read")
+    parts = read.where(~F.col("whole")).repartition("conv").sortWithinPartitions("conv", "part").mapInArrow(_batched(fold, READ), READ)
     return read.where("whole").unionByName(parts).drop("part", "whole", "turns", "loss")
