@@ -4,12 +4,14 @@ Seeds are winnowed anchors: of the k-word hashes inside a window the smallest
 is its anchor, so two equal windows have the same anchor at the same place.
 Anchors that occur once are dropped by a join through a fixed-size bit filter
 (which only ever lets too much through).  Each remaining anchor occurrence is
-extended both ways to all windows that it is the anchor of; occurrences meet
-by anchor, windows found twice or more are marked, and marked windows that
-touch make a maximal repeat.  Equal extensions inside a block are combined
-before the shuffle, so a passage in a third of all texts travels once per
-block.  Occurrences of an anchor with more than ``CROWDED`` of them do not
-meet in one task: their windows are counted one by one, with partial sums.
+extended both ways to all windows that it is the anchor of; windows meet by
+(anchor, window), added up in the tasks first, so a passage in a third of all
+texts travels once per task.  Windows found twice or more go into a second bit
+filter, against which each text is marked where it is read.  The filter errs
+only for windows that occur once: those it lets through are known from the
+counts, a third filter finds the texts that may hold one, and there the
+windows in doubt are joined with the counted ones.  Marked windows that touch
+make a maximal repeat.  There is one way for all anchors, however crowded.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 from fiscus.llm.common import Words, bit_filter, in_bits, keyed, mix64, ship, span_hash, text_blocks, written
 
 FILTER_BITS = 1 << 27
-#: Occurrences of one anchor that a task may compare at once.
-CROWDED = 1_000
-SEEDS = "h long, k1 long, k2 long, s0 int, n int, known long, fps binary"
-MARKS = "k1 long, k2 long, s0 int, mask long"
+#: The filters of windows take 16 bits a window, two of them set, up to this size (32 MB).
+MOST_BITS = 1 << 28
+RESULT = "id long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,end:long>>"
+#: A text is settled (results, no t), or in doubt (t, starts of its sure windows, and (anchor, window, start) of the others).
+SETTLED = RESULT + ", k1 long, k2 long, t string, sure binary, doubt binary"
+_RUNS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_KINDS = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string(), "repeats": _RUNS,
+          "k1": pa.int64(), "k2": pa.int64(), "t": pa.string(), "sure": pa.binary(), "doubt": pa.binary()}
 
 
 class Windows:
@@ -65,105 +71,133 @@ def seed_counts(docs: DataFrame, size: int, seed: int) -> DataFrame:
     return docs.select("t").mapInArrow(run, "h long, n long")
 
 
-def extensions(docs: DataFrame, bits, size: int, seed: int) -> DataFrame:
-    """SEEDS: for each occurrence of a shared anchor, the first of its windows,
-    their number and fingerprints.  An occurrence equal to an earlier one of
-    the block has no fingerprints but a full ``known`` mask: it needs no other
-    partner, and the earlier one, marked too, stands for it."""
+def _added(h: np.ndarray, fp: np.ndarray, n: np.ndarray):
+    """Equal (h, fp) as one, with the sum of n."""
+    order = np.lexsort((h, fp))
+    h, fp, n = h[order], fp[order], n[order]
+    new = np.append(True, (fp[1:] != fp[:-1]) | (h[1:] != h[:-1]))[:len(h)]
+    at = np.flatnonzero(new)
+    return h[at], fp[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def window_counts(docs: DataFrame, bits, size: int, seed: int, at_once: int = 1 << 20) -> DataFrame:
+    """(h, fp, n): anchor and fingerprint of the windows of shared anchors, and
+    how often they occur, added up over a task as far as ``at_once`` of them go."""
+
+    def rows(h, fp, n):
+        for i in range(0, len(h), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16)].view(np.int64)) for x in (h, fp, n)], ["h", "fp", "n"])
 
     def run(batches):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        kept, held, size_held = none, [], 0
         for batch in batches:
-            key1 = batch.column(1).to_numpy(zero_copy_only=False)
-            key2 = batch.column(2).to_numpy(zero_copy_only=False)
-            for row, data, offsets in text_blocks(batch.column(0)):
+            for _, data, offsets in text_blocks(batch.column(0)):
                 w = Windows(data, offsets, size, seed)
                 if not len(w.start):
                     continue
                 hit = np.flatnonzero(in_bits(bits.value, w.gram[w.anchor]))
-                if not len(hit):
-                    continue
-                fps, anchor, doc = w.prints(size, hit), w.anchor[hit], w.doc[hit]
-                new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(hit)))
-                h = w.gram[anchor[at]]
-                same = span_hash(fps, at, at + n, 0x7)
-                _, first, group, times = np.unique(same ^ mix64(h), return_index=True, return_inverse=True, return_counts=True)
-                lead = first[group] == np.arange(len(at))
-                full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
-                known = np.where(times[group] > 1, full, np.uint64(0)).view(np.int64)
-                raw = fps.astype("<u8").tobytes()
-                packed = [raw[8 * a:8 * (a + m)] if keep else None for a, m, keep in zip(at.tolist(), n.tolist(), lead.tolist())]
-                d = doc[at] + row
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(key1[d]), pa.array(key2[d]),
-                     pa.array((w.start[hit[at]] - w.first[doc[at]]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                     pa.array(known), pa.array(packed, pa.binary())], [x.split()[0] for x in SEEDS.split(", ")])
-
-    return docs.select("t", "k1", "k2").mapInArrow(run, SEEDS)
-
-
-def match(seeds: DataFrame, at_once: int = 100_000) -> DataFrame:
-    """MARKS from occurrences that meet by anchor: which of their windows occur
-    twice or more.  A task takes whole anchors, about ``at_once`` rows a time."""
-    rows = seeds.select("h", "k1", "k2", "s0", "fps").repartition("h").sortWithinPartitions("h")
-
-    def marked(t: pa.Table) -> pa.RecordBatch:
-        t = t.combine_chunks()
-        h, k1, k2, s0 = (t.column(i).to_numpy() for i in range(4))
-        fps = t.column(4).to_pylist()
-        n = np.array([len(x) // 8 for x in fps])
-        f = np.frombuffer(b"".join(fps), "<u8")
-        row = np.repeat(np.arange(len(n)), n)
-        place = np.arange(len(f)) - np.repeat(np.cumsum(n) - n, n)
-        order = np.lexsort((f, h[row]))
-        a, b = f[order], h[row][order]
-        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-        twice = np.zeros(len(f), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        bit = np.where(twice, np.uint64(1) << place.astype(np.uint64), np.uint64(0))
-        mask = np.bitwise_or.reduceat(bit, np.cumsum(n) - n)
-        keep = np.flatnonzero(mask)
-        return pa.RecordBatch.from_arrays([pa.array(k1[keep]), pa.array(k2[keep]), pa.array(s0[keep]),
-                                           pa.array(mask[keep].view(np.int64))], [x.split()[0] for x in MARKS.split(", ")])
+                held.append(_added(w.gram[w.anchor[hit]], w.prints(size, hit), np.ones(len(hit), np.int64)))
+                size_held += len(held[-1][0])
+                if size_held >= at_once:
+                    kept, held, size_held = _added(*(np.concatenate(x) for x in zip(kept, *held))), [], 0
+                    if len(kept[0]) >= at_once:
+                        yield from rows(*kept)
+                        kept = none
+        yield from rows(*_added(*(np.concatenate(x) for x in zip(kept, *held))))
+
+    return docs.select("t").mapInArrow(run, "h long, fp long, n long")
+
+
+def window_filter(windows: DataFrame, most_bits: int) -> np.ndarray:
+    """A bit filter of a written table of windows (fp), two bits each, sized by their number up to ``most_bits``."""
+    bits = min(most_bits, 1 << max(15, (16 * windows.count() - 1).bit_length()))
+    turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
+    return bit_filter(windows.select(F.explode(F.array("fp", turned)).alias("b")), bits)
+
+
+def in_filter(bits: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Which windows a ``window_filter`` may hold."""
+    u = fp.view(np.uint64)
+    return in_bits(bits, u) & in_bits(bits, (u << np.uint64(32)) | (u >> np.uint64(32)))
+
+
+def let_through(windows: DataFrame, bits) -> DataFrame:
+    """The rows (fp) that a window filter lets through."""
 
     def run(batches):
-        held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h = batch.column(0).to_numpy()
-            if n >= at_once:
-                before = held[-1].column(0)[-1].as_py()
-                cut = int(np.argmax(h != before)) if (h != before).any() else len(h)
-                held.append(batch.slice(0, cut))
-                if cut == len(h):
-                    continue
-                yield marked(pa.Table.from_batches(held))
-                held, n, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            n += batch.num_rows
-        if held:
-            yield marked(pa.Table.from_batches(held))
+            yield batch.filter(pa.array(in_filter(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
 
-    return rows.mapInArrow(run, MARKS)
+    return windows.select("fp").mapInArrow(run, "fp long")
 
 
-def match_crowded(seeds: DataFrame) -> DataFrame:
-    """MARKS as ``match`` gives them, for anchors with any number of
-    occurrences: windows are rows, counted with partial sums; the windows found
-    twice are a written table with unique keys, so Spark can split a hot one."""
-    place = F.sequence(F.lit(0), F.col("n") - 1)
-    prints = F.transform(place, lambda i: F.substring(F.col("fps"), i * 8 + 1, F.lit(8)))
-    windows = seeds.select("h", "k1", "k2", "s0", F.posexplode(prints).alias("place", "fp"))
-    twice = windows.groupBy("h", "fp").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "fp")
-    found = windows.join(written(twice, "crowded-windows"), ["h", "fp"])
-    return found.groupBy("k1", "k2", "s0").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+def without(words: list, starts, size: int) -> tuple:
+    """(n_words, n_removed, kept text, repeats) of a text whose windows at the sorted ``starts`` are repeated."""
+    runs: list = []
+    for s in starts:
+        if runs and s <= runs[-1][1]:
+            runs[-1][1] = s + size
+        else:
+            runs.append([s, s + size])
+    kept, at = [], 0
+    for a, b in runs:
+        kept += words[at:a]
+        at = b
+    kept += words[at:]
+    return len(words), len(words) - len(kept), b" ".join(kept).decode(), [{"start": a, "end": b} for a, b in runs]
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _KINDS[c]) for i, c in enumerate(names)], names)
+
+
+def settle(docs: DataFrame, bits, twice, doubt, size: int, seed: int) -> DataFrame:
+    """SETTLED rows: every text marked by the filter ``twice``; a window that
+    may be one of ``doubt`` is in doubt unless it comes again in its block."""
+
+    def run(batches):
+        for batch in batches:
+            for row, data, offsets in text_blocks(batch.column(0)):
+                w, n = Windows(data, offsets, size, seed), len(offsets) - 1
+                hit = np.flatnonzero(in_bits(bits.value, w.gram[w.anchor])) if len(w.start) else np.zeros(0, np.int64)
+                fp = w.prints(size, hit) if len(hit) else np.zeros(0, np.uint64)
+                some = in_filter(twice.value, fp)
+                hit, fp = hit[some], fp[some]
+                h, of = (w.gram[w.anchor[hit]], w.doc[hit]) if len(hit) else (fp, hit)
+                start = (w.start[hit] - w.first[of]) if len(hit) else hit
+                _, group, times = np.unique(fp ^ mix64(h), return_inverse=True, return_counts=True)
+                unsure = in_filter(doubt.value, fp) & (times[group] == 1)
+                edge = np.searchsorted(of, np.arange(n + 1))
+                raw, out = data.tobytes(), []
+                for i, key in enumerate(zip(*(batch.column(c).slice(row, n).to_pylist() for c in (1, 2, 3)))):
+                    part, text = slice(edge[i], edge[i + 1]), raw[offsets[i]:offsets[i + 1]]
+                    maybe = unsure[part]
+                    if maybe.any():
+                        three = np.stack([x[part][maybe].view(np.int64) for x in (h, fp, start)])
+                        out.append((key[0], None, None, None, None, *key[1:], text.decode(), start[part][~maybe].tobytes(), three.tobytes()))
+                    else:
+                        out.append((key[0], *without(text.split(), start[part].tolist(), size), None, None, None, None, None))
+                yield _batch(out, list(_KINDS))
+
+    return docs.select("t", "id", "k1", "k2").mapInArrow(run, SETTLED)
+
+
+def in_doubt(texts: DataFrame) -> DataFrame:
+    """(h, fp, k1, k2, s): the windows in doubt of SETTLED rows, those of equal rows once."""
+
+    def run(batches):
+        for batch in batches:
+            for k1, k2, packed in zip(*(c.to_pylist() for c in batch.columns)):
+                h, fp, s = np.frombuffer(packed, np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, fp, np.full(len(s), k1), np.full(len(s), k2), s)],
+                                                 ["h", "fp", "k1", "k2", "s"])
+
+    return texts.select("k1", "k2", "doubt").dropDuplicates(["k1", "k2"]).mapInArrow(run, "h long, fp long, k1 long, k2 long, s long")
 
 
 def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_id", text_col: str = "text",
-            crowded: int = CROWDED) -> DataFrame:
+            filter_bits: int = FILTER_BITS, most_bits: int = MOST_BITS) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_text (kept
     words joined by one space), repeats (maximal runs of words, start and end,
     that windows of ``size`` words which also start elsewhere cover).
@@ -172,49 +206,30 @@ def repeats(docs: DataFrame, size: int = 35, seed: int = 10, id_col: str = "doc_
     and empty texts have no words; texts under ``size`` words keep all; rows
     that repeat a text are each other's elsewhere; null ids are allowed; extra
     columns are ignored.  Windows are compared by two 64-bit hashes (anchor
-    and window).  The masks of a text are bounded by its length.  Anchors with
-    more than ``crowded`` occurrences take the way of ``match_crowded``, with
-    the same results.
+    and window).  The filters (bits, powers of two) have a greatest size; a
+    full one leaves more windows in doubt and changes no result.
     """
-    if not 0 <= size - seed < 62:
-        raise ValueError("the seed must be shorter than the window by less than 62 words")
+    if not 0 < seed <= size:
+        raise ValueError("the seed must not be longer than the window")
     spark = docs.sparkSession
     ship(spark)
     d = keyed(docs, id_col, text_col)
     shared = seed_counts(d, size, seed).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    bits = spark.sparkContext.broadcast(bit_filter(shared, FILTER_BITS))
-    seeds = written(extensions(d, bits, size, seed), "seeds")
-    lead = seeds.where("fps is not null")
-    full = written(lead.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > crowded).select("h"), "crowded-anchors")
-    marks = match(lead.join(full, "h", "left_anti")).unionByName(match_crowded(lead.join(full, "h", "left_semi")))
-    marks = marks.unionByName(seeds.where("known <> 0").select("k1", "k2", "s0", F.col("known").alias("mask")))
-    marks = marks.groupBy("k1", "k2", "s0").agg(F.bit_or("mask").alias("mask")).groupBy("k1", "k2").agg(
-        F.collect_list("s0").alias("s0"), F.collect_list("mask").alias("mask"))
-    both = d.join(marks, ["k1", "k2"], "left").select("id", "t", "s0", "mask")
+    bits = spark.sparkContext.broadcast(bit_filter(shared, filter_bits))
+    counts = written(window_counts(d, bits, size, seed).groupBy("h", "fp").agg((F.sum("n") > 1).alias("many")), "windows")
+    again = counts.where("many").select("h", "fp")
+    twice = spark.sparkContext.broadcast(window_filter(again, most_bits))
+    once = written(let_through(counts.where("NOT many"), twice), "windows-in-doubt")
+    doubt = spark.sparkContext.broadcast(window_filter(once, most_bits))
+    settled = written(settle(d, bits, twice, doubt, size, seed), "settled")
+    texts = settled.where("t IS NOT NULL")
+    sure = in_doubt(texts).join(again, ["h", "fp"]).groupBy("k1", "k2").agg(F.collect_list("s").alias("s"))
+    both = texts.join(sure, ["k1", "k2"], "left").select("id", "t", "sure", "s")
+    names = [f.split()[0] for f in RESULT.split(", ")]
 
     def run(batches):
         for batch in batches:
-            out = []
-            for key, text, starts, masks in zip(*(batch.column(i) for i in range(4))):
-                words = text.as_py().encode().split()
-                runs = []
-                if starts.is_valid:
-                    for s in sorted(s + i for s, m in zip(starts.as_py(), masks.as_py()) for i in range(size) if m >> i & 1):
-                        if runs and s <= runs[-1][1]:
-                            runs[-1][1] = s + size
-                        else:
-                            runs.append([s, s + size])
-                kept, at = [], 0
-                for a, b in runs:
-                    kept += words[at:a]
-                    at = b
-                kept += words[at:]
-                out.append((key.as_py(), len(words), len(words) - len(kept), b" ".join(kept).decode(),
-                            [{"start": a, "end": b} for a, b in runs]))
-            cols = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             ["id", "n_words", "n_removed", "kept_text", "repeats"])
-
-    schema = "id long, n_words long, n_removed long, kept_text string, repeats array<struct<start:long,end:long>>"
-    return both.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+            yield _batch([(key, *without(text.encode().split(), sorted(np.frombuffer(sure, np.int64).tolist() + (more or [])), size))
+                          for key, text, sure, more in zip(*(c.to_pylist() for c in batch.columns))], names)
+
+    return settled.where("t IS NULL").select(*names).unionByName(both.mapInArrow(run, RESULT)).withColumnRenamed("id", id_col)
