@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from fiscus.llm.common import Words, bit_filter, in_bits, mix64, ship, span_hash, text_blocks, text_or_empty, written
 from fiscus.llm.components import components
 
-SETS = "id long, n long, s1 long, s2 long, bitmap binary, prefix array<long>"
+SETS = "id long, x long, n long, s1 long, s2 long, bitmap binary, prefix array<long>"
 HOT_TABLE = 1 << 20
 BUCKET_ROWS = 200_000
 BLOCK_TOKENS = 2_000_000
@@ -76,6 +76,11 @@ class Sets:
         self.token, self.doc = token[new], doc[new]
         self.offsets = np.searchsorted(self.doc, np.arange(len(words) + 1))
 
+    def sums(self) -> list[np.ndarray]:
+        """The two 64-bit hashes of each set."""
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(self.token ^ np.uint64(x)))]) for x in (0x5A17, 0xC0FFEE)]
+        return [(c[self.offsets[1:]] - c[self.offsets[:-1]]).view(np.int64) for c in sums]
+
 
 def parity_bitmap(token: np.ndarray, least: int = 64) -> bytes:
     """Bit (token mod bits) is the parity of such tokens; about one bit a token."""
@@ -167,15 +172,14 @@ def all_sets(rows: DataFrame, n: int, limit: Threshold, order: Order) -> DataFra
                 s = Sets(data, offsets, n)
                 size = np.diff(s.offsets)
                 grams, p = order.prefixes(s, limit)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(s.token ^ np.uint64(x)))]) for x in (0x5A17, 0xC0FFEE)]
-                s1, s2 = ((c[s.offsets[1:]] - c[s.offsets[:-1]]).view(np.int64) for c in sums)
+                s1, s2 = s.sums()
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(p)]).astype(np.int32)),
                                                   pa.array(grams.view(np.int64)))
                 bitmaps = [parity_bitmap(s.token[a:b]) if m else None
                            for a, b, m in zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), p.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(size)), pa.array(size.astype(np.int64)), pa.array(s1), pa.array(s2),
-                     pa.array(bitmaps, pa.binary()), prefix], [x.split()[0] for x in SETS.split(", ")])
+                    [batch.column(0).slice(at, len(size)), batch.column(2).slice(at, len(size)), pa.array(size.astype(np.int64)),
+                     pa.array(s1), pa.array(s2), pa.array(bitmaps, pa.binary()), prefix], [x.split()[0] for x in SETS.split(", ")])
 
     return rows.mapInArrow(run, SETS)
 
@@ -456,27 +460,30 @@ def join_block(sets: list[np.ndarray], limit: Threshold) -> Union:
     return done
 
 
-def verified_links(rows: DataFrame, label: DataFrame, sizes: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """Links between sets of each block whose Jaccard similarity holds."""
+def verified_links(rows: DataFrame, label: DataFrame, heads: DataFrame, n: int, limit: Threshold) -> DataFrame:
+    """Links between sets of each block whose Jaccard similarity holds.  A
+    set's tokens are read from a row with the id and the set of its head."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(bit_filter(label.select(F.xxhash64("id")), ID_BITS))
+    who = heads.select("id", "n", F.col("rep").alias("r"), "s1", "s2").join(label, "id")
+    bits = spark.sparkContext.broadcast(bit_filter(who.select(F.xxhash64("r")), ID_BITS))
 
     def tokens(batches):
         for batch in batches:
-            ids, maybe = batch.column(0), in_bits(bits.value, batch.column(2).to_numpy(zero_copy_only=False))
+            maybe = in_bits(bits.value, batch.column(2).to_numpy(zero_copy_only=False))
             picked = batch.filter(pa.array(maybe))
             for at, data, offsets in text_blocks(picked.column(1)):
                 s = Sets(data, offsets, n)
                 raw = s.token.astype("<u8").tobytes()
                 cuts = s.offsets.tolist()
-                ids = picked.column(0).slice(at, len(cuts) - 1)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([raw[8 * a:8 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                                                 ["id", "tokens"])
-
-    sets = rows.select("id", "t", F.xxhash64("id").alias("x")).mapInArrow(tokens, "id long, tokens binary")
-    total = label.join(sizes, "id").groupBy("component").agg(F.sum("n").alias("total"))
-    label = label.join(total, "component").select("id", "component", F.ceil(F.col("total") / BLOCK_TOKENS).cast("long").alias("blocks"))
-    blocks = _pairs_of_blocks(sets.join(label, "id"), "blocks").select("component", "i", "j", "id", "tokens")
+                s1, s2 = s.sums()
+                yield pa.RecordBatch.from_arrays(
+                    [picked.column(0).slice(at, len(s1)), pa.array(s1), pa.array(s2),
+                     pa.array([raw[8 * a:8 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())], ["r", "s1", "s2", "tokens"])
+
+    sets = rows.select("id", "t", F.xxhash64("id").alias("h")).mapInArrow(tokens, "r long, s1 long, s2 long, tokens binary")
+    total = who.groupBy("component").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("long").alias("blocks"))
+    sets = sets.join(who.join(total, "component").drop("n"), ["r", "s1", "s2"])
+    blocks = _pairs_of_blocks(sets, "blocks").select("component", "i", "j", "id", "tokens")
     blocks = blocks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "id")
 
     def run(batches):
@@ -495,6 +502,33 @@ def verified_links(rows: DataFrame, label: DataFrame, sizes: DataFrame, n: int,
     return blocks.mapInArrow(run, "a long, b long").where("a <> b")
 
 
+def _near(docs: DataFrame, n: int, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """(id, x, n, label, least) of every row: x a hash of its text, label that
+    of its component, least the smallest id in it.  Nodes are sets: named by
+    their smallest id, or, where several sets have the same, all but one by a hash."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
+    order = Order(frequent_grams(rows.select("t"), n))
+    order = Order(order.hot, shared_grams(rows.select("t"), n, limit, order))
+    sets = written(all_sets(rows.withColumn("x", F.xxhash64("t")), n, limit, order), "sets")
+    real = sets.where("n > 0 and id is not null")
+    key = F.struct("s1", "s2", "n")
+    same = written(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "equal-sets")
+    shared = same.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.min(key).alias("first")).where("sets > 1")
+    same = same.join(shared.select(F.col("rep").alias("of"), "first"), F.col("rep") == F.col("of"), "left").select(
+        "s1", "s2", "n", "rep", F.when(F.col("of").isNull() | (F.col("first") == key), F.col("rep")).otherwise(F.xxhash64("s1", "s2", "n")).alias("node"))
+    heads = sets.where("size(prefix) > 0").join(same, ["s1", "s2", "n"]).where("id = rep")
+    heads = heads.select(F.col("node").alias("id"), "rep", "s1", "s2", "n", "bitmap", "prefix").dropDuplicates(["id"])
+    heads = written(heads, "set-heads")
+    label = written(components(likely_links(heads, limit)), "blocks")
+    links = components(verified_links(rows, label, heads, n, limit)).select(F.col("id").alias("node"), "component")
+    node = same.join(links, "node", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "node").alias("label"))
+    node = written(node, "nodes")
+    least = node.groupBy("label").agg(F.min("rep").alias("least"))
+    node = node.join(least, "label").select("s1", "s2", "n", "label", "least")
+    return sets.select("id", "x", "n", "s1", "s2").join(node, ["s1", "s2", "n"], "left").select("id", "x", "n", "label", "least")
+
+
 def near_components(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(), id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles (size of its set of word
@@ -503,23 +537,21 @@ def near_components(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(),
     A-Z are lower-cased; words are runs without U+0020, U+0009-U+000D; a text
     of fewer than ``n`` words is one n-gram; null and empty texts have none
     and link to nothing.  A row with a null id links to nothing and gets a null
-    component.  Rows that repeat an id are one node.  Extra columns are
-    ignored; an empty table gives no rows.  N-grams are compared by 64-bit
+    component.  Links are between texts: rows that repeat an id with another
+    text are rows of their own, linked only if their texts are.  Extra columns
+    are ignored; an empty table gives no rows.  N-grams are compared by 64-bit
     hashes, whole sets by 128-bit hashes.
     """
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
-    order = Order(frequent_grams(rows.select("t"), n))
-    order = Order(order.hot, shared_grams(rows.select("t"), n, limit, order))
-    sets = written(all_sets(rows, n, limit, order), "sets")
-    real = sets.where("n > 0 and id is not null")
-    same = written(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "equal-sets")
-    reps = sets.where("size(prefix) > 0").join(same.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("id = rep")
-    reps = written(reps.select("id", "n", "bitmap", "prefix").dropDuplicates(["id", "n"]), "set-heads")
-    label = written(components(likely_links(reps, limit)), "blocks")
-    links = components(verified_links(rows, label, reps.select("id", "n"), n, limit))
-    links = links.select(F.col("id").alias("rep"), "component")
-    node = same.join(links, "rep", "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
-    out = sets.select("id", "n", "s1", "s2").join(node, ["s1", "s2", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    known = F.col("id").isNotNull()
+    return _near(docs, n, limit, id_col, text_col).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("least", "id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x) of the rows that are linked, over any number of links, with the
+    row of their component that stays, that of the smallest id (ties: smallest
+    x); x is xxhash64 of the text (null: empty).  Rows as in ``near_components``."""
+    rows = _near(docs, n, limit, id_col, text_col).where("id is not null and label is not null")
+    rows = written(rows.select("id", "x", "label").distinct(), "near-rows")
+    stays = rows.groupBy("label").agg(F.min(F.struct("id", "x")).alias("stays"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    return rows.join(stays.select("label", "stays"), "label").where(F.struct("id", "x") != F.col("stays")).select("id", "x").distinct()

@@ -111,6 +111,18 @@ def test_ngram_components(docs, none):
     assert ngram_join.near_components(none).count() == 0
 
 
+def test_ngram_links_of_repeated_ids(spark):
+    """Links are between texts, also where two of them have the same id and number of n-grams."""
+    other = " ".join(f"u{i}" for i in range(120))
+    rows = [(1, BASE), (5, NEAR), (5, other), (9, other.replace("u60 ", "changed ")), (9, other.replace("u60 ", "changed ")), (5, "few words"), (5, None)]
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "doc_id long, text string").selectExpr("*", "1 AS x", "2 AS label", "3 AS rep")
+        got = collections.Counter(tuple(r) for r in ngram_join.near_components(d).collect())
+        assert got == {(1, 118, 1): 1, (5, 118, 1): 1, (5, 118, 5): 1, (9, 118, 5): 2, (5, 1, 5): 1, (5, 0, 5): 1}
+        gone = d.selectExpr("doc_id AS id", "text", "xxhash64(coalesce(text, '')) AS x").join(ngram_join.near_copies(d).withColumnRenamed("id", "g"), "x")
+        assert {(r.g, r.text) for r in gone.collect()} == {(5, NEAR), (9, rows[3][1])}
+
+
 @pytest.mark.parametrize("num", [80, 90])
 def test_join_block_matches_brute_force(num):
     rng, limit = np.random.default_rng(num), ngram_join.Threshold(num, 100)
@@ -138,8 +150,8 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in components.components(e).collect()} == {(i, 0) for i in range(21)} | {(40, 40), (41, 40)}
 
 
-@pytest.mark.parametrize("crowded", [0, 2, 1000])  # all, some and no anchors counted window by window
-def test_substring_repeats(docs, none, crowded):
+@pytest.mark.parametrize("bits", [8, 256, 1 << 24])  # filters that let all, much and little through
+def test_substring_repeats(docs, none, bits):
     count = collections.Counter()
     for _, t, _ in ROWS:
         w = words(t)
@@ -149,8 +161,8 @@ def test_substring_repeats(docs, none, crowded):
         w = words(t)
         gone = [any(count[tuple(w[s:s + 35])] > 1 for s in range(max(0, j - 34), min(j, len(w) - 35) + 1)) for j in range(len(w))]
         want[(i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))] += 1
-    assert collections.Counter(tuple(r)[:4] for r in substring_dedup.repeats(docs, crowded=crowded).collect()) == want
-    assert substring_dedup.repeats(none, crowded=crowded).count() == 0
+    assert collections.Counter(tuple(r)[:4] for r in substring_dedup.repeats(docs, filter_bits=bits, most_bits=bits).collect()) == want
+    assert substring_dedup.repeats(none, filter_bits=bits, most_bits=bits).count() == 0
 
 
 def test_quality_rules(spark, docs, none):
@@ -172,7 +184,6 @@ def test_quality_rules(spark, docs, none):
 def test_packing(docs, none):
     out = packing.best_fit_pack(docs, public.path("byte_bpe_50k.json"), public.PATTERN, sequence_length=64, open_bins=4).collect()
     lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     want = collections.Counter()
     for i, t, _ in ROWS:
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 0]
@@ -187,6 +198,42 @@ def test_packing(docs, none):
     assert packing.best_fit_pack(none, public.path("byte_bpe_50k.json"), public.PATTERN).count() == 0
 
 
+def test_packing_encodes_added_tokens(spark):
+    lib = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encoder = packing.PieceEncoder(public.path("byte_bpe_50k.json"), public.PATTERN)
+    for t in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|> \n", " <|endoftext|", "x <|endoftext|>  y\n\nz"):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    assert 50256 in lib.encode("hello <|endoftext|> world", add_special_tokens=False).ids
+
+
+def plain_best_fit(lengths, size, most_open):
+    """(bin, offset) per piece: the fullest open bin that holds it; the fullest open one closes when too many are open.
+    Of equally full bins the one used last counts."""
+    bins, made, out = [], 0, []
+    for n in lengths:
+        fits = [i for i, b in enumerate(bins) if size - b[1] >= n]
+        if fits:
+            at = max(fits, key=lambda i: (bins[i][1], i))
+            b = bins.pop(at)
+        else:
+            b, made = [made, 0], made + 1
+            if len(bins) >= most_open and n < size:
+                bins.pop(max(range(len(bins)), key=lambda i: (bins[i][1], i)))
+        out.append((b[0], b[1]))
+        b[1] += n
+        if b[1] < size:
+            bins.append(b)
+    return out
+
+
+def test_best_fit_places_as_a_plain_one():
+    rng = np.random.default_rng(8)
+    for most_open in (1, 3, 20):
+        lengths = rng.integers(1, 65, 500).tolist()
+        fit = packing.BestFit(64, most_open)
+        assert [fit.put(n) for n in lengths] == plain_best_fit(lengths, 64, most_open)
+
+
 def test_classifier_on_held_out_labels(spark, docs, none):
     out = queries.op9(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     n, right = out.where("held_out").agg(F.count("*"), F.sum((F.col("predicted") == F.col("quality")).cast("int"))).first()
@@ -253,3 +300,25 @@ def test_pipeline_stages(spark, docs):
     assert [r.text[-7:] for r in d.where("doc_id = 2").collect()] == ["[EMAIL]"]
     last = cp.STAGES[-1][1](spark, d, "").collect()
     assert {r.doc_id for r in last} == ids and len({(r.sequence_id, r.offset) for r in last}) == len(last)
+
+
+def test_pipeline_stages_of_clashing_names_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    mail = " ".join(f"m{i}" for i in range(70)) + " mail me@site.org"
+    other = " ".join(f"u{i}" for i in range(120))
+    rows = [(1, BASE), (5, NEAR), (5, other), (9, other.replace("u60 ", "changed ")), (9, other), (None, mail), (7, mail + " end"), (7, None), (8, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ("quality", "gone_id", "k1", "k2", "found", "t", "row", "id", "x", "label", "hot_host", "b", "a", "kept")
+    d = d.selectExpr("*", *[f"'own {n}' AS {n}" for n in names])
+    left = [[None, 1, 5, 5, 7, 9, 9], [None, 1, 5, 7, 9, 9], [None, 1, 7, 9], [None, 1, 7, 9]]
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=lambda i: (i is not None, i))
+    for (name, stage), want in zip(cp.STAGES, left):
+        assert stage(spark, d.limit(0), "").count() == 0, name
+        columns = d.columns
+        d = written(stage(spark, d, ""), name)
+        assert d.columns == columns and [r[0] for r in d.selectExpr("struct(quality, gone_id, k1, k2, found, t, row, x, label)").distinct().collect()] == [
+            tuple(f"own {n}" for n in ("quality", "gone_id", "k1", "k2", "found", "t", "row", "x", "label"))], name
+        assert ids(d) == want, name
+    assert "me@site.org" not in " ".join(r.text for r in d.collect())
+    assert cp.STAGES[-1][1](spark, d, "").count() == d.count() and cp.STAGES[-1][1](spark, d.limit(0), "").count() == 0
