@@ -39,7 +39,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel  # noqa: F401 -- the file's own pre-tokenizer
 
-        self.model = Tokenizer.from_file(tokenizer_json).model
+        whole = Tokenizer.from_file(tokenizer_json)
+        self.model = whole.model
+        self.added = {t.content: struct.pack("<I", i) for i, t in whole.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.find = regex.compile(pattern).findall
         self.two_blanks = re.compile(r"\s\s").search
         self.keep, self.pieces, self.runs = keep, {}, {}
@@ -82,6 +85,12 @@ class PieceEncoder:
             table[key] = ids
 
     def encode(self, text: str) -> bytes:
+        """Ids of a text; a string of an added token of the file is that token."""
+        if not any(a in text for a in self.added):
+            return self._plain(text)
+        return b"".join([self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.split(text))])
+
+    def _plain(self, text: str) -> bytes:
         if self.two_blanks(text):
             return self._split(text)
         first, *runs = text.split(" ")
@@ -93,9 +102,9 @@ class PieceEncoder:
 
 
 def _encoder(path: str, pattern: str) -> PieceEncoder:
-    if path not in _LOADED:
-        _LOADED[path] = PieceEncoder(path, pattern)
-    return _LOADED[path]
+    if (path, pattern) not in _LOADED:
+        _LOADED[path, pattern] = PieceEncoder(path, pattern)
+    return _LOADED[path, pattern]
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
@@ -110,8 +119,8 @@ def tokenise(docs: DataFrame, tokenizer_json: str, pattern: str, id_col: str = "
              sequence_length: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pieces (id, piece, start, length, ids_crc32, ids) of every document:
     its ids, then ``end_id``.  Null text: empty, so one piece of one id.
-    ``ids`` (packed 32-bit) is null unless asked for.  Text that spells a
-    special token is ordinary text."""
+    ``ids`` (packed 32-bit) is null unless asked for.  Text that spells an
+    added token of the file gets its id, as the library called plainly does."""
     ship(docs.sparkSession)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
     end = np.array([end_id], "<u4").tobytes()
