@@ -284,7 +284,7 @@ def tfidf_top_terms(docs: DataFrame, id_col: str, text_col: str, k: int = 5) ->
     per document.  tf = count / doc tokens, idf = ln(N / df)."""
     # the document length travels with its tokens (no separate aggregate + join)
     toks = (docs.select(id_col, tokens_lower(col(text_col)).alias("_t"))
-            .select(id_col, F.size("_t").alias("dlen"), F.explode("_t").alias("term")))
+            .select(id_col, F.size("_t").alias("dlen"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL"))
     tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"), F.first("dlen").alias("dlen"))
     df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n_docs = docs.select(id_col).distinct().agg(F.count(F.lit(1)).alias("N"))
@@ -330,7 +330,7 @@ def containment_matches(docs: DataFrame, passages: DataFrame, threshold: float =
     sharing a shingle are ever formed; the verification is exact (no
     MinHash sampling)."""
     d = (docs.select("doc_id", tokens_lower(col("text")).alias("_t"))
-         .select("doc_id", F.explode(shingles(col("_t"), n)).alias("sh")))
+         .select("doc_id", F.explode_outer(shingles(col("_t"), n)).alias("sh")).where("sh IS NOT NULL"))
     p = (passages.select("item_id", tokens_lower(col("text")).alias("_t"))
          .select("item_id", shingles(col("_t"), n).alias("_s")))
     psize = p.select("item_id", F.size("_s").alias("p_shingles"))

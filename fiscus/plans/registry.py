@@ -35,7 +35,9 @@ MODULES = (
     "fiscus.operators.evaluate",
     "fiscus.operators.scalar_queries",
     "fiscus.operators.corpus_queries",
+    "fiscus.operators.clause_scan",
     "fiscus.operators.retrieval",
+    "fiscus.operators.minhash",
     "fiscus.operators.voting",
     "fiscus.operators.execution",
     "fiscus.sources.round_trips",

@@ -39,3 +39,27 @@ def test_words_keep_accented_letters(spark):
     df = spark.createDataFrame([("\u00c9conomie fran\u00e7aise, a\u00f1o se\u00f1al 42",)], "t string")
     assert df.select(R.tokens_lower(F.col("t")).alias("w")).first().w == [
         "\u00e9conomie", "fran\u00e7aise", "a\u00f1o", "se\u00f1al"]
+
+
+def test_minhash_signatures_estimate_jaccard(spark):
+    from fiscus.operators import minhash as M
+
+    a, b = list(range(60)), list(range(20, 80))  # similarity 40 / 80
+    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(
+        *[F.transform(c, lambda x: F.xxhash64(x)).alias(c) for c in ("a", "b")])
+    one = row.select(M.signature(F.col("a"), 512, 1).alias("a"), M.signature(F.col("b"), 512, 1).alias("b")).first()
+    assert abs(sum(x == y for x, y in zip(one.a, one.b)) / 512 - 0.5) < 0.1
+    keys = row.select(M.band_keys(M.signature(F.col("a"))).alias("k"), M.band_keys(M.signature(F.reverse("a"))).alias("l")).first()
+    assert keys.k == keys.l and len(set(keys.k)) == M.BANDS
+
+
+def test_minhash_finds_what_the_exact_join_finds(spark):
+    from fiscus.operators import minhash as M
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    exact = set(map(tuple, R.containment_matches(t.documents, t.benchmark).collect()))
+    found = set(map(tuple, M.minhash_matches(t.documents, t.benchmark).collect()))
+    assert found <= exact and len(found) >= 0.9 * len(exact) > 0
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "one two three four")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "x")], "item_id long, text string")
+    assert [tuple(r) for r in M.minhash_matches(odd, asked).collect()] == [(4, 1, 2, 1.0)]
