@@ -400,13 +400,47 @@ def fuzzy_match(spark, sf):
     return w.select("word", m["name"].alias("matched_column"), F.round(m["ratio"], 4).alias("ratio"))
 
 
+_VARIANTS = ("word", "concat(substring(word, 1, 2), substring(word, 4))", "concat(word, 's')", "concat(substring(word, 3), substring(word, 1, 2))")
+
+
+@register("fuzzy_match_blocks", f"""
+WITH RECURSIVE w AS (SELECT DISTINCT unnest(list_transform(regexp_extract_all(sql, '\\b([a-zA-Z_][a-zA-Z0-9_]*)\\b', 1),
+                                                           lambda r: lower(r))) AS word FROM ex),
+v AS (SELECT DISTINCT unnest([{", ".join(_VARIANTS)}]) AS word FROM w),
+pairs AS (SELECT word, name FROM v, (SELECT unnest({_COLS_LIST}) AS name) c
+          WHERE 2.0 * least(length(word), length(name)) >= 0.8 * (length(word) + length(name))),
+cut(word, name, x, y, k) AS (
+  SELECT word, name, name, word, 0 FROM pairs
+  UNION ALL
+  SELECT word, name, unnest([substr(x, 1, i - 1), substr(x, i + n)]), unnest([substr(y, 1, j - 1), substr(y, j + n)]), unnest([n, 0])
+  FROM (SELECT *, instr(y, substr(x, i, n)) AS j
+        FROM (SELECT word, name, x, y, CAST(ceil(b / 1000.0) AS INTEGER) AS n, CAST(ceil(b / 1000.0) * 1000 - b AS INTEGER) AS i
+              FROM (SELECT word, name, x, y, list_max(flatten([[CASE WHEN instr(y, substr(x, p, l)) > 0 THEN l * 1000 - p ELSE 0 END
+                                                               FOR l IN range(1, length(x) - p + 2)] FOR p IN range(1, length(x) + 1)])) AS b
+                    FROM cut WHERE x <> '' AND y <> '') f) g
+        WHERE n > 0) h),
+s AS (SELECT word, name, 2.0 * SUM(k) / (length(word) + length(name)) AS ratio FROM cut GROUP BY word, name),
+best AS (SELECT word, name, ratio FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY ratio DESC, name DESC) AS rn FROM s WHERE ratio >= 0.8) r WHERE rn = 1)
+SELECT v.word, best.name AS matched_column, ROUND(CAST(best.ratio AS DOUBLE), 4) AS ratio FROM v LEFT JOIN best USING (word)""")
+def fuzzy_match_blocks(spark, sf):
+    """G8 / D-24 by matching blocks: names in the log's statements, as they are and with slips (a letter left out,
+    one too many, the beginning at the end), against the schema's columns."""
+    from fiscus.functions.blocks import best_block_match
+    from fiscus.operators.corpus import query_log, with_sql
+    words = (with_sql(query_log(Tables(spark, sf))).select(F.explode(T.words(col("sql"))).alias("word")).distinct()
+             .select(F.explode(F.array(*[F.expr(v) for v in _VARIANTS])).alias("word")).distinct())
+    return (words.select("word", best_block_match(col("word"), CATALOG_COLUMNS).alias("m"))
+            .select("word", col("m.name").alias("matched_column"), F.round("m.ratio", 4).alias("ratio")))
+
+
 def _fix_fuzzy_oracle():
-    """fuzzy_match reads the extracted SQL of the query log."""
+    """The fuzzy keys read the extracted SQL of the query log."""
     from fiscus.operators.corpus_queries import EX_SQL, QL_SQL
     from fiscus.plans.registry import ORACLE
-    body = ORACLE["fuzzy_match"].strip()
-    assert body.startswith("WITH ")
-    ORACLE["fuzzy_match"] = "WITH " + QL_SQL + ",\n" + EX_SQL + ",\n" + body[len("WITH "):]
+    for key, head in (("fuzzy_match", "WITH "), ("fuzzy_match_blocks", "WITH RECURSIVE ")):
+        body = ORACLE[key].strip()
+        assert body.startswith(head)
+        ORACLE[key] = head + QL_SQL + ",\n" + EX_SQL + ",\n" + body[len(head):]
 
 
 _fix_fuzzy_oracle()
