@@ -502,9 +502,9 @@ def verified_links(rows: DataFrame, label: DataFrame, heads: DataFrame, n: int,
     return blocks.mapInArrow(run, "a long, b long").where("a <> b")
 
 
-def _near(docs: DataFrame, n: int, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
+def _near(docs: DataFrame, n: int, limit: Threshold, id_col: str, text_col: str, with_least: bool) -> DataFrame:
     """(id, x, n, label, least) of every row: x a hash of its text, label that
-    of its component, least the smallest id in it.  Nodes are sets: named by
+    of its component, least the smallest id in it, if asked for.  Nodes are sets: named by
     their smallest id, or, where several sets have the same, all but one by a hash."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_or_empty(text_col).alias("t"))
@@ -523,10 +523,13 @@ def _near(docs: DataFrame, n: int, limit: Threshold, id_col: str, text_col: str)
     label = written(components(likely_links(heads, limit)), "blocks")
     links = components(verified_links(rows, label, heads, n, limit)).select(F.col("id").alias("node"), "component")
     node = same.join(links, "node", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "node").alias("label"))
+    rows = sets.select("id", "x", "n", "s1", "s2")
+    if not with_least:
+        return rows.join(node.drop("rep"), ["s1", "s2", "n"], "left").select("id", "x", "n", "label")
     node = written(node, "nodes")
     least = node.groupBy("label").agg(F.min("rep").alias("least"))
     node = node.join(least, "label").select("s1", "s2", "n", "label", "least")
-    return sets.select("id", "x", "n", "s1", "s2").join(node, ["s1", "s2", "n"], "left").select("id", "x", "n", "label", "least")
+    return rows.join(node, ["s1", "s2", "n"], "left").select("id", "x", "n", "label", "least")
 
 
 def near_components(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(), id_col: str = "doc_id",
@@ -543,7 +546,7 @@ def near_components(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(),
     hashes, whole sets by 128-bit hashes.
     """
     known = F.col("id").isNotNull()
-    return _near(docs, n, limit, id_col, text_col).select(
+    return _near(docs, n, limit, id_col, text_col, True).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("least", "id")).alias("component_id"))
 
 
@@ -551,7 +554,7 @@ def near_copies(docs: DataFrame, n: int = 3, limit: Threshold = Threshold(), id_
     """(id, x) of the rows that are linked, over any number of links, with the
     row of their component that stays, that of the smallest id (ties: smallest
     x); x is xxhash64 of the text (null: empty).  Rows as in ``near_components``."""
-    rows = _near(docs, n, limit, id_col, text_col).where("id is not null and label is not null")
-    rows = written(rows.select("id", "x", "label").distinct(), "near-rows")
+    rows = _near(docs, n, limit, id_col, text_col, False).where("id is not null and label is not null")
+    rows = written(rows.select("id", "x", "label"), "near-rows")
     stays = rows.groupBy("label").agg(F.min(F.struct("id", "x")).alias("stays"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    return rows.join(stays.select("label", "stays"), "label").where(F.struct("id", "x") != F.col("stays")).select("id", "x").distinct()
+    return rows.join(stays.select("label", "stays"), "label").where(F.struct("id", "x") != F.col("stays")).select("id", "x")
