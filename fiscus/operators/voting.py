@@ -9,13 +9,16 @@ source is the plugin that produced it (by line number).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
 from fiscus.operators.corpus import query_log, query_log_exprs
 from fiscus.plans.registry import register
 from fiscus.plans.star import CATALOG_TABLES
+from fiscus.session import written
 from fiscus.sources.tables import Tables
 
 col = F.col
@@ -152,51 +155,146 @@ def clause_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 1.0).otherwise(F.size(F.array_intersect(a, b)) / larger)
 
 
+def with_signature(log: DataFrame) -> DataFrame:
+    """``sig``: the clause item sets as sorted 64-bit hashes.  Statements of one
+    signature agree with the same others, so clustering works on signatures."""
+    return log.withColumn("sig", F.transform("clauses", lambda s: F.array_sort(F.transform(s, lambda x: F.xxhash64(x)))))
+
+
+def _first_agreeing(leaders: Column, sig: Column) -> Column:
+    """1-based place of the first leader that agrees on every clause; 0 without one."""
+    return F.array_position(F.transform(leaders, lambda c: F.forall(
+        F.zip_with(c["sig"], sig, clause_overlap), lambda s: s >= OVERLAP_MIN)), True)
+
+
 def _join_leader(leaders: Column, cand: Column) -> Column:
-    """D-22 step: the first leader that agrees on every clause gains the
-    candidate's weight; without one the candidate leads a new cluster."""
-    agrees = F.transform(leaders, lambda c: F.forall(
-        F.zip_with(c["clauses"], cand["clauses"], clause_overlap), lambda s: s >= OVERLAP_MIN))
-    new = F.struct(cand["clauses"].alias("clauses"), cand["fixed"].alias("fixed"), cand["weight"].alias("size"))
-    grown = F.transform(F.array(F.array_position(agrees, True)), lambda at: F.when(
+    """D-22 step: the first leader that agrees gains the candidate's weight;
+    without one the candidate leads a new cluster."""
+    new = F.struct(cand["sig"].alias("sig"), cand["first"]["fixed"].alias("fixed"), cand["weight"].alias("size"))
+    grown = F.transform(F.array(_first_agreeing(leaders, cand["sig"])), lambda at: F.when(
         at == 0, F.concat(leaders, F.array(new))).otherwise(F.transform(leaders, lambda c, i: F.struct(
-            c["clauses"].alias("clauses"), c["fixed"].alias("fixed"),
+            c["sig"].alias("sig"), c["fixed"].alias("fixed"),
             (c["size"] + F.when(i + 1 == at, cand["weight"]).otherwise(0)).alias("size")))))
     return F.element_at(grown, 1)
 
 
-LEADERS = "array<struct<clauses:array<array<string>>,fixed:string,size:bigint>>"
-
-
-def candidate_clusters(cands: DataFrame) -> DataFrame:
+LEADERS = "array<struct<sig:array<array<bigint>>,fixed:string,size:bigint>>"
+#: distinct signatures of a question decided by one fold: in the first round, and at most
+FIRST_BLOCK, LARGEST_BLOCK = 64, 512
+
+
+def _round(todo: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """One round over undecided signatures: (leaders per question, the later
+    signatures with the place of their leader, 0 while undecided)."""
+    w = Window.partitionBy("question_id").orderBy("first")
+    early = todo.withColumn("at", F.row_number().over(w)).where(col("at") <= block)
+    early = early.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("first", "sig", "weight"))).alias("b"))
+    led = written(early.select("question_id", F.element_at("b", -1)["first"].alias("last"),
+                               F.aggregate("b", F.array().cast(LEADERS), _join_leader).alias("leaders")), "leaders")
+    later = todo.join(led.select(col("question_id").alias("q"), "last", "leaders"),
+                      col("question_id").eqNullSafe(col("q")) & (col("first") > col("last")))
+    return led, written(later.select(*todo.columns, _first_agreeing(col("leaders"), col("sig")).alias("at")), "later")
+
+
+def leader_rounds(nodes: DataFrame, block: int = FIRST_BLOCK) -> DataFrame:
+    """(question_id, round, no, fixed, size) per cluster of ``nodes``
+    (question_id, first, sig, weight), equal to the fold over each question.
+
+    A round folds the ``block`` earliest undecided signatures of every
+    question; all later ones are held, as rows of their own, against the
+    leaders it made and join the first that agrees.  What agrees with none goes
+    on to the next round, whose block is twice as large, so no task holds more of
+    a question than a block and its leaders.  Rounds are written to the
+    shared folder: a lost executor repeats a part of one round."""
+    todo, parts, n = nodes, [], 0
+    while True:
+        led, later = _round(todo, block)
+        parts.append(led.select("question_id", F.lit(n).alias("round"), F.posexplode("leaders").alias("no", "c"))
+                     .select("question_id", "round", (col("no") + 1).cast("bigint").alias("no"), "c.fixed", "c.size"))
+        todo = later.where(col("at") == 0).drop("at")
+        parts.append(later.where(col("at") > 0).groupBy("question_id", "at").agg(F.sum("weight").alias("size"))
+                     .select("question_id", F.lit(n).alias("round"), col("at").alias("no"),
+                             F.lit(None).cast("string").alias("fixed"), "size"))
+        if todo.isEmpty():
+            break
+        n, block = n + 1, min(2 * block, LARGEST_BLOCK)
+    return (reduce(DataFrame.unionByName, parts).groupBy("question_id", "round", "no")
+            .agg(F.max("fixed").alias("fixed"), F.sum("size").alias("size")))
+
+
+def candidate_clusters(cands: DataFrame, block: int = FIRST_BLOCK) -> DataFrame:
     """Leader clustering per question, in arrival order, of candidates that
-    carry ``with_clauses`` columns.  Equal statements share a cluster, so a
-    question's candidates are first combined to distinct statements; the
-    order-dependent step folds over those.  The largest cluster (the first
-    made on ties) gives its leader; without a valid candidate the first
-    arrival is taken."""
-    texts = (cands.groupBy("question_id", "fixed")
-             .agg(F.min(F.struct(*ARRIVAL)).alias("arrival"), F.count(F.lit(1)).alias("weight"),
-                  F.first("valid").alias("valid"), F.first("clauses").alias("clauses")))
+    carry ``with_clauses`` columns.  Candidates are first combined to distinct
+    signatures, which are clustered in rounds (``leader_rounds``).  The largest
+    cluster (the first made on ties) gives its leader; without a valid
+    candidate the first arrival is taken.  Item sets are compared by 64-bit
+    hashes.  An empty table gives no rows; a null question is a question."""
+    cands = cands if "sig" in cands.columns else with_signature(cands)
+    texts = written(cands.groupBy("question_id", "valid", "sig").agg(
+        F.min(F.struct(*ARRIVAL, "fixed")).alias("first"), F.count(F.lit(1)).alias("weight")), "signatures")
     per_q = texts.groupBy("question_id").agg(
-        F.min_by("fixed", "arrival").alias("first_sql"),
-        F.coalesce(F.sum(F.when(col("valid"), col("weight"))), F.lit(0)).cast("bigint").alias("n_valid"),
-        F.array_sort(F.collect_list(F.when(col("valid"), F.struct("arrival", "fixed", "weight", "clauses"))))
-        .alias("in_order"))
-    folded = per_q.withColumn("leaders", F.aggregate("in_order", F.array().cast(LEADERS), _join_leader))
-    best = F.array_max(F.transform("leaders", lambda c, i: F.struct(
-        c["size"].alias("size"), (-i).alias("earlier"), c["fixed"].alias("fixed"))))
-    some = col("n_valid") > 0
-    return (folded.withColumn("best", best)
-            .select("question_id",
-                    F.when(some, col("best.fixed")).otherwise(col("first_sql")).alias("best_sql"),
-                    F.when(some, col("best.size")).otherwise(F.lit(0)).cast("bigint").alias("cluster_size"),
-                    "n_valid", F.size("leaders").cast("bigint").alias("n_clusters"),
-                    F.when(some, "largest_cluster").otherwise("first_candidate").alias("selection_method")))
-
-
-@register("candidate_clusters")
+        F.min("first")["fixed"].alias("first_sql"),
+        F.coalesce(F.sum(F.when(col("valid"), col("weight"))), F.lit(0)).cast("bigint").alias("n_valid"))
+    clusters = leader_rounds(texts.where("valid").select("question_id", "first", "sig", "weight"), block)
+    best = clusters.groupBy(col("question_id").alias("q")).agg(
+        F.max(F.struct("size", (-col("round")).alias("r"), (-col("no")).alias("n"), "fixed")).alias("best"),
+        F.count(F.lit(1)).alias("n_clusters"))
+    some = col("best").isNotNull()
+    return per_q.join(best, col("question_id").eqNullSafe(col("q")), "left").select(
+        "question_id", F.when(some, col("best.fixed")).otherwise(col("first_sql")).alias("best_sql"),
+        F.coalesce("best.size", F.lit(0)).cast("bigint").alias("cluster_size"), "n_valid",
+        F.coalesce("n_clusters", F.lit(0)).cast("bigint").alias("n_clusters"),
+        F.when(some, "largest_cluster").otherwise("first_candidate").alias("selection_method"))
+
+
+def _cluster_oracle() -> str:
+    """The fold, one candidate of every question a step, over all lines."""
+    from fiscus.operators import corpus_queries as Q
+    items = []
+    for name in T.COMPARED_CLAUSES:
+        parts = ("string_split_regex(b, '(?i)\\s+and\\s+')" if name in ("where", "having") else "string_split(b, ',')")
+        body = f"coalesce({Q._d_clause('fixed', name)}, '')"
+        items.append(f"list_distinct(list_filter(list_transform({parts.replace('(b,', f'({body},')}, "
+                     "lambda x: lower(trim(x))), lambda x: x <> ''))")
+    near = f"""len(list_filter({Q.KNOWN}, lambda t:
+        1.0 - levenshtein(r, t) / CAST(greatest(length(r), length(t)) AS DOUBLE) >= {FUZZY_MIN})) = 0"""
+    agree = " AND ".join(f"""(len(l.cl[{i}]) = 0 OR len(v.cl[{i}]) = 0
+        OR len(list_intersect(l.cl[{i}], v.cl[{i}])) >= {OVERLAP_MIN} * greatest(len(l.cl[{i}]), len(v.cl[{i}])))"""
+                         for i in range(1, len(items) + 1))
+    return f"""
+WITH RECURSIVE {_QL_SQL},
+n AS (SELECT id, {Q.d_strip(Q._NORM)} AS fixed FROM (SELECT id, {Q.d_extract_sql('text')} AS sql FROM ql) x),
+lg AS MATERIALIZED (
+  SELECT *, len(list_filter(cl, lambda s: len(s) > 0)) > 0
+         AND len(list_filter(refs, lambda r: NOT list_contains(ctes, r) AND {near})) = 0 AS valid
+  FROM (SELECT id, fixed, [{", ".join(items)}] AS cl, {Q.d_table_refs('fixed')} AS refs,
+               {Q.d_cte_names('fixed')} AS ctes FROM n) y),
+c AS MATERIALIZED (
+  SELECT l.l_orderkey AS question_id, lg.fixed, lg.cl, lg.valid,
+         row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS arrival
+  FROM lineitem l JOIN lg ON l.l_partkey = lg.id),
+v AS MATERIALIZED (
+  SELECT question_id, fixed, cl, row_number() OVER (PARTITION BY question_id ORDER BY arrival) AS nth FROM c WHERE valid),
+f AS (
+  SELECT question_id, CAST(1 AS BIGINT) AS nth, [{{'cl': cl, 'fixed': fixed}}] AS leaders, [CAST(1 AS BIGINT)] AS joined
+  FROM v WHERE nth = 1
+  UNION ALL
+  SELECT question_id, nth, CASE WHEN p IS NULL THEN list_append(leaders, {{'cl': cl, 'fixed': fixed}}) ELSE leaders END,
+         list_append(joined, coalesce(p, len(leaders) + 1))
+  FROM (SELECT v.*, f.leaders, f.joined,
+               nullif(list_position(list_transform(f.leaders, lambda l: {agree}), true), 0) AS p
+        FROM f JOIN v ON v.question_id = f.question_id AND v.nth = f.nth + 1) s),
+done AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY nth DESC) = 1),
+size AS (SELECT question_id, no, COUNT(*) AS members FROM (SELECT question_id, unnest(joined) AS no FROM done) u GROUP BY question_id, no),
+top AS (SELECT * FROM size QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY members DESC, no) = 1)
+SELECT a.question_id, CASE WHEN d.nth IS NULL THEN a.first_sql ELSE d.leaders[t.no].fixed END AS best_sql,
+       CAST(coalesce(t.members, 0) AS BIGINT) AS cluster_size, CAST(a.n_valid AS BIGINT) AS n_valid,
+       CAST(coalesce(len(d.leaders), 0) AS BIGINT) AS n_clusters,
+       CASE WHEN d.nth IS NULL THEN 'first_candidate' ELSE 'largest_cluster' END AS selection_method
+FROM (SELECT question_id, arg_min(fixed, arrival) AS first_sql, COUNT(*) FILTER (WHERE valid) AS n_valid FROM c GROUP BY question_id) a
+LEFT JOIN done d ON d.question_id = a.question_id LEFT JOIN top t ON t.question_id = a.question_id"""
+
+
+@register("candidate_clusters", _cluster_oracle())
 def candidate_clusters_q(spark, sf):
-    """Rows-only check (order-dependent; tests/test_voting.py holds it
-    against a checker that shares no code with it)."""
-    return candidate_clusters(candidates(Tables(spark, sf), with_clauses))
+    return candidate_clusters(candidates(Tables(spark, sf), lambda log: with_signature(with_clauses(log))))

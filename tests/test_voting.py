@@ -2,6 +2,7 @@
 majority vote invariant to row order."""
 
 import itertools
+import random
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,27 @@ def test_majority_vote_order_invariant(spark):
     a = sorted(tuple(r) for r in V.majority_vote(cands).collect())
     b = sorted(tuple(r) for r in V.majority_vote(cands.orderBy(F.rand(7)).repartition(5)).collect())
     assert a == b
+
+
+CANDS = "question_id long, seq long, l_partkey long, l_suppkey long, fixed string, valid boolean, clauses array<array<string>>"
+
+
+def test_rounds_give_the_fold_of_a_hot_question(spark):
+    """One question of 600 candidates, decided two at a time at first: many rounds, rows of members in many tasks."""
+    rng = random.Random(5)
+    rows = []
+    for n in range(600):
+        items = [sorted(rng.sample("abcdefgh", rng.randint(0, 5))) for _ in V.T.COMPARED_CLAUSES]
+        rows.append((7 if n % 3 else n % 30, n, n, n % 4, str(items), any(items) and rng.random() < 0.9, items))
+    df = spark.createDataFrame(rows, CANDS)
+    expected = _expected(df)
+    for block in (2, V.FIRST_BLOCK):
+        assert sorted(map(tuple, V.candidate_clusters(df.repartition(5), block).collect())) == expected
+    assert max(r[4] for r in expected) > 20
+
+
+def test_clusters_of_null_questions_and_of_nothing(spark):
+    df = spark.createDataFrame([(None, 1, 1, 1, "x", True, [["x"]] + [[]] * 4), (None, 2, 2, 1, "y", True, [["y"]] + [[]] * 4),
+                                (None, 3, 3, 1, "y", True, [["y"]] + [[]] * 4)], CANDS)
+    assert [tuple(r) for r in V.candidate_clusters(df, 1).collect()] == [(None, "y", 2, 3, 2, "largest_cluster")]
+    assert V.candidate_clusters(df.limit(0)).collect() == []
