@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
 from fiscus.operators import corpus as C
+from fiscus.plans import analytics as A
 from fiscus.plans.registry import register
 from fiscus.plans.star import CATALOG_TABLES, STAR_CATALOG, catalog_frame, catalog_sql
 from fiscus.sources.tables import Tables
@@ -77,6 +78,13 @@ def extract_sql(spark, sf):
     return C.with_sql(_log(spark, sf)).select("id", "sql")
 
 
+# ---------------------------------------------------------------- O9
+@register("first_n_sample", with_ql("SELECT id, question FROM ql ORDER BY id LIMIT 100"))
+def first_n_sample(spark, sf):
+    """The first 100 questions of the ordered log: the sample is the feature."""
+    return A.top_n(_log(spark, sf).select("id", "question"), 100, [F.col("id")])
+
+
 # ---------------------------------------------------------------- D-2
 _t2 = ("regexp_replace(regexp_replace(text, " + q(r"```sql\s*") + ", '', 'g'), "
        + q(r"```\s*") + ", '', 'g')")

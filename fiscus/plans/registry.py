@@ -38,9 +38,12 @@ MODULES = (
     "fiscus.operators.clause_scan",
     "fiscus.operators.retrieval",
     "fiscus.operators.minhash",
+    "fiscus.operators.sparse",
+    "fiscus.operators.series",
     "fiscus.operators.voting",
     "fiscus.operators.execution",
     "fiscus.sources.round_trips",
+    "fiscus.sources.layout",
 )
 
 
