@@ -13,6 +13,7 @@ size is that of the vocabulary.
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 import zlib
 from array import array
@@ -149,7 +150,7 @@ def bucketed(parts: DataFrame, name: str) -> DataFrame:
 def _encoder(ranks: list, pattern: str):
     import tiktoken
 
-    key = (len(ranks), pattern)
+    key = (hashlib.sha256(b"".join(t + b" %d\n" % r for t, r in ranks)).digest(), pattern)
     if key not in _ENCODERS:
         _ENCODERS[key] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
     return _ENCODERS[key]
@@ -255,26 +256,71 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return put_in_place(parts, encode_words(parts, ranks, pattern)).withColumnRenamed("id", id_col)
 
 
-def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded`` (binary): the bytes of its ids, by a join
-    with the token-byte table inside the tasks.  That table, as large as the
-    vocabulary of the rank file, is the broadcast side.  Null ids decode to
-    null; an id outside the table is an error."""
-    spark = encoded.sparkSession
-    ship(spark)
-    tokens = sorted(read_ranks(ranks_path), key=lambda x: x[1])
-    table = [b""] * (tokens[-1][1] + 1)
-    for t, r in tokens:
-        table[r] = t
-    side = spark.sparkContext.broadcast(table)
-    names = encoded.columns
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
+def _in_blocks(encoded: DataFrame, ids_col: str, block_bytes: int) -> DataFrame:
+    """(block, row, tokens): every row of ``encoded`` as a struct with its
+    block, and for each block one more row that lists its distinct ids.  A
+    block ends with the row that fills ``block_bytes`` of ids."""
+    rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in encoded.columns]).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
+    row_type = T.StructType([T.StructField(f.name, f.dataType) for f in encoded.schema.fields])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", row_type),
+                           T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+
+    def out(block, row, tokens):
+        n = len(row)
+        return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), row, pa.array(tokens, pa.list_(pa.int32()))],
+                                          ["block", "row", "tokens"])
 
     def run(batches):
-        look = side.value.__getitem__
-        for batch in (b.slice(i, 1000) for b in batches for i in range(0, max(b.num_rows, 1), 1000)):
-            out = [None if x is None else b"".join(map(look, np.frombuffer(x, "<u4").tolist()))
-                   for x in (v.as_py() for v in batch.column(names.index(ids_col)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*names, "decoded"])
+        block, held, size, last = TaskContext.get().partitionId() << 24, [], 0, None
+
+        def distinct():
+            return out(block, pa.nulls(1, last), [np.unique(np.concatenate(held)).astype(np.int32)])
 
-    return encoded.mapInArrow(run, schema)
+        for batch in batches:
+            row, ids, first = batch.column(0), batch.column(1), 0
+            last = row.type
+            for i, x in enumerate(ids):
+                x = x.as_py()
+                if x:
+                    held.append(np.unique(np.frombuffer(x, "<u4")))
+                    size += len(x)
+                if size >= block_bytes:
+                    yield out(block, row.slice(first, i + 1 - first), [None] * (i + 1 - first))
+                    yield distinct()
+                    block, held, size, first = block + 1, [], 0, i + 1
+            if first < len(row):
+                yield out(block, row.slice(first), [None] * (len(row) - first))
+        if held:
+            yield distinct()
+
+    return rows.mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", block_bytes: int = 16 << 20) -> DataFrame:
+    """``encoded`` with ``decoded`` (binary): the bytes of its ids, by a join
+    with the token-byte table.  Each block of rows joins its distinct ids,
+    not every occurrence, with that table (as large as the vocabulary of the
+    rank file, hence broadcast); the bytes go back to the block, whose rows stay
+    in a table bucketed by block, and are put in place by position.
+
+    Null ids decode to null, empty ones to nothing; an id outside the table is
+    an error; other columns stay as they are."""
+    spark = encoded.sparkSession
+    ship(spark)
+    blocks = bucketed(_in_blocks(encoded, ids_col, block_bytes), "bpe_rows")
+    used = blocks.where("tokens is not null").select(F.col("block").alias("of"), F.explode("tokens").alias("id"))
+    found = used.join(F.broadcast(token_table(spark, ranks_path)), "id", "left").select("of", "id", "bytes")
+    rows, at = blocks.where("tokens is null").select("block", "row"), encoded.columns.index(ids_col)
+    schema = T.StructType([rows.schema["row"], T.StructField("decoded", T.BinaryType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.column("bytes").null_count:
+            raise ValueError("an id is not in the token table")
+        look = dict(zip(right.column("id").to_pylist(), right.column("bytes").to_pylist())).__getitem__
+        row = pa.concat_arrays(left.column("row").chunks)
+        decoded = [None if x is None else b"".join(map(look, np.frombuffer(x, "<u4").tolist()))
+                   for x in (v.as_py() for v in row.field(at))]
+        return pa.Table.from_arrays([row, pa.array(decoded, pa.binary())], ["row", "decoded"])
+
+    joined = rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)
+    return joined.select("row.*", "decoded")

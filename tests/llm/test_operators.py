@@ -322,3 +322,36 @@ def test_pipeline_stages_of_clashing_names_and_repeated_ids(spark):
         assert ids(d) == want, name
     assert "me@site.org" not in " ".join(r.text for r in d.collect())
     assert cp.STAGES[-1][1](spark, d, "").count() == d.count() and cp.STAGES[-1][1](spark, d.limit(0), "").count() == 0
+
+
+def test_bpe_over_a_whole_table_in_small_blocks(spark):
+    ranks = public.path("byte_bpe_50k.tiktoken")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    lib = tiktoken.Encoding("x", pat_str=public.PATTERN, mergeable_ranks=dict(bpe.read_ranks(ranks)), special_tokens={})
+    ids = bpe.encode(docs, ranks, public.PATTERN)
+    clash = ids.selectExpr("doc_id", "ids", "doc_id AS block", "'x' AS row", "1 AS tokens")
+    want = {r.doc_id: (np.array(lib.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect()}
+    for out in (bpe.decode(ids, ranks), bpe.decode(clash, ranks, block_bytes=1 << 12)):
+        assert {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in out.collect()} == want
+
+
+def test_bpe_decoding_of_nulls_and_unknown_ids(spark):
+    ranks = public.path("byte_bpe_50k.tiktoken")
+    odd = spark.createDataFrame([(1, None), (2, b""), (2, b""), (None, (300).to_bytes(4, "little"))], "a int, ids binary")
+    got = sorted(((r.a, r.decoded) for r in bpe.decode(odd, ranks).collect()), key=str)
+    assert got == [(1, None), (2, b""), (2, b""), (None, bpe.read_ranks(ranks)[300][0])]
+    assert bpe.decode(odd.limit(0), ranks).collect() == []
+    with pytest.raises(Exception, match="not in the token table"):
+        bpe.decode(spark.createDataFrame([(1, (10**6).to_bytes(4, "little"))], "a int, ids binary"), ranks).collect()
+
+
+def test_vocabularies_of_one_size_have_their_own_ids(spark, tmp_path):
+    import base64
+
+    docs = spark.createDataFrame([(1, "abcd")], "doc_id long, text string")
+    for pair, ids in (("ab", [256, 99, 100]), ("cd", [97, 98, 256])):
+        tokens = [bytes([i]) for i in range(256)] + [pair.encode()]
+        path = tmp_path / f"{pair}.tiktoken"
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate(tokens)))
+        row = bpe.decode(bpe.encode(docs, str(path), r"\w+"), str(path)).first()
+        assert np.frombuffer(bytes(row.ids), "<u4").tolist() == ids and bytes(row.decoded) == b"abcd"
