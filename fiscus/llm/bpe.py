@@ -156,13 +156,15 @@ def _encoder(ranks: list, pattern: str):
     return _ENCODERS[key]
 
 
-def encode_words(parts: DataFrame, ranks, pattern: str) -> DataFrame:
+def encode_words(parts: DataFrame, ranks, pattern: str, tokens: DataFrame | None = None) -> DataFrame:
     """(block, lists): the encoded word lists of each block, slots and packed
-    ids.  All rows of a bucket meet, sorted, in one task, and each distinct
+    ids; with ``tokens`` (id, bytes), also the ids that occur in the block,
+    joined with that table.  All rows of a bucket meet, sorted, in one task, and each distinct
     word is encoded at its first row; a bucket holds its share of the
     vocabulary, and of every block's list.  A block has one row per bucket."""
     lists = parts.where("kind = 0").select("block", "bucket", "slots", "payload")
     lists = lists.repartition("bucket").sortWithinPartitions("bucket", "block")
+    back = tokens is not None
 
     def run(batches):
         one = _encoder(ranks.value, pattern)._encode_single_piece
@@ -181,13 +183,19 @@ def encode_words(parts: DataFrame, ranks, pattern: str) -> DataFrame:
                     if ids is None:
                         ids = known[w] = np.array(one(w), "<u4").tobytes()
                     out.append(ids)
-                rows.append((r["block"], r["slots"], _pack(out)))
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary()))],
-                                             ["block", "slots", "ids"])
+                rows.append((r["block"], r["slots"], _pack(out), None))
+                if back:
+                    rows += [(r["block"], None, None, i) for i in np.unique(np.frombuffer(b"".join(out), "<u4")).tolist()]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32()))],
+                                             ["block", "slots", "ids", "id"])
 
-    encoded = lists.mapInArrow(run, "block long, slots binary, ids binary")
-    return encoded.groupBy("block").agg(F.collect_list(F.struct("slots", "ids")).alias("lists"))
+    encoded = lists.mapInArrow(run, "block long, slots binary, ids binary, id int")
+    words = F.collect_list(F.when(F.col("id").isNull(), F.struct("slots", "ids"))).alias("lists")
+    if not back:
+        return encoded.groupBy("block").agg(words)
+    return encoded.join(F.broadcast(tokens), "id", "left").groupBy("block").agg(
+        words, F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "bytes"))).alias("tokens"))
 
 
 def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,12 +213,19 @@ def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, number, np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
 
 
+def _bytes_of(ids, tokens: dict) -> bytes | None:
+    """The joined bytes of packed ids, an Arrow scalar."""
+    x = ids.as_py()
+    return None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
+
+
 def put_in_place(parts: DataFrame, encoded: DataFrame, words_at_once: int = 1 << 19) -> DataFrame:
-    """(id, ids): the ids of every text, packed little-endian 32-bit.  The texts'
+    """(id, ids), and decoded if the blocks come with ``tokens``: the ids of every text, packed little-endian 32-bit.  The texts'
     positions are read bucket by bucket, without a shuffle, and filled in
     ``words_at_once`` a time (a longer text alone)."""
     texts = parts.where("kind = 1").select("block", F.col("slots").alias("sizes"), "payload", "doc_ids")
-    d = texts.join(encoded, "block", "left").select("sizes", "payload", "doc_ids", "lists")
+    back = "tokens" in encoded.columns
+    d = texts.join(encoded, "block", "left").select("sizes", "payload", "doc_ids", "lists", *["tokens"] * back)
 
     def filled(slots, sizes, table):
         start, number, values = table
@@ -226,16 +241,30 @@ def put_in_place(parts: DataFrame, encoded: DataFrame, words_at_once: int = 1 <<
             for i in range(batch.num_rows):
                 sizes, payload, keys, lists = (batch.column(c)[i] for c in range(4))
                 table = _table(lists if lists.is_valid else [])
+                known = batch.column(4)[i].values if back and batch.column(4)[i].is_valid else None
+                look = dict(zip(known.field(0).to_pylist(), known.field(1).to_pylist())) if known is not None else {}
                 slots, sizes, keys = _unsqueeze(payload.as_py()), np.frombuffer(sizes.as_py(), "<u4").astype(np.int64), keys.values
                 ends, first = np.cumsum(sizes), 0
                 while first < len(sizes):
                     start = int(ends[first] - sizes[first])
                     last = max(first + 1, int(np.searchsorted(ends, start + words_at_once, side="right")))
                     out = filled(slots[start:int(ends[last - 1])], sizes[first:last], table)
-                    yield pa.RecordBatch.from_arrays([keys.slice(first, last - first), out], ["id", "ids"])
+                    cols = [keys.slice(first, last - first), out]
+                    if back:
+                        cols.append(pa.array([_bytes_of(x, look) for x in out], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"][:len(cols)])
                     first = last
 
-    return d.mapInArrow(run, "id long, ids binary")
+    return d.mapInArrow(run, "id long, ids binary" + ", decoded binary" * back)
+
+
+def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, buckets: int | None, tokens) -> DataFrame:
+    spark = docs.sparkSession
+    ship(spark)
+    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = bucketed(split_blocks(docs, pattern, n, id_col, text_col), "bpe_parts")
+    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    return put_in_place(parts, encode_words(parts, ranks, pattern, tokens)).withColumnRenamed("id", id_col)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -248,12 +277,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     is the number of word buckets (default: eight per shuffle partition).  The
     split texts are written to scratch once, so ids of blocks never change.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = bucketed(split_blocks(docs, pattern, n, id_col, text_col), "bpe_parts")
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    return put_in_place(parts, encode_words(parts, ranks, pattern)).withColumnRenamed("id", id_col)
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, buckets, None)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+               buckets: int | None = None) -> DataFrame:
+    """(id, ids, decoded): ``encode``, and the bytes of the ids by the join that
+    ``decode`` makes, over the blocks of the texts: the ids that occur in a
+    block join the token-byte table on their way back to it, so nothing is
+    written or moved a second time."""
+    return _encoded(docs, ranks_path, pattern, id_col, text_col, buckets, token_table(docs.sparkSession, ranks_path))
 
 
 def _in_blocks(encoded: DataFrame, ids_col: str, block_bytes: int) -> DataFrame:
@@ -316,10 +349,9 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", block_byte
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.column("bytes").null_count:
             raise ValueError("an id is not in the token table")
-        look = dict(zip(right.column("id").to_pylist(), right.column("bytes").to_pylist())).__getitem__
+        look = dict(zip(right.column("id").to_pylist(), right.column("bytes").to_pylist()))
         row = pa.concat_arrays(left.column("row").chunks)
-        decoded = [None if x is None else b"".join(map(look, np.frombuffer(x, "<u4").tolist()))
-                   for x in (v.as_py() for v in row.field(at))]
+        decoded = [_bytes_of(x, look) for x in row.field(at)]
         return pa.Table.from_arrays([row, pa.array(decoded, pa.binary())], ["row", "decoded"])
 
     joined = rows.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)

@@ -30,8 +30,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
     ranks = public.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(table(spark, sf_dir, "documents"), ranks, public.PATTERN)
-    return bpe.decode(ids, ranks).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public.PATTERN).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -55,6 +55,9 @@ def test_bpe_round_trip(docs, none):
     want = collections.Counter((i, np.array(lib.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, _ in ROWS)
     assert collections.Counter((r[0], bytes(r[1]), bytes(r[2])) for r in out) == want
     assert bpe.encode(none, ranks, public.PATTERN).count() == 0
+    both = bpe.round_trip(docs, ranks, public.PATTERN, buckets=3).collect()
+    assert collections.Counter((r[0], bytes(r[1]), bytes(r[2])) for r in both) == want
+    assert bpe.round_trip(none, ranks, public.PATTERN).count() == 0
 
 
 def test_warc_round_trip(spark):
@@ -331,7 +334,7 @@ def test_bpe_over_a_whole_table_in_small_blocks(spark):
     ids = bpe.encode(docs, ranks, public.PATTERN)
     clash = ids.selectExpr("doc_id", "ids", "doc_id AS block", "'x' AS row", "1 AS tokens")
     want = {r.doc_id: (np.array(lib.encode_ordinary(r.text or ""), "<u4").tobytes(), (r.text or "").encode()) for r in docs.collect()}
-    for out in (bpe.decode(ids, ranks), bpe.decode(clash, ranks, block_bytes=1 << 12)):
+    for out in (bpe.decode(ids, ranks), bpe.decode(clash, ranks, block_bytes=1 << 12), bpe.round_trip(docs, ranks, public.PATTERN)):
         assert {r.doc_id: (bytes(r.ids), bytes(r.decoded)) for r in out.collect()} == want
 
 
