@@ -194,8 +194,15 @@ def encode_words(parts: DataFrame, ranks, pattern: str, tokens: DataFrame | None
     words = F.collect_list(F.when(F.col("id").isNull(), F.struct("slots", "ids"))).alias("lists")
     if not back:
         return encoded.groupBy("block").agg(words)
-    return encoded.join(F.broadcast(tokens), "id", "left").groupBy("block").agg(
-        words, F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "bytes"))).alias("tokens"))
+    # a block's row becomes one row for its lists and one for each id, which joins; they are together again without a shuffle
+    once = encoded.groupBy("block").agg(words, F.collect_set("id").alias("ids"))
+    no_list, no_id = F.lit(None).cast(once.schema["lists"].dataType), F.lit(None).cast("int")
+    apart = once.select("block", F.explode(F.concat(
+        F.array(F.struct(F.col("lists"), no_id.alias("id"))),
+        F.transform("ids", lambda i: F.struct(no_list.alias("lists"), i.alias("id"))))).alias("x")).select("block", "x.*")
+    return apart.join(F.broadcast(tokens), "id", "left").groupBy("block").agg(
+        F.first("lists", ignorenulls=True).alias("lists"),
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "bytes"))).alias("tokens"))
 
 
 def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
