@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TERM = r"[\p{L}\p{N}]{3,}"
+TERM = r"[\p{L}\p{N}]++"
 
 
 @dataclass(frozen=True)

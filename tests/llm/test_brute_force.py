@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers as public
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -73,6 +75,36 @@ def test_pii_over_the_whole_table(spark, texts):
         assert [x for x in got[i].spans.split(",") if x and not x.startswith("term")] == spans, i
 
 
+def term_spans(texts, limits):
+    """Of each text (id to text) its terms' spans, by counting every text's words and those near its entities."""
+    placed = {i: [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"[\p{L}\p{N}]+", t)] for i, t in texts.items()}
+    base = {i: base_spans(t) for i, t in texts.items()}
+    dc, dt, dct = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        dt.update({w for *_, w in placed[i]})
+        near = collections.defaultdict(set)
+        for s, k, e in base[i]:
+            before = [w for _, b, w in placed[i] if b <= s][-limits.near:]
+            near[(k, t[s:e].lower())].update(before, [w for a, _, w in placed[i] if a >= e][:limits.near])
+        dc.update(near.keys())
+        dct.update((c, w) for c, ws in near.items() for w in ws)
+    n, out = len(texts), {}
+    told = set()
+    for (c, w), x in dct.items():
+        rate = dc[c] / n
+        if rate < 1 and math.log2((x + rate) / (dt[w] + 1) / rate) / -math.log2(rate) >= limits.generalise:
+            told.add(w)
+    for i in texts:
+        out[i] = [f"term:{a}:{b}" for a, b, w in placed[i] if w in told and not any(s < b and a < e for s, _, e in base[i])]
+    return out
+
+
+def test_pii_terms_over_the_whole_table(spark, texts):
+    want = term_spans({i: r.text or "" for i, r in texts.items()}, pii.Disclosure())
+    got = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("term")] for r in queries.op4(spark, FOLDER).collect()}
+    assert got == want and any(want.values())
+
+
 def normal(line):
     return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", line.lower())).strip(" ")
 

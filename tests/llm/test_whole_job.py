@@ -33,10 +33,10 @@ def test_pii_context_is_the_whole_text(spark):
     d = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
     got = {(r.k1, r.v): (r.before, r.after) for r in pii.base_spans(d, 5).collect()}
     assert got == {
-        (1, "4111 1111 1111 1111"): (["card"], ["exp", "holder", "mary", "smith"]),
-        (2, "a@x.com"): ([], ["com", "jane", "doe"]), (2, "b@y.com"): (["com"], ["jane", "doe"]),
+        (1, "4111 1111 1111 1111"): (["card"], ["exp", "12", "25", "holder", "mary"]),
+        (2, "a@x.com"): ([], ["b", "y", "com", "jane", "doe"]), (2, "b@y.com"): (["a", "x", "com"], ["jane", "doe"]),
         (3, "m@x.com"): (["first", "word" * 80], ["second"]), (4, "+49 123 45678901"): (["one", "two", "three"], ["four"]),
-        (6, "x@y.zz"): ([], [])}
+        (6, "x@y.zz"): (["é"], [])}
 
 
 def test_pii_terms_go_from_all_documents(spark):
@@ -47,6 +47,15 @@ def test_pii_terms_go_from_all_documents(spark):
     assert got[30] == [""]
 
 
+def test_pii_terms_of_any_length(spark):
+    short, han = "mail from Jo Li to jl@x.org", "王伟 at a0@b.cn"
+    rows = [(0, short), (0, short), (1, han), (None, short), (2, ""), (3, None)] + [(i, f"mail from all of them at hand to page {i}") for i in range(4, 400)]
+    got = spans_of(spark, rows)
+    assert {at(short, "Jo"), at(short, "Li")} <= set(got[0]) == set(got[None]) and at(han, "王伟") in got[1]
+    assert not {at(short, "mail"), at(short, "from"), at(short, "to"), at(han, "at")} & {*got[0], *got[1]}
+    assert got[2] == got[3] == got[50] == [""]
+
+
 MIT = """MIT License
 
 Copyright (c) 2020 Jane Doe
