@@ -74,13 +74,20 @@ def _cut(t: Column, pattern: str) -> Column:
         F.char_length(F.get(g, i)).alias("gap"), v.alias("v"))))[0]
 
 
-def _placed(found: DataFrame) -> DataFrame:
+def _once(x: DataFrame, *columns: str) -> DataFrame:
+    """One row of ``x`` for each text, as rows that repeat id and text are
+    equal.  All windows of a text (k1, k2, and more) run where this leaves it:
+    texts are moved once, their words and matches never."""
+    return x.groupBy("k1", "k2").agg(F.first(F.struct(*columns)).alias("x")).select("k1", "k2", "x.*")
+
+
+def _placed(found: DataFrame, *more: str) -> DataFrame:
     """Start and end (code points, end exclusive) of each match.  The rows of
-    one text and kind are summed in order; only matches are moved."""
+    one text and kind are summed in order."""
     w = W.partitionBy("k1", "k2", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     size = F.char_length("v")
     end = F.sum(F.col("gap") + size).over(w)
-    return found.select("k1", "k2", "kind", "v", (end - size).alias("s"), end.alias("e"))
+    return found.select("k1", "k2", "kind", "v", (end - size).alias("s"), end.alias("e"), *more)
 
 
 def base_spans(d: DataFrame, near: int) -> DataFrame:
@@ -95,11 +102,11 @@ def base_spans(d: DataFrame, near: int) -> DataFrame:
     some = {"email": F.instr(t, "@") > 0, "phone": F.instr(t, "+") > 0}
     kinds = F.array(*[F.when(some.get(k, F.lit(True)) & t.rlike(p), F.struct(F.lit(i).alias("kind"), _cut(t, p).alias("cuts")))
                       for i, (k, p) in enumerate(PATTERNS.items())])
-    x = d.where(t.rlike("[0-9@]")).select("k1", "k2", "t", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x"))
-    x = x.where(F.exists("x.cuts", lambda c: valid(F.col("x.kind"), c["v"])))
-    x = x.select("k1", "k2", F.explode(F.array("x", F.struct(F.lit(4).alias("kind"), _cut(t, TERM).alias("cuts")))).alias("x"))
-    # rows that repeat id and text would sum twice, and so would the words of a text with several kinds
-    x = x.select("k1", "k2", "x.kind", F.posexplode("x.cuts").alias("i", "c")).select("k1", "k2", "kind", "i", "c.*").distinct()
+    kinds = F.filter(kinds, lambda x: F.exists(x["cuts"], lambda c: valid(x["kind"], c["v"])))
+    x = d.where(t.rlike("[0-9@]")).select("k1", "k2", "t", F.explode(F.array(kinds)).alias("kinds")).where(F.size("kinds") > 0)
+    x = _once(x, "t", "kinds")
+    x = x.select("k1", "k2", F.explode(F.concat("kinds", F.array(F.struct(F.lit(4).alias("kind"), _cut(t, TERM).alias("cuts"))))).alias("x"))
+    x = x.select("k1", "k2", "x.kind", F.posexplode("x.cuts").alias("i", "c")).select("k1", "k2", "kind", "i", "c.*")
     word = F.col("kind") == 4
     x = _placed(x).where(word | valid(F.col("kind"), F.col("v")))
     text, line = W.partitionBy("k1", "k2"), W.partitionBy("k1", "k2", "kind").orderBy("s")
@@ -149,15 +156,21 @@ def term_spans(d: DataFrame, terms: DataFrame) -> DataFrame:
 
     Documents meet terms by their distinct words.  A term is in at most
     (documents near its entity / the least p) documents, so the rows that
-    meet stay in proportion to the words near entities.
+    meet stay in proportion to the words near entities.  The terms of a
+    document then lie behind its words, where they move none of them, and
+    give their share to the equal ones.
     """
     terms = written(terms.groupBy("term").agg(F.max("share").alias("share")), "disclosing-words")
-    held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
-    held = written(held.join(terms, "term").distinct(), "documents-with-terms")
-    x = d.select("k1", "k2", "t").join(held.select("k1", "k2").distinct(), ["k1", "k2"])
-    x = x.select("k1", "k2", F.lit(4).alias("kind"), F.posexplode(_cut(F.col("t"), TERM)).alias("i", "c"))
-    x = _placed(x.select("k1", "k2", "kind", "i", "c.gap", "c.v").distinct())
-    return x.withColumn("term", F.lower("v")).join(held, ["k1", "k2", "term"])
+    held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term")).join(terms, "term")
+    held = written(held.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "share")).alias("terms")), "documents-with-terms")
+    x = _once(d.select("k1", "k2", "t").join(held, ["k1", "k2"]), "t", "terms")
+    none, behind = F.lit(None).cast("double").alias("own"), F.lit(2**31 - 1).alias("i")
+    of_text = F.transform(_cut(F.col("t"), TERM), lambda c, i: F.struct(i.alias("i"), c["gap"].alias("gap"), c["v"].alias("v"), none))
+    of_terms = F.transform("terms", lambda c: F.struct(behind, F.lit(0).alias("gap"), c["term"].alias("v"), c["share"].alias("own")))
+    x = x.select("k1", "k2", F.lit(4).alias("kind"), F.explode(F.concat(of_text, of_terms)).alias("x")).select("k1", "k2", "kind", "x.*")
+    x = _placed(x, "own").withColumn("term", F.when(F.col("own").isNull(), F.lower("v")).otherwise(F.col("v")))
+    x = x.withColumn("share", F.max("own").over(W.partitionBy("k1", "k2", "term")))
+    return x.where(F.col("own").isNull() & F.col("share").isNotNull())
 
 
 def spans_by_row(docs: DataFrame, limits: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
