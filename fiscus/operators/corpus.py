@@ -205,9 +205,11 @@ def hard_examples(log: DataFrame, results: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- D-14 / D-15
 def column_refs(sqls: DataFrame, catalog: DataFrame, id_col: str = "id") -> DataFrame:
     """D-14: (id, table, column) for every word of the statement that names
-    a column of any catalog table (qualified refs are a subset)."""
+    a column of any catalog table (qualified refs are a subset).  The catalog
+    is a schema's column list (fixed and small): it is what the tasks get whole.
+    Words look as small as the log's file to the planner, which would send them."""
     w = sqls.select(id_col, F.explode(T.words(col("sql"))).alias("column_name"))
-    return w.join(catalog.select("table_name", "column_name"), "column_name") \
+    return w.join(F.broadcast(catalog.select("table_name", "column_name")), "column_name") \
             .select(id_col, "table_name", "column_name")
 
 
@@ -223,11 +225,12 @@ def pair_builder(sqls: DataFrame, catalog: DataFrame, ratio: int = 2) -> DataFra
     ``ratio`` x as many unused ones, chosen in name order: tables per
     question, columns per used table and by its own used columns.  A used
     column of a table that the statement does not name is still a label-1
-    pair."""
+    pair.  Joins by id have a row or more per question on both sides, so they
+    are merge joins whatever the log's file measures."""
     used_t = table_ref_rows(sqls)
     n_pos = used_t.groupBy("id").agg(F.count(F.lit(1)).alias("n_pos"))
     all_t = sqls.select("id", F.explode(F.array(*[F.lit(x) for x in CATALOG_TABLES])).alias("table_name"))
-    neg_t = (all_t.join(used_t, ["id", "table_name"], "left_anti").join(n_pos, "id")
+    neg_t = (all_t.join(used_t.hint("merge"), ["id", "table_name"], "left_anti").join(n_pos.hint("merge"), "id")
              .withColumn("_rn", F.row_number().over(Window.partitionBy("id").orderBy("table_name")))
              .where(col("_rn") <= ratio * col("n_pos")))
     tables = (used_t.select("id", F.lit("table").alias("item_type"), col("table_name").alias("item"),
@@ -237,7 +240,7 @@ def pair_builder(sqls: DataFrame, catalog: DataFrame, ratio: int = 2) -> DataFra
     used_c = column_refs(sqls, catalog)
     per_table = catalog.groupBy("table_name").agg(F.array_sort(F.collect_list("column_name")).alias("_all"))
     used_in = used_c.groupBy("id", "table_name").agg(F.collect_set("column_name").alias("_used"))
-    neg_c = (used_t.join(used_in, ["id", "table_name"]).join(per_table, "table_name")
+    neg_c = (used_t.join(used_in.hint("merge"), ["id", "table_name"]).join(F.broadcast(per_table), "table_name")
              .select("id", "table_name", F.explode(F.slice(F.array_except("_all", "_used"), F.lit(1),
                                                            ratio * F.size("_used"))).alias("column_name")))
     item = F.concat_ws(".", "table_name", "column_name")
