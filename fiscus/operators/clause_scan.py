@@ -62,7 +62,8 @@ def clause_levels(statements: DataFrame, id_col: str = "id", sql_col: str = "sql
     said = F.transform("tokens", lambda t: F.when(t.rlike(r"\A(?:--|/\*)"), F.lit(" ")).otherwise(t))
     body = F.when(col("clause") == "set", F.regexp_replace(F.lower("tok"), rf"{_WS}+", " ")).otherwise(
         T.strip_ws(F.array_join(F.slice("said", col("place") + 1, col("end") - col("place") - 1), "")))
-    return (bounds.join(tokens.select("id", said.alias("said")), "id")
+    # the statements are as many as the log has rows: never sent whole
+    return (bounds.join(tokens.select("id", said.alias("said")).hint("merge"), "id")
             .select("id", "query_no", col("level").cast("int"), col("arm").cast("int"), col("place").cast("int"), "clause", body.alias("body")))
 
 
