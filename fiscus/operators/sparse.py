@@ -28,6 +28,20 @@ SEED_TERMS = 3
 #: scores are compared at this many digits: sums in any order give the same ranks
 DIGITS = 9
 _SLACK = 2 * 10.0 ** -DIGITS
+#: rows, of a few numbers and a word, that each task may hold whole
+ROWS_SENT = 100_000
+
+
+def is_short(rows: DataFrame) -> bool:
+    """Whether ``rows``, read from a file, are at most ``ROWS_SENT``."""
+    return rows.limit(ROWS_SENT + 1).count() <= ROWS_SENT
+
+
+def whole_if(short: bool, rows: DataFrame) -> DataFrame:
+    """``rows`` as a side of a join: whole in each task if they were counted
+    to be short, else merged.  File sizes do not tell: words that repeat and
+    lists that are exploded measure little."""
+    return F.broadcast(rows) if short else rows.hint("merge")
 
 
 class Postings:
@@ -35,17 +49,25 @@ class Postings:
     per term each, held against one another term by term."""
 
     def __init__(self, questions: DataFrame, items: DataFrame, part_rows: int = POSTINGS_PER_PART):
-        stats = items.groupBy("term").agg(F.max("iw").alias("top"), F.count(F.lit(1)).alias("df"))
-        asked = questions.join(stats, "term").withColumn("gain", col("qw") * col("top"))
-        self.asked = written(asked.withColumn("parts", F.ceil(col("df") / part_rows).cast("int")), "asked-terms")
-        terms = self.asked.select("term", "parts").distinct()
-        self.rows = written(items.join(terms, "term").select(
-            "iid", "term", "iw", F.pmod(F.xxhash64("iid"), col("parts")).cast("int").alias("part")), "postings")
+        words = written(questions.select("term").distinct(), "asked-words")
+        rows = written(items.join(whole_if(is_short(words), words), "term", "left_semi").select("iid", "term", "iw"), "postings")
+        stats = written(rows.groupBy("term").agg(F.max("iw").alias("top"), F.count(F.lit(1)).alias("df"))
+                        .withColumn("parts", F.ceil(col("df") / part_rows).cast("int")), "terms")
+        few = is_short(stats)
+        asked = questions.join(whole_if(few, stats), "term").withColumn("gain", col("qw") * col("top"))
+        self.asked = written(asked, "asked-terms")
+        self.rows = rows.join(whole_if(few, stats.select("term", "parts")), "term").select(
+            "iid", "term", "iw", F.pmod(F.xxhash64("iid"), col("parts")).cast("int").alias("part"))
+        self.short_rows, self.short_asked = is_short(rows), is_short(self.asked)
 
     def hits(self, asked: DataFrame) -> DataFrame:
         """(qid, iid, add) for each posting of the asked terms; a term of many parts is asked in each."""
         dealt = asked.select("qid", "term", "qw", F.explode(F.sequence(F.lit(0), col("parts") - 1)).alias("part"))
-        return dealt.join(self.rows, ["term", "part"]).select("qid", "iid", (col("qw") * col("iw")).alias("add"))
+        if self.short_asked and not self.short_rows:
+            both = self.rows.join(F.broadcast(dealt), ["term", "part"])
+        else:
+            both = dealt.join(whole_if(self.short_rows, self.rows), ["term", "part"])
+        return both.select("qid", "iid", (col("qw") * col("iw")).alias("add"))
 
     def bounds(self, k: int, seeds: int = SEED_TERMS) -> DataFrame:
         """(qid, least): the k-th best score that the rarest terms alone reach; questions that reach fewer items have no row."""
@@ -60,7 +82,7 @@ class Postings:
         """Asked terms with ``needed``: whether their postings must be walked;
         ``least``; and ``rest``, the most that the terms not walked can add."""
         upto = Window.partitionBy("qid").orderBy("gain", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        d = self.asked.join(self.bounds(k, seeds), "qid", "left").withColumn("upto", F.sum("gain").over(upto))
+        d = self.asked.join(self.bounds(k, seeds).hint("merge"), "qid", "left").withColumn("upto", F.sum("gain").over(upto))
         d = d.withColumn("needed", col("least").isNull() | (col("upto") >= col("least") - _SLACK))
         rest = F.sum(F.when(~col("needed"), col("gain")).otherwise(0.0)).over(Window.partitionBy("qid"))
         return d.withColumn("rest", rest).drop("upto")
@@ -75,10 +97,10 @@ def sparse_topk(questions: DataFrame, items: DataFrame, k: int, part_rows: int =
     asked = written(p.split(k, seeds), "split-terms")
     found = p.hits(asked.where("needed")).groupBy("qid", "iid").agg(F.sum("add").alias("s"))
     limit = asked.groupBy("qid").agg(F.max("least").alias("least"), F.max("rest").alias("rest"))
-    kept = written(found.join(limit, "qid").where(col("least").isNull() | (col("s") + col("rest") >= col("least") - _SLACK))
+    kept = written(found.join(limit.hint("merge"), "qid").where(col("least").isNull() | (col("s") + col("rest") >= col("least") - _SLACK))
                    .select("qid", "iid", "s"), "candidates")
-    more = (kept.select("qid", "iid").join(asked.where(~col("needed")).select("qid", "term", "qw"), "qid")
-            .join(p.rows.select("iid", "term", "iw"), ["iid", "term"]).select("qid", "iid", (col("qw") * col("iw")).alias("s")))
+    more = (kept.select("qid", "iid").join(whole_if(p.short_asked, asked.where(~col("needed")).select("qid", "term", "qw")), "qid")
+            .join(whole_if(p.short_rows, p.rows.select("iid", "term", "iw")), ["iid", "term"]).select("qid", "iid", (col("qw") * col("iw")).alias("s")))
     score = (kept.unionByName(more).groupBy("qid", "iid").agg(F.round(F.sum("s"), DIGITS).alias("score")))
     w = Window.partitionBy("qid").orderBy(col("score").desc(), "iid")
     return score.withColumn("rank", F.row_number().over(w)).where(col("rank") <= k).select("qid", "rank", "iid", "score")
@@ -94,7 +116,7 @@ def topk_token_overlap_pruned(spark, sf):
         F.lit(1.0).alias("qw"))
     items = catalog_items(spark)
     weights = items.select(col("item_id").alias("iid"), F.explode("tokens").alias("term"), (F.lit(1.0) / F.size("tokens")).alias("iw"))
-    top = sparse_topk(asked, weights, 3).join(items.select(col("item_id").alias("iid"), "item"), "iid")
+    top = sparse_topk(asked, weights, 3).join(F.broadcast(items.select(col("item_id").alias("iid"), "item")), "iid")
     return top.select(col("qid").alias("id"), "rank", "item", F.round("score", 6).alias("score"),
                       F.round(sigmoid(4 * col("score") - 2), 6).alias("probability"))
 
