@@ -30,14 +30,19 @@ OVERLAP_MIN = 0.6
 FUZZY_MIN = 0.8
 
 
+def log_texts(t: Tables) -> DataFrame:
+    """(l_partkey, sql): the extracted SQL of each log answer."""
+    return query_log(t).select(col("id").alias("l_partkey"), T.extract_sql(col("text")).alias("sql"))
+
+
 def candidates(t: Tables, derive=None) -> DataFrame:
     """Candidates with their extracted SQL (and what ``derive`` adds to the
     log): text rules run once per log answer, before the join repeats it."""
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    log = query_log(t).select(col("id").alias("l_partkey"), T.extract_sql(col("text")).alias("sql"))
-    log = derive(log) if derive else log
+    log = derive(log_texts(t)) if derive else log_texts(t)
     src = F.array(*[F.lit(s) for s in SOURCES])
-    return (li.join(log, "l_partkey")
+    # the log has a row per part, however little its file measures
+    return (li.join(log.hint("merge"), "l_partkey")
             .select(col("l_orderkey").alias("question_id"),
                     col("l_linenumber").alias("seq"),
                     F.element_at(src, (F.pmod(col("l_linenumber") - 1, F.lit(len(SOURCES))) + 1).cast("int"))
@@ -49,7 +54,12 @@ ARRIVAL = ["seq", "l_partkey", "l_suppkey"]
 
 
 # ---------------------------------------------------------------- A28 / A29 / D-23
-def majority_vote(cands: DataFrame) -> DataFrame:
+def with_text_keys(log: DataFrame) -> DataFrame:
+    """``text_key`` and ``ci_key``: 64-bit hashes of the SQL and of its lower case."""
+    return log.withColumn("text_key", F.xxhash64("sql")).withColumn("ci_key", F.xxhash64(F.lower("sql")))
+
+
+def majority_vote(cands: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Most frequent extracted SQL per question if it has more than one
     vote (ties: earliest arrival), else the fallback source's first answer,
     else the first answer; ``votes`` counts candidates equal to the answer
@@ -60,38 +70,51 @@ def majority_vote(cands: DataFrame) -> DataFrame:
     -> question -- with no join and no second pass over the candidates: the
     case-insensitive level carries its exact-text champion, first arrival
     and first fallback answer, so the final level can pick the answer and
-    read its vote count from the same row."""
+    read its vote count from the same row.
+
+    With ``texts`` (l_partkey, text_key, sql) candidates carry ``text_key`` and
+    ``ci_key`` in place of ``sql``: texts of a question are told apart by the keys, and
+    only the answer's text is looked up."""
     fb = col("source") == FALLBACK_SOURCE
+    text, ci = (col("sql"), F.lower("sql")) if texts is None else (col("text_key"), col("ci_key"))
     per_text = (cands.withColumn("_arr", F.struct(*ARRIVAL))
-                .groupBy("question_id", "sql")
+                .groupBy("question_id", text.alias("_text"), ci.alias("_ci"))
                 .agg(F.count(F.lit(1)).alias("votes"), F.min("_arr").alias("_first"),
                      F.min(F.when(fb, col("_arr"))).alias("_fb_first")))
-    per_ci = (per_text.groupBy("question_id", F.lower("sql").alias("_lsql"))
+    # the least struct begins with what decides and ends with the answer: nothing is carried twice
+    fb_first = F.when(col("_fb_first").isNotNull(), F.struct(col("_fb_first").alias("f"), "_text"))
+    per_ci = (per_text.groupBy("question_id", "_ci")
               .agg(F.sum("votes").alias("ci_votes"), F.count(F.lit(1)).alias("n_exact"),
-                   F.min_by(F.struct("sql", "votes", "_first"),
-                            F.struct((-col("votes")).alias("v"), col("_first").alias("f"))).alias("_champ"),
-                   F.min("_first").alias("_gfirst"), F.min_by("sql", "_first").alias("_gfirst_sql"),
-                   F.min("_fb_first").alias("_gfb"), F.min_by("sql", "_fb_first").alias("_gfb_sql")))
+                   F.min(F.struct((-col("votes")).alias("v"), col("_first").alias("f"), "_text")).alias("_champ"),
+                   F.min(F.struct(col("_first").alias("f"), "_text")).alias("_gfirst"), F.min(fb_first).alias("_gfb")))
+
+    def answer(best: str, *order: str) -> Column:
+        return F.when(col(best).isNotNull(), F.struct(*[col(f"{best}.{c}").alias(c) for c in order],
+                                                      col(f"{best}._text").alias("text"), col("ci_votes").alias("ci")))
+
     q = per_ci.groupBy("question_id").agg(
-        F.min_by(F.struct(col("_champ.sql").alias("sql"), col("_champ.votes").alias("votes"),
-                          col("ci_votes").alias("ci")),
-                 F.struct((-col("_champ.votes")).alias("v"), col("_champ._first").alias("f"))).alias("_top"),
-        F.min_by(F.struct(col("_gfirst_sql").alias("sql"), col("ci_votes").alias("ci")), "_gfirst").alias("_first"),
-        F.min_by(F.struct(col("_gfb_sql").alias("sql"), col("ci_votes").alias("ci")), "_gfb").alias("_fb"),
+        F.min(answer("_champ", "v", "f")).alias("_top"), F.min(answer("_gfirst", "f")).alias("_first"),
+        F.min(answer("_gfb", "f")).alias("_fb"),
         F.sum("ci_votes").alias("n_candidates"),
         F.sum("n_exact").alias("unique_candidates"))
-    consensus = col("_top.votes") > 1
+    consensus = col("_top.v") < -1
     has_fb = col("_fb").isNotNull()
-    return q.select(
-        "question_id",
-        F.when(consensus, col("_top.sql")).when(has_fb, col("_fb.sql")).otherwise(col("_first.sql"))
-         .alias("best_sql"),
+
+    def pick(field: str) -> Column:
+        return F.when(consensus, col(f"_top.{field}")).when(has_fb, col(f"_fb.{field}")).otherwise(col(f"_first.{field}"))
+
+    best = q.select(
+        "question_id", pick("text").alias("text"), pick("f.l_partkey").alias("part"),
         F.when(consensus, "consensus").when(has_fb, FALLBACK_SOURCE).otherwise("first_candidate")
          .alias("selection_method"),
         col("n_candidates").cast("bigint").alias("n_candidates"),
-        col("unique_candidates").cast("bigint").alias("unique_candidates"),
-        F.when(consensus, col("_top.ci")).when(has_fb, col("_fb.ci")).otherwise(col("_first.ci"))
-         .cast("bigint").alias("votes"))
+        col("unique_candidates").cast("bigint").alias("unique_candidates"), pick("ci").cast("bigint").alias("votes"))
+    if texts is None:
+        best = best.withColumnRenamed("text", "sql")
+    else:
+        said = texts.select(col("l_partkey").alias("part"), col("text_key").alias("text"), "sql").dropDuplicates(["part", "text"])
+        best = best.join(said.hint("merge"), ["part", "text"])
+    return best.select("question_id", col("sql").alias("best_sql"), "selection_method", "n_candidates", "unique_candidates", "votes")
 
 
 _QL_SQL = "ql AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in query_log_exprs("VARCHAR").items()) + " FROM part)"
@@ -128,7 +151,9 @@ FROM o"""
 
 @register("majority_vote", _vote_oracle())
 def majority_vote_q(spark, sf):
-    return majority_vote(candidates(Tables(spark, sf)))
+    t = Tables(spark, sf)
+    cands = candidates(t, lambda log: with_text_keys(log).drop("sql"))
+    return majority_vote(cands, with_text_keys(log_texts(t)))
 
 
 # ---------------------------------------------------------------- D-20 .. D-22

@@ -72,3 +72,9 @@ def written(df, name: str):
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df):
+    """``df`` dealt evenly over as many tasks as a shuffle has: a small file of
+    many rows is read by few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -88,3 +88,19 @@ def test_clusters_of_null_questions_and_of_nothing(spark):
                                 (None, 3, 3, 1, "y", True, [["y"]] + [[]] * 4)], CANDS)
     assert [tuple(r) for r in V.candidate_clusters(df, 1).collect()] == [(None, "y", 2, 3, 2, "largest_cluster")]
     assert V.candidate_clusters(df.limit(0)).collect() == []
+
+
+def test_votes_by_text_keys(spark):
+    """Keys in place of texts give the same answers; null texts and questions count."""
+    texts = {1: "SELECT a", 2: "select A", 3: None, 4: "SELECT a", 5: "SELECT b"}
+    lines = [(q, n, p, s) for q, row in ((1, [1, 4, 2]), (2, [3, 5]), (3, [5, 2, 1, 3]), (None, [3, 3])) for n, p, s in
+             [(n, p, ["structure_specialist", "value_specialist"][(n + (q or 0)) % 2]) for n, p in enumerate(row, 1)]]
+    log = spark.createDataFrame(list(texts.items()), "l_partkey long, sql string")
+    li = spark.createDataFrame(lines, "question_id long, seq int, l_partkey long, source string").withColumn("l_suppkey", F.lit(1))
+    keyed = V.with_text_keys(log)
+    got = V.majority_vote(li.join(keyed.drop("sql"), "l_partkey"), keyed)
+    plain = V.majority_vote(li.join(log, "l_partkey"))
+    assert got.columns == plain.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    rows = {r.question_id: tuple(r)[1:] for r in got.collect()}
+    assert rows[1] == ("SELECT a", "consensus", 3, 2, 3) and rows[None] == (None, "consensus", 2, 1, 2)
