@@ -18,7 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fiscus.functions import sqltext as T
+from fiscus.functions.blocks import _let as let
 from fiscus.plans.star import CATALOG_TABLES
+from fiscus.session import spread
 from fiscus.sources.tables import Tables
 
 col = F.col
@@ -142,28 +144,29 @@ def synonym_augment(log: DataFrame, id_col: str = "id", text_col: str = "questio
     replacement are dropped.  ``replacements`` lists 'term->synonym' in
     dictionary order.
 
-    The dictionary is folded with one ``aggregate`` higher-order function,
-    so the plan stays linear in the dictionary size.
+    Each term is a step over the text and the list so far, computed once a
+    row (``let``): its pattern is a literal, compiled once a task.
     """
     q = col(text_col)
-    dictionary = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(term).alias("term"),
-                 F.lit(r"(?i)\b" + term + r"\b").alias("pat"),
-                 F.array(*[F.lit(x) for x in syns]).alias("syns"))
-        for i, (term, syns) in enumerate(SYNONYMS)])
-    init = F.struct(q.alias("q"), F.array().cast("array<string>").alias("reps"))
-
-    def step(acc, x):
-        choice = F.element_at(x["syns"], (F.pmod(col(id_col) + x["i"], F.size(x["syns"])) + 1).cast("int"))
-        hit = F.regexp_like(acc["q"], x["pat"])
-        return F.struct(
-            F.when(hit, F.regexp_replace(acc["q"], x["pat"], choice)).otherwise(acc["q"]).alias("q"),
-            F.when(hit, F.concat(acc["reps"], F.array(F.concat(x["term"], F.lit("->"), choice))))
-             .otherwise(acc["reps"]).alias("reps"))
-
-    out = log.withColumn("_acc", F.aggregate(dictionary, init, step))
-    return (out.where(F.size("_acc.reps") > 0)
-            .select(col(id_col), col("_acc.q").alias("question"), q.alias("original_question"),
+    acc = F.struct(q.alias("q"), F.array().cast("array<string>").alias("reps"))
+
+    def step(i: int, term: str, syns: Sequence[str]):
+        pat = r"(?i)\b" + term + r"\b"
+        choice = F.get(F.array(*[F.lit(x) for x in syns]), F.pmod(col(id_col) + i, F.lit(len(syns))).cast("int"))
+
+        def replaced(s: Column) -> Column:
+            return let(choice, lambda c: F.struct(
+                F.regexp_replace(s["q"], F.lit(pat), c).alias("q"),
+                F.concat(s["reps"], F.array(F.concat(F.lit(term + "->"), c))).alias("reps")))
+
+        return lambda s: F.when(F.regexp_like(s["q"], F.lit(pat)), replaced(s)).otherwise(s)
+
+    for i, (term, syns) in enumerate(SYNONYMS):
+        acc = let(acc, step(i, term, syns))
+    # a generator, not a filter: a filter would be pushed below and compute the steps twice
+    out = spread(log.select(id_col, text_col)).select(
+        id_col, q.alias("_q"), F.explode(F.filter(F.array(acc), lambda a: F.size(a["reps"]) > 0)).alias("_acc"))
+    return (out.select(col(id_col), col("_acc.q").alias("question"), col("_q").alias("original_question"),
                     F.lit("synonym").alias("augmentation_type"),
                     F.array_join("_acc.reps", ";").alias("replacements")))
 
