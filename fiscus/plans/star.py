@@ -206,6 +206,13 @@ class Star:
             (df.sortWithinPartitions("year").write.mode("overwrite").partitionBy("year")
                .parquet(f"{out_dir}/{name}"))
 
+    def stored_under(self, out_dir: str) -> Star:
+        """This star, written under ``out_dir`` and read from there."""
+        self.materialize(out_dir)
+        kept = Star(self.spark, self.t.root)
+        kept.stored = f"{out_dir}/{source_folder(self.t.root)}"
+        return kept
+
     def register_views(self) -> None:
         """Temp views under the reference's table names, for ``spark.sql``."""
         self.countries().createOrReplaceTempView("countries")
