@@ -21,6 +21,7 @@ from fiscus.plans.analytics import attach_scalar
 from fiscus.plans.registry import register
 from fiscus.operators.corpus import query_log_exprs
 from fiscus.plans.star import STAR_CATALOG
+from fiscus.session import spread, written
 from fiscus.sources.tables import Tables
 
 col = F.col
@@ -271,6 +272,8 @@ def topk_token_overlap(spark, sf):
 
 
 # ---------------------------------------------------------------- D-38
+#: words with a number each that every task may hold whole
+WORDS_SENT = 100_000
 WORD_LETTERS = r"[\p{L}\p{M}]+"
 
 
@@ -285,8 +288,9 @@ def tfidf_top_terms(docs: DataFrame, id_col: str, text_col: str, k: int = 5) ->
     # the document length travels with its tokens (no separate aggregate + join)
     toks = (docs.select(id_col, tokens_lower(col(text_col)).alias("_t"))
             .select(id_col, F.size("_t").alias("dlen"), F.explode_outer("_t").alias("term")).where("term IS NOT NULL"))
-    tf = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"), F.first("dlen").alias("dlen"))
-    df_ = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    tf = written(toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("cnt"), F.first("dlen").alias("dlen")), "tf")
+    df_ = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    df_ = F.broadcast(df_) if df_.limit(WORDS_SENT + 1).count() <= WORDS_SENT else df_.hint("merge")
     n_docs = docs.select(id_col).distinct().agg(F.count(F.lit(1)).alias("N"))
     scored = (attach_scalar(tf.join(df_, "term"), n_docs)
               .withColumn("tfidf", col("cnt") / col("dlen") * F.log(col("N") / col("df"))))
@@ -465,7 +469,9 @@ def tfidf_link(questions: DataFrame, items: DataFrame, k: int = 3, threshold: fl
     """D-38: TF-IDF schema linking.  Items (catalog ``table.column`` names,
     tokens split on '.' and '_') are the documents: idf = ln(N_items / df).
     Each question gets tf x idf weights over the item vocabulary; items with
-    cosine >= ``threshold`` are ranked, top ``k`` kept."""
+    cosine >= ``threshold`` are ranked, top ``k`` kept.  Items are a schema's
+    names: their words go to every task, and words of questions that no item
+    has leave before anything is grouped."""
     it = items.select("item_id", "item", F.explode(F.split(F.regexp_replace("item", r"\.", "_"), "_")).alias("t"))
     n_items = items.agg(F.count(F.lit(1)).alias("N"))
     df_ = it.select("item_id", "t").distinct().groupBy("t").agg(F.count(F.lit(1)).alias("df"))
@@ -475,14 +481,14 @@ def tfidf_link(questions: DataFrame, items: DataFrame, k: int = 3, threshold: fl
     ivec = (tf_i.join(idf, "t").groupBy("item_id")
             .agg(F.map_from_entries(F.collect_list(F.struct("t", (col("c") / col("len") * col("idf"))
                                                            .alias("w")))).alias("vec")))
-    qt = questions.select("id", F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0).alias("_t"))
+    qt = spread(questions.select("id", "question")).select("id", F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), 0).alias("_t"))
     qtok = qt.select("id", F.size("_t").alias("len"), F.explode("_t").alias("t"))
-    qvec = (qtok.groupBy("id", "t").agg(F.count(F.lit(1)).alias("c"), F.first("len").alias("len"))
-            .join(idf, "t")  # vocabulary of the items only
+    qvec = (qtok.join(F.broadcast(idf), "t")
+            .groupBy("id", "t").agg(F.count(F.lit(1)).alias("c"), F.first("len").alias("len"), F.first("idf").alias("idf"))
             .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct(
                 "t", (col("c") / col("len") * col("idf")).alias("w")))).alias("qvec")))
     top = topk_items(qvec, "id", "qvec", ivec, "item_id", "vec", k, tfidf_cosine, min_score=threshold)
-    return (top.join(items.select("item_id", "item"), "item_id")
+    return (top.join(F.broadcast(items.select("item_id", "item")), "item_id")
             .select("id", col("rank").cast("int"), "item", F.round("score", 6).alias("score")))
 
 

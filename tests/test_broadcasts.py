@@ -29,7 +29,7 @@ def broadcasts(df) -> list[str]:
     return found
 
 
-@pytest.mark.parametrize("key", ["sql_column_refs", "pair_builder", "hash_split", "sql_clause_levels"])
+@pytest.mark.parametrize("key", ["sql_column_refs", "pair_builder", "hash_split", "sql_clause_levels", "tfidf_link"])
 def test_log_is_never_broadcast(spark, sf, key):
     sent = broadcasts(E.queries()[key](spark, sf))
     assert not [b for b in sent if "parquet" in b]
