@@ -128,11 +128,13 @@ def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .where("term IS NOT NULL").groupBy("id", "term").agg(F.count(F.lit(1)).alias("n")))
 
 
-def unit_tfidf(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(id, term, w): n * idf over the length of that vector; weights of 0 are left out."""
-    raw = written(counts.join(idf, "term").select("id", "term", (col("n") * col("idf")).alias("w")).where("w > 0"), "tfidf")
+def unit_tfidf(counts: DataFrame, idf: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(id, term, w): n * idf over the length of that vector; weights of 0 are
+    left out, and so are terms that are not ``asked``."""
+    raw = counts.join(idf, "term").select("id", "term", (col("n") * col("idf")).alias("w")).where("w > 0")
     size = raw.groupBy("id").agg(F.sqrt(F.sum(col("w") * col("w"))).alias("size"))
-    return raw.join(size, "id").select("id", "term", (col("w") / col("size")).alias("w"))
+    kept = raw if asked is None else raw.join(asked, "term", "left_semi")
+    return kept.join(size.hint("merge"), "id").select("id", "term", (col("w") / col("size")).alias("w"))
 
 
 def tfidf_passages(docs: DataFrame, passages: DataFrame, k: int) -> DataFrame:
@@ -141,8 +143,11 @@ def tfidf_passages(docs: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     counts = written(term_counts(docs, "doc_id", "text"), "term-counts")
     idf = attach_scalar(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), docs.agg(F.count(F.lit(1)).alias("N")))
     idf = written(idf.select("term", F.log(col("N") / col("df")).alias("idf")), "idf")
-    items = unit_tfidf(counts, idf).select(col("id").alias("iid"), "term", col("w").alias("iw"))
-    asked = unit_tfidf(term_counts(passages, "item_id", "text"), idf).select(col("id").alias("qid"), "term", col("w").alias("qw"))
+    idf = whole_if(is_short(idf), idf)
+    asked = written(unit_tfidf(term_counts(passages, "item_id", "text"), idf), "asked")
+    words = written(asked.select("term").distinct(), "words")
+    items = unit_tfidf(counts, idf, whole_if(is_short(words), words)).select(col("id").alias("iid"), "term", col("w").alias("iw"))
+    asked = asked.select(col("id").alias("qid"), "term", col("w").alias("qw"))
     return sparse_topk(asked, items, k).select(col("qid").alias("item_id"), "rank", col("iid").alias("doc_id"), "score")
 
 
