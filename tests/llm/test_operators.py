@@ -262,7 +262,7 @@ def against_sql(spark, folder, key):
     from compare import canon
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if (folder / (t + '.parquet')).is_dir() else ''}')")
     df = queries.QUERIES[key](spark, str(folder))
     cur = con.execute(queries.ORACLE[key])
@@ -281,6 +281,7 @@ def awkward(spark, docs, tmp_path_factory):
     more = spark.createDataFrame(footer, "doc_id long, text string, source string")
     docs.unionByName(more, allowMissingColumns=True).write.parquet(f"{folder}/documents.parquet")
     docs.selectExpr("doc_id page_id", "'u' url", "text html").where("page_id is not null").write.parquet(f"{folder}/pages.parquet")
+    docs.where("doc_id is not null").selectExpr("doc_id % 5 conv_id", "CAST(doc_id AS INT) turn", "IF(doc_id % 2 = 0, 'user', 'assistant') role", "text").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 

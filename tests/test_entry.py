@@ -19,6 +19,6 @@ def test_every_oracle_key_has_a_plan():
     assert set(o) <= set(q)
     assert len(q) >= 100
     plain = {k for k in q if k != "pipeline" and not k.startswith("op")}
-    assert plain - set(o) == {"candidate_clusters"}
+    assert plain - set(o) == set()
     assert all(callable(f) for f in q.values())
     assert all(isinstance(s, str) and s.strip() for s in o.values())
