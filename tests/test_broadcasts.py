@@ -35,6 +35,16 @@ def test_log_is_never_broadcast(spark, sf, key):
     assert not [b for b in sent if "parquet" in b]
 
 
+def test_log_is_never_broadcast_without_hints(spark, sf):
+    """The catalog is sent as it is known to be smaller, also where hints do not count."""
+    spark.conf.set("spark.sql.optimizer.disableHints", "true")
+    try:
+        sent = broadcasts(E.queries()["sql_column_refs"](spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.optimizer.disableHints")
+    assert len(sent) == 1 and "parquet" not in sent[0]
+
+
 def test_sparse_joins_send_what_is_short(spark, monkeypatch):
     from fiscus.operators import sparse as S
     monkeypatch.setattr(S, "ROWS_SENT", 3)
