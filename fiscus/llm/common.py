@@ -74,6 +74,19 @@ def bit_filter(values, bits: int) -> np.ndarray:
     return out
 
 
+def maybe_in(df: DataFrame, key, values: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``df`` with ``maybe``: whether the 64-bit hash ``key`` of a row may be in the
+    one-column frame ``values`` (false positives only).  The filter is a row per 64
+    bits that are not all unset: tasks get at most ``bits / 64`` small rows, however
+    many values there are, and only rows that may match need to be moved."""
+    n = F.pmod(F.col(values.columns[0]), F.lit(bits))
+    masks = (values.select(F.shiftright(n, 6).alias("_word"), n.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+             .groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask")))
+    rows = df.withColumn("_n", F.pmod(key, F.lit(bits))).withColumn("_word", F.shiftright("_n", 6))
+    set_bit = F.expr("shiftright(_mask, CAST(_n & 63 AS INT)) & 1L") == 1
+    return rows.join(F.broadcast(masks), "_word", "left").withColumn("maybe", F.coalesce(set_bit, F.lit(False))).drop("_word", "_n", "_mask")
+
+
 def in_bits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes (int64 or uint64) may be in the set; false positives only.
     Bit n of the SQL bitmaps is bit (n - 1) of the bytes for n >= 1, bit 0 for n = 0."""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import keyed, written
+from fiscus.llm.common import keyed, maybe_in, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The patterns of the kinds, leftmost and greedy.  Runs are possessive and may
@@ -125,6 +125,13 @@ def base_spans(d: DataFrame, near: int) -> DataFrame:
     return x.where(F.col("kind") < 4)
 
 
+def _among(x: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``x`` whose term may be one of ``terms``: the other words of
+    the corpus are not moved to meet them."""
+    h = F.xxhash64("term")
+    return maybe_in(x, h, terms.select(h)).where("maybe").drop("maybe")
+
+
 def disclosing_terms(d: DataFrame, spans: DataFrame, limits: Disclosure) -> DataFrame:
     """(entity, term, share): words that disclose an entity, and the share of
     its information content that they give away.
@@ -143,8 +150,8 @@ def disclosing_terms(d: DataFrame, spans: DataFrame, limits: Disclosure) -> Data
     pair = c.select("entity", "k1", "k2", F.explode("words").alias("term")).distinct()
     pair = pair.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("dct"))
     pair = written(pair.join(entity, "entity"), "near-entities")
-    seen = (d.select(F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
-            .groupBy("term").agg(F.count(F.lit(1)).alias("dt")))
+    seen = d.select(F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
+    seen = _among(seen, pair).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
     n = d.count()
     rate = F.col("dc") / F.lit(float(n))
     pmi = F.log2((F.col("dct") + rate) / (F.col("dt") + 1) / rate)
@@ -163,7 +170,8 @@ def term_spans(d: DataFrame, terms: DataFrame) -> DataFrame:
     give their share to the equal ones.
     """
     terms = written(terms.groupBy("term").agg(F.max("share").alias("share")), "disclosing-words")
-    held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term")).join(terms, "term")
+    held = d.select("k1", "k2", F.explode(F.array_distinct(words(F.col("t")))).alias("term"))
+    held = _among(held, terms).join(terms, "term")
     held = written(held.groupBy("k1", "k2").agg(F.collect_set(F.struct("term", "share")).alias("terms")), "documents-with-terms")
     x = _once(d.select("k1", "k2", "t").join(held, ["k1", "k2"]), "t", "terms")
     none, behind = F.lit(None).cast("double").alias("own"), F.lit(2**31 - 1).alias("i")

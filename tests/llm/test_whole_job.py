@@ -129,3 +129,37 @@ def test_licenses_of_the_common_kinds(spark):
     assert {r.doc_id: r.licenses for r in licenses.scan(d).collect()} == dict(enumerate(want.values()))
     ids = [s for group in licenses.SENTENCES.values() for s in group]
     assert len(ids) == len(set(ids))
+
+
+def test_filter_loses_no_value(spark):
+    from pyspark.sql import functions as F
+
+    from fiscus.llm.common import maybe_in
+
+    x = spark.range(3000).withColumn("h", F.when(F.col("id") % 50 > 0, F.xxhash64("id")))
+    got = {bits: {r.id for r in maybe_in(x, F.col("h"), x.where("id % 3 = 0").select("h"), bits).where("maybe").collect()} for bits in (64, 1 << 24)}
+    asked = {i for i in range(0, 3000, 3) if i % 50}
+    assert asked <= got[1 << 24] <= got[64] and len(got[1 << 24] - asked) < 10
+    assert not maybe_in(x, F.col("h"), x.limit(0).select("h")).where("maybe").count()
+
+
+def test_documents_of_no_span_and_no_copy_are_not_moved(spark):
+    """Whatever the spans and the near copies measure, the stages move only documents that may meet them."""
+    import corpus_pipeline as P
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{text} page {i} of it") for i in range(3)] + [(i, f"mail{i} " * 9 + f"from a{i}@b.org") for i in (3, 4)] + [(5, None), (None, text)]
+    rows += [(i, " ".join(f"{i}x{j}" for j in range(30))) for i in range(6, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stages = {f: f(spark, docs, "") for f in (P.near_stage, P.pii_stage)}
+        for df in stages.values():
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Union" in plan and "_mask" in plan
+        near, private = ({r.doc_id: r.text for r in df.collect()} for df in stages.values())
+        assert set(near) == {0, 3, 4, 5, None, *range(6, 40)}
+        assert {i: t for i, t in private.items() if i not in (3, 4)} == {i: t for i, t in rows if i not in (3, 4)}
+        assert all("[EMAIL]" in private[i] and "@" not in private[i] for i in (3, 4))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
