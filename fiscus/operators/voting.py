@@ -18,7 +18,7 @@ from fiscus.functions import sqltext as T
 from fiscus.operators.corpus import query_log, query_log_exprs
 from fiscus.plans.registry import register
 from fiscus.plans.star import CATALOG_TABLES
-from fiscus.session import written
+from fiscus.session import spread, written
 from fiscus.sources.tables import Tables
 
 col = F.col
@@ -32,7 +32,7 @@ FUZZY_MIN = 0.8
 
 def log_texts(t: Tables) -> DataFrame:
     """(l_partkey, sql): the extracted SQL of each log answer."""
-    return query_log(t).select(col("id").alias("l_partkey"), T.extract_sql(col("text")).alias("sql"))
+    return spread(query_log(t)).select(col("id").alias("l_partkey"), T.extract_sql(col("text")).alias("sql"))
 
 
 def candidates(t: Tables, derive=None) -> DataFrame:
@@ -208,15 +208,19 @@ LEADERS = "array<struct<sig:array<array<bigint>>,fixed:string,size:bigint>>"
 FIRST_BLOCK, LARGEST_BLOCK = 64, 512
 
 
-def _round(todo: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+def _round(todo: DataFrame, block: int) -> tuple[DataFrame, DataFrame | None]:
     """One round over undecided signatures: (leaders per question, the later
-    signatures with the place of their leader, 0 while undecided)."""
+    signatures with the place of their leader, 0 while undecided).  Only questions
+    of more than ``block`` signatures have later ones, None if there is none."""
     w = Window.partitionBy("question_id").orderBy("first")
-    early = todo.withColumn("at", F.row_number().over(w)).where(col("at") <= block)
-    early = early.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("first", "sig", "weight"))).alias("b"))
+    early = todo.withColumn("at", F.row_number().over(w)).where(col("at") <= block + 1)
+    inside = F.when(col("at") <= block, F.struct("first", "sig", "weight"))
+    early = early.groupBy("question_id").agg(F.array_sort(F.collect_list(inside)).alias("b"), (F.max("at") > block).alias("more"))
     led = written(early.select("question_id", F.element_at("b", -1)["first"].alias("last"),
-                               F.aggregate("b", F.array().cast(LEADERS), _join_leader).alias("leaders")), "leaders")
-    later = todo.join(led.select(col("question_id").alias("q"), "last", "leaders"),
+                               F.aggregate("b", F.array().cast(LEADERS), _join_leader).alias("leaders"), "more"), "leaders")
+    if led.where("more").isEmpty():
+        return led, None
+    later = todo.join(led.where("more").select(col("question_id").alias("q"), "last", "leaders"),
                       col("question_id").eqNullSafe(col("q")) & (col("first") > col("last")))
     return led, written(later.select(*todo.columns, _first_agreeing(col("leaders"), col("sig")).alias("at")), "later")
 
@@ -236,6 +240,8 @@ def leader_rounds(nodes: DataFrame, block: int = FIRST_BLOCK) -> DataFrame:
         led, later = _round(todo, block)
         parts.append(led.select("question_id", F.lit(n).alias("round"), F.posexplode("leaders").alias("no", "c"))
                      .select("question_id", "round", (col("no") + 1).cast("bigint").alias("no"), "c.fixed", "c.size"))
+        if later is None:
+            break
         todo = later.where(col("at") == 0).drop("at")
         parts.append(later.where(col("at") > 0).groupBy("question_id", "at").agg(F.sum("weight").alias("size"))
                      .select("question_id", F.lit(n).alias("round"), col("at").alias("no"),
@@ -243,6 +249,8 @@ def leader_rounds(nodes: DataFrame, block: int = FIRST_BLOCK) -> DataFrame:
         if todo.isEmpty():
             break
         n, block = n + 1, min(2 * block, LARGEST_BLOCK)
+    if len(parts) == 1:
+        return parts[0]
     return (reduce(DataFrame.unionByName, parts).groupBy("question_id", "round", "no")
             .agg(F.max("fixed").alias("fixed"), F.sum("size").alias("size")))
 
@@ -252,11 +260,15 @@ def candidate_clusters(cands: DataFrame, block: int = FIRST_BLOCK) -> DataFrame:
     carry ``with_clauses`` columns.  Candidates are first combined to distinct
     signatures, which are clustered in rounds (``leader_rounds``).  The largest
     cluster (the first made on ties) gives its leader; without a valid
-    candidate the first arrival is taken.  Item sets are compared by 64-bit
-    hashes.  An empty table gives no rows; a null question is a question."""
+    candidate the first arrival is taken.  Item sets, and signatures, are compared
+    by 64-bit hashes.  An empty table gives no rows; a null question is a question."""
     cands = cands if "sig" in cands.columns else with_signature(cands)
-    texts = written(cands.groupBy("question_id", "valid", "sig").agg(
-        F.min(F.struct(*ARRIVAL, "fixed")).alias("first"), F.count(F.lit(1)).alias("weight")), "signatures")
+    # grouped, and sorted, by one hash: that of nested arrays does not tell where one ends
+    key = F.xxhash64("sig", F.transform("sig", F.size)).alias("key")
+    texts = cands.groupBy("question_id", "valid", key).agg(
+        F.min(F.struct(*ARRIVAL, "fixed", "sig")).alias("f"), F.count(F.lit(1)).alias("weight"))
+    texts = written(texts.select("question_id", "valid", F.struct(*[col(f"f.{c}").alias(c) for c in (*ARRIVAL, "fixed")]).alias("first"),
+                                 col("f.sig").alias("sig"), "weight"), "signatures")
     per_q = texts.groupBy("question_id").agg(
         F.min("first")["fixed"].alias("first_sql"),
         F.coalesce(F.sum(F.when(col("valid"), col("weight"))), F.lit(0)).cast("bigint").alias("n_valid"))

@@ -104,3 +104,21 @@ def test_votes_by_text_keys(spark):
     assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
     rows = {r.question_id: tuple(r)[1:] for r in got.collect()}
     assert rows[1] == ("SELECT a", "consensus", 3, 2, 3) and rows[None] == (None, "consensus", 2, 1, 2)
+
+
+def test_questions_within_a_block_are_not_joined_again(spark, monkeypatch):
+    """Where no question has more signatures than a block, rows are written twice: signatures and leaders.
+    Item sets that only differ in where one ends are other signatures."""
+    df = spark.createDataFrame([(1, n, n, 1, str(n), True, c) for n, c in enumerate(
+        [[["a"], ["b"]] + [[]] * 3, [["a", "b"], []] + [[]] * 3, [[], ["b"]] + [[]] * 3, [["x"], ["y"]] + [[]] * 3], 1)], CANDS)
+    names = []
+    monkeypatch.setattr(V, "written", lambda d, name, f=V.written: (names.append(name), f(d, name))[1])
+    for block, rounds in ((3, 2), (4, 1)):
+        names.clear()
+        got = sorted(map(tuple, V.candidate_clusters(df, block).collect()))
+        assert got == _expected(df) and names.count("leaders") == rounds and names.count("later") == rounds - 1
+
+
+def test_log_of_one_file_is_read_by_many_tasks(spark):
+    """The texts' rules run in as many tasks as a shuffle has."""
+    assert "RoundRobinPartitioning" in V.log_texts(Tables(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
