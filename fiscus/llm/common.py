@@ -74,6 +74,82 @@ def bit_filter(values, bits: int) -> np.ndarray:
     return out
 
 
+PACKED = "bucket int, packed binary"
+_BUCKETS, _MORE = 10, 9
+
+
+def packed_hashes(blocks, bits: int, at_once: int = 1 << 20):
+    """Batches of PACKED for ``repeat_filter``: the hashes of ``blocks`` (arrays of
+    64-bit hashes), ``at_once`` and more together, by their place in a filter of
+    ``bits`` bits and 9 bits more, which tell most hashes of one place apart.
+    A bucket's sorted keys are stored as differences, under 3 bytes a hash."""
+    places = bits.bit_length() - 1
+    width = places - _BUCKETS + _MORE
+
+    def packed(held):
+        h = np.concatenate(held)
+        bucket, bit = _bitmap_place(h & np.uint64(bits - 1))
+        key = np.sort(((bucket << np.uint64(15)) | bit) << np.uint64(_MORE) | (h >> np.uint64(places)) & np.uint64((1 << _MORE) - 1))
+        key = key[np.concatenate([np.ones(min(len(key), 2), bool), key[2:] != key[:-2]])]  # often is twice
+        cuts = np.searchsorted(key, np.arange((1 << _BUCKETS) + 1, dtype=np.uint64) << np.uint64(width))
+        full = np.flatnonzero(np.diff(cuts))
+        rows = []
+        for a, b in zip(cuts[full], cuts[full + 1]):
+            step = np.diff(key[a:b] & np.uint64((1 << width) - 1), prepend=np.uint64(0)).astype("<u4")
+            high = np.ascontiguousarray((step >> np.uint32(16)).astype("<u2").view(np.uint8).reshape(-1, 2).T)
+            rows.append(len(step).to_bytes(4, "little") + step.astype("<u2").tobytes() + pa.Codec("zstd").compress(high.tobytes(), asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "packed"])
+
+    held, size = [], 0
+    for h in blocks:
+        if len(h):
+            held.append(h.view(np.uint64))
+            size += len(h)
+        if size >= at_once:
+            yield packed(held)
+            held, size = [], 0
+    if held:
+        yield packed(held)
+
+
+def repeat_filter(packed: DataFrame, bits: int) -> np.ndarray:
+    """A bit array for ``in_bits``, of ``bits`` bits, of the hashes that occur twice
+    or more in all rows of ``packed`` (see ``packed_hashes``); false positives only.
+    Tasks hold a fixed table each, and ``bits / 8`` bytes reach the driver."""
+    width, step = bits.bit_length() - 1 - _BUCKETS + _MORE, bits >> _BUCKETS
+
+    def run(batches):
+        seen, twice, now = np.zeros(1 << (width - 3), np.uint8), np.zeros(step, bool), None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["bucket", "packed"])
+
+        for batch in batches:
+            for bucket, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if bucket != now:
+                    if now is not None:
+                        yield out()
+                    now = bucket
+                    seen[:], twice[:] = 0, False
+                row = row.as_py()
+                n = int.from_bytes(row[:4], "little")
+                high = np.frombuffer(pa.Codec("zstd").decompress(row[4 + 2 * n:], 2 * n, asbytes=True), np.uint8).reshape(2, -1)
+                key = np.cumsum(np.frombuffer(row, "<u2", n, 4) + (np.ascontiguousarray(high.T).view("<u2").ravel().astype(np.int64) << 16))
+                again = np.concatenate([[False], key[1:] == key[:-1]])
+                one = key[~again]
+                at, bit = one >> 3, np.left_shift(1, one & 7).astype(np.uint8)
+                twice[key[again] >> _MORE] = True
+                twice[one[seen[at] & bit > 0] >> _MORE] = True
+                np.bitwise_or.at(seen, at, bit)
+        if now is not None:
+            yield out()
+
+    out, size = np.zeros(bits // 8 + 4096, np.uint8), step // 8
+    for bucket, m in packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, PACKED).collect():
+        out[bucket * size:(bucket + 1) * size] = np.frombuffer(bytes(m), np.uint8)
+    return out
+
+
 def maybe_in(df: DataFrame, key, values: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """``df`` with ``maybe``: whether the 64-bit hash ``key`` of a row may be in the
     one-column frame ``values`` (false positives only).  The filter is a row per 64

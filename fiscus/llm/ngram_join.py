@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiscus.llm.common import Words, bit_filter, in_bits, mix64, ship, span_hash, text_blocks, text_or_empty, written
+from fiscus.llm.common import (PACKED, Words, bit_filter, in_bits, maybe_in, mix64, packed_hashes, repeat_filter, ship, span_hash, text_blocks,
+                               text_or_empty, written)
 from fiscus.llm.components import components
 
 SETS = "id long, x long, n long, s1 long, s2 long, bitmap binary, prefix array<long>"
@@ -154,13 +155,10 @@ def shared_grams(texts: DataFrame, n: int, limit: Threshold, order: Order):
     that unrelated texts share."""
 
     def run(batches):
-        for batch in batches:
-            for _, data, offsets in text_blocks(batch.column(0)):
-                token, count = np.unique(order.prefixes(Sets(data, offsets, n), limit)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], ["token", "n"])
+        yield from packed_hashes((order.prefixes(Sets(data, offsets, n), limit)[0]
+                                  for batch in batches for _, data, offsets in text_blocks(batch.column(0))), SHARED_BITS)
 
-    counts = texts.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return texts.sparkSession.sparkContext.broadcast(bit_filter(counts.where("n > 1").select("token"), SHARED_BITS))
+    return texts.sparkSession.sparkContext.broadcast(repeat_filter(texts.mapInArrow(run, PACKED), SHARED_BITS))
 
 
 def all_sets(rows: DataFrame, n: int, limit: Threshold, order: Order) -> DataFrame:
@@ -304,8 +302,25 @@ def _emit(a: list, b: list) -> pa.RecordBatch:
 
 
 def likely_links(reps: DataFrame, limit: Threshold) -> DataFrame:
-    """Links (a, b) whose components hold together all sets that can link."""
-    tokens = reps.select(F.explode("prefix").alias("token"), "id")
+    """Links (a, b) whose components hold together all sets that can link.
+    N-grams of one prefix alone stay where they are: a bit filter of the others
+    is made first."""
+
+    def prefixes(batches):
+        yield from packed_hashes((batch.column(0).flatten().to_numpy(zero_copy_only=False) for batch in batches), SHARED_BITS)
+
+    spark = reps.sparkSession
+    twice = spark.sparkContext.broadcast(repeat_filter(reps.select("prefix").mapInArrow(prefixes, PACKED), SHARED_BITS))
+
+    def met(batches):
+        for batch in batches:
+            prefix = batch.column(0)
+            token = prefix.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), prefix.value_lengths().to_numpy(zero_copy_only=False))
+            maybe = in_bits(twice.value, token)
+            yield pa.RecordBatch.from_arrays([pa.array(token[maybe]), pa.array(ids[maybe])], ["token", "id"])
+
+    tokens = reps.select("prefix", "id").mapInArrow(met, "token long, id long")
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rows = tokens.join(shared, "token").withColumn("blocks", F.ceil(F.col("c") / BUCKET_ROWS).cast("long"))
     rows = rows.select("token", "id", "blocks").join(reps.select("id", "n", "bitmap"), "id")
@@ -513,13 +528,20 @@ def _near(docs: DataFrame, n: int, limit: Threshold, id_col: str, text_col: str,
     sets = written(all_sets(rows.withColumn("x", F.xxhash64("t")), n, limit, order), "sets")
     real = sets.where("n > 0 and id is not null")
     key = F.struct("s1", "s2", "n")
-    same = written(real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), "equal-sets")
+    same = real.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("rows"))
     shared = same.groupBy("rep").agg(F.count(F.lit(1)).alias("sets"), F.min(key).alias("first")).where("sets > 1")
     same = same.join(shared.select(F.col("rep").alias("of"), "first"), F.col("rep") == F.col("of"), "left").select(
-        "s1", "s2", "n", "rep", F.when(F.col("of").isNull() | (F.col("first") == key), F.col("rep")).otherwise(F.xxhash64("s1", "s2", "n")).alias("node"))
-    heads = sets.where("size(prefix) > 0").join(same, ["s1", "s2", "n"]).where("id = rep")
-    heads = heads.select(F.col("node").alias("id"), "rep", "s1", "s2", "n", "bitmap", "prefix").dropDuplicates(["id"])
-    heads = written(heads, "set-heads")
+        "s1", "s2", "n", "rep", F.when(F.col("of").isNull() | (F.col("first") == key), F.col("rep")).otherwise(F.xxhash64("s1", "s2", "n")).alias("node"),
+        ((F.col("rows") > 1) | F.col("of").isNotNull()).alias("odd"))
+    same = written(same, "equal-sets")
+    # a set of one row that alone has its id is its own head, and stays in the table of sets
+    h = F.xxhash64("s1", "s2", "n")
+    heads = sets.where((F.lit(limit.den) * F.col("n") >= F.lit(limit.num) * (F.col("n") + 1)) & F.col("id").isNotNull()).drop("x")
+    heads = maybe_in(heads, h, same.where("odd").select(h))
+    odd = heads.where("maybe").join(same, ["s1", "s2", "n"]).where("id = rep")
+    odd = odd.select(F.col("node").alias("id"), "rep", "s1", "s2", "n", "bitmap", "prefix").dropDuplicates(["id"])
+    heads = heads.where("not maybe").withColumn("rep", F.col("id")).drop("maybe").unionByName(written(odd, "set-heads"))
+    same = same.drop("odd")
     label = written(components(likely_links(heads, limit)), "blocks")
     links = components(verified_links(rows, label, heads, n, limit)).select(F.col("id").alias("node"), "component")
     node = same.join(links, "node", "left").select("s1", "s2", "n", "rep", F.coalesce("component", "node").alias("label"))

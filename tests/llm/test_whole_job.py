@@ -163,3 +163,48 @@ def test_documents_of_no_span_and_no_copy_are_not_moved(spark):
         assert all("[EMAIL]" in private[i] and "@" not in private[i] for i in (3, 4))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_repeat_filter_holds_what_comes_twice(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from fiscus.llm.common import PACKED, in_bits, packed_hashes, repeat_filter
+
+    bits = 1 << 20
+    alone = np.random.default_rng(7).integers(0, 1 << 64, 30_000, dtype=np.uint64)
+    edges = np.array([0, 1, 2, bits - 1, bits, 1 << 63, (1 << 64) - 1], np.uint64)
+    parts = [np.concatenate([alone[i::4], edges[:4] if i % 2 else edges[4:]]) for i in range(4)]
+    parts[2] = np.concatenate([parts[2], parts[2][:50], parts[2][:50], alone[0:200:4]])
+    twice = np.concatenate([edges, parts[2][:50], alone[0:200:4]])
+
+    def run(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield from packed_hashes([parts[i][:100], parts[i][:0], parts[i][100:].view(np.int64)], bits)
+
+    packed = spark.range(4).repartition(4).mapInArrow(run, PACKED)
+    got = repeat_filter(packed, bits)
+    assert in_bits(got, twice).all() and in_bits(got, twice.view(np.int64)).all()
+    false = np.setdiff1d(alone, twice)
+    assert in_bits(got, false).mean() < 0.01
+    assert not repeat_filter(packed.limit(0), bits).any()
+    big = list(packed_hashes([np.random.default_rng(8).integers(0, 1 << 64, 400_000, dtype=np.uint64)], 1 << 27))
+    assert sum(pa.compute.binary_length(b.column(1)).to_numpy().sum() for b in big) < 3.2 * 400_000
+
+
+def test_sets_of_one_row_and_their_ngrams_are_not_moved(spark, monkeypatch):
+    """Only sets that share their rows or ids with others are written as heads, and only n-grams of several prefixes are dealt."""
+    from fiscus.llm import ngram_join as N
+
+    wide = [" ".join(f"{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = list(enumerate(wide)) + [(50, wide[3] + " more"), (51, wide[4]), (6, wide[7] + " end"), (None, wide[8]), (None, wide[8] + " no"), (60, None)]
+    held, dealt = {}, []
+    monkeypatch.setattr(N, "written", lambda df, name, f=N.written: held.setdefault(name, f(df, name)) if name == "set-heads" else f(df, name))
+    monkeypatch.setattr(N, "_pairs_of_blocks", lambda df, *a, f=N._pairs_of_blocks: dealt.append(df) or f(df, *a))
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in N.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {(i, 38): i for i in range(30)} | {(50, 39): 3, (51, 38): 4, (6, 39): 6, (None, 38): None, (None, 39): None, (60, 0): 60}
+    assert got == want | {(7, 38): 6}
+    assert {(r.id, r.rep) for r in held["set-heads"].collect() if r.id == r.rep} <= {(4, 4), (6, 6)} and held["set-heads"].count() <= 3
+    # 39 and 38 n-grams of near sets: their prefixes of 5 and 4 at most, and those of the filter's errors
+    assert {r.id for r in dealt[0].select("id").distinct().collect()} <= {3, 50, 6, 7, *[r.id for r in held["set-heads"].collect()]}
