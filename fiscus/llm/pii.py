@@ -77,10 +77,12 @@ def _cut(t: Column, pattern: str) -> Column:
 def _once(x: DataFrame, *columns: str) -> DataFrame:
     """One row of ``x`` for each text, as rows that repeat id and text are
     equal.  All windows of a text (k1, k2, and more) run where this leaves it:
-    texts are moved, their words and matches never.  The second move keeps all
-    partitions, as words take many times the room of the texts."""
+    texts are moved, their words and matches never.  The second move is to twice
+    the partitions of a shuffle, as words take many times the room of the texts:
+    Spark merges small partitions after the first move, and would leave out a
+    second one to as many."""
     x = x.groupBy("k1", "k2").agg(F.first(F.struct(*columns)).alias("x")).select("k1", "k2", "x.*")
-    return x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2")
+    return x.repartition(2 * int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k1", "k2")
 
 
 def _placed(found: DataFrame, *more: str) -> DataFrame:

@@ -208,3 +208,14 @@ def test_sets_of_one_row_and_their_ngrams_are_not_moved(spark, monkeypatch):
     assert {(r.id, r.rep) for r in held["set-heads"].collect() if r.id == r.rep} <= {(4, 4), (6, 6)} and held["set-heads"].count() <= 3
     # 39 and 38 n-grams of near sets: their prefixes of 5 and 4 at most, and those of the filter's errors
     assert {r.id for r in dealt[0].select("id").distinct().collect()} <= {3, 50, 6, 7, *[r.id for r in held["set-heads"].collect()]}
+
+
+def test_pii_words_keep_more_partitions_than_a_shuffle(spark):
+    """Texts whose words take much room are not merged into few tasks."""
+    from fiscus.llm.common import keyed
+    from fiscus.llm.pii import base_spans
+
+    rows = [(i, f"mail a{i}@b.org now") for i in range(200)]
+    d = keyed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert base_spans(d, 5).rdd.getNumPartitions() == 2 * n
