@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from fiscus.llm.common import scratch_path, ship, text_or_empty
 
-# kind 0: one bucket of a block's words, in payload; kind 1: its texts
+# kind 0: one bucket of a block's words, in payload; kind 1: some of its texts
 PARTS = "block long, kind int, bucket int, slots binary, payload binary, doc_ids array<long>"
 _FIELDS = [("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("slots", pa.binary()),
            ("payload", pa.binary()), ("doc_ids", pa.list_(pa.int64()))]
@@ -83,6 +83,17 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, _FIELDS)], [n for n, _ in _FIELDS])
 
 
+def _pieces(sizes: np.ndarray, words_at_once: int = 1 << 19):
+    """(first, last, start, end): texts first..last of ``words_at_once`` words (a
+    longer text alone), which are the words start..end of them all."""
+    ends, first = np.cumsum(sizes.astype(np.int64)), 0
+    while first < len(sizes):
+        start = int(ends[first]) - int(sizes[first])
+        last = max(first + 1, int(np.searchsorted(ends, start + words_at_once, side="right")))
+        yield first, last, start, int(ends[last - 1])
+        first = last
+
+
 class Block:
     """Texts with their distinct words, numbered as they come."""
 
@@ -113,7 +124,9 @@ class Block:
         for part in np.split(place, np.flatnonzero(np.diff(deal[place])) + 1):
             if len(part):
                 yield _rows([(block, 0, int(deal[part[0]]), _squeeze(np.diff(part, prepend=0)), _pack([names[i] for i in part]), None)])
-        yield _rows([(block, 1, None, np.array(self.sizes, "<u4").tobytes(), _squeeze(rank[flat]), self.ids)])
+        sizes = np.array(self.sizes, "<u4")
+        for first, last, a, b in _pieces(sizes):
+            yield _rows([(block, 1, None, sizes[first:last].tobytes(), _squeeze(rank[flat[a:b]]), self.ids[first:last])])
 
 
 def split_blocks(docs: DataFrame, pattern: str, buckets: int, id_col: str, text_col: str,
@@ -157,11 +170,12 @@ def _encoder(ranks: list, pattern: str):
 
 
 def encode_words(parts: DataFrame, ranks, pattern: str, tokens: DataFrame | None = None) -> DataFrame:
-    """(block, lists): the encoded word lists of each block, slots and packed
-    ids; with ``tokens`` (id, bytes), also the ids that occur in the block,
-    joined with that table.  All rows of a bucket meet, sorted, in one task, and each distinct
-    word is encoded at its first row; a bucket holds its share of the
-    vocabulary, and of every block's list.  A block has one row per bucket."""
+    """(block, slots, ids): the encoded word lists of each block, slots and packed
+    ids; with ``tokens`` (id, bytes), also rows (block, id, bytes) of the ids that
+    occur in the block, joined with that table, some of them repeated.  All rows of a
+    bucket meet, sorted, in one task, and each distinct word is encoded at its first
+    row; a bucket holds its share of the vocabulary, and of every block's list.
+    Blocks are dealt before the ids get a row each: those rows are not moved."""
     lists = parts.where("kind = 0").select("block", "bucket", "slots", "payload")
     lists = lists.repartition("bucket").sortWithinPartitions("bucket", "block")
     back = tokens is not None
@@ -183,34 +197,28 @@ def encode_words(parts: DataFrame, ranks, pattern: str, tokens: DataFrame | None
                     if ids is None:
                         ids = known[w] = np.array(one(w), "<u4").tobytes()
                     out.append(ids)
-                rows.append((r["block"], r["slots"], _pack(out), None))
-                if back:
-                    rows += [(r["block"], None, None, i) for i in np.unique(np.frombuffer(b"".join(out), "<u4")).tolist()]
+                rows.append((r["block"], r["slots"], _pack(out), np.unique(np.frombuffer(b"".join(out), "<u4")).astype(np.int32) if back else None))
             cols = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int32()))],
-                                             ["block", "slots", "ids", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())))],
+                                             ["block", "slots", "ids", "used"])
 
-    encoded = lists.mapInArrow(run, "block long, slots binary, ids binary, id int")
-    words = F.collect_list(F.when(F.col("id").isNull(), F.struct("slots", "ids"))).alias("lists")
+    encoded = lists.mapInArrow(run, "block long, slots binary, ids binary, used array<int>")
+    encoded = encoded.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     if not back:
-        return encoded.groupBy("block").agg(words)
-    # a block's row becomes one row for its lists and one for each id, which joins; they are together again without a shuffle
-    once = encoded.groupBy("block").agg(words, F.collect_set("id").alias("ids"))
-    no_list, no_id = F.lit(None).cast(once.schema["lists"].dataType), F.lit(None).cast("int")
-    apart = once.select("block", F.explode(F.concat(
-        F.array(F.struct(F.col("lists"), no_id.alias("id"))),
-        F.transform("ids", lambda i: F.struct(no_list.alias("lists"), i.alias("id"))))).alias("x")).select("block", "x.*")
-    return apart.join(F.broadcast(tokens), "id", "left").groupBy("block").agg(
-        F.first("lists", ignorenulls=True).alias("lists"),
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "bytes"))).alias("tokens"))
+        return encoded.drop("used")
+    none, no_id = F.lit(None).cast("binary"), F.lit(None).cast("int")
+    apart = encoded.select("block", F.explode(F.concat(
+        F.array(F.struct("slots", "ids", no_id.alias("id"))),
+        F.transform("used", lambda i: F.struct(none.alias("slots"), none.alias("ids"), i.alias("id"))))).alias("x")).select("block", "x.*")
+    return apart.join(F.broadcast(tokens), "id", "left").select("block", "slots", "ids", "id", "bytes")
 
 
 def _table(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, number and values of the ids of each word of a block."""
     number, parts = np.zeros(0, np.int64), []
-    for part in lists:
-        slots = np.cumsum(_unsqueeze(part["slots"].as_py()).astype(np.int64))
-        sizes, raw = _unpack(part["ids"].as_py())
+    for slots, ids in lists:
+        slots = np.cumsum(_unsqueeze(slots.as_py()).astype(np.int64))
+        sizes, raw = _unpack(ids.as_py())
         parts.append((slots, sizes.astype(np.int64) // 4, np.frombuffer(raw, "<u4")))
     n = sum(len(p[0]) for p in parts)
     number, start, at = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
@@ -226,13 +234,13 @@ def _bytes_of(ids, tokens: dict) -> bytes | None:
     return None if x is None else b"".join(map(tokens.__getitem__, np.frombuffer(x, "<u4").tolist()))
 
 
-def put_in_place(parts: DataFrame, encoded: DataFrame, words_at_once: int = 1 << 19) -> DataFrame:
-    """(id, ids), and decoded if the blocks come with ``tokens``: the ids of every text, packed little-endian 32-bit.  The texts'
-    positions are read bucket by bucket, without a shuffle, and filled in
-    ``words_at_once`` a time (a longer text alone)."""
+def put_in_place(parts: DataFrame, encoded: DataFrame) -> DataFrame:
+    """(id, ids), and decoded if ``encoded`` has ``bytes``: the ids of every text, packed
+    little-endian 32-bit.  The texts' positions are read bucket by bucket, without
+    a shuffle; a block meets its lists in one call, in rows of bounded size."""
     texts = parts.where("kind = 1").select("block", F.col("slots").alias("sizes"), "payload", "doc_ids")
-    back = "tokens" in encoded.columns
-    d = texts.join(encoded, "block", "left").select("sizes", "payload", "doc_ids", "lists", *["tokens"] * back)
+    back = "bytes" in encoded.columns
+    schema = pa.schema([("id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())][:2 + back])
 
     def filled(slots, sizes, table):
         start, number, values = table
@@ -243,32 +251,28 @@ def put_in_place(parts: DataFrame, encoded: DataFrame, words_at_once: int = 1 <<
         out = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(ids)])
         return out.cast(pa.binary())
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sizes, payload, keys, lists = (batch.column(c)[i] for c in range(4))
-                table = _table(lists if lists.is_valid else [])
-                known = batch.column(4)[i].values if back and batch.column(4)[i].is_valid else None
-                look = dict(zip(known.field(0).to_pylist(), known.field(1).to_pylist())) if known is not None else {}
-                slots, sizes, keys = _unsqueeze(payload.as_py()), np.frombuffer(sizes.as_py(), "<u4").astype(np.int64), keys.values
-                ends, first = np.cumsum(sizes), 0
-                while first < len(sizes):
-                    start = int(ends[first] - sizes[first])
-                    last = max(first + 1, int(np.searchsorted(ends, start + words_at_once, side="right")))
-                    out = filled(slots[start:int(ends[last - 1])], sizes[first:last], table)
-                    cols = [keys.slice(first, last - first), out]
-                    if back:
-                        cols.append(pa.array([_bytes_of(x, look) for x in out], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"][:len(cols)])
-                    first = last
-
-    return d.mapInArrow(run, "id long, ids binary" + ", decoded binary" * back)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = right.filter(right.column("slots").is_valid())
+        table, look = _table(zip(lists.column("slots"), lists.column("ids"))), {}
+        if back:
+            known = right.filter(right.column("id").is_valid())
+            look = dict(zip(known.column("id").to_pylist(), known.column("bytes").to_pylist()))
+        rows = []
+        for sizes, payload, keys in zip(*(left.column(c) for c in ("sizes", "payload", "doc_ids"))):
+            out = filled(_unsqueeze(payload.as_py()), np.frombuffer(sizes.as_py(), "<u4").astype(np.int64), table)
+            cols = [keys.values, out]
+            if back:
+                cols.append(pa.array([_bytes_of(x, look) for x in out], pa.binary()))
+            rows.append(pa.RecordBatch.from_arrays(cols, schema=schema))
+        return pa.Table.from_batches(rows, schema)
+
+    return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(run, "id long, ids binary" + ", decoded binary" * back)
 
 
 def _encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, buckets: int | None, tokens) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
-    n = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = bucketed(split_blocks(docs, pattern, n, id_col, text_col), "bpe_parts")
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     return put_in_place(parts, encode_words(parts, ranks, pattern, tokens)).withColumnRenamed("id", id_col)
@@ -281,7 +285,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Null and empty texts have no ids; repeated rows and null ids keep a row
     each; extra columns are ignored; an empty table gives no rows.  ``buckets``
-    is the number of word buckets (default: eight per shuffle partition).  The
+    is the number of word buckets (default: two per shuffle partition).  The
     split texts are written to scratch once, so ids of blocks never change.
     """
     return _encoded(docs, ranks_path, pattern, id_col, text_col, buckets, None)

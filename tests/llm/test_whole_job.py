@@ -210,6 +210,34 @@ def test_sets_of_one_row_and_their_ngrams_are_not_moved(spark, monkeypatch):
     assert {r.id for r in dealt[0].select("id").distinct().collect()} <= {3, 50, 6, 7, *[r.id for r in held["set-heads"].collect()]}
 
 
+def test_bpe_block_is_rows_of_bounded_size(spark):
+    """A block's texts reach their ids in pieces, without one object that holds all its lists and tokens."""
+    import public_tokenizers as public
+    import tiktoken
+
+    from fiscus.llm import bpe
+
+    ranks, n = public.path("byte_bpe_50k.tiktoken"), 40_000
+    texts = [f"t{i} " + "ab cd " * n for i in range(9)] + ["", None, "x" + " y" * (8 * n), "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = bpe.split_blocks(docs, public.PATTERN, 3, "doc_id", "text").where("kind = 1").collect()
+    assert len({r.block for r in rows}) == 1 and sorted(i for r in rows for i in r.doc_ids) == list(range(len(texts)))
+    assert len(rows) > 1 and max(sum(np_words(r.slots)) for r in rows) <= 1 << 19
+    got = bpe.round_trip(docs, ranks, public.PATTERN)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroups" in plan and "collect_list" not in plan and "collect_set" not in plan
+    lib = tiktoken.Encoding("x", pat_str=public.PATTERN, mergeable_ranks=dict(bpe.read_ranks(ranks)), special_tokens={})
+    out = {r.doc_id: (np_words(r.ids), bytes(r.decoded)) for r in got.collect()}
+    assert out == {i: (lib.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    assert {r.doc_id: np_words(r.ids) for r in bpe.encode(docs, ranks, public.PATTERN).collect()} == {i: x for i, (x, _) in out.items()}
+
+
+def np_words(raw):
+    import numpy as np
+
+    return np.frombuffer(raw, "<u4").tolist()
+
+
 def test_pii_words_keep_more_partitions_than_a_shuffle(spark):
     """Texts whose words take much room are not merged into few tasks."""
     from fiscus.llm.common import keyed
